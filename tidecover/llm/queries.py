@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontam, pii, quality
+from . import chunks, decontam, jaccard, packing, pii, quality, sharding
 from .sql import ORACLE  # noqa: F401
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
+    "op3_substring_dedup": chunks.op3_substring_dedup,
+    "op5_packing": packing.op5_packing,
     "op6_quality_rules": quality.op6_quality_rules,
     "op8_decontamination": decontam.op8_decontamination,
+    "op9_jaccard_join": jaccard.op9_jaccard_join,
+    "op10_sharding": sharding.op10_sharding,
 }
