@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +41,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def set_conf(spark: SparkSession, own: dict[str, str]):
+    """Session settings that hold within only."""
+    old = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def runtime_filters(spark: SparkSession):
+    """Lets Spark drop rows before a join by a Bloom filter of the other side's keys, where that side is small (10 MB)."""
+    return set_conf(spark, {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"})
+
+
+def filter_once(df: DataFrame, condition: Column) -> DataFrame:
+    """df.filter(condition), but the condition stays above the columns it uses.
+
+    Spark moves a plain filter below a projection by putting the projection's expressions into it, there to be computed
+    again, and within lambdas for every element.  A filter on what a generator makes isn't moved.
+    """
+    return df.select("*", F.explode_outer(F.array(condition)).alias("_ok")).filter("_ok").drop("_ok")
+
+
 def or_empty(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
@@ -66,7 +94,10 @@ def words(text: Column, separators: str = SPACES) -> Column:
 
 
 def shingles(word_array: Column, k: int) -> Column:
-    """64-bit hashes of the distinct k-word shingles; fewer words: the whole sequence as one; no words: none."""
+    """64-bit hashes of the distinct k-word shingles; fewer words: the whole sequence as one; no words: none.
+
+    word_array must be a column, not an expression, as it is read for every shingle.
+    """
     n = F.size(word_array)
     many = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[F.get(word_array, i + j) for j in range(k)]))
     return F.when(n >= k, F.array_distinct(many)).when(n > 0, F.array(F.xxhash64(word_array))).otherwise(F.array().cast("array<bigint>"))

@@ -7,12 +7,13 @@ the groups' unions first, and only the groups that can hold a similar text are o
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import folded, or_empty, shingles, stored, table, words
+from .common import filter_once, folded, or_empty, runtime_filters, shingles, stored, table, words
 from .components import components
 
 
@@ -47,36 +48,36 @@ def cut_of(rule: Rule) -> int:
     return int(-(2**63) + min(0.95, (100 - rule.percent) / 100 + 0.02) * 2**64)
 
 
-def signatures(docs: DataFrame, text: str, rule: Rule) -> DataFrame:
-    """doc_id, node (hash of the words in order), n (tokens), sig and low.
+def signatures(rows: DataFrame, rule: Rule) -> DataFrame:
+    """id, node (hash of the words in order), n (tokens), sig and low, from rows with id and _w (words).
 
     sig holds the tokens below a cut (low of them; a little more than the prefix's share of all tokens), or the prefix
     in order of hash where that is longer: the tokens whose frequency decides the prefix.
     """
     cut = cut_of(rule)
-    df = docs.select("doc_id", normal_words(F.col(text)).alias("_w"))
-    df = df.select("doc_id", F.xxhash64("_w").alias("node"), shingles(F.col("_w"), rule.k).alias("_all"))
+    df = rows.select("id", F.xxhash64("_w").alias("node"), shingles(F.col("_w"), rule.k).alias("_all"))
     low = F.filter("_all", lambda x: x < cut)
-    df = df.select("doc_id", "node", F.size("_all").alias("n"), "_all", low.alias("_low"))
-    short = F.size("_low") < rule.prefix(F.col("n"))
-    sig = F.when(short, F.slice(F.sort_array("_all"), F.lit(1), F.greatest(rule.prefix(F.col("n")), F.lit(0)))).otherwise(F.col("_low"))
-    return df.select("doc_id", "node", "n", F.size("_low").alias("low"), F.when(F.col("n") > 0, sig).alias("sig"))
+    df = df.select("id", "node", F.size("_all").alias("n"), "_all", low.alias("_low"))
+    p = rule.prefix(F.col("n"))
+    sig = F.when(F.size("_low") < p, F.slice(F.sort_array("_all"), F.lit(1), F.greatest(p, F.lit(0)))).otherwise(F.col("_low"))
+    return df.select("id", "node", "n", F.size("_low").alias("low"), F.when(F.col("n") > 0, sig).alias("sig"))
 
 
-def shared_prefixes(sets: DataFrame, rule: Rule) -> DataFrame:
-    """node, n, first (smallest doc_id), tok: of each text's prefix, rarest first, the tokens that occur in other rows too."""
-    postings = sets.select("doc_id", "node", "n", "low", F.explode_outer("sig").alias("tok"))
-    common = stored(postings.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).filter("df > 1 and tok is not null"), "common")
+def shared_prefixes(sets: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """node, n, first, rank, tok: of each text's prefix, rarest first, the tokens that occur in other rows too."""
+    # Two numbers a posting: sizes and ids are looked up for the few nodes that are left.
+    postings = sets.select("node", F.explode_outer("sig").alias("tok")).filter("tok is not null")
+    common = stored(postings.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "common")
     left = postings.join(common, "tok")
-    below = F.col("tok") < F.lit(cut_of(rule))
-    per = left.groupBy("node", "n", "low").agg(F.min("doc_id").alias("first"), F.sort_array(F.collect_set(F.struct((~below).alias("high"), F.col("df"), F.col("tok")))).alias("toks"))
+    high = F.col("tok") >= F.lit(cut_of(rule))
+    per = left.groupBy("node").agg(F.sort_array(F.collect_set(F.struct(high.alias("high"), F.col("df"), F.col("tok")))).alias("toks")).join(classes, "node")
     # Tokens of one row alone come first and can't be shared; what is left of the prefix goes to the rarest of the others.
-    n_low = F.size(F.filter("toks", lambda x: ~x["high"]))
+    per = per.withColumn("n_low", F.size(F.filter("toks", lambda x: ~x["high"])))
     p = rule.prefix(F.col("n"))
-    take = F.greatest(F.least(p, F.col("low")) - (F.col("low") - n_low), F.lit(0))
-    high = F.filter("toks", lambda x: x["high"])
-    chosen = F.concat(F.slice("toks", F.lit(1), F.least(take, n_low)), F.when(F.col("low") < p, high).otherwise(F.slice("toks", 1, 0)))
-    return per.select("node", "n", "first", F.posexplode(chosen).alias("rank", "x")).select("node", "n", "first", "rank", F.col("x")["tok"].alias("tok"))
+    take = F.greatest(F.least(p, F.col("low")) - (F.col("low") - F.col("n_low")), F.lit(0))
+    rest = F.filter("toks", lambda x: x["high"])
+    chosen = F.concat(F.slice("toks", F.lit(1), F.least(take, F.col("n_low"))), F.when(F.col("low") < p, rest).otherwise(F.slice("toks", 1, 0)))
+    return per.select("node", "n", "first", F.posexplode_outer(chosen).alias("rank", "x")).filter("rank is not null").select("node", "n", "first", "rank", F.col("x")["tok"].alias("tok"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
@@ -84,15 +85,16 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     b = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     df = pairs.select("a", "b").join(a, "a").join(b, "b")
-    df = df.select("a", "b", shingles(normal_words(F.col("ta")), rule.k).alias("sa"), shingles(normal_words(F.col("tb")), rule.k).alias("sb"))
+    df = df.select("a", "b", normal_words(F.col("ta")).alias("wa"), normal_words(F.col("tb")).alias("wb"))
+    df = df.select("a", "b", shingles(F.col("wa"), rule.k).alias("sa"), shingles(F.col("wb"), rule.k).alias("sb"))
     df = df.withColumn("i", F.size(F.array_intersect("sa", "sb")))
-    return df.filter(rule.linked(F.col("i"), F.size("sa"), F.size("sb"))).select("a", "b")
+    return filter_once(df, rule.linked(F.col("i"), F.size("sa"), F.size("sb"))).select("a", "b")
 
 
-def links(docs: DataFrame, sets: DataFrame, text: str, rule: Rule) -> DataFrame:
-    """Links (a, b) between different texts that give the same components as all links would; (node, label) of them."""
-    prefix = stored(shared_prefixes(sets, rule), "prefixes")
-    # A token's leader is the text with the smallest doc_id; a text's group is the leader of its rarest shared token.
+def links(sets: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], rule: Rule) -> DataFrame:
+    """(node, label): the components of all links between different texts.  fetch: (node, text) of rows (node, first)."""
+    prefix = stored(shared_prefixes(sets, classes, rule), "prefixes")
+    # A token's leader is the text with the smallest id; a text's group is the leader of its rarest shared token.
     lead = prefix.groupBy("tok").agg(F.min(F.struct("first", "node")).alias("l"), F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y")
     led = stored(prefix.join(lead.select("tok", F.col("l")["node"].alias("lead")), "tok"), "led")
     group = stored(led.groupBy("node", "n", "first").agg(F.min(F.struct("rank", "lead")).alias("g")).select("node", "n", "first", F.col("g")["lead"].alias("g")), "groups")
@@ -102,10 +104,7 @@ def links(docs: DataFrame, sets: DataFrame, text: str, rule: Rule) -> DataFrame:
     reach = led.join(matrix, "tok").filter((100 * F.col("hi") >= rule.percent * F.col("n")) & (rule.percent * F.col("lo") <= 100 * F.col("n")))
     # A text with no token in a group's union has no place for the overlap it needs: such groups stay closed.
     opened = stored(reach.groupBy("node", "n", "g").agg(F.count(F.lit(1)).alias("hits")).select("node", "n", "g"), "opened")
-    wanted = group.select("node", "first")
-    # Only the ids go into this join, and texts are told from others of the same id by their hash.
-    found = docs.select("doc_id", or_empty(F.col(text)).alias("text")).join(wanted, F.col("doc_id") == F.col("first"))
-    texts = stored(found.filter(F.xxhash64(normal_words(F.col("text"))) == F.col("node")).select("node", "text").dropDuplicates(["node"]), "texts")
+    texts = stored(fetch(group.select("node", "first")), "texts")
     # First each text against the leaders of its open groups; copies of one text then mostly hang together.
     near = stored(verified(opened.filter("node <> g").select(F.col("node").alias("a"), F.col("g").alias("b")), texts, rule), "near")
     label = components(near)
@@ -123,6 +122,17 @@ def links(docs: DataFrame, sets: DataFrame, text: str, rule: Rule) -> DataFrame:
     return components(near.union(late))
 
 
+def classified(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], rule: Rule) -> DataFrame:
+    """id, node, n, least (the smallest id that links reach; null without tokens) of rows with id and _w (words)."""
+    sets = stored(signatures(rows, rule), "sets")
+    classes = stored(sets.filter("n > 0").groupBy("node").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.max("low").alias("low")), "classes")
+    label = links(sets, classes, fetch, rule)
+    named = stored(classes.select("node", "first").join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "first"), "named")
+    least = stored(named.groupBy("label").agg(F.min("first").alias("least")), "least")
+    by_node = stored(named.join(least, "label").select("node", "least"), "components")
+    return sets.select("id", "node", "n").join(by_node, "node", "left")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included), one row per row of docs.
 
@@ -130,14 +140,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", rule: Rule = Rule()) ->
     nothing: their component is their own doc_id.  Fewer than k words: the whole sequence is the one shingle.  A row
     without a doc_id gets the smallest one of its component, null if there is none.  An empty table gives an empty one.
     """
-    sets = stored(signatures(docs, text, rule), "sets")
-    label = links(docs, sets, text, rule)
-    classes = sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
-    named = stored(classes.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "first"), "named")
-    least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    node_ids = stored(named.join(least, "label").select("node", "component_id"), "components")
-    out = sets.select("doc_id", "node", "n").join(node_ids, "node", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        # Texts are told from others of the same id by their hash.
+        plain = docs.select("doc_id", or_empty(F.col(text)).alias("text"))
+        with runtime_filters(docs.sparkSession):
+            found = stored(plain.join(wanted.filter("node <> 0"), F.col("doc_id") == F.col("first")).select("node", "text"), "found")
+        return filter_once(found, F.xxhash64(normal_words(F.col("text"))) == F.col("node")).dropDuplicates(["node"])
+
+    out = classified(docs.select(F.col("doc_id").alias("id"), normal_words(F.col(text)).alias("_w")), fetch, rule)
+    return out.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks, decontam, jaccard, packing, pii, quality, sharding
+from . import chunks, decontam, jaccard, lines, packing, pii, quality, sharding
 from .sql import ORACLE  # noqa: F401
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_substring_dedup": chunks.op3_substring_dedup,
     "op5_packing": packing.op5_packing,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_line_dedup": lines.op7_line_dedup,
     "op8_decontamination": decontam.op8_decontamination,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_sharding": sharding.op10_sharding,

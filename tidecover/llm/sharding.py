@@ -3,30 +3,20 @@
 from __future__ import annotations
 
 import uuid
-from contextlib import contextmanager
 from math import floor, log
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, table
+from .common import fresh_path, set_conf, table
 
 FAN_IN = 4  # so many runs of one tier become one run of the next
 TARGET_BYTES = 128 << 20
 
 
-@contextmanager
 def packed_reads(spark: SparkSession, target: int):
     """Within, a scan puts whole small files together, by size, until a task has target bytes."""
-    own = {"spark.sql.files.maxPartitionBytes": str(target), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
-    old = {k: spark.conf.get(k, None) for k in own}
-    for k, v in own.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return set_conf(spark, {"spark.sql.files.maxPartitionBytes": str(target), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"})
 
 
 class Store:
