@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import or_empty, stored, table
 
-PIECE_CHARS = 1 << 18  # texts are tokenised in groups of about so many characters, so memory doesn't grow with a batch
+PIECE_CHARS = 1 << 20  # texts are tokenised in groups of about so many characters, so memory doesn't grow with a batch
+CACHED_WORDS = 400_000  # a task remembers the ids of so many words
 
 
 def default_tokenizer() -> str:
@@ -44,20 +45,31 @@ def token_table(docs: DataFrame, text: str, tokenizer: str, end_id: int) -> Data
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        import regex
         from pyspark import TaskContext
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(tokenizer)
         tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        part, at = TaskContext.get().partitionId(), 0
+        # Merges never cross the words of this pattern, so a word has the same ids wherever it stands.
+        find = regex.compile(public_tokenizers.PATTERN).findall
+        part, at, known = TaskContext.get().partitionId(), 0, {}
+        end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in grouped(texts):
-                ids = [np.array([*e.ids, end_id], dtype="<u4") for e in tok.encode_batch_fast(texts[a:b], add_special_tokens=False)]
-                n = np.array([len(x) for x in ids], dtype=np.int64)
+                split = [find(t) for t in texts[a:b]]
+                if len(known) > CACHED_WORDS:
+                    known.clear()
+                new = [w for w in set().union(*split) if w not in known]
+                for w, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False)):
+                    known[w] = np.array(e.ids, dtype="<u4").tobytes()
+                ids = [b"".join(map(known.__getitem__, ws)) + end for ws in split]
+                n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 starts = at + np.cumsum(n) - n
                 at += int(n.sum())
-                yield pa.RecordBatch.from_arrays([doc_ids[a:b], pa.array([part] * (b - a), pa.int32()), pa.array(starts), pa.array(n), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "part", "local_start", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([doc_ids[a:b], pa.array([part] * (b - a), pa.int32()), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())], names=["doc_id", "part", "local_start", "n", "ids"])
 
     return stored(docs.select("doc_id", or_empty(F.col(text)).alias("text")).mapInArrow(encode, schema), "tokens")
 
