@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chunks, decontam, jaccard, lines, packing, pii, quality, sharding
+from . import chunks, decontam, jaccard, lines, packing, pii, quality, repeats, sharding
 from .sql import ORACLE  # noqa: F401
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op3_substring_dedup": chunks.op3_substring_dedup,
+    "op4_run_length_index": repeats.op4_run_length_index,
     "op5_packing": packing.op5_packing,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_line_dedup": lines.op7_line_dedup,
