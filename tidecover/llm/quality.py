@@ -95,17 +95,17 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.when((total(p) > 0) & (total(q) > 0), F.sqrt(F.greatest(d, F.lit(0.0))))
 
 
-def quality_verdict(docs: DataFrame, text: str = "text", lang: str = "lang", *, min_words: int = 50, min_common_words: int = 100, max_char_distance: float = 0.285, max_word_distance: float = 0.27) -> DataFrame:
+def quality_verdict(docs: DataFrame, text: str = "text", lang: str = "lang", *, min_words: int = 50, min_common_words: int = 100, max_char_distance: float = 0.285, max_word_distance: float = 0.27, with_text: bool = False) -> DataFrame:
     """Adds the base counts, base_failed, js_chars, js_words and kept; one pass over the texts.
 
     kept is false where the base rules fail, or where a histogram lies further (Jensen-Shannon distance) from its
     language's reference than allowed.  Guards: characters are judged from min_words words on, common words from
     min_common_words on.  The references are sums over all documents.  Null text: no words, so not kept.  Unknown or
     null language: characters are held against all languages together and common words aren't judged.  An empty table
-    gives an empty table; all other columns of docs stay.
+    gives an empty table; all other columns of docs stay, and the texts too if with_text.
     """
-    keep = [c for c in docs.columns if c != text]
-    # Without the texts the counted rows are small; written once, both the references and the verdict read them.
+    keep = [c for c in docs.columns if c != text or with_text]
+    # Written once, as both the references and the verdict read them; without the texts the counted rows are small.
     counted = stored(counts(docs, text, lang).select("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_key", "_chars", "_common", *keep), "quality")
     ref = F.broadcast(references(counted))  # five rows at most
     return judged(counted.join(ref, "_key", "left"), min_words, min_common_words, max_char_distance, max_word_distance)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chunks, decontam, jaccard, lines, packing, pii, quality, repeats, sharding
+from . import chunks, decontam, jaccard, lines, packing, pii, quality, repeats, sharding, toxicity
 from .sql import ORACLE  # noqa: F401
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_substring_dedup": chunks.op3_substring_dedup,
     "op4_run_length_index": repeats.op4_run_length_index,
     "op5_packing": packing.op5_packing,
