@@ -1,8 +1,8 @@
 """N-gram Jaccard join with a token-group matrix.
 
 Tokens are hashes of word shingles.  Texts are cut down to the rare tokens of which similar texts must share one; texts
-that share their rarest such token form a group; the matrix holds each group's union of tokens.  A text is held against
-the groups' unions first, and only the groups that can hold a similar text are opened.
+found to be alike form a group; the matrix holds each group's union of such tokens and the range of its sizes.  A text is
+held against the groups' unions first, and only the groups that can hold a similar text are opened.
 """
 
 from __future__ import annotations
@@ -94,32 +94,32 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
 def links(sets: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], rule: Rule) -> DataFrame:
     """(node, label): the components of all links between different texts.  fetch: (node, text) of rows (node, first)."""
     prefix = stored(shared_prefixes(sets, classes, rule), "prefixes")
-    # A token's leader is the text with the smallest id; a text's group is the leader of its rarest shared token.
-    lead = prefix.groupBy("tok").agg(F.min(F.struct("first", "node")).alias("l"), F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y")
-    led = stored(prefix.join(lead.select("tok", F.col("l")["node"].alias("lead")), "tok"), "led")
-    group = stored(led.groupBy("node", "n", "first").agg(F.min(F.struct("rank", "lead")).alias("g")).select("node", "n", "first", F.col("g")["lead"].alias("g")), "groups")
-    # The matrix: a row per token and group with the sizes of the texts that hold it.
-    cells = led.select("node", "tok").join(group, "node")
-    matrix = stored(cells.groupBy("tok", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "matrix")
-    reach = led.join(matrix, "tok").filter((100 * F.col("hi") >= rule.percent * F.col("n")) & (rule.percent * F.col("lo") <= 100 * F.col("n")))
-    # A text with no token in a group's union has no place for the overlap it needs: such groups stay closed.
-    opened = stored(reach.groupBy("node", "n", "g").agg(F.count(F.lit(1)).alias("hits")).select("node", "n", "g"), "opened")
-    texts = stored(fetch(group.select("node", "first")), "texts")
-    # First each text against the leaders of its open groups; copies of one text then mostly hang together.
-    near = stored(verified(opened.filter("node <> g").select(F.col("node").alias("a"), F.col("g").alias("b")), texts, rule), "near")
-    label = components(near)
-    held = stored(group.join(label, "node", "left").select("node", "n", "g", F.coalesce("label", "node").alias("label")), "held")
-    # Then the members of open groups that don't hang together with it yet, part by part.
-    parts = stored(held.groupBy("g", "label").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "parts")
-    mine = opened.join(held.select("node", F.col("label").alias("mine")), "node")
-    far = mine.join(parts, "g").filter((F.col("mine") != F.col("label")) & (100 * F.col("hi") >= rule.percent * F.col("n")) & (rule.percent * F.col("lo") <= 100 * F.col("n")))
-    members = held.select("g", "label", F.col("node").alias("b"), F.col("n").alias("m"))
-    rest = far.select("node", "n", "g", "label").join(members, ["g", "label"]).filter(rule.fits(F.col("n"), F.col("m")) & (F.col("node") != F.col("b")))
-    rest = rest.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    late = stored(verified(rest, texts, rule), "late")
-    if late.isEmpty():
-        return label
-    return components(near.union(late))
+    # A token's leader is the text with the smallest id.  Held against the first of its tokens' leaders, most copies of a
+    # text come together; what then hangs together is a group.
+    lead = prefix.groupBy("tok").agg(F.min(F.struct("first", "node", "n")).alias("l"), F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("tok", "l")
+    led = stored(prefix.join(lead, "tok").select("node", "n", "first", "tok", "l"), "led")
+    nodes = stored(led.groupBy("node", "n", "first").agg(F.min("l").alias("l")), "nodes")
+    texts = stored(fetch(nodes.select("node", "first")), "texts")
+    ahead = nodes.filter((F.col("node") != F.col("l.node")) & rule.fits(F.col("n"), F.col("l.n"))).select(F.col("node").alias("a"), F.col("l.node").alias("b"))
+    near = stored(verified(ahead, texts, rule), "near")
+    # The matrix: a row per token and group, with the least and largest text of the group that holds the token.  A text
+    # with no token in a group's union, or of a size that fits none, can't reach the overlap; such groups stay closed.
+    # Of the others first the two outer texts are tried, then, of those still apart, all that share the token.
+    for last in (False, True):
+        group = stored(nodes.join(components(near), "node", "left").select("node", F.coalesce("label", "node").alias("g")), "groups")
+        cells = led.select("node", "n", "tok").join(group, "node")
+        matrix = stored(cells.groupBy("tok", "g").agg(F.min(F.struct("n", "node")).alias("lo"), F.max(F.struct("n", "node")).alias("hi")), "matrix")
+        cover = matrix.withColumnRenamed("g", "h")
+        reach = cells.join(cover, "tok").filter((F.col("g") != F.col("h")) & (100 * F.col("hi.n") >= rule.percent * F.col("n")) & (rule.percent * F.col("lo.n") <= 100 * F.col("n")))
+        if last:
+            held = cells.select("tok", F.col("g").alias("h"), F.col("node").alias("b"), F.col("n").alias("m"))
+            open_ = reach.select("node", "n", "tok", "h").join(held, ["tok", "h"])
+        else:
+            open_ = reach.select("node", "n", F.explode(F.array("lo", "hi")).alias("t")).select("node", "n", F.col("t.node").alias("b"), F.col("t.n").alias("m"))
+        pairs = open_.filter(rule.fits(F.col("n"), F.col("m"))).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+        more = stored(verified(stored(pairs, "pairs"), texts, rule), "near")
+        near = near.union(more)
+    return components(near)
 
 
 def classified(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], rule: Rule) -> DataFrame:
