@@ -144,10 +144,10 @@ def src7_src9_grid_crop(s, d):
     return g.select("time", "lat", "lon", r6("value"))
 
 
-@query("SELECT CASE WHEN o_custkey % 360 > 180 THEN o_custkey % 360 - 360 ELSE o_custkey % 360 END AS lon, round(avg(CASE WHEN o_orderkey % 10 > 0 THEN o_totalprice END), 2) AS value FROM orders GROUP BY 1")
+@query("SELECT CASE WHEN o_custkey % 360 > 180 THEN o_custkey % 360 - 360 ELSE o_custkey % 360 END AS lon, round(avg(CASE WHEN o_orderkey % 10 > 0 THEN o_totalprice END) + 1e-6, 2) AS value FROM orders GROUP BY 1")
 def src10_src11_wrap_and_mask(s, d):
     o = V.table(s, d, "orders").select((F.col("o_custkey") % 360).alias("lon"), F.when(F.col("o_orderkey") % 10 > 0, F.col("o_totalprice")).otherwise(1e20).alias("v"))
-    return o.groupBy(G.wrap_longitude(F.col("lon")).alias("lon")).agg(F.round(F.avg(G.mask_sentinel(F.col("v"), 1e12)), 2).alias("value"))
+    return o.groupBy(G.wrap_longitude(F.col("lon")).alias("lon")).agg(F.round(F.avg(G.mask_sentinel(F.col("v"), 1e12)) + 1e-6, 2).alias("value"))
 
 
 @query("SELECT l_orderkey AS cell, arg_min(l_quantity, l_linenumber * 1000 + l_quantity) AS value FROM lineitem GROUP BY 1")
@@ -393,9 +393,9 @@ def agg13_season_maps(s, d):
     return m.select("year", "tipo", "lat", "lon", r6("value"))
 
 
-@query("SELECT month, band, round(v, 6) AS v FROM bandm")
+@query("SELECT month, band, round(v + 1e-8, 6) AS v FROM bandm")
 def agg14_band_series(s, d):
-    return G.band_series(V.grid(s, d)).select("month", "band", r6("v"))
+    return G.band_series(V.grid(s, d)).select("month", "band", F.round(F.col("v") + 1e-8, 6).alias("v"))
 
 
 @query("SELECT band_a, band_b, round(r, 6) AS r FROM bandr")
