@@ -15,73 +15,57 @@ from pyspark.sql import functions as F
 
 from .common import or_empty, stored, table
 
-PIECE_CHARS = 1 << 20  # texts are tokenised in groups of about so many characters, so memory doesn't grow with a batch
-CACHED_WORDS = 400_000  # a task remembers the ids of so many words
+ROWS = 64  # texts that are tokenised before their tokens go on, so memory doesn't grow with a batch
 
 
-def default_tokenizer() -> str:
+def default_ranks() -> str:
+    """The vocabulary of byte_bpe_50k.json as ranks: the same ids, tokenised three times as fast."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def grouped(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about PIECE_CHARS characters each."""
-    begin, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= PIECE_CHARS:
-            yield begin, i + 1
-            begin, size = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+def encoder(ranks: str):
+    """A byte-level BPE from a file of ranks; strings of special tokens in a text are ordinary text."""
+    import base64
 
+    import public_tokenizers
+    import tiktoken
+
+    with open(ranks, "rb") as f:
+        by_bytes = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=by_bytes, special_tokens={})
 
-def token_table(docs: DataFrame, text: str, tokenizer: str, end_id: int) -> DataFrame:
+
+def token_table(docs: DataFrame, text: str, ranks: str, end_id: int) -> DataFrame:
     """doc_id, part, local_start, n, ids (little-endian uint32) per document, written to the shared folder once."""
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, part int, local_start bigint, n bigint, ids binary"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        import regex
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(tokenizer)
-        tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        # Merges never cross the words of this pattern, so a word has the same ids wherever it stands.
-        find = regex.compile(public_tokenizers.PATTERN).findall
-        part, at, known = TaskContext.get().partitionId(), 0, {}
+        enc, part, at = encoder(ranks), TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in grouped(texts):
-                split = [find(t) for t in texts[a:b]]
-                if len(known) > CACHED_WORDS:
-                    known.clear()
-                new = [w for w in set().union(*split) if w not in known]
-                for w, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False)):
-                    known[w] = np.array(e.ids, dtype="<u4").tobytes()
-                ids = [b"".join(map(known.__getitem__, ws)) + end for ws in split]
+            for begin in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(begin, ROWS)
+                ids = [enc.encode_to_numpy(t.as_py(), disallowed_special=()).astype("<u4").tobytes() + end for t in rows.column(1)]
                 n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 starts = at + np.cumsum(n) - n
                 at += int(n.sum())
-                yield pa.RecordBatch.from_arrays([doc_ids[a:b], pa.array([part] * (b - a), pa.int32()), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())], names=["doc_id", "part", "local_start", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([part] * len(n), pa.int32()), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())], names=["doc_id", "part", "local_start", "n", "ids"])
 
     return stored(docs.select("doc_id", or_empty(F.col(text)).alias("text")).mapInArrow(encode, schema), "tokens")
 
 
-def pack(docs: DataFrame, text: str = "text", *, seq_len: int = 2048, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, text: str = "text", *, seq_len: int = 2048, ranks: str | None = None, end_id: int = 1) -> DataFrame:
     """One row per piece of a document in a sequence: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
 
     ids are little-endian uint32.  Each document is its token ids and end_id; null and empty texts are end_id alone.
     Documents follow one another without gaps, in the order of the input's partitions, and every seq_len tokens are a
     sequence: only the last one can be short.  Repeated rows are packed as often as they come.  doc_id may be null.
     """
-    tokens = token_table(docs, text, tokenizer or default_tokenizer(), end_id)
+    tokens = token_table(docs, text, ranks or default_ranks(), end_id)
     totals = tokens.groupBy("part").agg(F.sum("n").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # A row per input partition: 100 TB in splits of 128 MB are 800,000 rows or 13 MB.
