@@ -44,14 +44,17 @@ def normal_words(text: Column) -> Column:
 
 
 def cut_of(rule: Rule) -> int:
-    """The hash below which lies a little more than the prefix's share of all tokens."""
-    return int(-(2**63) + min(0.95, (100 - rule.percent) / 100 + 0.02) * 2**64)
+    """The hash below which lie five thirds of the prefix's share of all tokens.
+
+    A text of which less than two fifths also occur elsewhere then has enough tokens of its own to be ruled out at once.
+    """
+    return int(-(2**63) + min(0.95, (100 - rule.percent) / 100 * 5 / 3) * 2**64)
 
 
 def signatures(rows: DataFrame, rule: Rule) -> DataFrame:
     """id, node (hash of the words in order), n (tokens), sig and low, from rows with id and _w (words).
 
-    sig holds the tokens below a cut (low of them; a little more than the prefix's share of all tokens), or the prefix
+    sig holds the tokens below a cut (low of them), or the prefix
     in order of hash where that is longer: the tokens whose frequency decides the prefix.
     """
     cut = cut_of(rule)
@@ -80,11 +83,30 @@ def shared_prefixes(sets: DataFrame, classes: DataFrame, rule: Rule) -> DataFram
     return per.select("node", "n", "first", F.posexplode_outer(chosen).alias("rank", "x")).filter("rank is not null").select("node", "n", "first", "rank", F.col("x")["tok"].alias("tok"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts link, by their whole sets."""
+SKETCH = 16  # numbers of 64 bits
+
+
+def sketches(texts: DataFrame, rule: Rule) -> DataFrame:
+    """node, n, sketch: for each of 64 SKETCH bits whether an odd number of a text's tokens fall on it.
+
+    A token that only one of two texts has changes one bit, so the bits in which their sketches differ are at most as
+    many as the tokens in which the texts do.
+    """
+    df = texts.select("node", normal_words(F.col("text")).alias("_w")).select("node", shingles(F.col("_w"), rule.k).alias("_all"))
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(t, 4), F.lit(64)).cast("int"))
+    word = lambda i: F.aggregate(F.filter("_all", lambda t: F.pmod(t, F.lit(SKETCH)) == i), F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t)))
+    return df.select("node", F.size("_all").alias("n"), F.array(*[word(i) for i in range(SKETCH)]).alias("sketch"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, marks: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts link, by their whole sets; sketches first rule out what differs too much."""
+    side = lambda x: marks.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    near = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    near = stored(near.filter(differ * (100 + rule.percent) <= (100 - rule.percent) * (F.col("na") + F.col("nb"))).select("a", "b"), "alike")
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     b = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    df = pairs.select("a", "b").join(a, "a").join(b, "b")
+    df = near.join(a, "a").join(b, "b")
     df = df.select("a", "b", normal_words(F.col("ta")).alias("wa"), normal_words(F.col("tb")).alias("wb"))
     df = df.select("a", "b", shingles(F.col("wa"), rule.k).alias("sa"), shingles(F.col("wb"), rule.k).alias("sb"))
     df = df.withColumn("i", F.size(F.array_intersect("sa", "sb")))
@@ -100,11 +122,13 @@ def links(sets: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame], Data
     led = stored(prefix.join(lead, "tok").select("node", "n", "first", "tok", "l"), "led")
     nodes = stored(led.groupBy("node", "n", "first").agg(F.min("l").alias("l")), "nodes")
     texts = stored(fetch(nodes.select("node", "first")), "texts")
+    marks = stored(sketches(texts, rule), "sketches")
     ahead = nodes.filter((F.col("node") != F.col("l.node")) & rule.fits(F.col("n"), F.col("l.n"))).select(F.col("node").alias("a"), F.col("l.node").alias("b"))
-    near = stored(verified(ahead, texts, rule), "near")
+    near = stored(verified(ahead, texts, marks, rule), "near")
     # The matrix: a row per token and group, with the least and largest text of the group that holds the token.  A text
     # with no token in a group's union, or of a size that fits none, can't reach the overlap; such groups stay closed.
     # Of the others first the two outer texts are tried, then, of those still apart, all that share the token.
+    tried = None
     for last in (False, True):
         group = stored(nodes.join(components(near), "node", "left").select("node", F.coalesce("label", "node").alias("g")), "groups")
         cells = led.select("node", "n", "tok").join(group, "node")
@@ -117,8 +141,9 @@ def links(sets: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame], Data
         else:
             open_ = reach.select("node", "n", F.explode(F.array("lo", "hi")).alias("t")).select("node", "n", F.col("t.node").alias("b"), F.col("t.n").alias("m"))
         pairs = open_.filter(rule.fits(F.col("n"), F.col("m"))).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        more = stored(verified(stored(pairs, "pairs"), texts, rule), "near")
-        near = near.union(more)
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        near = near.union(stored(verified(pairs, texts, marks, rule), "near"))
+        tried = pairs
     return components(near)
 
 
