@@ -581,7 +581,7 @@ def reg9_win1_spearman(s, d):
     return R.spearman(t_company_seasons(s, d), ["region"], "x", "y").select("region", "n", r6("rho"), r6("p"))
 
 
-@query("SELECT region, i, round(avg(exp(-pow((at - idx) / h, 2) / 2) / (h * sqrt(2 * pi()))), 6) AS density FROM (SELECT region, i, lo + (hi - lo) * i / 49 AS at, h FROM (SELECT region, min(idx) AS lo, max(idx) AS hi, stddev_samp(idx) * pow(count(idx), -0.2) AS h FROM seas GROUP BY 1), (SELECT CAST(range AS INTEGER) AS i FROM range(50))) g JOIN seas USING (region) GROUP BY 1, 2")
+@query("SELECT region, i, round(avg(exp(-pow((pt - idx) / h, 2) / 2) / (h * sqrt(2 * pi()))), 6) AS density FROM (SELECT region, i, lo + (hi - lo) * i / 49 AS pt, h FROM (SELECT region, min(idx) AS lo, max(idx) AS hi, stddev_samp(idx) * pow(count(idx), -0.2) AS h FROM seas GROUP BY 1), (SELECT CAST(range AS INTEGER) AS i FROM range(50))) g JOIN seas USING (region) GROUP BY 1, 2")
 def reg13_density_curve(s, d):
     return R.density_curve(t_seasons(s, d).select("region", "idx"), ["region"], "idx", 50).select("region", "i", r6("density"))
 
@@ -660,7 +660,7 @@ def aep1_aep4_exceedance(s, d):
 CURVE = "SELECT scenario, payout AS v, (n + 1 - rank) / (n + 1) AS ep FROM (SELECT scenario, payout, row_number() OVER (PARTITION BY scenario ORDER BY payout, sim_id) AS rank, count(*) OVER (PARTITION BY scenario) AS n FROM port)"
 
 
-@query(f"SELECT scenario, grid_id, round(CASE WHEN ep2 IS NULL THEN v ELSE v + (v2 - v) * (at - ep) / (ep2 - ep) END, 4) AS payout FROM (SELECT *, lead(ep) OVER w AS ep2, lead(v) OVER w AS v2 FROM ({CURVE}) WINDOW w AS (PARTITION BY scenario ORDER BY ep)) JOIN (SELECT range AS grid_id, 1 / 4001 + (4000 / 4001 - 1 / 4001) * range / 299 AS at FROM range(1, 299)) ON at >= ep AND (at < ep2 OR ep2 IS NULL)")
+@query(f"SELECT scenario, grid_id, round(CASE WHEN ep2 IS NULL THEN v ELSE v + (v2 - v) * (pt - ep) / (ep2 - ep) END, 4) AS payout FROM (SELECT *, lead(ep) OVER w AS ep2, lead(v) OVER w AS v2 FROM ({CURVE}) WINDOW w AS (PARTITION BY scenario ORDER BY ep)) JOIN (SELECT range AS grid_id, 1 / 4001 + (4000 / 4001 - 1 / 4001) * range / 299 AS pt FROM range(1, 299)) ON pt >= ep AND (pt < ep2 OR ep2 IS NULL)")
 def aep2_interpolation(s, d):
     p = N.portfolio(t_synthetic(s, d), ["scenario", "sim_id"], F.col("cap"))
     curve = N.exceedance(p, ["scenario"], "payout", "sim_id").select("scenario", "ep", "payout")
@@ -671,7 +671,7 @@ def aep2_interpolation(s, d):
 CHUNKED = "SELECT scenario, chunk, payout AS v, (n + 1 - rank) / (n + 1) AS ep FROM (SELECT scenario, chunk, payout, row_number() OVER (PARTITION BY scenario, chunk ORDER BY payout, sim_id) AS rank, count(*) OVER (PARTITION BY scenario, chunk) AS n FROM (SELECT *, sim_id // 200 AS chunk FROM port))"
 
 
-@query(f"SELECT scenario, grid_id, round(quantile_cont(y, 0.05), 4) AS lower, round(quantile_cont(y, 0.95), 4) AS upper FROM (SELECT scenario, chunk, grid_id, CASE WHEN ep2 IS NULL THEN v ELSE v + (v2 - v) * (c - ep) / (ep2 - ep) END AS y FROM (SELECT *, lead(ep) OVER w AS ep2, lead(v) OVER w AS v2, min(ep) OVER x AS lo, max(ep) OVER x AS hi FROM ({CHUNKED}) WINDOW w AS (PARTITION BY scenario, chunk ORDER BY ep), x AS (PARTITION BY scenario, chunk)) s JOIN (SELECT range AS grid_id, 1 / 4001 + (4000 / 4001 - 1 / 4001) * range / 299 AS at FROM range(300)) g ON true, LATERAL (SELECT least(greatest(at, lo), hi) AS c) WHERE c >= ep AND (c < ep2 OR ep2 IS NULL)) GROUP BY 1, 2")
+@query(f"SELECT scenario, grid_id, round(quantile_cont(y, 0.05), 4) AS lower, round(quantile_cont(y, 0.95), 4) AS upper FROM (SELECT scenario, chunk, grid_id, CASE WHEN ep2 IS NULL THEN v ELSE v + (v2 - v) * (c - ep) / (ep2 - ep) END AS y FROM (SELECT *, lead(ep) OVER w AS ep2, lead(v) OVER w AS v2, min(ep) OVER x AS lo, max(ep) OVER x AS hi FROM ({CHUNKED}) WINDOW w AS (PARTITION BY scenario, chunk ORDER BY ep), x AS (PARTITION BY scenario, chunk)) s JOIN (SELECT range AS grid_id, 1 / 4001 + (4000 / 4001 - 1 / 4001) * range / 299 AS pt FROM range(300)) g ON true, LATERAL (SELECT least(greatest(pt, lo), hi) AS c) WHERE c >= ep AND (c < ep2 OR ep2 IS NULL)) GROUP BY 1, 2")
 def aep3_sampling_band(s, d):
     p = N.portfolio(t_synthetic(s, d), ["scenario", "sim_id"], F.col("cap"))
     return N.sampling_band(p, ["scenario"], "payout", 4000).select("scenario", "grid_id", F.round("lower", 4).alias("lower"), F.round("upper", 4).alias("upper"))
