@@ -49,7 +49,7 @@ def mod97(m: Column) -> Column:
     bare = F.replace(m, F.lit(" "), F.lit(""))
     turned = F.concat(F.substr(bare, F.lit(5)), F.substr(bare, F.lit(1), F.lit(4)))
     step = lambda r, c: F.when(F.ascii(c) < 58, (r * 10 + F.ascii(c) - 48) % 97).otherwise((r * 100 + F.ascii(c) - 55) % 97)
-    return F.aggregate(F.split(turned, "(?!^)"), F.lit(0), step)
+    return F.aggregate(F.regexp_extract_all(turned, F.lit("."), F.lit(0)), F.lit(0), step)
 
 
 def confirmed(kind: str, m: Column) -> Column:
