@@ -23,6 +23,7 @@ class Rule:
 
     k: int = 5
     percent: int = 80
+    small: int = 256  # of texts of so many tokens at most, all tokens are counted
 
     def need(self, n: Column) -> Column:
         """The least overlap of a set of n with any set it links to."""
@@ -52,33 +53,39 @@ def cut_of(rule: Rule) -> int:
 
 
 def signatures(rows: DataFrame, rule: Rule) -> DataFrame:
-    """id, node (hash of the words in order), n (tokens), sig and low, from rows with id and _w (words).
+    """id, node (hash of the words in order), n (tokens), low, last and sig, from rows with id and _w (words).
 
-    sig holds the tokens below a cut (low of them), or the prefix
-    in order of hash where that is longer: the tokens whose frequency decides the prefix.
+    sig holds the tokens to be counted: those below a cut (low of them), or the prefix in order of hash where that is
+    longer (up to the token last), or all tokens of a text that is small or can link to a small one.
     """
     cut = cut_of(rule)
     df = rows.select("id", F.xxhash64("_w").alias("node"), shingles(F.col("_w"), rule.k).alias("_all"))
     low = F.filter("_all", lambda x: x < cut)
     df = df.select("id", "node", F.size("_all").alias("n"), "_all", low.alias("_low"))
     p = rule.prefix(F.col("n"))
-    sig = F.when(F.size("_low") < p, F.slice(F.sort_array("_all"), F.lit(1), F.greatest(p, F.lit(0)))).otherwise(F.col("_low"))
-    return df.select("id", "node", "n", F.size("_low").alias("low"), F.when(F.col("n") > 0, sig).alias("sig"))
+    first = F.when(F.size("_low") < p, F.slice(F.sort_array("_all"), F.lit(1), F.greatest(p, F.lit(0))))
+    df = df.select("id", "node", "n", F.size("_low").alias("low"), "_all", "_low", first.alias("_first"))
+    sig = F.when(rule.percent * F.col("n") <= 100 * rule.small, F.col("_all")).otherwise(F.coalesce("_first", "_low"))
+    return df.select("id", "node", "n", "low", F.array_max("_first").alias("last"), F.when(F.col("n") > 0, sig).alias("sig"))
 
 
 def shared_prefixes(sets: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    """node, n, first, rank, tok: of each text's prefix, rarest first, the tokens that occur in other rows too."""
+    """node, n, first, rank, tok: of each text's prefix, rarest first, the tokens that occur in other rows too.
+
+    A text that has too many tokens to itself can't reach the overlap with any other and is left out.
+    """
     # Two numbers a posting: sizes and ids are looked up for the few nodes that are left.
     postings = sets.select("node", F.explode_outer("sig").alias("tok")).filter("tok is not null")
     common = stored(postings.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "common")
     left = postings.join(common, "tok")
     high = F.col("tok") >= F.lit(cut_of(rule))
     per = left.groupBy("node").agg(F.sort_array(F.collect_set(F.struct(high.alias("high"), F.col("df"), F.col("tok")))).alias("toks")).join(classes, "node")
+    per = filter_once(per, (F.col("n") > rule.small) | (F.size("toks") >= rule.need(F.col("n"))))
     # Tokens of one row alone come first and can't be shared; what is left of the prefix goes to the rarest of the others.
     per = per.withColumn("n_low", F.size(F.filter("toks", lambda x: ~x["high"])))
     p = rule.prefix(F.col("n"))
     take = F.greatest(F.least(p, F.col("low")) - (F.col("low") - F.col("n_low")), F.lit(0))
-    rest = F.filter("toks", lambda x: x["high"])
+    rest = F.filter("toks", lambda x: x["high"] & (x["tok"] <= F.col("last")))
     chosen = F.concat(F.slice("toks", F.lit(1), F.least(take, F.col("n_low"))), F.when(F.col("low") < p, rest).otherwise(F.slice("toks", 1, 0)))
     return per.select("node", "n", "first", F.posexplode_outer(chosen).alias("rank", "x")).filter("rank is not null").select("node", "n", "first", "rank", F.col("x")["tok"].alias("tok"))
 
@@ -150,7 +157,7 @@ def links(sets: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame], Data
 def classified(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], rule: Rule) -> DataFrame:
     """id, node, n, least (the smallest id that links reach; null without tokens) of rows with id and _w (words)."""
     sets = stored(signatures(rows, rule), "sets")
-    classes = stored(sets.filter("n > 0").groupBy("node").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.max("low").alias("low")), "classes")
+    classes = stored(sets.filter("n > 0").groupBy("node").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.max("low").alias("low"), F.max("last").alias("last")), "classes")
     label = links(sets, classes, fetch, rule)
     named = stored(classes.select("node", "first").join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "first"), "named")
     least = stored(named.groupBy("label").agg(F.min("first").alias("least")), "least")
