@@ -24,6 +24,7 @@ class Rule:
     k: int = 5
     percent: int = 80
     small: int = 256  # of texts of so many tokens at most, all tokens are counted
+    wide: float = 5 / 3  # of others the prefix's share of all tokens so many times
 
     def need(self, n: Column) -> Column:
         """The least overlap of a set of n with any set it links to."""
@@ -45,11 +46,8 @@ def normal_words(text: Column) -> Column:
 
 
 def cut_of(rule: Rule) -> int:
-    """The hash below which lie five thirds of the prefix's share of all tokens.
-
-    A text of which less than two fifths also occur elsewhere then has enough tokens of its own to be ruled out at once.
-    """
-    return int(-(2**63) + min(0.95, (100 - rule.percent) / 100 * 5 / 3) * 2**64)
+    """The hash below which tokens are counted; the more of them, the more texts have enough of their own to be ruled out."""
+    return int(-(2**63) + min(0.95, (100 - rule.percent) / 100 * rule.wide) * 2**64)
 
 
 def signatures(rows: DataFrame, rule: Rule) -> DataFrame:

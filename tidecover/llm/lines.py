@@ -13,7 +13,7 @@ from .common import filter_once, or_empty, row_keys, runtime_filters, stored, ta
 from .jaccard import Rule, classified, normal_words
 
 
-def repeated_lines(docs: DataFrame, text: str = "text", rule: Rule = Rule(small=0)) -> DataFrame:  # noqa: B008
+def repeated_lines(docs: DataFrame, text: str = "text", rule: Rule = Rule(small=0, wide=1.15)) -> DataFrame:  # noqa: B008
     """Adds n_lines, removed (sorted numbers, from 0, of the lines that repeat an earlier one) to docs.
 
     Lines are parts between newlines; those with fewer than rule.k words are left alone.  Lines that are alike (Jaccard
