@@ -22,8 +22,9 @@ def packed_reads(spark: SparkSession, target: int):
 class Store:
     """A folder of runs (folders of Parquet shards, never changed once written) and versions of a manifest.
 
-    A version is a folder of Parquet with a row per live shard.  It is written aside and renamed into place, which is
-    atomic and fails where that version exists, so readers see whole versions only and of two writers one wins.
+    A version is a folder of Parquet with a row per live shard.  It is written aside; of two writers who both follow the
+    same version, one can create the next one's claim file, and that one renames its folder into place, which is atomic.
+    So readers see whole versions only.  A writer lost between claim and rename leaves a claim file to be removed by hand.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -62,12 +63,15 @@ class Store:
         per = rows.groupBy("run", "shard", "n_bytes").agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor("h").alias("digest"))
         return per.select("run", F.element_at(tier, F.col("run")).alias("tier"), "shard", "n_bytes", "n_rows", "digest")
 
-    def commit(self, shards: DataFrame) -> int:
-        v = self.version() + 1
+    def commit(self, shards: DataFrame, base: int) -> int:
+        """Publishes shards as the version after base, the one that they were made from; fails where that is taken."""
+        v = base + 1
         aside = f"_{uuid.uuid4().hex}"
         shards.coalesce(1).write.parquet(f"{self.root}/manifest/{aside}")
-        if not self.fs.rename(self.path("manifest", aside), self.path("manifest", f"v{v:08d}")):
+        if not self.fs.createNewFile(self.path("manifest", f"_claim{v:08d}")):
             raise RuntimeError(f"version {v} was committed by another writer")
+        if not self.fs.rename(self.path("manifest", aside), self.path("manifest", f"v{v:08d}")):
+            raise RuntimeError(f"version {v} can't be published")
         return v
 
     def tier_of(self, run: str, unit: int) -> int:
@@ -88,7 +92,8 @@ class Store:
         if not new:  # an empty table
             return self.version()
         fresh = self.describe(new, dict.fromkeys(new, 0))
-        return self.commit(self.manifest().unionByName(fresh) if self.version() else fresh)
+        base = self.version()
+        return self.commit(self.manifest().unionByName(fresh) if base else fresh, base)
 
     def compact(self, target: int = TARGET_BYTES) -> int:
         """Merges FAN_IN or more runs of one tier into one run of shards of about target bytes, until no tier has as many.
@@ -97,6 +102,7 @@ class Store:
         digest) before its version is committed; only then the merged runs go.
         """
         while True:
+            base = self.version()
             live = self.runs()
             unit = max(1, min([self.size(r) for r in live], default=1))
             tiers: dict[int, list[str]] = {}
@@ -115,7 +121,7 @@ class Store:
             total = lambda df: df.agg(F.sum("n_rows"), F.bit_xor("digest")).first()
             if tuple(total(made)) != tuple(total(manifest.filter(gone))):
                 raise RuntimeError("a merge lost or changed rows")
-            self.commit(manifest.filter(~gone).unionByName(made))
+            self.commit(manifest.filter(~gone).unionByName(made), base)
             for r in old:
                 self.fs.delete(self.path("runs", r), True)
 
