@@ -20,6 +20,7 @@ STEMS = (4, 5, 6, 7)  # lengths of word starts that may become terms, besides wh
 MIN_DOCS, MIN_SHARE, MIN_PRECISION = 3, 0.01, 0.8
 FUZZY_FROM = 6  # terms of so many letters also match with one edit
 MAX_TERMS, MAX_TRAIN = 5_000, 200_000
+BROADCAST_LABELS = 1_000_000  # 16 MB
 FEATURES = ("plain", "quoted", "fuzzy", "fuzzy_quoted", "address", "rate")
 
 
@@ -197,7 +198,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", *, from_sco
     """
     known = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     train = known.filter(~held_out(F.col("doc_id")))
-    lexicon = learn_lexicon(docs.select("doc_id", text).join(train, "doc_id"), text)
+    # Counted first: labels of up to BROADCAST_LABELS rows go to the texts, more of them meet the texts by a shuffle.
+    near = F.broadcast(train) if train.count() <= BROADCAST_LABELS else train
+    lexicon = learn_lexicon(docs.select("doc_id", text).join(near, "doc_id"), text)
     scored = stored(features(docs, lexicon, text), "features")
     rows = scored.join(train, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).select(*FEATURES, "toxic").toPandas()
     if rows["toxic"].nunique() < 2:
