@@ -216,7 +216,10 @@ def repeated_bytes(docs: DataFrame, text: str = "text", *, length: int = 400) ->
     starts = F.sequence(F.col("lo"), F.col("hi") - length)
     huge = segs.filter(F.col("bytes") > GROUP_BYTES).select("h", "k1", "k2", "n", "seg", "lo", F.explode_outer(starts).alias("start"))
     huge = stored(huge.select("k1", "k2", "n", "start", F.xxhash64(F.substring("seg", F.col("start") - F.col("lo") + 1, F.lit(length)), F.col("h")).alias("w")), "windows")
-    often = stored(huge.groupBy("w").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("w"), "often")
+    # Surroundings that overlap in one text hold the same starts, so a window is a repeat only where its places differ.
+    place = ("k1", "k2", "start")
+    apart = " or ".join(f"{x}_lo <> {x}_hi" for x in place)
+    often = stored(huge.groupBy("w").agg(*[f(x).alias(f"{x}_{end}") for x in place for f, end in ((F.min, "lo"), (F.max, "hi"))]).filter(apart).select("w"), "often")
     far = huge.join(often, "w").filter("n = 1").select("k1", "k2", F.col("start").cast("long"), (F.col("start") + length).cast("long").alias("end"))
     return copies.unionByName(near).unionByName(far).groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
