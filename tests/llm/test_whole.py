@@ -3,10 +3,11 @@
 import random
 from hashlib import sha256
 
+import numpy as np
 import pytest
 
 from tests.llm.test_llm import plain_repeats, prose
-from tidecover.llm import repeats
+from tidecover.llm import packing, repeats
 
 
 @pytest.mark.parametrize("huge", [False, True])
@@ -21,3 +22,15 @@ def test_repeats_whose_surroundings_overlap(spark, huge, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = sorted((r.n_bytes, r.n_removed, r.n_spans, sha256(r.kept).hexdigest()) for r in repeats.without_repeats(df).collect())
     assert got == sorted(plain_repeats(texts, 400))
+
+
+def test_packing_of_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end} \n {end}", f"x  \n{end}\t y", "<|endoftext", f"<|{end}|>", f"é{end}é", end.upper()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in packing.pack(df, seq_len=10_000).collect()}
+    assert got == {i: [*tok.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}

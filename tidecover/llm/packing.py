@@ -25,8 +25,18 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def encoder(ranks: str):
-    """A byte-level BPE from a file of ranks; strings of special tokens in a text are ordinary text."""
+def default_added() -> dict[str, int]:
+    """The added tokens of byte_bpe_50k.json with their ids; ranks don't hold them, and tokenizers finds them in any text."""
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
+def encoder(ranks: str, added: dict[str, int]):
+    """A byte-level BPE from a file of ranks; texts are split at the added tokens first."""
     import base64
 
     import public_tokenizers
@@ -34,22 +44,22 @@ def encoder(ranks: str):
 
     with open(ranks, "rb") as f:
         by_bytes = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=by_bytes, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=by_bytes, special_tokens=added)
 
 
-def token_table(docs: DataFrame, text: str, ranks: str, end_id: int) -> DataFrame:
+def token_table(docs: DataFrame, text: str, ranks: str, added: dict[str, int], end_id: int) -> DataFrame:
     """doc_id, part, local_start, n, ids (little-endian uint32) per document, written to the shared folder once."""
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, part int, local_start bigint, n bigint, ids binary"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, part, at = encoder(ranks), TaskContext.get().partitionId(), 0
+        enc, part, at = encoder(ranks, added), TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for begin in range(0, batch.num_rows, ROWS):
                 rows = batch.slice(begin, ROWS)
-                ids = [enc.encode_to_numpy(t.as_py(), disallowed_special=()).astype("<u4").tobytes() + end for t in rows.column(1)]
+                ids = [enc.encode_to_numpy(t.as_py(), allowed_special="all").astype("<u4").tobytes() + end for t in rows.column(1)]
                 n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 starts = at + np.cumsum(n) - n
                 at += int(n.sum())
@@ -58,14 +68,17 @@ def token_table(docs: DataFrame, text: str, ranks: str, end_id: int) -> DataFram
     return stored(docs.select("doc_id", or_empty(F.col(text)).alias("text")).mapInArrow(encode, schema), "tokens")
 
 
-def pack(docs: DataFrame, text: str = "text", *, seq_len: int = 2048, ranks: str | None = None, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, text: str = "text", *, seq_len: int = 2048, ranks: str | None = None, added: dict[str, int] | None = None, end_id: int = 1) -> DataFrame:
     """One row per piece of a document in a sequence: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
 
     ids are little-endian uint32.  Each document is its token ids and end_id; null and empty texts are end_id alone.
+    added are tokens besides the ranks, found in any text; without own ranks those of byte_bpe_50k.json.
     Documents follow one another without gaps, in the order of the input's partitions, and every seq_len tokens are a
     sequence: only the last one can be short.  Repeated rows are packed as often as they come.  doc_id may be null.
     """
-    tokens = token_table(docs, text, ranks or default_ranks(), end_id)
+    if added is None:
+        added = {} if ranks else default_added()
+    tokens = token_table(docs, text, ranks or default_ranks(), added, end_id)
     totals = tokens.groupBy("part").agg(F.sum("n").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # A row per input partition: 100 TB in splits of 128 MB are 800,000 rows or 13 MB.
