@@ -6,9 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecover.llm.common import filter_once, or_empty, stored, table
+from tidecover.llm.common import filter_once, or_empty, row_keys, stored, table
 from tidecover.llm.decontam import contamination
-from tidecover.llm.jaccard import near_duplicates
+from tidecover.llm.jaccard import near_rows
 from tidecover.llm.lines import repeated_lines, without_lines
 from tidecover.llm.packing import pack
 from tidecover.llm.quality import quality_verdict
@@ -30,9 +30,19 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, 0.8) the document with the smallest doc_id stays."""
-    later = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(stored(later, "later"), "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near copies (five-word shingles, 0.8) the row with the smallest doc_id stays, ties by content.
+
+    Null doc_ids come last; of rows repeated with their doc_id one stays.  Texts without words are no copies.
+    """
+    rows = near_rows(docs).filter("n > 0").select("id.k1", "id.k2", (F.col("id") != F.col("least")).alias("later"))
+    per = rows.groupBy("k1", "k2").agg(F.max("later").alias("later"), F.count(F.lit(1)).alias("c"))
+    marked = stored(per.filter("later or c > 1").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "later"), "marked")
+    again = stored(marked.filter("not later").select("_k1", "_k2"), "again")
+    k1, k2 = row_keys(F.col("doc_id"), F.col("text"))
+    keyed = docs.withColumns({"_k1": k1, "_k2": k2})
+    keys = ["_k1", "_k2"]
+    one = keyed.join(again, keys).dropDuplicates(keys)
+    return keyed.join(marked.select(keys), keys, "left_anti").select(docs.columns).unionByName(one.select(docs.columns))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

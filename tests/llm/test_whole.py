@@ -6,8 +6,9 @@ from hashlib import sha256
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tests.llm.test_llm import plain_repeats, prose
-from tidecover.llm import packing, repeats
+from tidecover.llm import jaccard, packing, repeats
 
 
 @pytest.mark.parametrize("huge", [False, True])
@@ -34,3 +35,29 @@ def test_packing_of_added_tokens(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in packing.pack(df, seq_len=10_000).collect()}
     assert got == {i: [*tok.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+
+
+def test_near_copies_of_rows_without_own_ids(spark):
+    rng = random.Random(12)
+    a, b, c, d, e = (prose(rng, 60) for _ in range(5))
+    near = lambda t: t + " end"
+    rows = [
+        (1, a), (5, near(a)), (5, b),  # b is clean, though its doc_id also names a later copy
+        (7, c), (7, c), (7, near(c)),  # a repeated row, and a near copy under the same doc_id
+        (None, d), (None, d), (None, near(d)), (None, near(b)),
+        (8, e), (9, near(e)), (10, ""), (11, None),
+    ]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_copy_stage(spark, df, "").collect()), key=str)
+    groups = [{(1, a)}, {(5, b)}, {(7, c), (7, near(c))}, {(None, d), (None, near(d))}, {(8, e)}, {(10, "")}, {(11, None)}]
+    assert len(kept) == len(groups) and all(len(g & set(kept)) == 1 for g in groups)
+
+
+def test_links_through_a_row_without_id(spark):
+    """Two texts with ids that differ by more than the rule allows hang together by one that only a null-id row holds."""
+    rng = random.Random(13)
+    w = prose(rng, 100).split()
+    texts = [(4, " ".join(["x1", "x2", "x3", *w])), (None, " ".join(w)), (6, " ".join([*w, "y1", "y2", "y3", "y4"]))]
+    rule = jaccard.Rule(4, 95)
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(df, rule=rule).collect()} == {4: 4, None: 4, 6: 4}

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filter_once, folded, or_empty, runtime_filters, shingles, stored, table, words
+from .common import filter_once, folded, or_empty, row_keys, runtime_filters, shingles, stored, table, words
 from .components import components
 
 
@@ -120,13 +120,14 @@ def verified(pairs: DataFrame, texts: DataFrame, marks: DataFrame, rule: Rule) -
 
 def links(sets: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], rule: Rule) -> DataFrame:
     """(node, label): the components of all links between different texts.  fetch: (node, text) of rows (node, first)."""
-    prefix = stored(shared_prefixes(sets, classes, rule), "prefixes")
-    # A token's leader is the text with the smallest id.  Held against the first of its tokens' leaders, most copies of a
+    # Postings carry the doc_id alone; whole ids are looked up for the texts to be fetched.
+    prefix = stored(shared_prefixes(sets, classes.withColumn("first", F.col("first")["doc_id"]), rule), "prefixes")
+    # A token's leader is the text with the smallest doc_id.  Held against the first of its tokens' leaders, most copies of a
     # text come together; what then hangs together is a group.
     lead = prefix.groupBy("tok").agg(F.min(F.struct("first", "node", "n")).alias("l"), F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("tok", "l")
     led = stored(prefix.join(lead, "tok").select("node", "n", "first", "tok", "l"), "led")
     nodes = stored(led.groupBy("node", "n", "first").agg(F.min("l").alias("l")), "nodes")
-    texts = stored(fetch(nodes.select("node", "first")), "texts")
+    texts = stored(fetch(nodes.select("node").join(classes.select("node", "first"), "node")), "texts")
     marks = stored(sketches(texts, rule), "sketches")
     ahead = nodes.filter((F.col("node") != F.col("l.node")) & rule.fits(F.col("n"), F.col("l.n"))).select(F.col("node").alias("a"), F.col("l.node").alias("b"))
     near = stored(verified(ahead, texts, marks, rule), "near")
@@ -153,7 +154,10 @@ def links(sets: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame], Data
 
 
 def classified(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], rule: Rule) -> DataFrame:
-    """id, node, n, least (the smallest id that links reach; null without tokens) of rows with id and _w (words)."""
+    """id, node, n, least (the smallest id that links reach; null without tokens) of rows with id and _w (words).
+
+    id is a struct with doc_id; it must name a row for fetch.
+    """
     sets = stored(signatures(rows, rule), "sets")
     classes = stored(sets.filter("n > 0").groupBy("node").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.max("low").alias("low"), F.max("last").alias("last")), "classes")
     label = links(sets, classes, fetch, rule)
@@ -163,23 +167,35 @@ def classified(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], rule: R
     return sets.select("id", "node", "n").join(by_node, "node", "left")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", rule: Rule = Rule()) -> DataFrame:  # noqa: B008
-    """doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included), one row per row of docs.
+def near_rows(docs: DataFrame, text: str = "text", rule: Rule = Rule()) -> DataFrame:  # noqa: B008
+    """id, n (shingles), least (the smallest id that links reach; null without shingles), one row per row of docs.
 
-    Texts with the same words in the same order are one node.  Null and empty texts have no shingles and link with
-    nothing: their component is their own doc_id.  Fewer than k words: the whole sequence is the one shingle.  A row
-    without a doc_id gets the smallest one of its component, null if there is none.  An empty table gives an empty one.
+    An id is struct<none, doc_id, k1, k2>: null doc_ids come last, rows with the same doc_id are told apart by content.
+    Texts with the same words in the same order are one node.  An empty table gives an empty one.
     """
+    k1, k2 = row_keys(F.col("doc_id"), F.col(text))
 
     def fetch(wanted: DataFrame) -> DataFrame:
-        # Texts are told from others of the same id by their hash.
-        plain = docs.select("doc_id", or_empty(F.col(text)).alias("text"))
+        wanted = wanted.filter("node <> 0").select("node", *[F.col("first")[x].alias(y) for x, y in (("doc_id", "d"), ("k1", "_k1"), ("k2", "_k2"))])
+        plain = docs.select("doc_id", k1, k2, or_empty(F.col(text)).alias("text"))
+        same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))
         with runtime_filters(docs.sparkSession):
-            found = stored(plain.join(wanted.filter("node <> 0"), F.col("doc_id") == F.col("first")).select("node", "text"), "found")
-        return filter_once(found, F.xxhash64(normal_words(F.col("text"))) == F.col("node")).dropDuplicates(["node"])
+            found = stored(plain.join(wanted, same).select("node", "text"), "found")
+        return found.dropDuplicates(["node"])
+
+    id_ = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), k1, k2)
+    return classified(docs.select(id_.alias("id"), normal_words(F.col(text)).alias("_w")), fetch, rule).select("id", "n", "least")
 
-    out = classified(docs.select(F.col("doc_id").alias("id"), normal_words(F.col(text)).alias("_w")), fetch, rule)
-    return out.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+
+def near_duplicates(docs: DataFrame, text: str = "text", rule: Rule = Rule()) -> DataFrame:  # noqa: B008
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included), one row per row of docs.
+
+    Null and empty texts have no shingles and link with nothing: their component is their own doc_id.  Fewer than k
+    words: the whole sequence is the one shingle.  A row without a doc_id gets the smallest one of its component, null
+    if there is none.
+    """
+    out = near_rows(docs, text, rule)
+    return out.select(F.col("id")["doc_id"].alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")["doc_id"]).otherwise(F.col("id")["doc_id"]).alias("component_id"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
