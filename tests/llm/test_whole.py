@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.test_llm import plain_repeats, prose
-from tidecover.llm import jaccard, packing, repeats
+from tidecover.llm import jaccard, lines, packing, repeats
 
 
 @pytest.mark.parametrize("huge", [False, True])
@@ -61,3 +61,12 @@ def test_links_through_a_row_without_id(spark):
     rule = jaccard.Rule(4, 95)
     df = spark.createDataFrame(texts, "doc_id bigint, text string")
     assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(df, rule=rule).collect()} == {4: 4, None: 4, 6: 4}
+
+
+def test_repeats_of_short_lines(spark):
+    rng = random.Random(14)
+    a, b = prose(rng, 30), prose(rng, 30)
+    texts = [f"Home\n{a}\nBy A. Writer\n\nhome page", f"home\n\n{b}\n by  a.  WRITER ", "one two three four\none two three four five\none two three five", "one two three\nHOME\n \none two three four"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.removed for r in lines.repeated_lines(df).collect()}
+    assert got == {0: [], 1: [0, 3], 2: [], 3: [1, 3]}

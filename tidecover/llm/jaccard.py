@@ -54,17 +54,18 @@ def signatures(rows: DataFrame, rule: Rule) -> DataFrame:
     """id, node (hash of the words in order), n (tokens), low, last and sig, from rows with id and _w (words).
 
     sig holds the tokens to be counted: those below a cut (low of them), or the prefix in order of hash where that is
-    longer (up to the token last), or all tokens of a text that is small or can link to a small one.
+    longer (up to the token last), or all tokens of a text that is small or can link to a small one.  A text of fewer
+    than k words has one token, which only its own node holds, so it is found by node and has no sig.
     """
     cut = cut_of(rule)
-    df = rows.select("id", F.xxhash64("_w").alias("node"), shingles(F.col("_w"), rule.k).alias("_all"))
+    df = rows.select("id", F.xxhash64("_w").alias("node"), (F.size("_w") >= rule.k).alias("_many"), shingles(F.col("_w"), rule.k).alias("_all"))
     low = F.filter("_all", lambda x: x < cut)
-    df = df.select("id", "node", F.size("_all").alias("n"), "_all", low.alias("_low"))
+    df = df.select("id", "node", "_many", F.size("_all").alias("n"), "_all", low.alias("_low"))
     p = rule.prefix(F.col("n"))
     first = F.when(F.size("_low") < p, F.slice(F.sort_array("_all"), F.lit(1), F.greatest(p, F.lit(0))))
-    df = df.select("id", "node", "n", F.size("_low").alias("low"), "_all", "_low", first.alias("_first"))
+    df = df.select("id", "node", "_many", "n", F.size("_low").alias("low"), "_all", "_low", first.alias("_first"))
     sig = F.when(rule.percent * F.col("n") <= 100 * rule.small, F.col("_all")).otherwise(F.coalesce("_first", "_low"))
-    return df.select("id", "node", "n", "low", F.array_max("_first").alias("last"), F.when(F.col("n") > 0, sig).alias("sig"))
+    return df.select("id", "node", "n", "low", F.array_max("_first").alias("last"), F.when(F.col("_many"), sig).alias("sig"))
 
 
 def shared_prefixes(sets: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:

@@ -16,7 +16,8 @@ from .jaccard import Rule, classified, normal_words
 def repeated_lines(docs: DataFrame, text: str = "text", rule: Rule = Rule(small=0, wide=1.15)) -> DataFrame:  # noqa: B008
     """Adds n_lines, removed (sorted numbers, from 0, of the lines that repeat an earlier one) to docs.
 
-    Lines are parts between newlines; those with fewer than rule.k words are left alone.  Lines that are alike (Jaccard
+    Lines are parts between newlines; those without words are left alone, those with fewer than rule.k words are alike
+    only where all words are the same.  Lines that are alike (Jaccard
     of their shingles, directly or through others) form a class; the first by (doc_id, line) stays, the later ones are
     removed.  Null and empty texts have one empty line; a null doc_id comes first; rows with the same doc_id and text
     count as one document.  An empty table gives an empty one.  Other columns stay as they are.
@@ -25,7 +26,7 @@ def repeated_lines(docs: DataFrame, text: str = "text", rule: Rule = Rule(small=
     k1, k2 = row_keys(F.col("doc_id"), F.col(text))
     each = docs.select("doc_id", k1, k2, F.posexplode_outer(F.split(t, "\n", -1)).alias("line", "s"))
     rows = each.select(F.struct("doc_id", "line", "k1", "k2").alias("id"), normal_words(F.col("s")).alias("_w"))
-    long = filter_once(rows, F.size("_w") >= rule.k)
+    some = filter_once(rows, F.size("_w") > 0)
 
     def fetch(wanted: DataFrame) -> DataFrame:
         # A document comes once with the numbers of all its wanted lines: its own lines at most.
@@ -37,7 +38,7 @@ def repeated_lines(docs: DataFrame, text: str = "text", rule: Rule = Rule(small=
         one = found.withColumn("_s", F.split("t", "\n", -1)).select("_s", F.explode_outer("lines").alias("l"))
         return one.select(F.col("l")["node"].alias("node"), F.get("_s", F.col("l")["line"]).alias("text")).dropDuplicates(["node"])
 
-    out = classified(long, fetch, rule).filter(F.col("id") != F.col("least"))
+    out = classified(some, fetch, rule).filter(F.col("id") != F.col("least"))
     per = out.groupBy(F.col("id")["k1"].alias("_k1"), F.col("id")["k2"].alias("_k2")).agg(F.sort_array(F.collect_set(F.col("id")["line"])).alias("removed"))
     k1, k2 = row_keys(F.col("doc_id"), F.col(text))
     n_lines = F.size(F.split(t, "\n", -1)).cast("long")
