@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.test_llm import plain_repeats, prose
-from tidecover.llm import jaccard, lines, packing, repeats
+from tidecover.llm import jaccard, lines, packing, repeats, toxicity
 
 
 @pytest.mark.parametrize("huge", [False, True])
@@ -70,3 +70,14 @@ def test_repeats_of_short_lines(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.doc_id: r.removed for r in lines.repeated_lines(df).collect()}
     assert got == {0: [], 1: [0, 3], 2: [], 3: [1, 3]}
+
+
+def test_terms_next_to_typographic_marks(spark):
+    plain = ["\u00bfstupid\u2026", "no\u2014stupid\u2014no", "a\u00a0stupid\u00a0b", "don\u2019t be stupid, isn\u2019t it", "the dogs\u2019 stupid bowl"]
+    quoted = ["\u201cstupid\u201d x", "\u00abstupid\u00bb", "\u201estupid\u201c", "\u2018so stupid, don\u2019t\u2019 x", "\u201astupid\u2018 x"]
+    fuzzy = ["d\u00e9bilx\u00e9s", "d\u00e9b\u00fcl\u00e9s", "d\u00e9bil\u00e9\u00e9s"]
+    texts = plain + quoted + fuzzy
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in toxicity.features(df, [("stupid ", 1.0), ("d\u00e9bil\u00e9s ", 1.0)]).collect()}
+    kinds = [next(k for k in ("plain", "quoted", "fuzzy", "fuzzy_quoted", "none") if k == "none" or got[i][k] > 0) for i in range(len(texts))]
+    assert kinds == ["plain"] * 5 + ["quoted"] * 5 + ["fuzzy"] * 3

@@ -58,17 +58,17 @@ def learn_lexicon(train: DataFrame, text: str = "text") -> list[tuple[str, float
 
 
 class Automaton:
-    """Terms within one edit, as a table of states by byte: the trie of the terms walked with one edit to spare.
+    """Terms within one edit, as a table of states by letter: the trie of the terms walked with one edit to spare.
 
     A state holds the trie nodes reachable for what was read, each with the edits used.  Whole words end in a space,
-    which is read after a word's last byte; starts of words match at once.  kind: 0 none, 1 one edit, 2 exact.
+    which is read after a word's last letter; starts of words match at once.  kind: 0 none, 1 one edit, 2 exact.
     """
 
     def __init__(self, terms: list[str]):
         nodes, ends, fuzzy = [{}], {}, set()
         for t in terms:
             at, path = 0, [0]
-            for b in t.encode():
+            for b in map(ord, t):
                 at = nodes[at].setdefault(b, len(nodes))
                 if at == len(nodes):
                     nodes.append({})
@@ -76,7 +76,7 @@ class Automaton:
             ends[at] = True
             if len(t.strip()) >= FUZZY_FROM:
                 fuzzy.update(path)
-        letters = sorted({b for n in nodes for b in n})
+        letters = sorted({b for n in nodes for b in n} | {32})
 
         def close(pairs: dict[int, int]) -> frozenset:
             for n, e in list(pairs.items()):  # a letter left out
@@ -103,37 +103,49 @@ class Automaton:
 
         start = close({0: 0})
         start = frozenset((n, e) for n, e in start if n == 0)
-        index, todo, rows, kinds = {frozenset(): 0, start: 1}, [start], [[0] * 256, None], [0, 0]
+        index, todo, rows, kinds = {frozenset(): 0, start: 1}, [start], [[0] * (len(letters) + 1), None], [0, 0]
         while todo:
             s = todo.pop()
-            row = [0] * 256
-            other = move(s, 256)
-            for b in range(256):
-                t = move(s, b) if b in letters or b == 32 else other
+            row = []
+            for b in (-1, *letters):  # -1: any letter that no term has
+                t = move(s, b)
                 if t not in index:
                     index[t] = len(index)
                     rows.append(None)
                     kinds.append(2 if any(n in ends and e == 0 for n, e in t) else 1 if any(n in ends for n, e in t) else 0)
                     todo.append(t)
-                row[b] = index[t]
+                row.append(index[t])
             rows[index[s]] = row
+        self.code = np.zeros(0x110000, dtype=np.int32)  # a letter's column
+        self.code[letters] = np.arange(1, len(letters) + 1)
         self.table, self.kind = np.array(rows, dtype=np.int32), np.array(kinds, dtype=np.int8)
 
     def run(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """The best kind of match of each word of data: all words take a step at once, and most have ended after three."""
+        """The best kind of match of each word of data (code points): all words take a step at once, and most have ended after three."""
         best = np.zeros(len(start), np.int8)
         live, state, i = np.arange(len(start)), np.ones(len(start), np.int32), 0
         while len(live):
             at = start[live] + i
-            byte = np.where(i < size[live], data[np.minimum(at, len(data) - 1)], 32)
-            state = self.table[state, byte]
+            letter = np.where(i < size[live], data[np.minimum(at, len(data) - 1)], 32)
+            state = self.table[state, self.code[letter]]
             best[live] = np.maximum(best[live], self.kind[state])
             on = (state > 0) & (i < size[live]) & (best[live] < 2)
             live, state, i = live[on], state[on], i + 1
         return best
 
 
-WORD = np.array([c >= 128 or chr(c).isalnum() or chr(c) in "@$*" for c in range(256)])
+def scanned(text: Column) -> Column:
+    """text in lower case with a space for what isn't a letter, digit, @, $ or * and with " for every quotation mark.
+
+    Single marks count in pairs only, and not between letters, where they are apostrophes.
+    """
+    low = F.lower(or_empty(text))
+    own = F.regexp_replace(low, r"(?<=\p{L})\u2019(?=\p{L})", " ")
+    for pair in (r"\u201A([^\u201A\u2018\u2019]*+)[\u2018\u2019]", r"[\u2018\u201B]([^\u2018\u2019\u201B]*+)\u2019"):
+        own = F.regexp_replace(own, pair, '"$1"')
+    own = F.regexp_replace(own, r"[\u201C-\u201F\u00AB\u00BB\u2039\u203A\u300C-\u300F\u301D-\u301F\uFF02]", '"')
+    plain = F.octet_length(low) == F.length(low)
+    return F.regexp_replace(F.when(plain, low).otherwise(own), r"[^\p{L}\p{N}@$*\"]", " ")
 
 
 def features(docs: DataFrame, lexicon: list[tuple[str, float]], text: str = "text") -> DataFrame:
@@ -145,9 +157,9 @@ def features(docs: DataFrame, lexicon: list[tuple[str, float]], text: str = "tex
         for batch in batches:
             for begin in range(0, batch.num_rows, 128):
                 part = batch.slice(begin, 128)
-                raws = [t.as_py().encode() for t in part.column(1)]
-                data = np.frombuffer(b"\n".join(raws) + b"\n", dtype=np.uint8)
-                is_word = WORD[data]
+                raws = [t.as_py() for t in part.column(1)]
+                data = np.frombuffer((" ".join(raws) + " ").encode("utf-32-le"), dtype="<u4")
+                is_word = (data != 32) & (data != 34)
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], is_word, [False]]).astype(np.int8)))
                 start, size = edge[::2], edge[1::2] - edge[::2]
                 best = auto.run(data, start, size)
@@ -158,7 +170,7 @@ def features(docs: DataFrame, lexicon: list[tuple[str, float]], text: str = "tex
                 of = np.searchsorted(first, start[np.flatnonzero(best)], side="right") - 1
                 for w, d in zip(np.flatnonzero(best), of):
                     a, b = max(words[d], w - CONTEXT), min(words[d + 1], w + CONTEXT + 1)
-                    around = {bytes(data[start[j] : start[j] + size[j]]).decode(errors="replace") for j in range(a, b) if j != w}
+                    around = {raws[d][start[j] - first[d] : start[j] - first[d] + size[j]] for j in range(a, b) if j != w}
                     open_marks = np.searchsorted(marks, start[w]) - np.searchsorted(marks, first[d])
                     shut = np.searchsorted(marks, first[d + 1]) > np.searchsorted(marks, start[w])
                     quoted = bool(around & REPORTING) or (open_marks % 2 == 1 and shut)
@@ -168,7 +180,7 @@ def features(docs: DataFrame, lexicon: list[tuple[str, float]], text: str = "tex
                 x[:, :5] = np.log1p(x[:, :5])
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x[:, j].copy()) for j in range(len(FEATURES)))], names=["doc_id", *FEATURES])
 
-    return docs.select("doc_id", F.lower(or_empty(F.col(text))).alias("t")).mapInArrow(scan, f"doc_id {kind}, " + ", ".join(f"{f} double" for f in FEATURES))
+    return docs.select("doc_id", scanned(F.col(text)).alias("t")).mapInArrow(scan, f"doc_id {kind}, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
 def fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.5) -> np.ndarray:
