@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (local runs)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _own_dirs:
             _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="tidecover-")
@@ -35,10 +37,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: cuts lineage and survives the loss of any executor."""
+    """df written to the shared folder and read back: cuts lineage and survives the loss of any executor.
+
+    Once written, nothing needs the shuffle files any more, so Spark removes them at the end of the write.
+    """
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with set_conf(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes the files of stored tables that nothing reads any more; others are left alone."""
+    for df in frames:
+        if where := getattr(df, "stored_at", None):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(where)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager
@@ -54,11 +70,6 @@ def set_conf(spark: SparkSession, own: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def runtime_filters(spark: SparkSession):
-    """Lets Spark drop rows before a join by a Bloom filter of the other side's keys, where that side is small (10 MB)."""
-    return set_conf(spark, {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"})
-
-
 def filter_once(df: DataFrame, condition: Column) -> DataFrame:
     """df.filter(condition), but the condition stays above the columns it uses.
 

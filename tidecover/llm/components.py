@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,6 +21,9 @@ def components(links: DataFrame) -> DataFrame:
         least = label.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("low"))
         up = label.select(F.col("node").alias("low"), F.col("label").alias("jump"))
         new = stored(least.join(up, "low").select("node", "old", F.least("low", "jump").alias("label")), "labels")
+        discard(label)
         if new.filter("label <> old").isEmpty():
+            discard(both)
             return new.select("node", "label")
-        label = new.select("node", "label")
+        label = new.drop("old")
+        label.stored_at = new.stored_at

@@ -1,19 +1,20 @@
 """N-gram Jaccard join with a token-group matrix.
 
-Tokens are hashes of word shingles.  Texts are cut down to the rare tokens of which similar texts must share one; texts
-found to be alike form a group; the matrix holds each group's union of such tokens and the range of its sizes.  A text is
-held against the groups' unions first, and only the groups that can hold a similar text are opened.
+Tokens are hashes of word shingles.  First the texts go that have more tokens to themselves than a similar text allows,
+by a sample of their tokens, then by all.  What is left is ordered by rarity and cut down to the tokens of which similar
+texts must share one.  Texts found to be alike form a group; the matrix holds each group's union of such tokens with the
+range of its sizes and the most that its texts have left from there on.  A text is held against the groups' unions, and
+only the groups that can hold a similar text are opened.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filter_once, folded, or_empty, row_keys, runtime_filters, shingles, stored, table, words
+from .common import discard, filter_once, folded, or_empty, row_keys, shingles, stored, table, words
 from .components import components
 
 
@@ -23,20 +24,27 @@ class Rule:
 
     k: int = 5
     percent: int = 80
-    small: int = 256  # of texts of so many tokens at most, all tokens are counted
-    wide: float = 5 / 3  # of others the prefix's share of all tokens so many times
+    wide: float = 1.75  # the first sample is so many times the share of tokens that a text may have to itself
 
     def need(self, n: Column) -> Column:
         """The least overlap of a set of n with any set it links to."""
         return F.ceil(n * self.percent / F.lit(100)).cast("int")
 
-    def prefix(self, n: Column) -> Column:
-        """Two sets that link share one of so many first tokens, in any order that holds for all tokens."""
-        return n - self.need(n) + 1
+    def own(self, n: Column) -> Column:
+        """So many tokens a set of n may have to itself, and still link."""
+        return n - self.need(n)
+
+    def overlap(self, n: Column, m: Column) -> Column:
+        """The least overlap of sets of n and m that link."""
+        return F.ceil((n + m) * self.percent / F.lit(100 + self.percent)).cast("int")
 
     def fits(self, n: Column, m: Column) -> Column:
         return (100 * n >= self.percent * m) & (100 * m >= self.percent * n)
 
+    def meets(self, n: Column, i: Column, m: Column, j: Column) -> Column:
+        """Length and positional filter: can sets of n and m link whose first common token is their i-th and j-th (from 0)?"""
+        return self.fits(n, m) & (F.least(n - i, m - j) >= self.overlap(n, m))
+
     def linked(self, inter: Column, n: Column, m: Column) -> Column:
         return (inter > 0) & (100 * inter >= self.percent * (n + m - inter))
 
@@ -45,147 +53,114 @@ def normal_words(text: Column) -> Column:
     return words(folded(or_empty(text)))
 
 
-def cut_of(rule: Rule) -> int:
-    """The hash below which tokens are counted; the more of them, the more texts have enough of their own to be ruled out."""
-    return int(-(2**63) + min(0.95, (100 - rule.percent) / 100 * rule.wide) * 2**64)
+def own_tokens(postings: DataFrame) -> DataFrame:
+    """node, own: the number of tokens that are in one posting (tok, node) alone."""
+    per = postings.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).filter("c = 1")
+    return per.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
 
 
-def signatures(rows: DataFrame, rule: Rule) -> DataFrame:
-    """id, node (hash of the words in order), n (tokens), low, last and sig, from rows with id and _w (words).
+def live_rows(rows: DataFrame, rule: Rule) -> DataFrame:
+    """id, node (hash of the words in order), t of the rows (id, t) that may link or equal others; t is folded.
 
-    sig holds the tokens to be counted: those below a cut (low of them), or the prefix in order of hash where that is
-    longer (up to the token last), or all tokens of a text that is small or can link to a small one.  A text of fewer
-    than k words has one token, which only its own node holds, so it is found by node and has no sig.
+    Rows without words go, and those with more tokens to themselves, among the tokens whose hash is below a cut, than a
+    similar text allows.  Equal rows have no token to themselves, so they stay.
     """
-    cut = cut_of(rule)
-    df = rows.select("id", F.xxhash64("_w").alias("node"), (F.size("_w") >= rule.k).alias("_many"), shingles(F.col("_w"), rule.k).alias("_all"))
-    low = F.filter("_all", lambda x: x < cut)
-    df = df.select("id", "node", "_many", F.size("_all").alias("n"), "_all", low.alias("_low"))
-    p = rule.prefix(F.col("n"))
-    first = F.when(F.size("_low") < p, F.slice(F.sort_array("_all"), F.lit(1), F.greatest(p, F.lit(0))))
-    df = df.select("id", "node", "_many", "n", F.size("_low").alias("low"), "_all", "_low", first.alias("_first"))
-    sig = F.when(rule.percent * F.col("n") <= 100 * rule.small, F.col("_all")).otherwise(F.coalesce("_first", "_low"))
-    return df.select("id", "node", "n", "low", F.array_max("_first").alias("last"), F.when(F.col("_many"), sig).alias("sig"))
-
-
-def shared_prefixes(sets: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    """node, n, first, rank, tok: of each text's prefix, rarest first, the tokens that occur in other rows too.
-
-    A text that has too many tokens to itself can't reach the overlap with any other and is left out.
+    split = rows.select("id", "t", words(F.col("t")).alias("_w"))
+    named = filter_once(split, F.size("_w") > 0).select("id", "t", "_w", F.xxhash64("_w").alias("node"))
+    last = F.size("_w") - rule.k
+    spread = named.select("node", "_w", F.explode_outer(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("i"))
+    tokens = spread.select("node", F.xxhash64(*[F.get("_w", F.col("i") + j) for j in range(rule.k)]).alias("tok"), "i").filter("i is not null")
+    share = min(1.0, (100 - rule.percent) / 100 * rule.wide)
+    own = stored(own_tokens(tokens.filter(F.col("tok") < int(-(2**63) + share * (2**64 - 1))).select("tok", "node")), "own")
+    # Repeated shingles make a row look longer than its set, which only lets it have more tokens to itself.
+    sized = named.select("id", "node", "t", F.greatest(last + 1, F.lit(1)).alias("m"))
+    out = stored(sized.join(own, "node", "left").filter(F.coalesce("own", F.lit(0)) <= rule.own(F.col("m"))).select("id", "node", "t"), "live")
+    discard(own)
+    return out
+
+
+def token_sets(live: DataFrame, rule: Rule) -> DataFrame:
+    """node, first (the smallest id), n, toks of each node of live."""
+    per = live.groupBy("node").agg(F.min("id").alias("first"), F.first("t").alias("t"))
+    df = per.select("node", "first", words(F.col("t")).alias("_w")).select("node", "first", shingles(F.col("_w"), rule.k).alias("toks"))
+    return stored(df.select("node", "first", F.size("toks").alias("n"), "toks"), "sets")
+
+
+def linkable(sets: DataFrame, rule: Rule) -> DataFrame:
+    """The rows of sets that have no more tokens to themselves than a similar text allows, now by all tokens."""
+    own = own_tokens(sets.select("node", F.explode_outer("toks").alias("tok")))
+    return stored(sets.join(own, "node", "left").filter(F.coalesce("own", F.lit(0)) <= rule.own(F.col("n"))).drop("own"), "linkable")
+
+
+def prefixes(sets: DataFrame, rule: Rule) -> DataFrame:
+    """tok, node, first, n, rank, score: the tokens of each text, rarest first, of which a similar text must have one.
+
+    rank counts from 0 among all of the text's tokens; those that no other text has come first and can be left out.
+    score is higher for a text whose tokens more others have.
     """
-    # Two numbers a posting: sizes and ids are looked up for the few nodes that are left.
-    postings = sets.select("node", F.explode_outer("sig").alias("tok")).filter("tok is not null")
+    postings = sets.select("node", F.explode_outer("toks").alias("tok"))
     common = stored(postings.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "common")
-    left = postings.join(common, "tok")
-    high = F.col("tok") >= F.lit(cut_of(rule))
-    per = left.groupBy("node").agg(F.sort_array(F.collect_set(F.struct(high.alias("high"), F.col("df"), F.col("tok")))).alias("toks")).join(classes, "node")
-    per = filter_once(per, (F.col("n") > rule.small) | (F.size("toks") >= rule.need(F.col("n"))))
-    # Tokens of one row alone come first and can't be shared; what is left of the prefix goes to the rarest of the others.
-    per = per.withColumn("n_low", F.size(F.filter("toks", lambda x: ~x["high"])))
-    p = rule.prefix(F.col("n"))
-    take = F.greatest(F.least(p, F.col("low")) - (F.col("low") - F.col("n_low")), F.lit(0))
-    rest = F.filter("toks", lambda x: x["high"] & (x["tok"] <= F.col("last")))
-    chosen = F.concat(F.slice("toks", F.lit(1), F.least(take, F.col("n_low"))), F.when(F.col("low") < p, rest).otherwise(F.slice("toks", 1, 0)))
-    return per.select("node", "n", "first", F.posexplode_outer(chosen).alias("rank", "x")).filter("rank is not null").select("node", "n", "first", "rank", F.col("x")["tok"].alias("tok"))
-
-
-SKETCH = 16  # numbers of 64 bits
-
-
-def sketches(texts: DataFrame, rule: Rule) -> DataFrame:
-    """node, n, sketch: for each of 64 SKETCH bits whether an odd number of a text's tokens fall on it.
-
-    A token that only one of two texts has changes one bit, so the bits in which their sketches differ are at most as
-    many as the tokens in which the texts do.
-    """
-    df = texts.select("node", normal_words(F.col("text")).alias("_w")).select("node", shingles(F.col("_w"), rule.k).alias("_all"))
-    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(t, 4), F.lit(64)).cast("int"))
-    word = lambda i: F.aggregate(F.filter("_all", lambda t: F.pmod(t, F.lit(SKETCH)) == i), F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t)))
-    return df.select("node", F.size("_all").alias("n"), F.array(*[word(i) for i in range(SKETCH)]).alias("sketch"))
-
-
-def verified(pairs: DataFrame, texts: DataFrame, marks: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts link, by their whole sets; sketches first rule out what differs too much."""
-    side = lambda x: marks.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    near = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    near = stored(near.filter(differ * (100 + rule.percent) <= (100 - rule.percent) * (F.col("na") + F.col("nb"))).select("a", "b"), "alike")
-    a = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    b = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    df = near.join(a, "a").join(b, "b")
-    df = df.select("a", "b", normal_words(F.col("ta")).alias("wa"), normal_words(F.col("tb")).alias("wb"))
-    df = df.select("a", "b", shingles(F.col("wa"), rule.k).alias("sa"), shingles(F.col("wb"), rule.k).alias("sb"))
-    df = df.withColumn("i", F.size(F.array_intersect("sa", "sb")))
-    return filter_once(df, rule.linked(F.col("i"), F.size("sa"), F.size("sb"))).select("a", "b")
-
-
-def links(sets: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], rule: Rule) -> DataFrame:
-    """(node, label): the components of all links between different texts.  fetch: (node, text) of rows (node, first)."""
-    # Postings carry the doc_id alone; whole ids are looked up for the texts to be fetched.
-    prefix = stored(shared_prefixes(sets, classes.withColumn("first", F.col("first")["doc_id"]), rule), "prefixes")
-    # A token's leader is the text with the smallest doc_id.  Held against the first of its tokens' leaders, most copies of a
-    # text come together; what then hangs together is a group.
-    lead = prefix.groupBy("tok").agg(F.min(F.struct("first", "node", "n")).alias("l"), F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("tok", "l")
-    led = stored(prefix.join(lead, "tok").select("node", "n", "first", "tok", "l"), "led")
-    nodes = stored(led.groupBy("node", "n", "first").agg(F.min("l").alias("l")), "nodes")
-    texts = stored(fetch(nodes.select("node").join(classes.select("node", "first"), "node")), "texts")
-    marks = stored(sketches(texts, rule), "sketches")
-    ahead = nodes.filter((F.col("node") != F.col("l.node")) & rule.fits(F.col("n"), F.col("l.n"))).select(F.col("node").alias("a"), F.col("l.node").alias("b"))
-    near = stored(verified(ahead, texts, marks, rule), "near")
-    # The matrix: a row per token and group, with the least and largest text of the group that holds the token.  A text
-    # with no token in a group's union, or of a size that fits none, can't reach the overlap; such groups stay closed.
-    # Of the others first the two outer texts are tried, then, of those still apart, all that share the token.
-    tried = None
-    for last in (False, True):
-        group = stored(nodes.join(components(near), "node", "left").select("node", F.coalesce("label", "node").alias("g")), "groups")
-        cells = led.select("node", "n", "tok").join(group, "node")
-        matrix = stored(cells.groupBy("tok", "g").agg(F.min(F.struct("n", "node")).alias("lo"), F.max(F.struct("n", "node")).alias("hi")), "matrix")
-        cover = matrix.withColumnRenamed("g", "h")
-        reach = cells.join(cover, "tok").filter((F.col("g") != F.col("h")) & (100 * F.col("hi.n") >= rule.percent * F.col("n")) & (rule.percent * F.col("lo.n") <= 100 * F.col("n")))
-        if last:
-            held = cells.select("tok", F.col("g").alias("h"), F.col("node").alias("b"), F.col("n").alias("m"))
-            open_ = reach.select("node", "n", "tok", "h").join(held, ["tok", "h"])
-        else:
-            open_ = reach.select("node", "n", F.explode(F.array("lo", "hi")).alias("t")).select("node", "n", F.col("t.node").alias("b"), F.col("t.n").alias("m"))
-        pairs = open_.filter(rule.fits(F.col("n"), F.col("m"))).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        near = near.union(stored(verified(pairs, texts, marks, rule), "near"))
-        tried = pairs
-    return components(near)
-
-
-def classified(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], rule: Rule) -> DataFrame:
-    """id, node, n, least (the smallest id that links reach; null without tokens) of rows with id and _w (words).
-
-    id is a struct with doc_id; it must name a row for fetch.
-    """
-    sets = stored(signatures(rows, rule), "sets")
-    classes = stored(sets.filter("n > 0").groupBy("node").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.max("low").alias("low"), F.max("last").alias("last")), "classes")
-    label = links(sets, classes, fetch, rule)
-    named = stored(classes.select("node", "first").join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "first"), "named")
-    least = stored(named.groupBy("label").agg(F.min("first").alias("least")), "least")
-    by_node = stored(named.join(least, "label").select("node", "least"), "components")
-    return sets.select("id", "node", "n").join(by_node, "node", "left")
+    shared = postings.join(common, "tok").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("shared"), F.sum(F.log("df")).alias("sum"))
+    per = shared.join(sets.select("node", "first", "n"), "node").select("node", "first", "n", "shared", (F.col("sum") / F.col("n")).alias("score"), (F.col("n") - F.size("shared")).alias("own"))
+    take = F.greatest(rule.own(F.col("n")) + 1 - F.col("own"), F.lit(0))
+    each = per.select("node", "first", "n", "score", "own", F.posexplode_outer(F.slice("shared", F.lit(1), take)).alias("at", "x")).filter("at is not null")
+    out = stored(each.select(F.col("x")["tok"].alias("tok"), "node", "first", "n", (F.col("own") + F.col("at")).alias("rank"), "score"), "prefixes")
+    discard(common)
+    return out
+
+
+def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) of nodes that link, by their whole sets."""
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("toks").alias(f"t{x}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    df = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("i"))
+    return stored(filter_once(df, rule.linked(F.col("i"), F.col("na"), F.col("nb"))).select("a", "b"), "near")
+
+
+def links(sets: DataFrame, rule: Rule) -> DataFrame:
+    """(node, label): the components of all links between the sets (node, first, n, toks)."""
+    prefix = prefixes(sets, rule)
+    couple = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    # A token's leader is its text with the highest score; held against the leaders of their tokens, most copies of a text
+    # come together.  What then hangs together is a group.
+    lead = prefix.groupBy("tok").agg(F.max(F.struct("score", "node", "n", "rank")).alias("l"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("tok", "l")
+    led = prefix.join(lead, "tok").filter((F.col("node") != F.col("l.node")) & rule.meets(F.col("n"), F.col("rank"), F.col("l.n"), F.col("l.rank")))
+    tried = stored(led.select(*couple(F.col("node"), F.col("l.node"))).distinct(), "tried")
+    near = verified(tried, sets, rule)
+    label = components(near)
+    member = stored(prefix.join(label, "node", "left").select("tok", "node", "n", "rank", F.coalesce("label", "node").alias("g")), "member")
+    matrix = member.groupBy("tok", F.col("g").alias("h")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("rank")).alias("room"))
+    # Each pair is looked for from its smaller text, whose place of the token must leave the overlap of two of its size.
+    n, left = F.col("n"), F.col("n") - F.col("rank")
+    least = rule.overlap(n, F.greatest(n, F.col("lo")))
+    small = member.filter(left >= rule.overlap(n, n))
+    reach = small.join(matrix, "tok").filter((F.col("g") != F.col("h")) & (F.col("hi") >= n) & (100 * n >= rule.percent * F.col("lo")) & (F.least(left, F.col("room")) >= least))
+    large = member.select("tok", F.col("g").alias("h"), F.col("node").alias("y"), F.col("n").alias("m"), F.col("rank").alias("j"))
+    opened = reach.select("tok", "h", "node", "n", "rank").join(large, ["tok", "h"]).filter((F.struct("n", "node") < F.struct("m", "y")) & rule.meets(n, F.col("rank"), F.col("m"), F.col("j")))
+    pairs = stored(opened.select(*couple(F.col("node"), F.col("y"))).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    out = components(near.union(verified(pairs, sets, rule)))
+    discard(prefix, tried, member, pairs)
+    return out
 
 
 def near_rows(docs: DataFrame, text: str = "text", rule: Rule = Rule()) -> DataFrame:  # noqa: B008
-    """id, n (shingles), least (the smallest id that links reach; null without shingles), one row per row of docs.
+    """id, least (the smallest id that links reach) of the rows of docs that equal or link to others, and some more.
 
-    An id is struct<none, doc_id, k1, k2>: null doc_ids come last, rows with the same doc_id are told apart by content.
-    Texts with the same words in the same order are one node.  An empty table gives an empty one.
+    An id is struct<none, doc_id, k1, k2>: null doc_ids come last, rows with the same doc_id are told apart by content;
+    rows that are repeated with their doc_id have one id and come as often as they are there.  Texts with the same words
+    in the same order are one node.  An empty table gives an empty one.
     """
     k1, k2 = row_keys(F.col("doc_id"), F.col(text))
-
-    def fetch(wanted: DataFrame) -> DataFrame:
-        wanted = wanted.filter("node <> 0").select("node", *[F.col("first")[x].alias(y) for x, y in (("doc_id", "d"), ("k1", "_k1"), ("k2", "_k2"))])
-        plain = docs.select("doc_id", k1, k2, or_empty(F.col(text)).alias("text"))
-        same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))
-        with runtime_filters(docs.sparkSession):
-            found = stored(plain.join(wanted, same).select("node", "text"), "found")
-        return found.dropDuplicates(["node"])
-
     id_ = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), k1, k2)
-    return classified(docs.select(id_.alias("id"), normal_words(F.col(text)).alias("_w")), fetch, rule).select("id", "n", "least")
+    live = live_rows(docs.select(id_.alias("id"), folded(or_empty(F.col(text))).alias("t")), rule)
+    sets = token_sets(live, rule)
+    able = linkable(sets, rule)
+    label = links(able, rule)
+    named = stored(sets.select("node", "first").join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "first"), "named")
+    by_node = named.join(named.groupBy("label").agg(F.min("first").alias("least")), "label").select("node", "least")
+    out = stored(live.select("id", "node").join(by_node, "node").select("id", "least"), "rows")
+    discard(live, sets, able, named)
+    return out
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", rule: Rule = Rule()) -> DataFrame:  # noqa: B008
@@ -195,8 +170,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", rule: Rule = Rule()) ->
     words: the whole sequence is the one shingle.  A row without a doc_id gets the smallest one of its component, null
     if there is none.
     """
-    out = near_rows(docs, text, rule)
-    return out.select(F.col("id")["doc_id"].alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")["doc_id"]).otherwise(F.col("id")["doc_id"]).alias("component_id"))
+    found = near_rows(docs, text, rule)
+    moved = found.filter("id <> least").select(F.col("id.k1").alias("_k1"), F.col("id.k2").alias("_k2"), F.col("least.doc_id").alias("_least")).distinct()
+    k1, k2 = row_keys(F.col("doc_id"), F.col(text))
+    split = docs.select("doc_id", k1.alias("_k1"), k2.alias("_k2"), normal_words(F.col(text)).alias("_w"))
+    rows = split.select("doc_id", "_k1", "_k2", F.size(shingles(F.col("_w"), rule.k)).cast("long").alias("n_shingles"))
+    return rows.join(moved, ["_k1", "_k2"], "left").select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

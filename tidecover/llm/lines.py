@@ -1,7 +1,8 @@
 """Line dedup: an exact set-similarity join of lines.
 
 A line's tokens are its five-word shingles, ordered by rarity; lines that can be similar share one of their rarest ones
-(prefix filter) and have similar lengths; what is left is verified by the whole sets.  Native expressions only.
+(prefix filter), at places that leave enough tokens (positional filter), and have similar lengths (length filter); what is
+left is verified by the whole sets.  Native expressions only.
 """
 
 from __future__ import annotations
@@ -9,41 +10,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filter_once, or_empty, row_keys, runtime_filters, stored, table
-from .jaccard import Rule, classified, normal_words
+from .common import discard, folded, or_empty, row_keys, stored, table
+from .jaccard import Rule, linkable, live_rows, prefixes, token_sets, verified
 
 
-def repeated_lines(docs: DataFrame, text: str = "text", rule: Rule = Rule(small=0, wide=1.15)) -> DataFrame:  # noqa: B008
+def resembling_earlier(sets: DataFrame, rule: Rule) -> DataFrame:
+    """node: those of sets (node, first, n, toks) that link to one whose first is smaller."""
+    prefix = prefixes(sets, rule)
+    pair = (F.col("node").alias("a"), F.col("y").alias("b"))
+    # Most have a match among a few earlier ones: per token, the earliest of all its lines, of a half of them (by hash), of
+    # a quarter and so on.  Only lines without such a match are held against all earlier ones.
+    key = F.xxhash64("node", F.lit(7))
+    zeros = F.bit_count(key.bitwiseAND(-key) - 1)
+    levels = prefix.select("tok", F.explode_outer(F.sequence(F.lit(0), zeros)).alias("level"), F.struct("first", "node", "n", "rank").alias("l"))
+    some = levels.groupBy("tok", "level").agg(F.min("l").alias("l")).select("tok", "l").distinct()
+    early = some.select("tok", F.col("l.first").alias("f"), F.col("l.node").alias("y"), F.col("l.n").alias("m"), F.col("l.rank").alias("j"))
+    before = (F.col("f") < F.col("first")) & rule.meets(F.col("n"), F.col("rank"), F.col("m"), F.col("j"))
+    tried = stored(prefix.join(early, "tok").filter(before).select(*pair).distinct(), "tried")
+    near = verified(tried, sets, rule)
+    found = stored(near.select(F.col("a").alias("node")).distinct(), "found")
+    others = prefix.select("tok", F.col("first").alias("f"), F.col("node").alias("y"), F.col("n").alias("m"), F.col("rank").alias("j"))
+    rest = prefix.join(found, "node", "left_anti").join(others, "tok").filter(before).select(*pair).distinct()
+    pairs = stored(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
+    more = verified(pairs, sets, rule).select(F.col("a").alias("node")).distinct()
+    discard(prefix, tried, pairs, near)
+    return found.union(more)
+
+
+def repeated_lines(docs: DataFrame, text: str = "text", rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     """Adds n_lines, removed (sorted numbers, from 0, of the lines that repeat an earlier one) to docs.
 
     Lines are parts between newlines; those without words are left alone, those with fewer than rule.k words are alike
-    only where all words are the same.  Lines that are alike (Jaccard
-    of their shingles, directly or through others) form a class; the first by (doc_id, line) stays, the later ones are
-    removed.  Null and empty texts have one empty line; a null doc_id comes first; rows with the same doc_id and text
-    count as one document.  An empty table gives an empty one.  Other columns stay as they are.
+    only where all words are the same.  A line is removed if it is like an earlier one, by (doc_id, line), itself (Jaccard
+    of their shingles), whether that one stays or not; so every line removed has a like one before it.  Null and empty
+    texts have one empty line; a null doc_id comes first; rows with the same doc_id and text count as one document.  An
+    empty table gives an empty one.  Other columns stay as they are, but for earlier ones named n_lines or removed.
     """
+    docs = docs.drop("n_lines", "removed")
     t = or_empty(F.col(text))
     k1, k2 = row_keys(F.col("doc_id"), F.col(text))
     each = docs.select("doc_id", k1, k2, F.posexplode_outer(F.split(t, "\n", -1)).alias("line", "s"))
-    rows = each.select(F.struct("doc_id", "line", "k1", "k2").alias("id"), normal_words(F.col("s")).alias("_w"))
-    some = filter_once(rows, F.size("_w") > 0)
-
-    def fetch(wanted: DataFrame) -> DataFrame:
-        # A document comes once with the numbers of all its wanted lines: its own lines at most.
-        per = stored(wanted.groupBy(F.col("first")["doc_id"].alias("d"), F.col("first")["k1"].alias("k1"), F.col("first")["k2"].alias("k2")).agg(F.collect_list(F.struct(F.col("first")["line"].alias("line"), "node")).alias("lines")), "wanted")
-        plain = docs.select("doc_id", k1.alias("_k1"), k2.alias("_k2"), t.alias("t"))
-        with runtime_filters(docs.sparkSession):
-            # Joined on the id alone, so that the filter reaches the scan; rows are told apart by content after that.
-            found = stored(plain.join(per.filter("k1 <> 0"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2"))).select("t", "lines"), "found")
-        one = found.withColumn("_s", F.split("t", "\n", -1)).select("_s", F.explode_outer("lines").alias("l"))
-        return one.select(F.col("l")["node"].alias("node"), F.get("_s", F.col("l")["line"]).alias("text")).dropDuplicates(["node"])
-
-    out = classified(some, fetch, rule).filter(F.col("id") != F.col("least"))
-    per = out.groupBy(F.col("id")["k1"].alias("_k1"), F.col("id")["k2"].alias("_k2")).agg(F.sort_array(F.collect_set(F.col("id")["line"])).alias("removed"))
-    k1, k2 = row_keys(F.col("doc_id"), F.col(text))
-    n_lines = F.size(F.split(t, "\n", -1)).cast("long")
-    joined = docs.withColumns({"_k1": k1, "_k2": k2, "n_lines": n_lines}).join(per, ["_k1", "_k2"], "left").drop("_k1", "_k2")
-    return joined.withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    live = live_rows(each.select(F.struct("doc_id", "line", "k1", "k2").alias("id"), folded(F.col("s")).alias("t")), rule)
+    sets = token_sets(live, rule)
+    able = linkable(sets, rule)
+    again = resembling_earlier(able, rule).withColumn("again", F.lit(True))
+    flags = sets.select("node", "first").join(again, "node", "left")
+    out = live.select("id", "node").join(flags, "node").filter((F.col("id") != F.col("first")) | F.col("again"))
+    per = stored(out.groupBy(F.col("id")["k1"].alias("_k1"), F.col("id")["k2"].alias("_k2")).agg(F.sort_array(F.collect_set(F.col("id")["line"])).alias("removed")), "removed")
+    discard(live, sets, able)
+    held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    joined = docs.select(held, k1.alias("_k1"), k2.alias("_k2"), F.size(F.split(t, "\n", -1)).cast("long").alias("_n")).join(per, ["_k1", "_k2"], "left")
+    return joined.select("_row.*", F.col("_n").alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
 def without_lines(found: DataFrame, text: str = "text") -> DataFrame:
