@@ -34,7 +34,7 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Null doc_ids come last; of rows repeated with their doc_id one stays.  Texts without words are no copies.
     """
-    rows = near_rows(docs).filter("n > 0").select("id.k1", "id.k2", (F.col("id") != F.col("least")).alias("later"))
+    rows = near_rows(docs).select("id.k1", "id.k2", (F.col("id") != F.col("least")).alias("later"))
     per = rows.groupBy("k1", "k2").agg(F.max("later").alias("later"), F.count(F.lit(1)).alias("c"))
     marked = stored(per.filter("later or c > 1").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "later"), "marked")
     again = stored(marked.filter("not later").select("_k1", "_k2"), "again")
