@@ -70,6 +70,24 @@ def set_conf(spark: SparkSession, own: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def set_aside(df: DataFrame, used: list[str], made: list[str]) -> DataFrame:
+    """df with the columns used as they are and all others in one struct, where their names can't clash with an operator's.
+
+    Columns named as those that the operator makes go.
+    """
+    gone = {c.lower() for c in [*used, *made]}
+    rest = [c for c in df.columns if c.lower() not in gone]
+    return df.select(*used, *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_rest")] if rest else []))
+
+
+def put_back(df: DataFrame, columns: list[str], made: list[str]) -> DataFrame:
+    """The columns that set_aside was given, in their order, then those made; used ones that df lacks are left out."""
+    gone, here = {c.lower() for c in made}, {c.lower() for c in df.columns}
+    rest = {c.lower() for c in df.schema["_rest"].dataType.names} if "_rest" in df.columns else set()
+    held = [F.col("_rest")[c].alias(c) if c.lower() in rest else F.col(c) for c in columns if c.lower() not in gone and (c.lower() in rest or c.lower() in here)]
+    return df.select(*held, *made)
+
+
 def filter_once(df: DataFrame, condition: Column) -> DataFrame:
     """df.filter(condition), but the condition stays above the columns it uses.
 
@@ -101,7 +119,13 @@ def folded(text: Column) -> Column:
 
 def words(text: Column, separators: str = SPACES) -> Column:
     """The words between separators (a pattern of one or more of them); an empty text has none."""
-    return F.array_remove(F.split(text, separators, -1), "")
+    if separators != SPACES:
+        return F.array_remove(F.split(text, separators, -1), "")
+    # A split at one plain character needs no pattern, so all white space is made that first.
+    lines = F.replace(text, F.lit("\n"), F.lit(" "))
+    other = r"[\x09\x0B-\x0D]"
+    plain = F.when(lines.rlike(other), F.regexp_replace(lines, other, " ")).otherwise(lines)
+    return F.array_remove(F.split(plain, " ", -1), "")
 
 
 def shingles(word_array: Column, k: int) -> Column:

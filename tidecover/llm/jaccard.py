@@ -24,7 +24,7 @@ class Rule:
 
     k: int = 5
     percent: int = 80
-    wide: float = 1.75  # the first sample is so many times the share of tokens that a text may have to itself
+    wide: float = 1.5  # the first sample is so many times the share of tokens that a text may have to itself
 
     def need(self, n: Column) -> Column:
         """The least overlap of a set of n with any set it links to."""
@@ -54,42 +54,44 @@ def normal_words(text: Column) -> Column:
 
 
 def own_tokens(postings: DataFrame) -> DataFrame:
-    """node, own: the number of tokens that are in one posting (tok, node) alone."""
-    per = postings.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).filter("c = 1")
-    return per.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    """node, m, own: the number of tokens that are in one posting (tok, node, m) alone."""
+    per = postings.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node"), F.min("m").alias("m")).filter("c = 1")
+    return per.groupBy("node", "m").agg(F.count(F.lit(1)).alias("own"))
 
 
 def live_rows(rows: DataFrame, rule: Rule) -> DataFrame:
-    """id, node (hash of the words in order), t of the rows (id, t) that may link or equal others; t is folded.
+    """id, node (hash of the text), s of the rows (id, s) that may link or equal others.
 
-    Rows without words go, and those with more tokens to themselves, among the tokens whose hash is below a cut, than a
-    similar text allows.  Equal rows have no token to themselves, so they stay.
+    Rows without words go, and those with more tokens to themselves, in a sample of the tokens, than a similar text allows.
+    A token is sampled by its first and third word, which is the same in every text.  Equal rows have no token to
+    themselves, so they stay.
     """
-    split = rows.select("id", "t", words(F.col("t")).alias("_w"))
-    named = filter_once(split, F.size("_w") > 0).select("id", "t", "_w", F.xxhash64("_w").alias("node"))
+    named = rows.select(F.xxhash64("s").alias("node"), normal_words(F.col("s")).alias("_w"))
     last = F.size("_w") - rule.k
     spread = named.select("node", "_w", F.explode_outer(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("i"))
-    tokens = spread.select("node", F.xxhash64(*[F.get("_w", F.col("i") + j) for j in range(rule.k)]).alias("tok"), "i").filter("i is not null")
+    word = lambda j: F.get("_w", F.col("i") + j)
     share = min(1.0, (100 - rule.percent) / 100 * rule.wide)
-    own = stored(own_tokens(tokens.filter(F.col("tok") < int(-(2**63) + share * (2**64 - 1))).select("tok", "node")), "own")
+    spread = spread.select("node", "_w", "i", F.xxhash64(word(0), word(min(2, rule.k - 1))).alias("_h")).filter(F.col("i").isNotNull() & (F.col("_h") < int(-(2**63) + share * (2**64 - 1))))
     # Repeated shingles make a row look longer than its set, which only lets it have more tokens to itself.
-    sized = named.select("id", "node", "t", F.greatest(last + 1, F.lit(1)).alias("m"))
-    out = stored(sized.join(own, "node", "left").filter(F.coalesce("own", F.lit(0)) <= rule.own(F.col("m"))).select("id", "node", "t"), "live")
-    discard(own)
+    tokens = spread.select("node", F.xxhash64(*[word(j) for j in range(rule.k)]).alias("tok"), (F.size("_w") - rule.k + 1).alias("m"))
+    gone = stored(own_tokens(tokens).filter(F.col("own") > rule.own(F.col("m"))).select("node"), "gone")
+    some = rows.select("id", F.xxhash64("s").alias("node"), "s").filter(F.col("s").rlike(r"[^\x20\x09-\x0D]"))
+    out = stored(some.join(gone, "node", "left_anti").select("id", "node", "s"), "live")
+    discard(gone)
     return out
 
 
 def token_sets(live: DataFrame, rule: Rule) -> DataFrame:
     """node, first (the smallest id), n, toks of each node of live."""
-    per = live.groupBy("node").agg(F.min("id").alias("first"), F.first("t").alias("t"))
-    df = per.select("node", "first", words(F.col("t")).alias("_w")).select("node", "first", shingles(F.col("_w"), rule.k).alias("toks"))
+    per = live.groupBy("node").agg(F.min("id").alias("first"), F.first("s").alias("s"))
+    df = per.select("node", "first", normal_words(F.col("s")).alias("_w")).select("node", "first", shingles(F.col("_w"), rule.k).alias("toks"))
     return stored(df.select("node", "first", F.size("toks").alias("n"), "toks"), "sets")
 
 
 def linkable(sets: DataFrame, rule: Rule) -> DataFrame:
     """The rows of sets that have no more tokens to themselves than a similar text allows, now by all tokens."""
-    own = own_tokens(sets.select("node", F.explode_outer("toks").alias("tok")))
-    return stored(sets.join(own, "node", "left").filter(F.coalesce("own", F.lit(0)) <= rule.own(F.col("n"))).drop("own"), "linkable")
+    own = own_tokens(sets.select("node", F.col("n").alias("m"), F.explode_outer("toks").alias("tok")))
+    return stored(sets.join(own.filter(F.col("own") > rule.own(F.col("m"))), "node", "left_anti"), "linkable")
 
 
 def prefixes(sets: DataFrame, rule: Rule) -> DataFrame:
@@ -147,12 +149,12 @@ def near_rows(docs: DataFrame, text: str = "text", rule: Rule = Rule()) -> DataF
     """id, least (the smallest id that links reach) of the rows of docs that equal or link to others, and some more.
 
     An id is struct<none, doc_id, k1, k2>: null doc_ids come last, rows with the same doc_id are told apart by content;
-    rows that are repeated with their doc_id have one id and come as often as they are there.  Texts with the same words
-    in the same order are one node.  An empty table gives an empty one.
+    rows that are repeated with their doc_id have one id and come as often as they are there.  Equal texts are one node.
+    An empty table gives an empty one.
     """
     k1, k2 = row_keys(F.col("doc_id"), F.col(text))
     id_ = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), k1, k2)
-    live = live_rows(docs.select(id_.alias("id"), folded(or_empty(F.col(text))).alias("t")), rule)
+    live = live_rows(docs.select(id_.alias("id"), or_empty(F.col(text)).alias("s")), rule)
     sets = token_sets(live, rule)
     able = linkable(sets, rule)
     label = links(able, rule)

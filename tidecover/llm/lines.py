@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, folded, or_empty, row_keys, stored, table
+from .common import discard, or_empty, row_keys, stored, table
 from .jaccard import Rule, linkable, live_rows, prefixes, token_sets, verified
 
 
@@ -50,7 +50,7 @@ def repeated_lines(docs: DataFrame, text: str = "text", rule: Rule = Rule()) ->
     t = or_empty(F.col(text))
     k1, k2 = row_keys(F.col("doc_id"), F.col(text))
     each = docs.select("doc_id", k1, k2, F.posexplode_outer(F.split(t, "\n", -1)).alias("line", "s"))
-    live = live_rows(each.select(F.struct("doc_id", "line", "k1", "k2").alias("id"), folded(F.col("s")).alias("t")), rule)
+    live = live_rows(each.select(F.struct("doc_id", "line", "k1", "k2").alias("id"), "s"), rule)
     sets = token_sets(live, rule)
     able = linkable(sets, rule)
     again = resembling_earlier(able, rule).withColumn("again", F.lit(True))
