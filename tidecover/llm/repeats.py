@@ -1,10 +1,11 @@
 """Suffix-array dedup by a run-length index.
 
-Every window of LENGTH bytes is led by one of its k-grams (the one of the smallest hash), its anchor; equal windows have
-equal anchors.  So only texts around anchors that occur more than once can repeat.  Equal surroundings are counted; those
-that differ are dealt out by anchor, and each bucket gets a run-compressed Burrows-Wheeler transform.  Common-prefix
-lengths are computed at the sampled ends of runs only; streamed along the text, where a length falls by one per byte at
-most, they are the matching statistics of all positions, and matches of LENGTH bytes are marked.
+Every window of MARK bytes is led by one of its k-grams (the one of the smallest hash), its anchor; equal windows have
+equal anchors.  So only texts around anchors that occur more than once can repeat, and only if what they repeat goes on far
+enough to the left or to the right of the anchor.  Equal surroundings are counted; those that differ are dealt out by
+anchor, and each bucket gets a run-compressed Burrows-Wheeler transform.  Common-prefix lengths are computed at the sampled
+ends of runs only; streamed along the text, where a length falls by one per byte at most, they are the matching statistics
+of all positions, and matches of LENGTH bytes (to be removed) and of MARK bytes (to be reported) are marked.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import or_empty, row_keys, stored, table
+from .common import discard, or_empty, row_keys, stored, table
 
 K = 64  # bytes of an anchor
+MARK = 280  # repeats from so many bytes on are reported, about 45 words; those from length on are removed
 CHUNK = 1 << 18  # window starts handled at once, so memory doesn't grow with a text
 BUCKET_BYTES = 2 << 20
 GROUP_BYTES = 16 << 20  # an anchor with more text around it than this is counted window by window instead
@@ -64,24 +66,28 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return at, np.concatenate(hashes)[first]
 
 
-def anchor_table(docs: DataFrame, text: str, length: int) -> DataFrame:
-    """h (anchor), k1, k2 (row), lo, pos, hi (its surroundings and place, bytes), ctx (hash of the surroundings)."""
-    reach = length - K
-    names = ["h", "ctx", "k1", "k2", "doc_id", "lo", "pos", "hi"]
+def anchor_table(docs: DataFrame, text: str, length: int, mark: int) -> DataFrame:
+    """h (anchor), k1, k2 (row), lo, pos, hi (its surroundings and place, bytes), ctx (hash of the surroundings), left and
+    right (hashes up to, and from, the anchor that a repeat of mark bytes has one of in common; null where the text ends)."""
+    reach, half = mark - K, (mark - K) // 2
+    names = ["h", "ctx", "left", "right", "k1", "k2", "doc_id", "lo", "pos", "hi"]
+    digest = xxhash.xxh3_64_intdigest
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
-                rows, hs, ctx, lo, pos, hi = [], [], [], [], [], []
+                rows, hs, ctx, left, right, lo, pos, hi = [], [], [], [], [], [], [], []
                 for i, t in enumerate(part.column(3)):
                     raw = t.as_py().encode()
-                    if len(raw) < length:
+                    if len(raw) < mark:
                         continue
-                    at, h = anchors(np.frombuffer(raw, dtype=np.uint8), length)
+                    at, h = anchors(np.frombuffer(raw, dtype=np.uint8), mark)
                     a, b = np.maximum(at - reach, 0), np.minimum(at + length, len(raw))
-                    view = memoryview(raw)
-                    ctx.extend(xxhash.xxh3_64_intdigest(view[x:y], seed=int(p - x)) for x, y, p in zip(a.tolist(), b.tolist(), at.tolist()))
+                    view, places = memoryview(raw), at.tolist()
+                    ctx.extend(digest(view[x:y], seed=p - x) for x, y, p in zip(a.tolist(), b.tolist(), places))
+                    left.extend(digest(view[p - half : p + K]) if p >= half else None for p in places)
+                    right.extend(digest(view[p : p + mark - half]) if p + mark - half <= len(raw) else None for p in places)
                     rows.append(np.full(len(at), i))
                     for out, x in ((hs, h), (lo, a), (pos, at), (hi, b)):
                         out.append(x)
@@ -89,11 +95,12 @@ def anchor_table(docs: DataFrame, text: str, length: int) -> DataFrame:
                     continue
                 at = pa.array(np.concatenate(rows))
                 cat = lambda x, kind: pa.array(np.concatenate(x).astype(kind))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.array(ctx, dtype=np.uint64).view(np.int64)), part.column(0).take(at), part.column(1).take(at), part.column(2).take(at), cat(lo, np.int32), cat(pos, np.int32), cat(hi, np.int32)], names=names)
+                long = lambda x: pa.array(x, pa.uint64()).view(pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), long(ctx), long(left), long(right), part.column(0).take(at), part.column(1).take(at), part.column(2).take(at), cat(lo, np.int32), cat(pos, np.int32), cat(hi, np.int32)], names=names)
 
     k1, k2 = row_keys(F.col("doc_id"), F.col(text))
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select(k1, k2, "doc_id", or_empty(F.col(text)).alias("t")).mapInArrow(find, f"h bigint, ctx bigint, k1 bigint, k2 bigint, doc_id {kind}, lo int, pos int, hi int")
+    return docs.select(k1, k2, "doc_id", or_empty(F.col(text)).alias("t")).mapInArrow(find, f"h bigint, ctx bigint, left bigint, right bigint, k1 bigint, k2 bigint, doc_id {kind}, lo int, pos int, hi int")
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
@@ -148,8 +155,14 @@ def matching_statistics(t: np.ndarray) -> np.ndarray:
     return best
 
 
-def bucket_matches(rows: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Intervals (k1, k2, start, end) of windows of length bytes that occur twice in a bucket, of the rows that ask (n = 1).
+def runs_of(hit: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """Intervals that windows of length at the sorted places hit cover."""
+    cut = np.flatnonzero(np.diff(hit) > length)
+    return [(int(hit[a]), int(hit[b]) + length) for a, b in zip(np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(hit) - 1]]))]
+
+
+def bucket_matches(rows: pd.DataFrame, lengths: tuple[int, ...]) -> pd.DataFrame:
+    """Intervals (k1, k2, length, start, end) of windows of length bytes, for each of lengths, that occur twice in a bucket.
 
     Surroundings that overlap in one text are joined first, so no byte of a text comes twice.
     """
@@ -168,73 +181,82 @@ def bucket_matches(rows: pd.DataFrame, length: int) -> pd.DataFrame:
             parts.append(more)
             size += len(more)
             end = r.hi
-        if r.n == 1:
-            places.append((r.k1, r.k2, r.lo, r.hi, base))
+        places.append((r.k1, r.k2, r.lo, r.hi, base))
     t = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    if len(t) < 2 or not places:
-        return pd.DataFrame({"k1": [], "k2": [], "start": [], "end": []}).astype("int64")
-    t = np.unique(t, return_inverse=True)[1]
-    long = matching_statistics(t) >= length
     out = []
-    for k1, k2, lo, hi, base in places:
-        hit = np.flatnonzero(long[base + lo : base + hi - length + 1])
-        if len(hit):
-            cut = np.flatnonzero(np.diff(hit) > length)
-            for a, b in zip(np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(hit) - 1]])):
-                out.append((k1, k2, lo + int(hit[a]), lo + int(hit[b]) + length))
-    return pd.DataFrame(out, columns=["k1", "k2", "start", "end"]).astype("int64")
-
-
-def repeated_bytes(docs: DataFrame, text: str = "text", *, length: int = 400) -> DataFrame:
-    """k1, k2 (the row's keys), spans: array<struct<start, end>>, sorted but perhaps overlapping, of repeated bytes.
-
-    A byte is marked if a string of length bytes that covers it also starts anywhere else in the texts, all of them
-    whole.  Null, empty and shorter texts have no marks.  Repeated rows are repeats of each other.
+    if len(t) > 1:
+        best = matching_statistics(np.unique(t, return_inverse=True)[1])
+        for n in lengths:
+            long = best >= n
+            for k1, k2, lo, hi, base in places:
+                hit = np.flatnonzero(long[base + lo : base + hi - n + 1])
+                if len(hit):
+                    out.extend((k1, k2, n, lo + a, lo + b) for a, b in runs_of(hit, n))
+    return pd.DataFrame(out, columns=["k1", "k2", "length", "start", "end"]).astype("int64")
+
+
+def repeated_bytes(docs: DataFrame, text: str = "text", *, length: int = 400, mark: int = MARK) -> DataFrame:
+    """k1, k2 (the row's keys), spans and marks: array<struct<start, end>>, sorted but perhaps overlapping, of repeats.
+
+    A byte is in a span if a string of length bytes that covers it also starts anywhere else in the texts, all of them
+    whole, and in a mark if a string of mark bytes does.  Null, empty and shorter texts have none.  Repeated rows are
+    repeats of each other.
     """
-    found = stored(anchor_table(docs, text, length), "anchors")
-    wide = F.col("hi") - F.col("lo") >= length
+    if not K < mark <= length:
+        raise ValueError(f"mark must be over {K} and length at most")
+    all_ = stored(anchor_table(docs, text, length, mark), "anchors")
+    met = all_.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
+    found = stored(all_.join(met, "h"), "met")  # without an aggregate above it, so that Spark can split a frequent anchor
+    discard(all_)
     least = F.min(F.struct("k1", "k2", "lo", "pos", "hi", "doc_id"))
-    # Equal surroundings are counted before the shuffle; written, so that the join below can split a frequent one.
-    ctx = stored(found.filter(wide).groupBy("h", "ctx").agg(F.count(F.lit(1)).alias("n"), least.alias("rep")), "surroundings")
+    ctx = stored(found.groupBy("h", "ctx", "left", "right").agg(F.count(F.lit(1)).alias("n"), least.alias("rep")), "surroundings")
     copies = found.join(ctx.filter("n > 1").select("h", "ctx"), ["h", "ctx"]).select("k1", "k2", F.col("lo").cast("long").alias("start"), F.col("hi").cast("long").alias("end"))
-    # Anchors with surroundings that differ: each of these is looked at once.
-    several = ctx.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("rep")["hi"] - F.col("rep")["lo"]).alias("bytes")).filter("kinds > 1")
-    several = stored(several, "several")
-    asked = ctx.join(several, "h").select("h", "n", "rep.*", "bytes")
-    wanted = stored(asked.groupBy("k1", "k2", "doc_id").agg(F.collect_list(F.struct("h", "n", "lo", "pos", "hi", "bytes")).alias("segs")), "wanted")
+    copies = copies.select("k1", "k2", F.explode_outer(F.array(*[F.lit(x).cast("long") for x in sorted({mark, length})])).alias("length"), "start", "end").filter(F.col("end") - F.col("start") >= F.col("length"))
+    # Anchors with surroundings that differ: each of these is looked at once, if it goes on like another one.
+    side = lambda x: ctx.filter(F.col(x).isNotNull()).groupBy("h", x).agg(F.count(F.lit(1)).alias(f"c_{x}")).filter(f"c_{x} > 1")
+    near = ctx.join(side("left"), ["h", "left"], "left").join(side("right"), ["h", "right"], "left").filter("c_left is not null or c_right is not null")
+    asked = stored(near.select("h", "rep.*"), "asked")
+    several = asked.groupBy("h").agg(F.sum(F.col("hi") - F.col("lo")).alias("bytes"))
+    wanted = stored(asked.join(several, "h").groupBy("k1", "k2", "doc_id").agg(F.collect_list(F.struct("h", "lo", "pos", "hi", "bytes")).alias("segs")), "wanted")
     k1, k2 = row_keys(F.col("doc_id"), F.col(text))
     plain = docs.select(F.col("doc_id").alias("d"), k1.alias("_k1"), k2.alias("_k2"), F.encode(or_empty(F.col(text)), "UTF-8").alias("raw"))
     same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2"))
     one = plain.join(wanted, same).select("k1", "k2", "raw", F.explode_outer("segs").alias("s"))
     segs = one.select("k1", "k2", "s.*", F.substring("raw", F.col("s")["lo"] + 1, F.col("s")["hi"] - F.col("s")["lo"]).alias("seg")).dropDuplicates(["h", "k1", "k2", "pos"])
     segs = stored(segs, "segments")
-    total = several.filter(F.col("bytes") <= GROUP_BYTES).agg(F.sum("bytes")).first()[0] or 0
+    total = segs.filter(F.col("bytes") <= GROUP_BYTES).agg(F.sum(F.octet_length("seg"))).first()[0] or 0
     buckets = max(1, total // BUCKET_BYTES)
+    lengths = tuple(sorted({mark, length}))
     usual = segs.filter(F.col("bytes") <= GROUP_BYTES).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
-    near = usual.groupBy("bucket").applyInPandas(lambda rows: bucket_matches(rows, length), "k1 bigint, k2 bigint, start bigint, end bigint")
+    near = usual.groupBy("bucket").applyInPandas(lambda rows: bucket_matches(rows, lengths), "k1 bigint, k2 bigint, length bigint, start bigint, end bigint")
     # A group too large for one task: all its windows are counted, by hash, wherever they are.
-    starts = F.sequence(F.col("lo"), F.col("hi") - length)
-    huge = segs.filter(F.col("bytes") > GROUP_BYTES).select("h", "k1", "k2", "n", "seg", "lo", F.explode_outer(starts).alias("start"))
-    huge = stored(huge.select("k1", "k2", "n", "start", F.xxhash64(F.substring("seg", F.col("start") - F.col("lo") + 1, F.lit(length)), F.col("h")).alias("w")), "windows")
+    sized = segs.filter(F.col("bytes") > GROUP_BYTES).select("h", "k1", "k2", "seg", "lo", "hi", F.explode_outer(F.array(*map(F.lit, lengths))).alias("length")).filter(F.col("hi") - F.col("lo") >= F.col("length"))
+    huge = sized.select("h", "k1", "k2", "seg", "lo", "length", F.explode_outer(F.sequence(F.col("lo"), F.col("hi") - F.col("length"))).alias("start"))
+    huge = stored(huge.select("k1", "k2", F.col("length").cast("long").alias("length"), F.col("start").cast("long").alias("start"), F.xxhash64(F.substring("seg", F.col("start") - F.col("lo") + 1, F.col("length")), F.col("h")).alias("w")), "windows")
     # Surroundings that overlap in one text hold the same starts, so a window is a repeat only where its places differ.
     place = ("k1", "k2", "start")
     apart = " or ".join(f"{x}_lo <> {x}_hi" for x in place)
-    often = stored(huge.groupBy("w").agg(*[f(x).alias(f"{x}_{end}") for x in place for f, end in ((F.min, "lo"), (F.max, "hi"))]).filter(apart).select("w"), "often")
-    far = huge.join(often, "w").filter("n = 1").select("k1", "k2", F.col("start").cast("long"), (F.col("start") + length).cast("long").alias("end"))
-    return copies.unionByName(near).unionByName(far).groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    often = stored(huge.groupBy("w", "length").agg(*[f(x).alias(f"{x}_{end}") for x in place for f, end in ((F.min, "lo"), (F.max, "hi"))]).filter(apart).select("w", "length"), "often")
+    far = huge.join(often, ["w", "length"]).select("k1", "k2", "length", "start", (F.col("start") + F.col("length")).alias("end"))
+    each = copies.unionByName(near).unionByName(far)
+    of = lambda n: F.sort_array(F.collect_set(F.when(F.col("length") == n, F.struct("start", "end"))))
+    out = stored(each.groupBy("k1", "k2").agg(of(length).alias("spans"), of(mark).alias("marks")), "repeats")
+    discard(found, ctx, asked, wanted, segs, huge, often)
+    return out
 
 
-def without_repeats(docs: DataFrame, text: str = "text", *, length: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes left) per row of docs."""
+def without_repeats(docs: DataFrame, text: str = "text", *, length: int = 400, mark: int = MARK) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, n_marked (bytes in repeats of mark bytes), kept (the bytes left) per row of docs."""
     k1, k2 = row_keys(F.col("doc_id"), F.col(text))
-    rows = docs.select("doc_id", k1, k2, or_empty(F.col(text)).alias("t")).join(repeated_bytes(docs, text, length=length), ["k1", "k2"], "left").select("doc_id", F.encode("t", "UTF-8").alias("raw"), F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
+    found = repeated_bytes(docs, text, length=length, mark=mark)
+    rows = docs.select("doc_id", k1, k2, or_empty(F.col(text)).alias("t")).join(found, ["k1", "k2"], "left").select("doc_id", F.encode("t", "UTF-8").alias("raw"), "spans.start", "spans.end", F.col("marks.start").alias("m_start"), F.col("marks.end").alias("m_end"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
-                sizes, removed, spans, kept = [], [], [], []
-                for raw, starts, ends in zip(*(part.column(i).to_pylist() for i in (1, 2, 3))):
+                sizes, removed, spans, marked, kept = [], [], [], [], []
+                for raw, starts, ends, m_starts, m_ends in zip(*(part.column(i).to_pylist() for i in (1, 2, 3, 4, 5))):
                     at, n, gone, out = 0, 0, 0, []
                     last = -1
                     for a, b in zip(starts or [], ends or []):
@@ -244,15 +266,20 @@ def without_repeats(docs: DataFrame, text: str = "text", *, length: int = 400) -
                         gone += max(0, b - max(a, at))
                         at, last = max(at, b), max(last, b)
                     out.append(raw[at:])
+                    seen, to = 0, 0
+                    for a, b in zip(m_starts or [], m_ends or []):
+                        seen += max(0, b - max(a, to))
+                        to = max(to, b)
                     sizes.append(len(raw))
                     removed.append(gone)
                     spans.append(n)
+                    marked.append(seen)
                     kept.append(b"".join(out))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans, marked)), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "n_marked", "kept"])
 
-    return rows.mapInArrow(cut, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return rows.mapInArrow(cut, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes bigint, n_removed bigint, n_spans bigint, n_marked bigint, kept binary")
 
 
 def op4_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "n_marked", F.sha2("kept", 256).alias("kept_sha256"))
