@@ -17,10 +17,9 @@ REPORTING = {"said", "says", "quote", "quoted", "word", "called", "wrote", "zita
 ADDRESS = {"you", "your", "youre", "du", "dein", "tu", "toi", "vous", "usted", "eres"}
 CONTEXT = 6  # words on each side
 STEMS = (4, 5, 6, 7)  # lengths of word starts that may become terms, besides whole words
-MIN_DOCS, MIN_SHARE, MIN_PRECISION = 3, 0.01, 0.8
+MIN_DOCS, MIN_SHARE, MIN_PRECISION = 3, 0.01, 0.94
 FUZZY_FROM = 6  # terms of so many letters also match with one edit
-MAX_TERMS, MAX_TRAIN = 5_000, 200_000
-BROADCAST_LABELS = 1_000_000  # 16 MB
+MAX_TRAIN = 200_000  # labelled rows to learn from, about 3 MB of ids
 FEATURES = ("plain", "quoted", "fuzzy", "fuzzy_quoted", "address", "rate")
 
 
@@ -35,19 +34,20 @@ def terms_of(text: str = "text") -> Column:
 def learn_lexicon(train: DataFrame, text: str = "text") -> list[tuple[str, float]]:
     """Terms of toxic training rows with their weights; train has text and toxic.
 
-    A term occurs in MIN_SHARE of the toxic rows at least, and MIN_PRECISION of the rows with it (balanced for the sizes
-    of both classes) are toxic.  Of a start and a longer term that nearly always comes with it the longer one stays.
+    A term occurs in MIN_SHARE of the toxic rows at least (so there are 1 / MIN_SHARE times a row's terms at most), and
+    MIN_PRECISION of the rows with it (balanced for the sizes of both classes) are toxic.  Of a start and a longer term
+    that nearly always comes with it the longer one stays.
     """
     n_tox, n_clean = train.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     if not n_tox or not n_clean:
         return []
     least = max(MIN_DOCS, MIN_SHARE * n_tox)
     of = lambda toxic: train.filter(F.col("toxic") == toxic).select(terms_of(text).alias("ts")).select(F.explode_outer("ts").alias("term"))
-    often = stored(of(1).groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least), "terms")  # 1 / MIN_SHARE times a row's terms at most
+    often = stored(of(1).groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least), "terms")
     clean = of(0).join(often.select("term"), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("m"))
     both = often.join(clean, "term", "left").select("term", "n", F.coalesce("m", F.lit(0)).alias("m"))
-    precise = both.filter(F.col("n") / n_tox >= MIN_PRECISION / (1 - MIN_PRECISION) * (F.col("m") / n_clean) * 4)
-    rows = precise.orderBy(F.desc("n"), "term").limit(MAX_TERMS).collect()
+    precise = both.filter(F.col("n") / n_tox >= MIN_PRECISION / (1 - MIN_PRECISION) * (F.col("m") / n_clean))
+    rows = precise.orderBy(F.desc("n"), "term").collect()
     counts = {r.term: r.n for r in rows}
     kept: dict[str, float] = {}
     for r in rows:
@@ -116,7 +116,7 @@ class Automaton:
                     todo.append(t)
                 row.append(index[t])
             rows[index[s]] = row
-        self.code = np.zeros(0x110000, dtype=np.int32)  # a letter's column
+        self.code = np.zeros(letters[-1] + 2, dtype=np.int32)  # a letter's column; the last one stands for all beyond
         self.code[letters] = np.arange(1, len(letters) + 1)
         self.table, self.kind = np.array(rows, dtype=np.int32), np.array(kinds, dtype=np.int8)
 
@@ -127,7 +127,7 @@ class Automaton:
         while len(live):
             at = start[live] + i
             letter = np.where(i < size[live], data[np.minimum(at, len(data) - 1)], 32)
-            state = self.table[state, self.code[letter]]
+            state = self.table[state, self.code[np.minimum(letter, len(self.code) - 1)]]
             best[live] = np.maximum(best[live], self.kind[state])
             on = (state > 0) & (i < size[live]) & (best[live] < 2)
             live, state, i = live[on], state[on], i + 1
@@ -151,9 +151,9 @@ def scanned(text: Column) -> Column:
 def features(docs: DataFrame, lexicon: list[tuple[str, float]], text: str = "text") -> DataFrame:
     """doc_id and FEATURES of every whole text: logarithms of the numbers of hits by kind, and hits per word."""
     kind = dict(docs.dtypes)["doc_id"]
+    auto = Automaton([t for t, _ in lexicon])  # built once; its two tables go to the tasks with the function
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = Automaton([t for t, _ in lexicon])
         for batch in batches:
             for begin in range(0, batch.num_rows, 128):
                 part = batch.slice(begin, 128)
@@ -204,17 +204,21 @@ def held_out(doc_id: Column) -> Column:
 def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", *, from_score: float = 0.3, max_train: int = MAX_TRAIN) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted, one row per row of docs.
 
-    The lexicon comes from all labelled rows that aren't held out; the model is fitted on max_train of them at most (those
-    of the smallest hashes).  Null and empty texts get the score of a text without hits; null doc_ids aren't held out and
-    have no label; without labels of both classes every score is 0.
+    Lexicon and model are learned from max_train of the labelled rows that aren't held out, those of the smallest hashes
+    (about so many: a share of all hashes), at every size; their ids are broadcast.  Null and empty texts get the score of
+    a text without hits; null doc_ids aren't held out and have no label; a doc_id that is labelled twice is toxic if one
+    label says so; without labels of both classes every score is 0.  Repeated rows are scored alike.
     """
-    known = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    train = known.filter(~held_out(F.col("doc_id")))
-    # Counted first: labels of up to BROADCAST_LABELS rows go to the texts, more of them meet the texts by a shuffle.
-    near = F.broadcast(train) if train.count() <= BROADCAST_LABELS else train
+    known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    usable = known.filter(~held_out(F.col("doc_id")))
+    share = min(1.0, max_train / max(1, usable.count()))
+    train = stored(usable.filter(F.xxhash64("doc_id") <= int(-(2**63) + share * (2**64 - 1) - 1)) if share < 1 else usable, "train")
+    near = F.broadcast(train)
     lexicon = learn_lexicon(docs.select("doc_id", text).join(near, "doc_id"), text)
     scored = stored(features(docs, lexicon, text), "features")
-    rows = scored.join(train, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).select(*FEATURES, "toxic").toPandas()
+    # Documents with one doc_id give one row, so the driver gets no more rows than ids were broadcast.
+    seen = scored.join(near, "doc_id").groupBy("doc_id").agg(*[F.max(f).alias(f) for f in FEATURES], F.max("toxic").alias("toxic"))
+    rows = seen.select(*FEATURES, "toxic").toPandas()
     if rows["toxic"].nunique() < 2:
         score = F.lit(0.0)
     else:
