@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import or_empty, row_keys, stored, table
+from .common import discard, or_empty, put_back, row_keys, set_aside, stored, table
 
 MIN_CHUNK, MASK_BITS, MAX_CHUNK = 24, 5, 256
 MIN_RUN = 96  # bytes of neighbouring repeated chunks from which on they are removed
@@ -76,14 +76,22 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     Of equal chunks the one in the document with the smallest doc_id stays, there the first; the others are repeats.
     Runs of neighbouring repeats of MIN_RUN bytes or more are removed, shorter ones stay.  Null and empty texts have no
     chunks.  Rows with the same doc_id count as one document (each keeps its first chunk); a null doc_id counts last.
+    Other columns stay; those named as the added ones are replaced.
     """
+    columns, made = docs.columns, ["n_bytes", "n_chunks", "n_dup_chunks", "removed"]
+    docs = set_aside(docs, list(dict.fromkeys(["doc_id", text])), made)
     chunks = stored(chunk_table(docs, text), "chunks")
-    rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    # Counts are combined before the shuffle; written, so that the join below can split a frequent digest.
-    often = stored(chunks.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first")).filter("n > 1").select("d1", "d2", "first"), "repeated")
-    dups = chunks.join(often, ["d1", "d2"]).select("k1", "k2", "start", "size", "d1", "d2", (rank == F.col("first")).alias("home")).distinct()
+    if dict(docs.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint"):
+        rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
+    else:
+        rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"))
+    # Counts are combined before the shuffle.
+    often = chunks.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first")).filter("n > 1").select("d1", "d2", "first")
+    # Written right after the join, as Spark can split a frequent digest only where nothing above needs its rows together.
+    dups = stored(chunks.join(often, ["d1", "d2"]).select("k1", "k2", "start", "size", "d1", "d2", (rank == F.col("first")).alias("home")), "repeated")
+    by_row = dups.repartition("k1", "k2").distinct()
     first = F.row_number().over(Window.partitionBy("k1", "k2", "d1", "d2").orderBy("start")) == 1
-    gone = dups.withColumn("_stays", F.col("home") & first).filter(~F.col("_stays"))
+    gone = by_row.withColumn("_stays", F.col("home") & first).filter(~F.col("_stays"))
     row = Window.partitionBy("k1", "k2").orderBy("start")
     apart = F.coalesce((F.lag(F.col("start") + F.col("size")).over(row) != F.col("start")).cast("int"), F.lit(1))
     runs = gone.withColumn("_apart", apart).withColumn("_run", F.sum("_apart").over(row))
@@ -91,17 +99,22 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     long = F.col("end") - F.col("start") >= MIN_RUN
     per = spans.groupBy("k1", "k2").agg(F.sum("n").alias("n_dup_chunks"), F.array_sort(F.collect_list(F.when(long, F.struct("start", "end")))).alias("removed"))
     n_chunks = chunks.groupBy("k1", "k2").agg((F.max("nth") + 1).cast("long").alias("n_chunks"))
+    both = stored(n_chunks.join(per, ["k1", "k2"], "left").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "n_chunks", "n_dup_chunks", "removed"), "spans")
+    discard(chunks, dups)
     k1, k2 = row_keys(F.col("doc_id"), F.col(text))
-    out = docs.withColumns({"k1": k1, "k2": k2, "n_bytes": F.octet_length(or_empty(F.col(text))).cast("long")}).join(n_chunks, ["k1", "k2"], "left").join(per, ["k1", "k2"], "left")
+    out = docs.withColumns({"_k1": k1, "_k2": k2, "n_bytes": F.octet_length(or_empty(F.col(text))).cast("long")}).join(both, ["_k1", "_k2"], "left")
     none = F.array().cast("array<struct<start:int,end:int>>")
-    return out.withColumns({"n_chunks": F.coalesce("n_chunks", F.lit(0)), "n_dup_chunks": F.coalesce("n_dup_chunks", F.lit(0)), "removed": F.coalesce("removed", none)}).drop("k1", "k2")
+    return put_back(out.withColumns({"n_chunks": F.coalesce("n_chunks", F.lit(0)), "n_dup_chunks": F.coalesce("n_dup_chunks", F.lit(0)), "removed": F.coalesce("removed", none)}), columns, made)
 
 
 def without_spans(found: DataFrame, text: str = "text") -> DataFrame:
-    """The texts without their removed bytes.  A chunk may end inside a character; its other bytes then become U+FFFD."""
+    """The texts without their removed bytes; a character of which a span holds only a part stays."""
     raw = F.encode(or_empty(F.col(text)), "UTF-8")
+    within = lambda at: F.conv(F.hex(F.substring(raw, at + 1, F.lit(1))), 16, 10).cast("int").between(128, 191)
+    moved = lambda at, by: F.when(~F.coalesce(within(at), F.lit(False)), at).when(~within(at + by), at + by).when(~within(at + 2 * by), at + 2 * by).otherwise(at + 3 * by)
+    whole = F.filter(F.transform("removed", lambda s: F.struct(moved(s["start"], 1).alias("start"), moved(s["end"], -1).alias("end"))), lambda s: s["start"] < s["end"])
     step = lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(raw, a["at"] + 1, s["start"] - a["at"])).alias("out"))
-    done = F.aggregate("removed", F.struct(F.lit(0).alias("at"), F.lit(b"").alias("out")), step, lambda a: F.concat(a["out"], F.substring(raw, a["at"] + 1, F.octet_length(raw))))
+    done = F.aggregate(whole, F.struct(F.lit(0).alias("at"), F.lit(b"").alias("out")), step, lambda a: F.concat(a["out"], F.substring(raw, a["at"] + 1, F.octet_length(raw))))
     return found.withColumn(text, F.decode(done, "UTF-8"))
 
 
