@@ -27,6 +27,7 @@ class Kind:
 
 
 WINDOW, BONUS, KEEP_FROM = 40, 0.3, 0.6
+LEAST_DISTINCT = 10
 
 # Kinds in the order in which spans are listed.  A match starts where the last one ended (\G) or where no
 # longer run of the same characters begins, which is where the leftmost search would start it too.
@@ -37,6 +38,7 @@ KINDS = [
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.6, "phone|call|tel|mobile|fon|appel|llame", True),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", 0.8, "iban|account|bank|konto|compte|cuenta", False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.4, "ssn|social security", False),
+    Kind("secret", r"(?<![A-Za-z0-9_])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9_])", r"[0-9A-Fa-f]{32}", 0.4, "key|token|secret|password|passwd|auth|credential", False),
 ]
 
 
@@ -63,6 +65,8 @@ def confirmed(kind: str, m: Column) -> Column:
         return F.length(digits).between(9, 15)
     if kind == "iban":
         return mod97(m) == 1
+    if kind == "secret":  # of 16 digits a random key of 32 has 14 on average
+        return (F.size(F.array_distinct(F.split(m, ""))) >= LEAST_DISTINCT) & m.rlike("[0-9]") & m.rlike("[A-Fa-f]")
     if kind == "ssn":
         return ~m.rlike("^(000|666|9)|-00-|-0000$")
     return F.lit(True)
@@ -93,11 +97,12 @@ def spans_of(text: Column, kind: Kind) -> Column:
 def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds pii: array<struct<kind, start, end, score>> of every whole text, by kind (order of KINDS), then start.
 
-    Kinds email, ip, card and phone are kept whenever their rule or checksum holds; iban and ssn only from a score of
-    KEEP_FROM on, which ssn reaches by context alone.  A null or empty text has no spans.  No shuffle, no other rows.
+    Kinds email, ip, card and phone are kept whenever their rule or checksum holds; iban, ssn and secret only from a score
+    of KEEP_FROM on, which ssn and secret reach by context alone.  A null or empty text has no spans.  No shuffle, no other rows; other
+    columns stay, but for one named pii.
     """
     t = or_empty(F.col(text))
-    return docs.withColumn("pii", F.concat(*[spans_of(t, k) for k in KINDS]))
+    return docs.drop("pii").withColumn("pii", F.concat(*[spans_of(t, k) for k in KINDS]))
 
 
 def masked(found: DataFrame, text: str = "text") -> DataFrame:
@@ -115,4 +120,4 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("pii", lambda s: s["kind"].isin("email", "ip", "card", "phone"))
     of = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [of(k) for k in ("email", "ip", "card", "phone")]
-    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"), F.size("pii").cast("long").alias("n_spans"))

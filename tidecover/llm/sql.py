@@ -41,6 +41,7 @@ def pii_sql() -> str:
         "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
         "iban": r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b",
         "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+        "secret": r"\b(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})\b",
     }
     digits = "regexp_replace(m, '[^0-9]', '', 'g')"
     luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse({digits})[i] AS INTEGER) ELSE (CAST(reverse({digits})[i] AS INTEGER) * 2) // 10 + (CAST(reverse({digits})[i] AS INTEGER) * 2) % 10 END)) % 10 = 0"
@@ -55,6 +56,7 @@ def pii_sql() -> str:
         "phone": f"length({digits}) BETWEEN 9 AND 15",
         "iban": mod97,
         "ssn": f"NOT regexp_matches(m, '^(000|666|9)|-00-|-0000$') AND {near('ssn|social security')}",
+        "secret": f"len(list_distinct(string_split(m, ''))) >= 10 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Fa-f]') AND {near('key|token|secret|password|passwd|auth|credential')}",
     }
     each = []
     for n, (kind, p) in enumerate(patterns.items()):
@@ -63,7 +65,7 @@ def pii_sql() -> str:
     listed = lambda cond: f"coalesce(string_agg(concat(kind, ':', CAST(s AS VARCHAR), ':', CAST(e AS VARCHAR)), ',' ORDER BY o, s) FILTER ({cond}), '')"
     counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ("email", "ip", "card", "phone"))
     return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), x AS ({" UNION ALL ".join(each)})
-SELECT any_value(doc_id) AS doc_id, {counts}, sha256({listed('o < 4')}) AS base_sha256, {listed('o IS NOT NULL')} AS spans FROM d LEFT JOIN x USING (rid) GROUP BY rid"""
+SELECT any_value(doc_id) AS doc_id, {counts}, sha256({listed('o < 4')}) AS base_sha256, {listed('o IS NOT NULL')} AS spans, count(kind) AS n_spans FROM d LEFT JOIN x USING (rid) GROUP BY rid"""
 
 
 def decontamination_sql(n: int = 10) -> str:
