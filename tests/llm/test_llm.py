@@ -55,12 +55,12 @@ def none(spark):
 
 
 def test_words(spark):
-    df = spark.createDataFrame([(" a  b\tc\n",), ("",), (" ",), ("é\x0bf",)], "t string")
-    assert [r[0] for r in df.select(words(F.col("t"))).collect()] == [["a", "b", "c"], [], [], ["é", "f"]]
+    df = spark.createDataFrame([(" a  b\tc\n",), ("",), (" ",), ("é\x0bf",), ("\n\na\r\n b\x0c\x0c\n",), ("a\u00a0b\u2028c",)], "t string")
+    assert [r[0] for r in df.select(words(F.col("t"))).collect()] == [["a", "b", "c"], [], [], ["é", "f"], ["a", "b"], ["a\u00a0b\u2028c"]]
 
 
 def test_pii_against_plain_patterns(spark, docs, none):
-    texts = ["mail a@b.c@d.e or x.y+z@host.example.org.", "1.2.3.4.5.6.7.8 256.1.1.1 0001.002.3.4", "4111 1111 1111 1111, 4111-1111-1111-1112 12", "+1 (234) 567-8901 and +49 30 12", "é😀 me@x.de IBAN DE89370400440532013000 ssn 123-45-6789", None, "", "no", "a@b.c" * 50, "1" * 5000, "9.9.9.9" * 400, "x" * 200_000]
+    texts = ["mail a@b.c@d.e or x.y+z@host.example.org.", "1.2.3.4.5.6.7.8 256.1.1.1 0001.002.3.4", "4111 1111 1111 1111, 4111-1111-1111-1112 12", "+1 (234) 567-8901 and +49 30 12", "é😀 me@x.de IBAN DE89370400440532013000 ssn 123-45-6789 api_key = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" ", None, "", "no", "a@b.c" * 50, "1" * 5000, "9.9.9.9" * 400, "x" * 200_000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.pii] for r in pii.find_pii(df).collect()}
 
@@ -82,9 +82,9 @@ def test_pii_against_plain_patterns(spark, docs, none):
         if t and len(t) < 100_000:
             want = [(k, m.start(), m.end()) for k, (p, good) in plain.items() for m in re.finditer(p, t) if good(m[0])]
             assert [s for s in got[i] if s[0] in plain] == want
-    assert [s[0] for s in got[4]] == ["email", "iban", "ssn"]
+    assert [s[0] for s in got[4]] == ["email", "iban", "ssn", "secret"]
     assert got[5] == got[6] == got[7] == got[11] == []
-    assert pii.masked(pii.find_pii(df)).filter("doc_id = 4").first().text == "é😀 <email> IBAN <iban> ssn <ssn>"
+    assert pii.masked(pii.find_pii(df)).filter("doc_id = 4").first().text == "é😀 <email> IBAN <iban> ssn <ssn> api_key = \"<secret>\" "
     assert pii.find_pii(docs).count() == docs.count() and pii.find_pii(none).count() == 0
 
 
@@ -261,8 +261,9 @@ def plain_repeats(texts, length):
 def test_repeated_bytes(docs, rows, none, huge, monkeypatch):
     if huge:
         monkeypatch.setattr(repeats, "GROUP_BYTES", 3000)
-    got = sorted((r.n_bytes, r.n_removed, r.n_spans, sha256(r.kept).hexdigest()) for r in repeats.without_repeats(docs).collect())
-    assert got == sorted(plain_repeats([r[1] for r in rows], 400))
+    found = repeats.without_repeats(docs).collect()
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans, sha256(r.kept).hexdigest()) for r in found) == sorted(plain_repeats([r[1] for r in rows], 400))
+    assert sorted((r.n_bytes, r.n_marked) for r in found) == sorted(x[:2] for x in plain_repeats([r[1] for r in rows], repeats.MARK))
     assert repeats.without_repeats(none).count() == 0
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import folded, or_empty, row_keys, table, union_all, words
+from .common import folded, or_empty, put_back, row_keys, set_aside, table, union_all, words
 
 # Fixed value: everything in ASCII that isn't a digit or a lower-case letter separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -45,8 +45,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", *,
 
     Every window of every whole text is looked up by its hash, and a hit is then verified word by word.  The windows of the
     benchmark are broadcast where they are at most broadcast_windows (counted first); else both sides are shuffled.
-    Null and empty texts have no words; rows with equal ids and null ids are told apart by their content.
+    Null and empty texts have no words; rows with equal ids and null ids are told apart by their content.  Other columns
+    stay; those named as the added ones are replaced.
     """
+    columns, made = docs.columns, ["n_words", "hit_at", "hit_items", "contaminated"]
+    docs = set_aside(docs, list(dict.fromkeys(["doc_id", text])), made)
     bench = benchmark_windows(benchmark, n)
     lengths = [r[0] for r in bench.groupBy("_n").count().filter("_n is not null").orderBy("_n").collect()]  # n values at most
     known = F.broadcast(bench) if bench.count() <= broadcast_windows else bench
@@ -70,7 +73,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", *,
     out = out.withColumns({"n_words": F.size("_w").cast("long"), "_hits": right})
     at = F.array_distinct(F.flatten(F.transform("_hits", lambda x: F.sequence(x["_at"], x["_at"] + F.size(x["_win"]) - 1))))
     out = out.withColumns({"hit_at": F.sort_array(at), "hit_items": F.sort_array(F.array_distinct(F.flatten(F.transform("_hits", lambda x: x["_items"]))))})
-    return out.withColumn("contaminated", F.size("hit_at") > 0).drop("_k1", "_k2", "_w", "_hits")
+    return put_back(out.withColumn("contaminated", F.size("hit_at") > 0), columns, made)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

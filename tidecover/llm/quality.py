@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, or_empty, stored, table, words
+from .common import let, or_empty, put_back, set_aside, stored, table, words
 
 # Frequent function words of each reference language.
 COMMON_WORDS = {
@@ -17,6 +17,8 @@ COMMON_WORDS = {
 # Character classes as (name, pattern of one character); all other characters are one class more.
 CHAR_CLASSES = [("space", r"[\x20\x09-\x0D]"), ("symbol", r"[#*$%&|<>]"), ("upper", r"[A-Z]"), ("digit", r"[0-9]"), ("stop", r"[.,;:!?]")]
 N_WORDS = 12
+MADE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "js_chars", "js_words", "kept"]
+
 
 def language(lang: Column) -> Column:
     return F.when(lang.isin(list(COMMON_WORDS)), lang).otherwise("other")
@@ -102,13 +104,17 @@ def quality_verdict(docs: DataFrame, text: str = "text", lang: str = "lang", *,
     language's reference than allowed.  Guards: characters are judged from min_words words on, common words from
     min_common_words on.  The references are sums over all documents.  Null text: no words, so not kept.  Unknown or
     null language: characters are held against all languages together and common words aren't judged.  An empty table
-    gives an empty table; all other columns of docs stay, and the texts too if with_text.
+    gives an empty table; all other columns of docs stay, and the texts too if with_text; columns named as the added ones
+    are replaced.  Repeated rows are judged alike.
     """
+    columns = docs.columns
+    docs = set_aside(docs, [c for c in dict.fromkeys(["doc_id", text, lang]) if c in columns], MADE)
     keep = [c for c in docs.columns if c != text or with_text]
     # Written once, as both the references and the verdict read them; without the texts the counted rows are small.
     counted = stored(counts(docs, text, lang).select("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_key", "_chars", "_common", *keep), "quality")
     ref = F.broadcast(references(counted))  # five rows at most
-    return judged(counted.join(ref, "_key", "left"), min_words, min_common_words, max_char_distance, max_word_distance)
+    out = judged(counted.join(ref, "_key", "left"), min_words, min_common_words, max_char_distance, max_word_distance)
+    return put_back(out, columns, MADE)
 
 
 def judged(df: DataFrame, min_words: int, min_common_words: int, max_char_distance: float, max_word_distance: float) -> DataFrame:
