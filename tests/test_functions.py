@@ -64,8 +64,18 @@ def test_region_bounds(spark):
 def test_nearest_takes_the_first_of_ties(spark):
     points = spark.createDataFrame([(1, 1.5), (1, 2.9), (1, 9.0)], "k int, x double")
     axis = spark.createDataFrame([(1, 3.0), (1, 2.0), (1, 1.0)], "k int, x double")
-    got = {r.x: r.v for r in match.nearest_on_axis(points, axis, ["k"], "x", "v").collect()}
-    assert got == {1.5: 1.0, 2.9: 3.0, 9.0: 3.0}
+    falling = {r.x: r.v for r in match.nearest_on_axis(points, axis, ["k"], "x", "v", falling=True).collect()}
+    assert falling == {1.5: 2.0, 2.9: 3.0, 9.0: 3.0}
+    rising = {r.x: r.v for r in match.nearest_on_axis(points, axis, ["k"], "x", "v").collect()}
+    assert rising == {1.5: 1.0, 2.9: 3.0, 9.0: 3.0}
+
+
+def test_every_fine_cell_goes_to_its_nearest_coarse_cell(spark):
+    coarse = spark.createDataFrame([(1, 0.0, 0.0, 10.0), (1, 0.0, 1.0, 20.0), (2, 0.0, 0.0, None), (3, 0.0, 0.0, 5.0)], "time int, lat double, lon double, value double")
+    fine = spark.createDataFrame([(1, 0.1, 0.1, 9.0), (1, 0.2, 0.4, 8.0), (1, 0.1, 0.9, 25.0), (1, 0.0, 0.2, None), (2, 0.1, 0.1, 1.0), (4, 0.1, 0.1, 1.0)], "time int, lat double, lon double, value double")
+    pairs = match.colocate(coarse, fine)
+    assert sorted(tuple(r) for r in pairs.collect()) == [(1, 0.0, 0.0, 10.0, 8.0), (1, 0.0, 0.0, 10.0, 9.0), (1, 0.0, 1.0, 20.0, 25.0)]
+    assert [(r.lon, r.n, r.bias) for r in match.cell_quality(pairs, 2).collect()] == [(0.0, 2, 1.5)]
 
 
 def test_square_and_folded_corridor(spark):

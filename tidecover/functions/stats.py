@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NORMAL_FROM = 20_000  # degrees of freedom from which on the normal distribution stands for Student's
@@ -56,3 +56,25 @@ def normal_density(x: Column, mu: Column, sd: Column) -> Column:
 def percentiles(x: str, at: list[float]) -> Column:
     """Exact percentiles by linear interpolation, as an array."""
     return F.percentile(F.col(x), [float(p) for p in at])
+
+
+def cumulative_counts(df: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """keys, x, c, below, n: of each distinct value its count, that of smaller values, and the group's; nulls left out.
+
+    Counts are combined before the shuffle, and a group's distinct values are sorted (and spilled), never held in memory.
+    """
+    per = df.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("c"))
+    totals = per.groupBy(*keys).agg(F.sum("c").alias("n"))
+    to = Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    return per.withColumn("below", F.coalesce(F.sum("c").over(to), F.lit(0))).join(totals, keys)
+
+
+def exact_percentiles(df: DataFrame, keys: list[str], x: str, shares: dict[str, float]) -> DataFrame:
+    """keys, n and a column per share: exact percentiles, linear between neighbours, without a group's values in memory."""
+    counts = cumulative_counts(df, keys, x)
+    at = lambda p: F.lit(float(p)) * (F.col("n") - 1)
+    value = lambda i: F.max(F.when((F.col("below") <= i) & (i < F.col("below") + F.col("c")), F.col(x)))
+    picked = [f(name, p) for name, p in shares.items() for f in (lambda n, p: value(F.floor(at(p))).alias(f"_lo_{n}"), lambda n, p: value(F.ceil(at(p))).alias(f"_hi_{n}"))]
+    out = counts.groupBy(*keys).agg(F.max("n").alias("n"), *picked)
+    mixed = lambda n, p: (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * (at(p) - F.floor(at(p)))).alias(n)
+    return out.select(*keys, "n", *[mixed(n, p) for n, p in shares.items()])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.seasons import season_type
+from ..functions.stats import exact_percentiles
 from .corridor import assign_regions
 
 
@@ -99,9 +100,9 @@ def smoothed(cells: DataFrame, sigma: float = 1.5, radius: int = 6, nx: int = 80
 
 def without_outliers(df: DataFrame, keys: list[str], x: str, reach: float = 1.5) -> DataFrame:
     """Rows with x within reach quartile ranges of its group's quartiles."""
-    q = df.groupBy(*keys).agg(F.percentile(x, [0.25, 0.75]).alias("_q"))
-    lo, hi = F.get("_q", F.lit(0)), F.get("_q", F.lit(1))
-    return df.join(q, keys).filter(F.col(x).between(lo - reach * (hi - lo), hi + reach * (hi - lo))).drop("_q")
+    q = exact_percentiles(df, keys, x, {"_lo": 0.25, "_hi": 0.75}).drop("n")
+    lo, hi = F.col("_lo"), F.col("_hi")
+    return df.join(q, keys).filter(F.col(x).between(lo - reach * (hi - lo), hi + reach * (hi - lo))).drop("_lo", "_hi")
 
 
 def effort(pings: DataFrame, keys: list[str], minutes: float = 9.0) -> DataFrame:

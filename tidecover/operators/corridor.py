@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import exact_percentiles
+
 WEST, EAST, PAD = -82.0, -74.0, 0.1
 
 
@@ -22,8 +24,8 @@ def assign_regions(df: DataFrame, regions: DataFrame) -> DataFrame:
 def bands(events: DataFrame, regions: DataFrame, least: int = 20) -> DataFrame:
     """region, band (its southern edge), west and east (5th and 95th percentile of lon), of bands with least events."""
     df = assign_regions(events.filter("lat is not null and lon is not null"), regions)
-    per = df.groupBy("region", F.floor("lat").cast("int").alias("band")).agg(F.count(F.lit(1)).alias("n"), F.percentile("lon", [0.05, 0.95]).alias("p"))
-    return per.filter(F.col("n") >= least).select("region", "band", F.get("p", F.lit(0)).alias("west"), F.get("p", F.lit(1)).alias("east"))
+    per = exact_percentiles(df.withColumn("band", F.floor("lat").cast("int")), ["region", "band"], "lon", {"west": 0.05, "east": 0.95})
+    return per.filter(F.col("n") >= least).select("region", "band", "west", "east")
 
 
 def extents(events: DataFrame, regions: DataFrame) -> DataFrame:
@@ -62,10 +64,13 @@ def members(cells: DataFrame, edges: DataFrame, extents: DataFrame) -> DataFrame
     return hit.join(F.broadcast(extents), "region").filter(pad).select("region", "lat", "lon")
 
 
-def corridor_daily(events: DataFrame, anomaly: DataFrame, regions: DataFrame, least: int = 20) -> DataFrame:
-    """region, time, idx: the unweighted mean anomaly of the corridor's cells per day, days without a value left out."""
+def corridor_daily(events: DataFrame, anomaly: DataFrame, regions: DataFrame, least: int = 20, places: DataFrame | None = None) -> DataFrame:
+    """region, time, idx: the unweighted mean anomaly of the corridor's cells per day, days without a value left out.
+
+    places: a table with the anomaly's places that is cheaper to read, such as the grid that it was made from.
+    """
     ext = extents(events, regions)
-    cells = members(anomaly, edges(bands(events, regions, least), ext), ext)
+    cells = members(anomaly if places is None else places, edges(bands(events, regions, least), ext), ext)
     return anomaly.join(F.broadcast(cells), ["lat", "lon"]).groupBy("region", "time").agg(F.avg("anom").alias("idx")).filter("idx is not null")
 
 
@@ -85,5 +90,7 @@ def complete_season_means(daily: DataFrame, tipo: Column, keys: list[str]) -> Da
 
 def both_seasons(seasons: DataFrame, keys: list[str]) -> DataFrame:
     """keys, year, t1, t2 of years with both seasons."""
-    a, b = (seasons.filter(F.col("tipo") == t).select(*keys, "year", F.col("idx").alias(t.lower())) for t in ("T1", "T2"))
-    return a.join(b, [*keys, "year"])
+    of = lambda t: F.max(F.when(F.col("tipo") == t, F.col("idx"))).alias(t.lower())
+    has = lambda t: F.bool_or(F.col("tipo") == t).alias(f"_{t}")
+    per = seasons.groupBy(*keys, "year").agg(of("T1"), of("T2"), has("T1"), has("T2"))
+    return per.filter("_T1 and _T2").select(*keys, "year", "t1", "t2")

@@ -6,28 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def nearest_on_axis(points: DataFrame, axis: DataFrame, keys: list[str], x: str, out: str) -> DataFrame:
-    """keys, x, out: for each distinct x of points the nearest value of axis(keys..., x); the first (smallest) wins ties.
+def nearest_on_axis(points: DataFrame, axis: DataFrame, keys: list[str], x: str, out: str, falling: bool = False) -> DataFrame:
+    """keys, x, out: for each distinct x of points the nearest value of axis(keys..., x); the axis's first one wins ties.
 
-    The distinct values of an axis are few (days of a year, rows of a grid), and so are distinct coordinates, so each is
-    resolved once and joined back, however many points there are.
+    That is the smallest of them, or the largest where the axis is falling.  The distinct values of an axis are few (days
+    of a year, rows of a grid), and so are distinct coordinates, so each is resolved once and joined back, however many
+    points there are.
     """
-    values = axis.groupBy(*keys).agg(F.sort_array(F.collect_set(x)).alias("_axis"))
+    values = axis.groupBy(*keys).agg(F.sort_array(F.collect_set(x), asc=not falling).alias("_axis"))
     gap = (lambda v: F.abs(F.datediff(v, F.col(x)))) if dict(points.dtypes)[x] == "date" else (lambda v: F.abs(v - F.col(x)))
     best = F.array_min(F.transform("_axis", lambda v, i: F.struct(gap(v).alias("d"), i.alias("i"), v.alias("v"))))["v"]
     return points.select(*keys, x).distinct().join(values, keys).select(*keys, x, best.alias(out))
 
 
-def nearest_grid(points: DataFrame, grid: DataFrame, name: str) -> DataFrame:
+def nearest_grid(points: DataFrame, grid: DataFrame, name: str, falling: tuple[str, ...] = ()) -> DataFrame:
     """Adds name: the grid's value at the nearest day, latitude and longitude, each by itself, within the point's year.
 
-    points has event_date, lat, lon and year.  Years without a grid, and cells without a value, give null.
+    points has event_date, lat, lon and year.  Years without a grid, and cells without a value, give null.  falling: those
+    of time, lat and lon whose axis is stored from its largest value down, which decides ties.
     """
     g = grid.withColumn("year", F.year("time"))
     df = points
     for x, src, out in (("event_date", "time", "_t"), ("lat", "lat", "_la"), ("lon", "lon", "_lo")):
         axis = g.select("year", F.col(src).alias(x))
-        df = df.join(nearest_on_axis(points, axis, ["year"], x, out), ["year", x], "left")
+        df = df.join(nearest_on_axis(points, axis, ["year"], x, out, src in falling), ["year", x], "left")
     cells = g.select(F.col("year"), F.col("time").alias("_t"), F.col("lat").alias("_la"), F.col("lon").alias("_lo"), F.col("value").alias(name))
     return df.join(cells, ["year", "_t", "_la", "_lo"], "left").select(*points.columns, name)
 
@@ -45,13 +47,21 @@ def enrich(points: DataFrame, grids: dict[str, DataFrame], required: list[str],
 
 
 def colocate(coarse: DataFrame, fine: DataFrame) -> DataFrame:
-    """time, lat, lon (of the coarse cell), coarse, fine: both sensors on their common days at nearest cells.
+    """time, lat, lon (of the coarse cell), coarse, fine: a row for each fine cell with a value, on a day that both have.
 
-    Both grids are regular, so the nearest latitude and longitude give the nearest cell.
+    Each fine cell goes to its nearest coarse cell, so a coarse cell has several rows a day.  The coarse grid is regular,
+    so its nearest latitude and longitude give the nearest cell; coarse cells without a value give no row.
     """
     one = F.lit(1).alias("k")
-    lat = nearest_on_axis(coarse.select(one, "lat"), fine.select(one, "lat"), ["k"], "lat", "_la").drop("k")
-    lon = nearest_on_axis(coarse.select(one, "lon"), fine.select(one, "lon"), ["k"], "lon", "_lo").drop("k")
-    near = coarse.join(lat, "lat").join(lon, "lon")
-    f = fine.select("time", F.col("lat").alias("_la"), F.col("lon").alias("_lo"), F.col("value").alias("fine"))
-    return near.join(f, ["time", "_la", "_lo"]).select("time", "lat", "lon", F.col("value").alias("coarse"), "fine")
+    lat = nearest_on_axis(fine.select(one, "lat"), coarse.select(one, "lat"), ["k"], "lat", "_la").drop("k")
+    lon = nearest_on_axis(fine.select(one, "lon"), coarse.select(one, "lon"), ["k"], "lon", "_lo").drop("k")
+    near = fine.filter("value is not null").withColumnRenamed("value", "fine").join(lat, "lat").join(lon, "lon").select("time", "_la", "_lo", "fine")
+    c = coarse.filter("value is not null").select("time", F.col("lat").alias("_la"), F.col("lon").alias("_lo"), F.col("value").alias("coarse"))
+    return near.join(c, ["time", "_la", "_lo"]).select("time", F.col("_la").alias("lat"), F.col("_lo").alias("lon"), "coarse", "fine")
+
+
+def cell_quality(pairs: DataFrame, least: int = 3) -> DataFrame:
+    """lat, lon, n, r, bias (coarse - fine) of the coarse cells with so many pairs at least; r is null where one is constant."""
+    r = F.covar_pop("coarse", "fine") / F.nullif(F.stddev_pop("coarse") * F.stddev_pop("fine"), F.lit(0.0))
+    per = pairs.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("n"), r.alias("r"), F.avg(F.col("coarse") - F.col("fine")).alias("bias"))
+    return per.filter(F.col("n") >= least)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import Z975, normal_density, t_p_value, t_quantile_975
+from ..functions.stats import Z975, cumulative_counts, normal_density, t_p_value, t_quantile_975
 
 
 def ols(df: DataFrame, keys: list[str], y: str, x: str, least: int = 10) -> DataFrame:
@@ -48,13 +48,16 @@ def levels(df: DataFrame, x: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """keys, n, rho, p: Pearson's r of average ranks, p by t with n - 2 degrees of freedom."""
+    """keys, n, rho, p: Pearson's r of average ranks, p by t with n - 2 degrees of freedom.
 
-    def rank(c: str) -> Column:
-        one, ties = Window.partitionBy(*keys).orderBy(c), Window.partitionBy(*keys, c)
-        return F.rank().over(one) + (F.count(F.lit(1)).over(ties) - 1) / 2
+    Ranks come from counts per distinct value, so no group's rows are sorted in one task.
+    """
+    pairs = df.dropna(subset=[x, y]).select(*keys, x, y)
+
+    def ranks(c: str, name: str) -> DataFrame:
+        return cumulative_counts(pairs, keys, c).select(*keys, c, (F.col("below") + (F.col("c") + 1) / 2).alias(name))
 
-    ranked = df.dropna(subset=[x, y]).select(*keys, rank(x).alias("_x"), rank(y).alias("_y"))
+    ranked = pairs.join(ranks(x, "_x"), [*keys, x]).join(ranks(y, "_y"), [*keys, y])
     r = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("_x", "_y").alias("rho"))
     t = F.col("rho") * F.sqrt((F.col("n") - 2) / F.nullif(1 - F.col("rho") * F.col("rho"), F.lit(0.0)))
     return r.withColumn("p", t_p_value(t, F.col("n") - 2))
@@ -67,6 +70,36 @@ def normal_fit(seasons: DataFrame, keys: list[str], least: int = 2) -> DataFrame
     return fit.withColumns({k: F.col("mu") + v * F.col("sd") for k, v in z.items()})
 
 
+def normal_curve(fit: DataFrame, keys: list[str], lo: str, hi: str, points: int = 100) -> DataFrame:
+    """keys, i, at, density: the fitted normal (mu, sd) on points from lo to hi; groups without a deviation have none."""
+    at = fit.filter("sd > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    at = at.withColumn("at", F.col(lo) + (F.col(hi) - F.col(lo)) * F.col("i") / (points - 1))
+    return at.select(*keys, "i", "at", normal_density(F.col("at"), F.col("mu"), F.col("sd")).alias("density"))
+
+
+def quadratic(df: DataFrame, keys: list[str], y: str, x: str, least: int = 10) -> DataFrame:
+    """keys, n, c0, c1, c2, r2 of y = c0 + c1 x + c2 x^2, by the moments of x about its mean.
+
+    No row for fewer pairs, or where x takes two values only (to rounding), which leaves the curve open.
+    """
+    a, b = F.col(y).cast("double"), F.col(x).cast("double")
+    both = df.filter(a.isNotNull() & b.isNotNull())
+    mean = both.groupBy(*keys).agg(F.avg(b).alias("_m"))
+    z = F.col("_z")
+    rows = both.join(F.broadcast(mean), keys).withColumn("_z", b - F.col("_m"))
+    s = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("_m").alias("_m"), *[F.sum(F.pow(z, F.lit(k))).alias(f"_s{k}") for k in (1, 2, 3, 4)], F.sum(a).alias("_y0"), F.sum(a * z).alias("_y1"), F.sum(a * z * z).alias("_y2"), F.var_pop(a).alias("_v")).filter(F.col("n") >= least)
+    n, s1, s2, s3, s4, y0, y1, y2 = (F.col(c) for c in ("n", "_s1", "_s2", "_s3", "_s4", "_y0", "_y1", "_y2"))
+    det = n * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2)
+    s = s.filter(det > 1e-9 * n * s2 * (s4 - s2 * s2 / n))
+    d0 = y0 * (s2 * s4 - s3 * s3) - s1 * (y1 * s4 - s3 * y2) + s2 * (y1 * s3 - s2 * y2)
+    d1 = n * (y1 * s4 - s3 * y2) - y0 * (s1 * s4 - s2 * s3) + s2 * (s1 * y2 - y1 * s2)
+    d2 = n * (s2 * y2 - y1 * s3) - s1 * (s1 * y2 - y1 * s2) + y0 * (s1 * s3 - s2 * s2)
+    own = s.withColumns({"_a": d0 / F.nullif(det, F.lit(0.0)), "_b": d1 / F.nullif(det, F.lit(0.0)), "c2": d2 / F.nullif(det, F.lit(0.0))})
+    fitted = F.col("_a") * y0 + F.col("_b") * y1 + F.col("c2") * y2 - y0 * y0 / n
+    m = F.col("_m")
+    return own.select(*keys, "n", (F.col("_a") - F.col("_b") * m + F.col("c2") * m * m).alias("c0"), (F.col("_b") - 2 * F.col("c2") * m).alias("c1"), "c2", (fitted / F.nullif(F.col("_v") * n, F.lit(0.0))).alias("r2"))
+
+
 def density_curve(df: DataFrame, keys: list[str], x: str, points: int = 300, factor: float | None = None) -> DataFrame:
     """keys, x, density: a Gaussian kernel estimate on points from the least to the largest value.
 

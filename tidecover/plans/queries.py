@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,14 +11,16 @@ from pyspark.sql import functions as F
 from ..functions import payouts as P
 from ..functions import seasons as S
 from ..functions import text as X
-from ..functions.stats import percentiles
+from ..functions.stats import exact_percentiles, percentiles
 from ..operators import catch as C
 from ..operators import corridor as K
 from ..operators import grid as G
 from ..operators import match as M
 from ..operators import premium as Q
 from ..operators import regress as R
+from ..operators import report as T
 from ..operators import scenario as N
+from ..sources import files as E
 from ..sources import views as V
 from ..sources.documents import climate_index, quote_tables
 from .sql import TQ, ols_sql, sql, with_p
@@ -29,9 +32,24 @@ CORRIDORS = ["Norte", "Centro Norte", "Centro Sur"]
 BASE_YEARS = (1995, 2000)
 
 
+_held: dict[str, DataFrame] = {}  # tables that a query has written, as it uses them more than once
+
+
+def hold(s: SparkSession, d: str, name: str, build: Query) -> DataFrame:
+    """build(s, d), written once for the query that is being built."""
+    if name not in _held:
+        _held[name] = E.written(build(s, d), name)
+    return _held[name]
+
+
 def query(oracle: str | None):
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(s: SparkSession, d: str) -> DataFrame:
+            _held.clear()
+            return f(s, d)
+
+        QUERIES[f.__name__] = run
         if oracle:
             ORACLE[f.__name__] = sql(oracle)
         return f
@@ -52,7 +70,9 @@ def t_regions(s: SparkSession) -> DataFrame:
 
 
 def t_daily(s: SparkSession, d: str) -> DataFrame:
-    return K.corridor_daily(V.catch_events(s, d), t_anomaly(s, d), t_regions(s))
+    if "daily" in _held:
+        return _held["daily"]
+    return K.corridor_daily(V.catch_events(s, d), t_anomaly(s, d), t_regions(s), places=V.grid_places(s, d))
 
 
 def t_seasons(s: SparkSession, d: str) -> DataFrame:
@@ -84,10 +104,12 @@ def with_payouts(years: DataFrame, s: SparkSession, d: str) -> DataFrame:
 
 
 def t_history(s: SparkSession, d: str) -> DataFrame:
+    hold(s, d, "daily", t_daily)
     return with_payouts(K.both_seasons(t_seasons(s, d), ["region"]), s, d)
 
 
 def t_synthetic(s: SparkSession, d: str) -> DataFrame:
+    hold(s, d, "daily", t_daily)
     fit = R.normal_fit(t_seasons(s, d), ["region", "tipo"])
     return with_payouts(N.scenarios(N.draws(s), fit), s, d)
 
@@ -125,8 +147,57 @@ def src4_union_of_columns(s, d):
 @query("SELECT CASE WHEN l_linenumber < 7 THEN CAST(l_shipdate AS DATE) END AS event_date, CASE WHEN l_linenumber > 1 THEN l_quantity END AS catch_tm, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def src5_lenient_types(s, d):
     li = V.table(s, d, "lineitem")
-    raw = li.select(F.when(F.col("l_linenumber") < 7, F.date_format("l_shipdate", "d/M/yyyy")).otherwise("n/a").alias("fecha"), F.when(F.col("l_linenumber") > 1, F.col("l_quantity").cast("string")).otherwise("-").alias("tm"))
-    return raw.groupBy(F.try_to_timestamp("fecha", F.lit("d/M/yyyy")).cast("date").alias("event_date"), F.col("tm").try_cast("double").alias("catch_tm")).agg(F.count(F.lit(1)).alias("n"))
+    raw = li.select(F.when(F.col("l_linenumber") < 7, F.date_format("l_shipdate", "d/M/yyyy")).otherwise("n/a").alias("fecha_cala"), F.when(F.col("l_linenumber") > 1, F.col("l_quantity").cast("string")).otherwise("-").alias("declarado_tm"))
+    return E.typed_events(raw).groupBy(F.col("fecha_cala").alias("event_date"), F.col("declarado_tm").alias("catch_tm")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT season, count(*) AS n, round(sum(catch_tm), 3) AS catch_tm, round(min(lat), 4) AS south, count(DISTINCT vessel) AS vessels FROM ev WHERE season IS NOT NULL GROUP BY 1")
+def src1_src2_src3_event_files(s, d):
+    """The tables' events as files by year and season, as fleets send them, found and read back by name."""
+    ev = V.catch_events(s, d).filter("season is not null")
+    root = E.scratch_path(s, "calas")
+    named = ev.select(F.year("event_date").alias("folder"), F.when(F.col("season").startswith("1ra"), "Primera").otherwise("segunda").alias("part"), F.concat_ws(",", F.date_format("event_date", "d/M/yyyy"), "vessel", F.col("lat").cast("string"), F.col("lon").cast("string"), F.col("catch_tm").cast("string")).alias("value"))
+    E.write_event_files(named, root, "fecha_cala, nave ,latitud,longitud,declarado_tm")
+    return E.read_events(s, root).groupBy("season").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("declarado_tm"), 3).alias("catch_tm"), F.round(F.min("latitud"), 4).alias("south"), F.count_distinct("nave").alias("vessels"))
+
+
+@query("SELECT year(time) AS year, lat, count(*) AS n, round(sum(value), 4) AS total FROM fi WHERE year(time) BETWEEN 1996 AND 1998 GROUP BY 1, 2")
+def src7_snk2_yearly_grids(s, d):
+    """Both sensors written by variable and year; one variable's three years read back, and no other folder."""
+    root = E.scratch_path(s, "grids")
+    E.write_grids({"sst": V.grid(s, d), "chl": V.fine_grid(s, d)}, root)
+    return E.scan_grid(s, root, "chl", (1996, 1998)).groupBy(F.year("time").alias("year"), "lat").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("SELECT CASE WHEN o_orderkey % 7 > 0 THEN CAST(o_orderdate AS DATE) END AS time, count(*) AS n FROM orders GROUP BY 1")
+def src7_dates_of_names(s, d):
+    o = V.table(s, d, "orders")
+    name = F.concat(F.lit("/in/20150101/MODIS."), F.when(F.col("o_orderkey") % 7 > 0, F.date_format("o_orderdate", "yyyyMMdd")).otherwise("latest"), F.lit(".L3m.DAY.SST.nc"))
+    return o.groupBy(E.date_of_name(name).alias("time")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT time, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT time, value FROM gr UNION ALL SELECT time, value FROM fi) WHERE time IN (SELECT time FROM gr WHERE value IS NOT NULL) AND time IN (SELECT time FROM fi WHERE value IS NOT NULL) GROUP BY 1")
+def src8_required_variables(s, d):
+    both = V.grid(s, d).withColumn("var", F.lit("sst")).unionByName(V.fine_grid(s, d).withColumn("var", F.lit("chl")))
+    return E.with_variables(both, ["time"], "var", ["sst", "chl"]).groupBy("time").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("SELECT lat, lon, count(*) AS n FROM ev GROUP BY 1, 2")
+def src15_snk1_csv_columns(s, d):
+    """Events as CSV with six decimals, of which two columns are read back."""
+    path = E.scratch_path(s, "csv")
+    E.write_csv(V.catch_events(s, d), path)
+    df = E.read_csv(s, path, "event_date date, season string, company string, vessel string, catch_tm double, lat double, lon double", ["lat", "lon"])
+    return df.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT region, temporada_key, anio, temporada, format('{:.6f}', captura_tm) AS captura_tm FROM (SELECT region, season AS temporada_key, year AS anio, tipo AS temporada, catch_tm AS captura_tm FROM rs)")
+def snk1_summary_csv(s, d):
+    """The catch summary as it lies in its file."""
+    path = E.scratch_path(s, "csv")
+    rs = C.region_seasons(V.catch_events(s, d), t_regions(s))
+    E.write_csv(rs.select("region", F.col("season").alias("temporada_key"), F.col("year").alias("anio"), F.col("tipo").alias("temporada"), F.col("catch_tm").alias("captura_tm")), path)
+    return E.read_csv(s, path, "region string, temporada_key string, anio int, temporada string, captura_tm string", ["region", "temporada_key", "anio", "temporada", "captura_tm"])
 
 
 @query("SELECT year(l_shipdate) AS year, CASE WHEN month(l_shipdate) BETWEEN 4 AND 7 THEN concat('1ra ', CAST(year(l_shipdate) AS VARCHAR)) ELSE concat('2da ', CAST(year(l_shipdate) AS VARCHAR)) END AS season, count(*) AS n FROM lineitem WHERE month(l_shipdate) IN (4, 5, 6, 7, 11, 12) GROUP BY 1, 2")
@@ -156,10 +227,10 @@ def src12_surface(s, d):
     return G.surface(li, ["cell"])
 
 
-@query("SELECT o_orderpriority[1:1] AS season, year(o_orderdate) AS year, round(o_totalprice / 1000, 2) AS oni FROM orders WHERE o_orderkey % 5 > 0")
+@query("SELECT o_orderpriority[1:1] AS season, year(o_orderdate) AS year, round(o_totalprice / 1000 + 1e-6, 2) AS oni FROM orders WHERE o_orderkey % 5 > 0")
 def src13_climate_text(s, d):
     o = V.table(s, d, "orders")
-    line = F.concat_ws("   ", F.left("o_orderpriority", F.lit(1)), F.when(F.col("o_orderkey") % 5 > 0, F.year("o_orderdate").cast("string")).otherwise("YR"), F.lit("27.1"), F.round(F.col("o_totalprice") / 1000, 2).cast("string"))
+    line = F.concat_ws("   ", F.left("o_orderpriority", F.lit(1)), F.when(F.col("o_orderkey") % 5 > 0, F.year("o_orderdate").cast("string")).otherwise("YR"), F.lit("27.1"), F.round(F.col("o_totalprice") / 1000 + 1e-6, 2).cast("string"))
     return climate_index(o.select(F.concat(F.lit("  "), line).alias("value")))
 
 
@@ -288,6 +359,14 @@ def jon1_nearest_grid(s, d):
     return t_enriched(s, d).groupBy("company", "event_date").agg(F.count(F.lit(1)).alias("n"), F.count("sst_anom").alias("matched"), F.round(F.sum("sst_anom"), 6).alias("total"))
 
 
+@query("SELECT company, count(*) AS n, count(anom) AS matched, round(sum(anom), 6) AS total FROM ev LEFT JOIN axt ON axt.event_date = ev.event_date LEFT JOIN (SELECT year, plat, lat AS la FROM (SELECT p.year, p.lat AS plat, g.lat, row_number() OVER (PARTITION BY p.year, p.lat ORDER BY abs(g.lat - p.lat), g.lat DESC) AS r FROM (SELECT DISTINCT year(event_date) AS year, lat FROM ev) p JOIN (SELECT DISTINCT year(time) AS year, lat FROM anom) g USING (year)) WHERE r = 1) la ON la.year = year(ev.event_date) AND plat = ev.lat LEFT JOIN axlo ON axlo.year = year(ev.event_date) AND plon = ev.lon LEFT JOIN anom ON anom.time = t AND anom.lat = la AND anom.lon = lo GROUP BY 1")
+def jon1_falling_latitude(s, d):
+    """The same with a latitude axis stored from north to south: of two cells as near, the northern one."""
+    points = V.catch_events(s, d).withColumn("year", F.year("event_date"))
+    df = M.nearest_grid(points, t_anomaly(s, d).withColumnRenamed("anom", "value"), "v", falling=("lat",))
+    return df.groupBy("company").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("matched"), F.round(F.sum("v"), 6).alias("total"))
+
+
 JON2 = """SELECT e.company, year(e.event_date) AS year, count(*) AS n, count(temp) AS with_temp, count(chl) AS with_chl, round(sum(temp), 4) AS temp, round(sum(temp - 35.1), 4) AS temp_ref FROM (
     SELECT ev.*, g.value AS temp, f.value AS chl FROM ev
     LEFT JOIN (SELECT event_date, arg_min(time, abs(date_diff('day', time, event_date)) * 100000 + dayofyear(time)) AS tg FROM (SELECT DISTINCT event_date FROM ev) JOIN (SELECT DISTINCT time FROM gr) ON year(time) = year(event_date) GROUP BY 1) a ON a.event_date = ev.event_date
@@ -334,19 +413,29 @@ def jon8_colocation(s, d):
     return M.colocate(V.grid(s, d), V.fine_grid(s, d)).select("time", "lat", "lon", r6("coarse"), r6("fine"))
 
 
-@query("SELECT count(*) AS n, round(corr(coarse, fine), 6) AS r, round(sqrt(avg(pow(fine - coarse, 2))), 6) AS rmse, round(avg(fine - coarse), 6) AS bias FROM pair")
+@query("SELECT count(*) AS n, round(corr(coarse, fine), 6) AS r, round(sqrt(avg(pow(coarse - fine, 2))), 6) AS rmse, round(avg(coarse - fine), 6) AS bias FROM pair")
 def agg25_sensor_quality(s, d):
-    p = M.colocate(V.grid(s, d), V.fine_grid(s, d)).withColumn("e", F.col("fine") - F.col("coarse"))
+    p = M.colocate(V.grid(s, d), V.fine_grid(s, d)).withColumn("e", F.col("coarse") - F.col("fine"))
     return p.agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("coarse", "fine"), 6).alias("r"), F.round(F.sqrt(F.avg(F.col("e") * F.col("e"))), 6).alias("rmse"), F.round(F.avg("e"), 6).alias("bias"))
 
 
-@query("SELECT round(quantile_cont(abs(bias), 0.95), 6) AS p95, count(*) AS cells FROM (SELECT lat, lon, avg(fine - coarse) AS bias FROM pair GROUP BY 1, 2 HAVING count(*) >= 3)")
+@query("SELECT lat, lon, n, round(r, 6) AS r, round(bias, 6) AS bias FROM cellq")
+def agg25_cell_quality(s, d):
+    return M.cell_quality(M.colocate(V.grid(s, d), V.fine_grid(s, d))).select("lat", "lon", "n", r6("r"), r6("bias"))
+
+
+@query("SELECT round(quantile_cont(abs(bias), 0.95), 6) AS p95, count(*) AS cells FROM cellq")
 def agg26_cell_bias(s, d):
-    p = M.colocate(V.grid(s, d), V.fine_grid(s, d))
-    cells = p.groupBy("lat", "lon").agg(F.avg(F.col("fine") - F.col("coarse")).alias("bias"), F.count(F.lit(1)).alias("n")).filter("n >= 3")
+    cells = M.cell_quality(M.colocate(V.grid(s, d), V.fine_grid(s, d)))
     return cells.agg(F.round(F.percentile(F.abs("bias"), 0.95), 6).alias("p95"), F.count(F.lit(1)).alias("cells"))
 
 
+@query("SELECT round(max(p97), 6) AS largest FROM (SELECT band, quantile_cont(abs(v), 0.97) AS p97 FROM banda GROUP BY 1)")
+def agg26_band_range(s, d):
+    bands = G.band_series(t_anomaly(s, d).withColumnRenamed("anom", "value"))
+    return bands.groupBy("band").agg(F.percentile(F.abs("v"), 0.97).alias("p97")).agg(F.round(F.max("p97"), 6).alias("largest"))
+
+
 @query("SELECT company, season, round(catch_tm / hours, 6) AS cpue, days FROM (SELECT company, season, sum(catch_tm) AS catch_tm FROM ev WHERE season IS NOT NULL GROUP BY 1, 2) c JOIN (SELECT n_name AS company, round(count(*) * 0.15, 6) AS hours, count(DISTINCT CAST(ts AS DATE)) AS days FROM events JOIN supplier ON user_id % 100 + 1 = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1) USING (company) WHERE days >= 30")
 def agg32_jon12_effort(s, d):
     pings = V.table(s, d, "events").withColumn("s_suppkey", F.col("user_id") % 100 + 1)
@@ -416,6 +505,15 @@ def agg15_percentiles(s, d):
     return p.select("region", *[F.round(F.get("p", F.lit(i)), 6).alias(n) for i, n in enumerate(names)])
 
 
+LEVELS = "SELECT region, 'daily' AS level, idx FROM daily UNION ALL SELECT region, 'monthly', idx FROM monthly UNION ALL SELECT region, tipo, idx FROM seas"
+SHARE_COLUMNS = ", ".join(f"round(quantile_cont(idx, {p}), 6) AS {n}" for n, p in T.SHARES.items())
+
+
+@query(f"SELECT region, level, count(idx) AS n, {SHARE_COLUMNS} FROM ({LEVELS}) GROUP BY 1, 2")
+def agg15_snk4_percentile_table(s, d):
+    return T.percentile_table(hold(s, d, "daily", t_daily), ["region"]).select("region", "level", "n", *[r6(n) for n in T.SHARES])
+
+
 @query("SELECT round(quantile_cont(idx, 0.9), 6) AS p90, round(quantile_cont(idx, 0.95), 6) AS p95, round(quantile_cont(idx, 0.99), 6) AS p99 FROM seas")
 def agg16_pooled_percentiles(s, d):
     p = t_seasons(s, d).agg(percentiles("idx", [0.9, 0.95, 0.99]).alias("p"))
@@ -515,6 +613,26 @@ def agg31_activations(s, d):
     return Q.activations(seasons, levels, ["region"]).withColumn("share", F.round("share", 6))
 
 
+@query("SELECT region, trigger, count(*) AS seasons, count(*) FILTER (idx <= level) AS hits, round(count(*) FILTER (idx <= level) / count(*), 6) AS share FROM seas JOIN (SELECT region, 'p20' AS trigger, quantile_cont(idx, 0.2) AS level FROM seas GROUP BY 1 UNION ALL SELECT region, 'p10', quantile_cont(idx, 0.1) FROM seas GROUP BY 1) USING (region) GROUP BY 1, 2")
+def agg31_activations_below(s, d):
+    """For an index that pays when it is low, such as salinity."""
+    hold(s, d, "daily", t_daily)
+    seasons = t_seasons(s, d)
+    p = exact_percentiles(seasons, ["region"], "idx", {"p20": 0.2, "p10": 0.1})
+    levels = p.select("region", F.explode(F.array(*[F.struct(F.lit(c).alias("trigger"), F.col(c).alias("level")) for c in ("p20", "p10")])).alias("t")).select("region", "t.*")
+    return Q.activations(seasons, levels, ["region"], below=True).withColumn("share", F.round("share", 6))
+
+
+@query("SELECT region, year, tipo, round(greatest(0, least(1, (p20 - idx) / (p20 - p01))), 6) AS ramp, CASE WHEN idx <= p20 THEN 1.0::DOUBLE ELSE 0 END AS step, round(CASE WHEN idx < 0 THEN 1 - exp(0.5 * idx) ELSE 0 END * CASE WHEN tipo = 'T1' THEN base_t1 ELSE base_t2 END, 4) AS loss_tm FROM seas JOIN (SELECT region, quantile_cont(idx, 0.2) AS p20, quantile_cont(idx, 0.01) AS p01 FROM daily GROUP BY 1) USING (region) JOIN base USING (region)")
+def pay4_below_chain(s, d):
+    """The whole chain for an index that pays when it is low: triggers, ramp, step and losses."""
+    daily = hold(s, d, "daily", t_daily)
+    p = exact_percentiles(daily, ["region"], "idx", {"p20": 0.2, "p01": 0.01}).drop("n")
+    df = t_seasons(s, d).join(F.broadcast(p), "region").join(F.broadcast(t_baselines(s, d)), "region")
+    x, base = F.col("idx"), F.when(F.col("tipo") == "T1", F.col("base_t1")).otherwise(F.col("base_t2"))
+    return df.select("region", "year", "tipo", F.round(P.ramp_below(x, F.col("p20"), F.col("p01")), 6).alias("ramp"), P.step_below(x, F.col("p20")).alias("step"), F.round(P.implied_loss_below(x, F.lit(0.5)) * base, 4).alias("loss_tm"))
+
+
 @query("SELECT region, year, tipo, round(idx, 6) AS idx FROM seas JOIN (SELECT region, quantile_cont(idx, 0.05) AS p05 FROM seas GROUP BY 1) USING (region) WHERE idx <= p05")
 def agg33_extremes(s, d):
     seasons = t_seasons(s, d)
@@ -530,19 +648,40 @@ def agg34_pivot(s, d):
 
 # ---- regressions -----------------------------------------------------------------------------------------------------
 
-OLS_COLUMNS = "n, round(beta, 6) AS beta, round(intercept, 6) AS intercept, round(se, 6) AS se, round(r2, 6) AS r2, round(p, 6) AS p"
+OLECOLUMNS = "n, round(beta, 6) AS beta, round(intercept, 6) AS intercept, round(se, 6) AS se, round(r2, 6) AS r2, round(p, 6) AS p"
 
 
 def ols_columns() -> list[Column | str]:
     return ["n", *[r6(c) for c in ("beta", "intercept", "se", "r2", "p")]]
 
 
-@query(f"SELECT region, {OLS_COLUMNS}, round(beta + 1.96 * se, 6) AS conservative, round(beta - 1.96 * se, 6) AS n_lower, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS stars FROM ({ols_sql('cs', 'region', 'y', 'x')})")
+@query(f"SELECT region, {OLECOLUMNS}, round(beta + 1.96 * se, 6) AS conservative, round(beta - 1.96 * se, 6) AS n_lower, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS stars FROM ({ols_sql('cs', 'region', 'y', 'x')})")
 def reg1_reg2_reg4_reg7_betas(s, d):
     o = R.ols(t_company_seasons(s, d), ["region"], "y", "x").filter("beta is not null")
     return o.select("region", *ols_columns(), F.round(R.conservative(F.col("beta"), F.col("se")), 6).alias("conservative"), r6("n_lower"), X.stars(F.col("p")).alias("stars"))
 
 
+@query(f"SELECT region, round(beta - sign(beta) * 1.96 * se, 6) AS inverted FROM ({ols_sql('cs', 'region', 'y', 'x')})")
+def reg4_inverted(s, d):
+    o = R.ols(t_company_seasons(s, d), ["region"], "y", "x").filter("beta is not null")
+    return o.select("region", F.round(R.conservative(F.col("beta"), F.col("se"), inverted=True), 6).alias("inverted"))
+
+
+@query("SELECT region, i, round(lo + (hi - lo) * i / 99, 6) AS at, round(exp(-pow((lo + (hi - lo) * i / 99 - mu) / sd, 2) / 2) / (sd * sqrt(2 * pi())), 6) AS density FROM (SELECT region, count(idx) AS n, avg(idx) AS mu, stddev_samp(idx) AS sd, min(idx) AS lo, max(idx) AS hi FROM seas GROUP BY 1), (SELECT CAST(range AS INTEGER) AS i FROM range(100))")
+def reg12_normal_curve(s, d):
+    hold(s, d, "daily", t_daily)
+    seasons = t_seasons(s, d)
+    ends = seasons.groupBy("region").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"))
+    fit = R.normal_fit(seasons, ["region"]).join(ends, "region")
+    return R.normal_curve(fit, ["region"], "lo", "hi").select("region", "i", r6("at"), r6("density"))
+
+
+@query("SELECT region, n, round(c1, 4) AS c1, round(c2, 4) AS c2 FROM (SELECT *, (syz - b * szz2) / szz AS a1, b AS c2, (syz - b * szz2) / szz - 2 * b * m AS c1 FROM (SELECT *, (syq - syz * szz2 / szz) / (sqq - szz2 * szz2 / szz) AS b FROM (SELECT region, any_value(m) AS m, count(*) AS n, regr_sxx(y, z) AS szz, regr_sxy(y, z) AS syz, regr_sxx(y, z * z) AS sqq, regr_sxy(y, z * z) AS syq, regr_sxy(z, z * z) AS szz2 FROM (SELECT region, y, x - avg(x) OVER (PARTITION BY region) AS z, avg(x) OVER (PARTITION BY region) AS m FROM cs) GROUP BY 1 HAVING count(*) >= 10) WHERE sqq - szz2 * szz2 / szz > 1e-9 * sqq))")
+def reg11_quadratic(s, d):
+    q = R.quadratic(t_company_seasons(s, d), ["region"], "y", "x")
+    return q.select("region", "n", F.round("c1", 4).alias("c1"), F.round("c2", 4).alias("c2"))
+
+
 LADDER = """SELECT 'event' AS level, region, log_catch AS y, sst_anom AS x FROM usr
     UNION ALL SELECT 'day', region, ln(sum(catch_tm)), avg(sst_anom) FROM usr GROUP BY region, company, event_date
     UNION ALL SELECT 'week', region, ln(sum(catch_tm)), avg(sst_anom) FROM usr GROUP BY region, company, isoyear(event_date), weekofyear(event_date)
@@ -550,9 +689,9 @@ LADDER = """SELECT 'event' AS level, region, log_catch AS y, sst_anom AS x FROM
     UNION ALL SELECT 'season', region, ln(sum(catch_tm)), avg(sst_anom) FROM usr GROUP BY region, company, season"""
 
 
-@query(f"SELECT level, region, {OLS_COLUMNS} FROM ({ols_sql(f'({LADDER})', 'level, region', 'y', 'x')})")
+@query(f"SELECT level, region, {OLECOLUMNS} FROM ({ols_sql(f'({LADDER})', 'level, region', 'y', 'x')})")
 def reg5_ladder(s, d):
-    df = R.levels(t_usable(s, d), "sst_anom").withColumn("y", F.log("catch_tm"))
+    df = R.levels(hold(s, d, "usable", t_usable), "sst_anom").withColumn("y", F.log("catch_tm"))
     return R.ols(df, ["level", "region"], "y", "sst_anom").filter("beta is not null").select("level", "region", *ols_columns())
 
 
@@ -568,7 +707,7 @@ def reg3_intervals(s, d):
     return o.select("region", F.round("ci_lower", 5).alias("ci_lower"), F.round("ci_upper", 5).alias("ci_upper"))
 
 
-@query(f"SELECT lat, {OLS_COLUMNS} FROM ({ols_sql('pair', 'lat', 'coarse', 'fine')})")
+@query(f"SELECT lat, {OLECOLUMNS} FROM ({ols_sql('pair', 'lat', 'coarse', 'fine')})")
 def reg8_reg10_index_on_index(s, d):
     return R.ols(M.colocate(V.grid(s, d), V.fine_grid(s, d)), ["lat"], "coarse", "fine").filter("beta is not null").select("lat", *ols_columns())
 
@@ -641,6 +780,37 @@ def pay10_jon9_losses(s, d):
     return df.select("region", "year", "tipo", F.round(tm, 4).alias("loss_tm"), F.round(tm * 1500, 2).alias("loss_money"))
 
 
+BETAS = [("Norte", -0.7), ("Centro Norte", -0.816)]  # Centro Sur has none of its own
+
+
+@query("SELECT region, year, tipo, tag, round(1 - exp(beta * idx), 6) AS loss, round((1 - exp(beta * idx)) * CASE WHEN tipo = 'T1' THEN base_t1 ELSE base_t2 END, 4) AS loss_tm FROM (SELECT *, concat_ws(' ', CASE WHEN idx >= p90 THEN 'p90' END, CASE WHEN idx >= p95 THEN 'p95' END, CASE WHEN idx >= p99 THEN 'p99' END) AS tag, CASE region WHEN 'Norte' THEN -0.7 ELSE -0.816 END AS beta FROM seas JOIN (SELECT region, quantile_cont(idx, 0.7) AS p90, quantile_cont(idx, 0.85) AS p95, quantile_cont(idx, 0.95) AS p99 FROM seas GROUP BY 1) USING (region) JOIN base USING (region) WHERE idx >= p90 AND idx > 0)")
+def jon9_pay10_snk4_activations(s, d):
+    """Activated seasons with their triggers and losses; a region without a beta takes that of the one that stands for it."""
+    hold(s, d, "daily", t_daily)
+    betas = s.createDataFrame(BETAS, "region string, beta double")
+    aliases = s.createDataFrame([("Centro Sur", "Centro Norte")], "region string, stands_for string")
+    seasons = t_seasons(s, d)
+    triggers = exact_percentiles(seasons, ["region"], "idx", {"p90": 0.7, "p95": 0.85, "p99": 0.95}).drop("n")
+    out = T.activation_table(T.with_beta(seasons.filter("idx > 0"), betas, aliases), triggers, t_baselines(s, d), 1500.0)
+    return out.select("region", "year", "tipo", "tag", r6("loss"), F.round("loss_tm", 4).alias("loss_tm"))
+
+
+@query("SELECT scenario, region, count(*) AS years, count(*) FILTER (payout > 0) AS years_paid, round(avg(payout), 4) AS aal, round(max(payout), 4) AS largest, round(max(cap), 4) AS cap, round(avg(payout) / max(cap), 6) AS rate_on_line, round(avg(payout) * 1500 / 0.65, 2) AS commercial_money FROM hist GROUP BY 1, 2")
+def snk4_pricing_table(s, d):
+    t = T.pricing_table(t_history(s, d), ["scenario", "region"], 1500.0, 0.65)
+    return t.select("scenario", "region", "years", "years_paid", *[F.round(c, 4).alias(c) for c in ("aal", "largest", "cap")], r6("rate_on_line"), F.round("commercial_money", 2).alias("commercial_money"))
+
+
+@query("SELECT b.region, round(base_t1, 4) AS base_t1, round(base_t2, 4) AS base_t2, round(p90, 6) AS p90, round(p99, 6) AS p99, seasons, hits FROM base b JOIN pct USING (region) JOIN (SELECT region, count(*) AS seasons, count(*) FILTER (idx >= p90) AS hits FROM seas JOIN pct USING (region) GROUP BY 1) USING (region)")
+def snk4_baseline_table(s, d):
+    """A row per region: baselines, triggers and how often they were reached."""
+    hold(s, d, "daily", t_daily)
+    levels = t_triggers(s, d)
+    hits = t_seasons(s, d).join(F.broadcast(levels), "region").groupBy("region").agg(F.count(F.lit(1)).alias("seasons"), F.sum((F.col("idx") >= F.col("p90")).cast("long")).alias("hits"))
+    df = t_baselines(s, d).join(levels, "region").join(hits, "region")
+    return df.select("region", *[F.round(c, 4).alias(c) for c in ("base_t1", "base_t2")], r6("p90"), r6("p99"), "seasons", "hits")
+
+
 @query("SELECT region, sim_id, round(t1, 6) AS t1, round(t2, 6) AS t2 FROM syn")
 def scn1_scenarios(s, d):
     return N.scenarios(N.draws(s), R.normal_fit(t_seasons(s, d), ["region", "tipo"])).select("region", "sim_id", r6("t1"), r6("t2"))
@@ -722,7 +892,7 @@ def idx3_event_index(s, d):
     return df.groupBy("season").agg(F.round(F.avg("sst_anom"), 6).alias("idx"), F.count("sst_anom").alias("n"))
 
 
-@query(f"SELECT region, {OLS_COLUMNS} FROM ({ols_sql('(SELECT region, ln(catch_tm / hours) AS y, x FROM (SELECT region, company, season, sum(catch_tm) AS catch_tm, avg(sst_anom) AS x FROM usr GROUP BY 1, 2, 3) JOIN (SELECT n_name AS company, count(*) * 0.15 AS hours FROM events JOIN supplier ON user_id % 100 + 1 = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1) USING (company))', 'region', 'y', 'x')})")
+@query(f"SELECT region, {OLECOLUMNS} FROM ({ols_sql('(SELECT region, ln(catch_tm / hours) AS y, x FROM (SELECT region, company, season, sum(catch_tm) AS catch_tm, avg(sst_anom) AS x FROM usr GROUP BY 1, 2, 3) JOIN (SELECT n_name AS company, count(*) * 0.15 AS hours FROM events JOIN supplier ON user_id % 100 + 1 = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1) USING (company))', 'region', 'y', 'x')})")
 def reg11_effort_model(s, d):
     pings = V.table(s, d, "events").withColumn("s_suppkey", F.col("user_id") % 100 + 1)
     owner = V.table(s, d, "supplier").join(V.table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("company"))

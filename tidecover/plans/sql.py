@@ -63,10 +63,13 @@ PARTS = {
     "cs": """SELECT region, company, season, ln(sum(catch_tm)) AS y, avg(sst_anom) AS x FROM usr GROUP BY 1, 2, 3""",
     "bandm": """SELECT month, CAST(floor(lat) AS INTEGER) AS band, avg(v) AS v FROM (SELECT month, lat, avg(v) AS v FROM (SELECT strftime(time, '%Y-%m') AS month, lat, lon, avg(value) AS v FROM gr GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1, 2""",
     "bandr": """SELECT a.band AS band_a, b.band AS band_b, corr(a.v, b.v) AS r FROM bandm a JOIN bandm b ON a.month = b.month AND a.band < b.band WHERE a.month IN (SELECT month FROM bandm GROUP BY 1 HAVING count(v) = (SELECT count(DISTINCT band) FROM bandm)) GROUP BY 1, 2""",
-    "pair": """SELECT a.time, a.lat, a.lon, a.value AS coarse, f.value AS fine FROM gr a
-        JOIN (SELECT clat, lat AS la FROM (SELECT c.lat AS clat, f.lat, row_number() OVER (PARTITION BY c.lat ORDER BY abs(f.lat - c.lat), f.lat) AS r FROM (SELECT DISTINCT lat FROM gr) c, (SELECT DISTINCT lat FROM fi) f) WHERE r = 1) x ON x.clat = a.lat
-        JOIN (SELECT clon, lon AS lo FROM (SELECT c.lon AS clon, f.lon, row_number() OVER (PARTITION BY c.lon ORDER BY abs(f.lon - c.lon), f.lon) AS r FROM (SELECT DISTINCT lon FROM gr) c, (SELECT DISTINCT lon FROM fi) f) WHERE r = 1) y ON y.clon = a.lon
-        JOIN fi f ON f.time = a.time AND f.lat = la AND f.lon = lo""",
+    # Each cell of the fine grid to the nearest cell of the coarse one, on days that both have.
+    "pair": """SELECT f.time, la AS lat, lo AS lon, a.value AS coarse, f.value AS fine FROM fi f
+        JOIN (SELECT flat, lat AS la FROM (SELECT f.lat AS flat, c.lat, row_number() OVER (PARTITION BY f.lat ORDER BY abs(c.lat - f.lat), c.lat) AS r FROM (SELECT DISTINCT lat FROM fi) f, (SELECT DISTINCT lat FROM gr) c) WHERE r = 1) x ON x.flat = f.lat
+        JOIN (SELECT flon, lon AS lo FROM (SELECT f.lon AS flon, c.lon, row_number() OVER (PARTITION BY f.lon ORDER BY abs(c.lon - f.lon), c.lon) AS r FROM (SELECT DISTINCT lon FROM fi) f, (SELECT DISTINCT lon FROM gr) c) WHERE r = 1) y ON y.flon = f.lon
+        JOIN gr a ON a.time = f.time AND a.lat = la AND a.lon = lo WHERE f.value IS NOT NULL AND a.value IS NOT NULL""",
+    "cellq": """SELECT lat, lon, count(*) AS n, corr(coarse, fine) AS r, avg(coarse - fine) AS bias FROM pair GROUP BY 1, 2 HAVING count(*) >= 3""",
+    "banda": """SELECT month, CAST(floor(lat) AS INTEGER) AS band, avg(v) AS v FROM (SELECT month, lat, avg(v) AS v FROM (SELECT strftime(time, '%Y-%m') AS month, lat, lon, avg(anom) AS v FROM anom GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1, 2""",
     "csr": """SELECT company, region, season, sum(catch_tm) AS catch_tm, CASE WHEN season LIKE '1ra%' THEN 'T1' ELSE 'T2' END AS tipo FROM er WHERE season IS NOT NULL GROUP BY 1, 2, 3""",
 }
 

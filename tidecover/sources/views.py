@@ -34,6 +34,12 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.groupBy(*keys).agg(F.avg(14 + 100 * F.col("l_discount")).alias("value"))
 
 
+def grid_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct places of grid, without its values."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(((-155 + 10 * (F.col("l_suppkey") % 11)).cast("double") / 10).alias("lat"), ((-815 + 10 * (F.col("l_partkey") % 8)).cast("double") / 10).alias("lon")).distinct()
+
+
 def fine_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     keys = [F.to_date("o_orderdate").alias("time"), ((-1575 + 50 * (F.col("o_custkey") % 21)).cast("double") / 100).alias("lat"), ((-8175 + 50 * (F.col("o_orderkey") % 15)).cast("double") / 100).alias("lon")]
