@@ -72,7 +72,7 @@ def base_failed(min_words: int = 50, max_repeat_percent: int = 50) -> Column:
 
 
 def references(counted: DataFrame) -> DataFrame:
-    """One row per language key (five at most): the histograms summed over all documents; "other" pools every document."""
+    """One row per language key (five at most): the histograms summed over the rows of counted; "other" pools all of them."""
     nc, nw = len(CHAR_CLASSES) + 1, N_WORDS + 1
     cols = [f"s{i}" for i in range(nc + nw)]
     sums = [F.sum(F.get("_chars", F.lit(i))).alias(cols[i]) for i in range(nc)] + [F.sum(F.get("_common", F.lit(i))).alias(cols[nc + i]) for i in range(nw)]
@@ -102,7 +102,8 @@ def quality_verdict(docs: DataFrame, text: str = "text", lang: str = "lang", *,
 
     kept is false where the base rules fail, or where a histogram lies further (Jensen-Shannon distance) from its
     language's reference than allowed.  Guards: characters are judged from min_words words on, common words from
-    min_common_words on.  The references are sums over all documents.  Null text: no words, so not kept.  Unknown or
+    min_common_words on.  The references are sums over all documents that pass the base rules; where a language has none, its
+    documents are judged by the base rules alone.  Null text: no words, so not kept.  Unknown or
     null language: characters are held against all languages together and common words aren't judged.  An empty table
     gives an empty table; all other columns of docs stay, and the texts too if with_text; columns named as the added ones
     are replaced.  Repeated rows are judged alike.
@@ -112,7 +113,8 @@ def quality_verdict(docs: DataFrame, text: str = "text", lang: str = "lang", *,
     keep = [c for c in docs.columns if c != text or with_text]
     # Written once, as both the references and the verdict read them; without the texts the counted rows are small.
     counted = stored(counts(docs, text, lang).select("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_key", "_chars", "_common", *keep), "quality")
-    ref = F.broadcast(references(counted))  # five rows at most
+    # Junk that the base rules know doesn't move the references.
+    ref = F.broadcast(references(counted.filter(~base_failed(min_words))))  # five rows at most
     out = judged(counted.join(ref, "_key", "left"), min_words, min_common_words, max_char_distance, max_word_distance)
     return put_back(out, columns, MADE)
 

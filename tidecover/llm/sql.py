@@ -28,8 +28,9 @@ c AS (SELECT w.*, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_ch
     [{left('[ \\t-\\r]')}, {left('[#*$%&|<>]')}, {left('[A-Z]')}, {left('[0-9]')}, {left('[.,;:!?]')}, length(regexp_replace(t, '[ \\t-\\r#*$%&|<>A-Z0-9.,;:!?]', '', 'g'))] AS ch,
     list_transform(cw, lambda x: len(list_filter(ws, lambda y: y = x))) AS c12 FROM w LEFT JOIN h USING (rid)),
 f AS (SELECT *, CASE WHEN c12 IS NOT NULL THEN list_append(c12, len(ws) - list_sum(c12)) END AS cm FROM c),
-p AS (SELECT k, {sums('ch', 6)} AS rch, {sums('cm', 13)} AS rcm FROM f WHERE k <> 'other' GROUP BY 1 UNION ALL SELECT 'other', {sums('ch', 6)}, NULL FROM f),
-j AS (SELECT f.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CASE WHEN length(t) > 0 THEN {js('ch', 'rch')} END AS jc, CASE WHEN n_words > 0 AND cm IS NOT NULL THEN {js('cm', 'rcm')} END AS jw FROM f JOIN p USING (k))
+ok AS (SELECT * FROM f WHERE NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)),
+p AS (SELECT k, {sums('ch', 6)} AS rch, {sums('cm', 13)} AS rcm FROM ok WHERE k <> 'other' GROUP BY 1 UNION ALL SELECT 'other', {sums('ch', 6)}, NULL FROM ok),
+j AS (SELECT f.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CASE WHEN length(t) > 0 THEN {js('ch', 'rch')} END AS jc, CASE WHEN n_words > 0 AND cm IS NOT NULL THEN {js('cm', 'rcm')} END AS jw FROM f LEFT JOIN p USING (k))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR n_words >= 50 AND coalesce(jc, 0) > 0.285 OR n_words >= 100 AND coalesce(jw, 0) > 0.27) AS kept FROM j"""
 
 
