@@ -263,7 +263,15 @@ def test_repeated_bytes(docs, rows, none, huge, monkeypatch):
         monkeypatch.setattr(repeats, "GROUP_BYTES", 3000)
     found = repeats.without_repeats(docs).collect()
     assert sorted((r.n_bytes, r.n_removed, r.n_spans, sha256(r.kept).hexdigest()) for r in found) == sorted(plain_repeats([r[1] for r in rows], 400))
-    assert sorted((r.n_bytes, r.n_marked) for r in found) == sorted(x[:2] for x in plain_repeats([r[1] for r in rows], repeats.MARK))
+    # A repeat of MARK bytes has a mark, and marks hold nothing that stands in one place only.
+    texts = [r[1] for r in rows]
+    stretch = repeats.MARK - (repeats.MARK - repeats.K) // 2
+    most, least = (dict(zip(texts, plain_repeats(texts, n))) for n in (stretch, repeats.MARK))
+    by_size = defaultdict(list)
+    for t in texts:
+        by_size[most[t][0]].append((least[t][1], most[t][1]))
+    for r in found:
+        assert any((r.n_marked > 0 or not lo) and r.n_marked <= hi for lo, hi in by_size[r.n_bytes])
     assert repeats.without_repeats(none).count() == 0
 
 

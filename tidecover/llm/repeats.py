@@ -1,11 +1,12 @@
 """Suffix-array dedup by a run-length index.
 
-Every window of MARK bytes is led by one of its k-grams (the one of the smallest hash), its anchor; equal windows have
+Every window of LENGTH bytes is led by one of its k-grams (the one of the smallest hash), its anchor; equal windows have
 equal anchors.  So only texts around anchors that occur more than once can repeat, and only if what they repeat goes on far
 enough to the left or to the right of the anchor.  Equal surroundings are counted; those that differ are dealt out by
 anchor, and each bucket gets a run-compressed Burrows-Wheeler transform.  Common-prefix lengths are computed at the sampled
 ends of runs only; streamed along the text, where a length falls by one per byte at most, they are the matching statistics
-of all positions, and matches of LENGTH bytes (to be removed) and of MARK bytes (to be reported) are marked.
+of all positions, and matches of LENGTH bytes are marked.  Shorter repeats, from MARK bytes on, are reported by the anchors
+of shorter windows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import discard, or_empty, row_keys, stored, table
 
 K = 64  # bytes of an anchor
-MARK = 280  # repeats from so many bytes on are reported, about 45 words; those from length on are removed
+MARK = 280  # repeats from so many bytes on, about 45 words, are reported
 CHUNK = 1 << 18  # window starts handled at once, so memory doesn't grow with a text
 BUCKET_BYTES = 2 << 20
 GROUP_BYTES = 16 << 20  # an anchor with more text around it than this is counted window by window instead
@@ -51,56 +52,71 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(ahead[: n - w + 1], behind[w - 1 : n])
 
 
-def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of all windows of data; the leftmost of equals leads a window."""
-    w, found, hashes = length - K + 1, [], []
-    for a in range(0, len(data) - length + 1, CHUNK):
+def anchors(data: np.ndarray, length: int, mark: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and hashes of the anchors of all windows of mark bytes, and whether they lead one of length bytes too.
+
+    The leftmost of equals leads a window.  An anchor of a window also leads the shorter ones within that hold it.
+    """
+    found, hashes, large = [], [], []
+    for a in range(0, len(data) - mark + 1, CHUNK):
         h = gram_hashes(data[a : a + CHUNK + length - 1])
         order = (h >> np.uint64(20) << np.uint64(20)) | np.arange(len(h), dtype=np.uint64)
-        at = np.unique(sliding_min(order, w) & np.uint64((1 << 20) - 1)).astype(np.int64)
+        led = lambda w: np.unique(sliding_min(order, w - K + 1) & np.uint64((1 << 20) - 1)).astype(np.int64)  # noqa: B023, E731
+        at = led(mark)
         found.append(at + a)
         hashes.append(h[at])
+        if len(h) >= length - K + 1:
+            large.append(led(length) + a)
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
     at, first = np.unique(np.concatenate(found), return_index=True)
-    return at, np.concatenate(hashes)[first]
+    return at, np.concatenate(hashes)[first], np.isin(at, np.concatenate(large) if large else np.zeros(0, np.int64))
 
 
 def anchor_table(docs: DataFrame, text: str, length: int, mark: int) -> DataFrame:
-    """h (anchor), k1, k2 (row), lo, pos, hi (its surroundings and place, bytes), ctx (hash of the surroundings), left and
-    right (hashes up to, and from, the anchor that a repeat of mark bytes has one of in common; null where the text ends)."""
-    reach, half = mark - K, (mark - K) // 2
-    names = ["h", "ctx", "left", "right", "k1", "k2", "doc_id", "lo", "pos", "hi"]
+    """h (anchor), k1, k2, doc_id (row), pos, left and right (hashes of the stretches of mark's half that end, or begin,
+    with the anchor); of anchors that lead windows of length bytes also lo, hi (their surroundings), ctx (hash of these),
+    far_left and far_right (hashes of the stretches of length's half).  Null where the text ends before."""
+    reach, half, far = length - K, (mark - K) // 2, (length - K) // 2
+    names = ["h", "left", "right", "ctx", "far_left", "far_right", "k1", "k2", "doc_id", "lo", "pos", "hi"]
     digest = xxhash.xxh3_64_intdigest
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
-                rows, hs, ctx, left, right, lo, pos, hi = [], [], [], [], [], [], [], []
+                rows, hs, places, made = [], [], [], [[] for _ in range(7)]
                 for i, t in enumerate(part.column(3)):
                     raw = t.as_py().encode()
                     if len(raw) < mark:
                         continue
-                    at, h = anchors(np.frombuffer(raw, dtype=np.uint8), mark)
-                    a, b = np.maximum(at - reach, 0), np.minimum(at + length, len(raw))
-                    view, places = memoryview(raw), at.tolist()
-                    ctx.extend(digest(view[x:y], seed=p - x) for x, y, p in zip(a.tolist(), b.tolist(), places))
-                    left.extend(digest(view[p - half : p + K]) if p >= half else None for p in places)
-                    right.extend(digest(view[p : p + mark - half]) if p + mark - half <= len(raw) else None for p in places)
+                    at, h, large = anchors(np.frombuffer(raw, dtype=np.uint8), length, mark)
+                    view, n = memoryview(raw), len(raw)
+                    for p, big in zip(at.tolist(), large.tolist()):
+                        lo, hi = max(p - reach, 0), min(p + length, n)
+                        cells = (
+                            digest(view[p - half : p + K]) if p >= half else None,
+                            digest(view[p : p + mark - half]) if p + mark - half <= n else None,
+                            digest(view[lo:hi], seed=p - lo) if big else None,
+                            digest(view[p - far : p + K]) if big and p >= far else None,
+                            digest(view[p : p + length - far]) if big and p + length - far <= n else None,
+                            lo if big else None,
+                            hi if big else None,
+                        )
+                        for out, x in zip(made, cells):
+                            out.append(x)
                     rows.append(np.full(len(at), i))
-                    for out, x in ((hs, h), (lo, a), (pos, at), (hi, b)):
-                        out.append(x)
+                    hs.append(h)
+                    places.append(at)
                 if not rows:
                     continue
                 at = pa.array(np.concatenate(rows))
-                cat = lambda x, kind: pa.array(np.concatenate(x).astype(kind))
                 long = lambda x: pa.array(x, pa.uint64()).view(pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), long(ctx), long(left), long(right), part.column(0).take(at), part.column(1).take(at), part.column(2).take(at), cat(lo, np.int32), cat(pos, np.int32), cat(hi, np.int32)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), *map(long, made[:5]), *(part.column(j).take(at) for j in range(3)), pa.array(made[5], pa.int32()), pa.array(np.concatenate(places).astype(np.int32)), pa.array(made[6], pa.int32())], names=names)
 
     k1, k2 = row_keys(F.col("doc_id"), F.col(text))
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select(k1, k2, "doc_id", or_empty(F.col(text)).alias("t")).mapInArrow(find, f"h bigint, ctx bigint, left bigint, right bigint, k1 bigint, k2 bigint, doc_id {kind}, lo int, pos int, hi int")
+    return docs.select(k1, k2, "doc_id", or_empty(F.col(text)).alias("t")).mapInArrow(find, ", ".join(f"{c} bigint" for c in names[:8]) + f", doc_id {kind}, lo int, pos int, hi int")
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
@@ -161,8 +177,8 @@ def runs_of(hit: np.ndarray, length: int) -> list[tuple[int, int]]:
     return [(int(hit[a]), int(hit[b]) + length) for a, b in zip(np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(hit) - 1]]))]
 
 
-def bucket_matches(rows: pd.DataFrame, lengths: tuple[int, ...]) -> pd.DataFrame:
-    """Intervals (k1, k2, length, start, end) of windows of length bytes, for each of lengths, that occur twice in a bucket.
+def bucket_matches(rows: pd.DataFrame, length: int) -> pd.DataFrame:
+    """Intervals (k1, k2, start, end) of windows of length bytes that occur twice in a bucket.
 
     Surroundings that overlap in one text are joined first, so no byte of a text comes twice.
     """
@@ -185,37 +201,42 @@ def bucket_matches(rows: pd.DataFrame, lengths: tuple[int, ...]) -> pd.DataFrame
     t = np.concatenate(parts) if parts else np.zeros(0, np.int64)
     out = []
     if len(t) > 1:
-        best = matching_statistics(np.unique(t, return_inverse=True)[1])
-        for n in lengths:
-            long = best >= n
-            for k1, k2, lo, hi, base in places:
-                hit = np.flatnonzero(long[base + lo : base + hi - n + 1])
-                if len(hit):
-                    out.extend((k1, k2, n, lo + a, lo + b) for a, b in runs_of(hit, n))
-    return pd.DataFrame(out, columns=["k1", "k2", "length", "start", "end"]).astype("int64")
+        long = matching_statistics(np.unique(t, return_inverse=True)[1]) >= length
+        for k1, k2, lo, hi, base in places:
+            hit = np.flatnonzero(long[base + lo : base + hi - length + 1])
+            if len(hit):
+                out.extend((k1, k2, lo + a, lo + b) for a, b in runs_of(hit, length))
+    return pd.DataFrame(out, columns=["k1", "k2", "start", "end"]).astype("int64")
 
 
 def repeated_bytes(docs: DataFrame, text: str = "text", *, length: int = 400, mark: int = MARK) -> DataFrame:
     """k1, k2 (the row's keys), spans and marks: array<struct<start, end>>, sorted but perhaps overlapping, of repeats.
 
     A byte is in a span if a string of length bytes that covers it also starts anywhere else in the texts, all of them
-    whole, and in a mark if a string of mark bytes does.  Null, empty and shorter texts have none.  Repeated rows are
-    repeats of each other.
+    whole.  Marks are stretches of some 0.6 mark bytes that also stand elsewhere; a repeat of mark bytes has one at least.
+    Null, empty and shorter texts have none.  Repeated rows are repeats of each other.
     """
     if not K < mark <= length:
         raise ValueError(f"mark must be over {K} and length at most")
     all_ = stored(anchor_table(docs, text, length, mark), "anchors")
-    met = all_.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
-    found = stored(all_.join(met, "h"), "met")  # without an aggregate above it, so that Spark can split a frequent anchor
-    discard(all_)
+    # Tables of frequent keys are written before they are joined, so that Spark can split a frequent anchor's rows.
+    met = stored(all_.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"), "often")
+    found = stored(all_.join(met, "h"), "met")
+    discard(all_, met)
+    half, pos = (mark - K) // 2, F.col("pos").cast("long")
+    stretch = lambda side, v, a, b: F.struct(F.lit(side).alias("side"), F.col(v).alias("v"), a.alias("start"), b.alias("end"))
+    both = found.select("h", "k1", "k2", F.explode_outer(F.array(stretch(0, "left", pos - half, pos + K), stretch(1, "right", pos, pos + mark - half))).alias("s")).select("h", "k1", "k2", "s.*").filter("v is not null")
+    twice = stored(both.groupBy("h", "side", "v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"), "stretches")
+    marks = both.join(twice, ["h", "side", "v"]).select("k1", "k2", F.lit(False).alias("whole"), "start", "end")
     least = F.min(F.struct("k1", "k2", "lo", "pos", "hi", "doc_id"))
-    ctx = stored(found.groupBy("h", "ctx", "left", "right").agg(F.count(F.lit(1)).alias("n"), least.alias("rep")), "surroundings")
-    copies = found.join(ctx.filter("n > 1").select("h", "ctx"), ["h", "ctx"]).select("k1", "k2", F.col("lo").cast("long").alias("start"), F.col("hi").cast("long").alias("end"))
-    copies = copies.select("k1", "k2", F.explode_outer(F.array(*[F.lit(x).cast("long") for x in sorted({mark, length})])).alias("length"), "start", "end").filter(F.col("end") - F.col("start") >= F.col("length"))
+    large = found.filter("ctx is not null")
+    ctx = stored(large.groupBy("h", "ctx", "far_left", "far_right").agg(F.count(F.lit(1)).alias("n"), least.alias("rep")), "surroundings")
+    same_ctx = stored(ctx.filter("n > 1").select("h", "ctx"), "equal")
+    copies = large.join(same_ctx, ["h", "ctx"]).select("k1", "k2", F.col("lo").cast("long").alias("start"), F.col("hi").cast("long").alias("end"))
     # Anchors with surroundings that differ: each of these is looked at once, if it goes on like another one.
     side = lambda x: ctx.filter(F.col(x).isNotNull()).groupBy("h", x).agg(F.count(F.lit(1)).alias(f"c_{x}")).filter(f"c_{x} > 1")
-    near = ctx.join(side("left"), ["h", "left"], "left").join(side("right"), ["h", "right"], "left").filter("c_left is not null or c_right is not null")
-    asked = stored(near.select("h", "rep.*"), "asked")
+    alike = ctx.join(side("far_left"), ["h", "far_left"], "left").join(side("far_right"), ["h", "far_right"], "left").filter("c_far_left is not null or c_far_right is not null")
+    asked = stored(alike.select("h", "rep.*"), "asked")
     several = asked.groupBy("h").agg(F.sum(F.col("hi") - F.col("lo")).alias("bytes"))
     wanted = stored(asked.join(several, "h").groupBy("k1", "k2", "doc_id").agg(F.collect_list(F.struct("h", "lo", "pos", "hi", "bytes")).alias("segs")), "wanted")
     k1, k2 = row_keys(F.col("doc_id"), F.col(text))
@@ -226,27 +247,25 @@ def repeated_bytes(docs: DataFrame, text: str = "text", *, length: int = 400, ma
     segs = stored(segs, "segments")
     total = segs.filter(F.col("bytes") <= GROUP_BYTES).agg(F.sum(F.octet_length("seg"))).first()[0] or 0
     buckets = max(1, total // BUCKET_BYTES)
-    lengths = tuple(sorted({mark, length}))
     usual = segs.filter(F.col("bytes") <= GROUP_BYTES).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
-    near = usual.groupBy("bucket").applyInPandas(lambda rows: bucket_matches(rows, lengths), "k1 bigint, k2 bigint, length bigint, start bigint, end bigint")
+    near = usual.groupBy("bucket").applyInPandas(lambda rows: bucket_matches(rows, length), "k1 bigint, k2 bigint, start bigint, end bigint")
     # A group too large for one task: all its windows are counted, by hash, wherever they are.
-    sized = segs.filter(F.col("bytes") > GROUP_BYTES).select("h", "k1", "k2", "seg", "lo", "hi", F.explode_outer(F.array(*map(F.lit, lengths))).alias("length")).filter(F.col("hi") - F.col("lo") >= F.col("length"))
-    huge = sized.select("h", "k1", "k2", "seg", "lo", "length", F.explode_outer(F.sequence(F.col("lo"), F.col("hi") - F.col("length"))).alias("start"))
-    huge = stored(huge.select("k1", "k2", F.col("length").cast("long").alias("length"), F.col("start").cast("long").alias("start"), F.xxhash64(F.substring("seg", F.col("start") - F.col("lo") + 1, F.col("length")), F.col("h")).alias("w")), "windows")
+    huge = segs.filter(F.col("bytes") > GROUP_BYTES).select("h", "k1", "k2", "seg", "lo", F.explode_outer(F.sequence(F.col("lo"), F.col("hi") - length)).alias("start"))
+    huge = stored(huge.select("k1", "k2", F.col("start").cast("long").alias("start"), F.xxhash64(F.substring("seg", F.col("start") - F.col("lo") + 1, F.lit(length)), F.col("h")).alias("w")), "windows")
     # Surroundings that overlap in one text hold the same starts, so a window is a repeat only where its places differ.
     place = ("k1", "k2", "start")
     apart = " or ".join(f"{x}_lo <> {x}_hi" for x in place)
-    often = stored(huge.groupBy("w", "length").agg(*[f(x).alias(f"{x}_{end}") for x in place for f, end in ((F.min, "lo"), (F.max, "hi"))]).filter(apart).select("w", "length"), "often")
-    far = huge.join(often, ["w", "length"]).select("k1", "k2", "length", "start", (F.col("start") + F.col("length")).alias("end"))
-    each = copies.unionByName(near).unionByName(far)
-    of = lambda n: F.sort_array(F.collect_set(F.when(F.col("length") == n, F.struct("start", "end"))))
-    out = stored(each.groupBy("k1", "k2").agg(of(length).alias("spans"), of(mark).alias("marks")), "repeats")
-    discard(found, ctx, asked, wanted, segs, huge, often)
+    often = stored(huge.groupBy("w").agg(*[f(x).alias(f"{x}_{end}") for x in place for f, end in ((F.min, "lo"), (F.max, "hi"))]).filter(apart).select("w"), "often")
+    far = huge.join(often, "w").select("k1", "k2", "start", (F.col("start") + length).alias("end"))
+    spans = copies.unionByName(near).unionByName(far).select("k1", "k2", F.lit(True).alias("whole"), "start", "end")
+    of = lambda whole: F.sort_array(F.collect_set(F.when(F.col("whole") == whole, F.struct("start", "end"))))
+    out = stored(spans.unionByName(marks).groupBy("k1", "k2").agg(of(True).alias("spans"), of(False).alias("marks")), "repeats")
+    discard(found, twice, ctx, same_ctx, asked, wanted, segs, huge, often)
     return out
 
 
 def without_repeats(docs: DataFrame, text: str = "text", *, length: int = 400, mark: int = MARK) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, n_marked (bytes in repeats of mark bytes), kept (the bytes left) per row of docs."""
+    """doc_id, n_bytes, n_removed, n_spans, n_marked (bytes in marks), kept (the bytes left) per row of docs."""
     k1, k2 = row_keys(F.col("doc_id"), F.col(text))
     found = repeated_bytes(docs, text, length=length, mark=mark)
     rows = docs.select("doc_id", k1, k2, or_empty(F.col(text)).alias("t")).join(found, ["k1", "k2"], "left").select("doc_id", F.encode("t", "UTF-8").alias("raw"), "spans.start", "spans.end", F.col("marks.start").alias("m_start"), F.col("marks.end").alias("m_end"))
