@@ -159,9 +159,11 @@ def near_rows(docs: DataFrame, text: str = "text", rule: Rule = Rule()) -> DataF
     able = linkable(sets, rule)
     label = links(able, rule)
     named = stored(sets.select("node", "first").join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "first"), "named")
-    by_node = named.join(named.groupBy("label").agg(F.min("first").alias("least")), "label").select("node", "least")
+    # Written before it is joined, so that Spark can split a large component's rows.
+    least = stored(named.groupBy("label").agg(F.min("first").alias("least")), "least")
+    by_node = stored(named.join(least, "label").select("node", "least"), "by-node")
     out = stored(live.select("id", "node").join(by_node, "node").select("id", "least"), "rows")
-    discard(live, sets, able, named)
+    discard(live, sets, able, named, least, by_node)
     return out
 
 
