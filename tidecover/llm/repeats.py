@@ -52,32 +52,57 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(ahead[: n - w + 1], behind[w - 1 : n])
 
 
-def anchors(data: np.ndarray, length: int, mark: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of all windows of mark bytes, and whether they lead one of length bytes too.
+def mixed(h: np.ndarray, at: np.ndarray, begin: int, end: int) -> np.ndarray:
+    """Hashes of the stretches from begin to end bytes after each place, from the K-grams h that cover them."""
+    out = np.full(len(at), begin & 0xFFFF, dtype=np.uint64)
+    for off in sorted({*range(begin, end - K, K), end - K}):
+        out = (out ^ h[at + off]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out
+
 
-    The leftmost of equals leads a window.  An anchor of a window also leads the shorter ones within that hold it.
+def anchors(data: np.ndarray, length: int, mark: int) -> tuple[np.ndarray, ...]:
+    """pos, h, large, left, right, far_left, far_right of the anchors of all windows of mark bytes of data.
+
+    large: whether one leads a window of length bytes too.  The leftmost of equals leads a window, so an anchor of a window
+    also leads the shorter ones within that hold it.  The stretches of half of mark, and of half of length, that end or
+    begin with the anchor have hashes where the text is long enough, else 0 and a false in the masks that follow.
     """
-    found, hashes, large = [], [], []
-    for a in range(0, len(data) - mark + 1, CHUNK):
-        h = gram_hashes(data[a : a + CHUNK + length - 1])
-        order = (h >> np.uint64(20) << np.uint64(20)) | np.arange(len(h), dtype=np.uint64)
+    half, far, n = (mark - K) // 2, (length - K) // 2, len(data)
+    sides = ((-half, K), (0, mark - half), (-far, K), (0, length - far))
+    found: list[list[np.ndarray]] = [[] for _ in range(3 + 2 * len(sides))]
+    for a in range(0, n - mark + 1, CHUNK):
+        # Windows that begin in the chunk; their anchors' stretches go on by far before it, and by length after.
+        before = min(a, far)
+        h = gram_hashes(data[a - before : a + CHUNK + 2 * length])
+        own = h[before : before + CHUNK + length - K]
+        order = (own >> np.uint64(20) << np.uint64(20)) | np.arange(len(own), dtype=np.uint64)
         led = lambda w: np.unique(sliding_min(order, w - K + 1) & np.uint64((1 << 20) - 1)).astype(np.int64)  # noqa: B023, E731
         at = led(mark)
-        found.append(at + a)
-        hashes.append(h[at])
-        if len(h) >= length - K + 1:
-            large.append(led(length) + a)
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
-    at, first = np.unique(np.concatenate(found), return_index=True)
-    return at, np.concatenate(hashes)[first], np.isin(at, np.concatenate(large) if large else np.zeros(0, np.int64))
+        large = np.isin(at, led(length)) if len(own) >= length - K + 1 else np.zeros(len(at), bool)
+        cells = [at + a, own[at], large]
+        for begin, end in sides:
+            inside = (at + a + begin >= 0) & (at + a + end <= n)
+            if end > K and begin == 0 and end > mark - half or begin < -half:
+                inside &= large
+            value = np.zeros(len(at), np.uint64)
+            value[inside] = mixed(h, at[inside] + before, begin, end)
+            cells += [value, inside]
+        for out, x in zip(found, cells):
+            out.append(x)
+    if not found[0]:
+        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, bool, *[np.uint64, bool] * len(sides)))
+    joined = [np.concatenate(x) for x in found]
+    order = np.lexsort((~joined[2], joined[0]))  # an anchor of two chunks: large if one says so
+    keep = order[np.concatenate([[True], joined[0][order][1:] != joined[0][order][:-1]])]
+    return tuple(x[keep] for x in joined)
 
 
 def anchor_table(docs: DataFrame, text: str, length: int, mark: int) -> DataFrame:
     """h (anchor), k1, k2, doc_id (row), pos, left and right (hashes of the stretches of mark's half that end, or begin,
     with the anchor); of anchors that lead windows of length bytes also lo, hi (their surroundings), ctx (hash of these),
     far_left and far_right (hashes of the stretches of length's half).  Null where the text ends before."""
-    reach, half, far = length - K, (mark - K) // 2, (length - K) // 2
+    reach = length - K
     names = ["h", "left", "right", "ctx", "far_left", "far_right", "k1", "k2", "doc_id", "lo", "pos", "hi"]
     digest = xxhash.xxh3_64_intdigest
 
@@ -85,71 +110,76 @@ def anchor_table(docs: DataFrame, text: str, length: int, mark: int) -> DataFram
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
-                rows, hs, places, made = [], [], [], [[] for _ in range(7)]
+                rows, ctx, cells = [], [], [[] for _ in range(13)]
                 for i, t in enumerate(part.column(3)):
                     raw = t.as_py().encode()
                     if len(raw) < mark:
                         continue
-                    at, h, large = anchors(np.frombuffer(raw, dtype=np.uint8), length, mark)
-                    view, n = memoryview(raw), len(raw)
-                    for p, big in zip(at.tolist(), large.tolist()):
-                        lo, hi = max(p - reach, 0), min(p + length, n)
-                        cells = (
-                            digest(view[p - half : p + K]) if p >= half else None,
-                            digest(view[p : p + mark - half]) if p + mark - half <= n else None,
-                            digest(view[lo:hi], seed=p - lo) if big else None,
-                            digest(view[p - far : p + K]) if big and p >= far else None,
-                            digest(view[p : p + length - far]) if big and p + length - far <= n else None,
-                            lo if big else None,
-                            hi if big else None,
-                        )
-                        for out, x in zip(made, cells):
-                            out.append(x)
+                    made = anchors(np.frombuffer(raw, dtype=np.uint8), length, mark)
+                    at, large, view = made[0], made[2], memoryview(raw)
+                    lo, hi = np.maximum(at - reach, 0), np.minimum(at + length, len(raw))
+                    ctx.extend(digest(view[x:y], seed=p - x) for x, y, p in zip(lo[large].tolist(), hi[large].tolist(), at[large].tolist()))
                     rows.append(np.full(len(at), i))
-                    hs.append(h)
-                    places.append(at)
+                    for out, x in zip(cells, (*made, lo, hi)):
+                        out.append(x)
                 if not rows:
                     continue
-                at = pa.array(np.concatenate(rows))
-                long = lambda x: pa.array(x, pa.uint64()).view(pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), *map(long, made[:5]), *(part.column(j).take(at) for j in range(3)), pa.array(made[5], pa.int32()), pa.array(np.concatenate(places).astype(np.int32)), pa.array(made[6], pa.int32())], names=names)
+                of = pa.array(np.concatenate(rows))
+                at, h, large, *sides, lo, hi = (np.concatenate(x) for x in cells)
+                long = lambda x, there: pa.array(x.view(np.int64), mask=~there)
+                whole = np.zeros(len(at), np.uint64)
+                whole[large] = np.array(ctx, dtype=np.uint64)
+                hashes = [long(sides[2 * j], sides[2 * j + 1]) for j in range(4)]
+                place = lambda x: pa.array(x.astype(np.int32), mask=~large)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), hashes[0], hashes[1], long(whole, large), hashes[2], hashes[3], *(part.column(j).take(of) for j in range(3)), place(lo), pa.array(at.astype(np.int32)), place(hi)], names=names)
 
     k1, k2 = row_keys(F.col("doc_id"), F.col(text))
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select(k1, k2, "doc_id", or_empty(F.col(text)).alias("t")).mapInArrow(find, ", ".join(f"{c} bigint" for c in names[:8]) + f", doc_id {kind}, lo int, pos int, hi int")
 
 
-def suffix_array(t: np.ndarray) -> np.ndarray:
-    """Suffixes of t (values from 0 on) in order, by doubling what the ranks cover until all differ."""
+def suffix_array(t: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Suffixes of t (values from 0 on) in order, by doubling what the ranks cover until all differ; and these ranks.
+
+    A rank of a length is the same for all suffixes that begin with the same values over that length.
+    """
     n = len(t)
     bits = int(t.max() + 1).bit_length()
     k = max(1, 62 // bits)
     key = np.zeros(n, np.int64)
     for j in range(k):  # the first ranks cover as many values as fit into a number
         key = (key << bits) | np.concatenate([t[j:] + 1, np.zeros(min(j, n), np.int64)])[:n]
+    sa = np.argsort(key)
+    s, slots, levels = key[sa], np.arange(n), []
+    rank = np.empty(n, np.int64)
     while True:
-        sa = np.argsort(key, kind="stable")
-        s = key[sa]
-        new = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
-        if new[-1] == n - 1:
-            return sa
-        rank = np.empty(n, np.int64)
-        rank[sa] = new
-        key = rank * (n + 1) + np.concatenate([rank[k:] + 1, np.zeros(min(k, n), np.int64)])[:n]
+        # A rank is the first slot of the suffixes that are equal so far; only where there are several these are sorted on.
+        head = np.concatenate([[True], s[1:] != s[:-1]])
+        rank[sa[slots]] = slots[np.maximum.accumulate(np.where(head, np.arange(len(slots)), 0))]
+        slots = slots[~(head & np.concatenate([head[1:], [True]]))]
+        if not len(slots):
+            return sa, levels
+        levels.append((k, rank.astype(np.int32)))
+        at = sa[slots]
+        key = rank[at] * (n + 1) + np.where(at + k < n, rank[np.minimum(at + k, n - 1)] + 1, 0)
+        order = np.argsort(key)
+        sa[slots], s = at[order], key[order]
         k *= 2
 
 
-def common_prefix(t: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Lengths of the common prefixes of the suffixes at a and b."""
-    n, out, live, i = len(t), np.zeros(len(a), np.int64), np.arange(len(a)), 0
+def common_prefix(t: np.ndarray, levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the common prefixes of the suffixes at a and b: where ranks of a length are equal, on by that length."""
+    n = len(t)
+    to = np.zeros(len(a), np.int64)
+    for k, rank in reversed(levels):
+        x, y = a + to, b + to
+        to += k * ((x < n) & (y < n) & (rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)]))
+    live = np.arange(len(a))
     while len(live):
-        x, y = a[live, None] + i + np.arange(32), b[live, None] + i + np.arange(32)
-        same = (x < n) & (y < n)
-        same &= t[np.minimum(x, n - 1)] == t[np.minimum(y, n - 1)]
-        run = np.where(same.all(axis=1), 32, np.argmin(same, axis=1))
-        out[live] += run
-        live, i = live[run == 32], i + 32
-    return out
+        x, y = a[live] + to[live], b[live] + to[live]
+        live = live[(x < n) & (y < n) & (t[np.minimum(x, n - 1)] == t[np.minimum(y, n - 1)])]
+        to[live] += 1
+    return to
 
 
 def matching_statistics(t: np.ndarray) -> np.ndarray:
@@ -159,10 +189,10 @@ def matching_statistics(t: np.ndarray) -> np.ndarray:
     the heads of runs (match with the suffix before) and at their tails (with the suffix after) only.
     """
     n = len(t)
-    sa = suffix_array(t)
+    sa, levels = suffix_array(t)
     bwt = t[sa - 1]
     ends = np.flatnonzero((bwt[1:] != bwt[:-1]) | (sa[1:] == 0) | (sa[:-1] == 0)) + 1
-    lcp = common_prefix(t, sa[ends], sa[ends - 1])
+    lcp = common_prefix(t, levels, sa[ends], sa[ends - 1])
     best = np.zeros(n, np.int64)
     for at in (sa[ends], sa[ends - 1]):
         reached = np.zeros(n, np.int64)
