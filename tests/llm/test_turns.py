@@ -2,14 +2,16 @@
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from hashlib import sha256
 from zlib import crc32
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidecover.llm import repair
+from tidecover.llm import repair, sketches, trie
+from tidecover.llm.common import row_keys
 
 SCHEMA = "conv_id bigint, turn bigint, role string, text string"
 WHITE = " \t\n\x0b\x0c\r"
@@ -131,3 +133,116 @@ def test_repair_of_nothing(spark):
     long = "word " * 200_000
     got = repair.repair(spark.createDataFrame([(1, 0, "user", long + "."), (1, 1, "assistant", long + ".")], SCHEMA)).first()
     assert got.audit == "KK" and got.turns[1].text == long + "."
+
+
+def plain_trie(convs):
+    """convs: conv_id -> list of (role, text)."""
+    members = defaultdict(list)
+    for c, turns in convs.items():
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+    out = []
+    for p, ids in members.items():
+        under = [q for q in members if q[: len(p)] == p]
+        children = [q for q in under if len(q) == len(p) + 1]
+        leaves = [q for q in under if not any(r[: len(q)] == q and len(r) > len(q) for r in under)]
+        saved = sum((len(members[q]) - 1) * len(q[-1][1].encode()) for q in under if q)
+        last = ",".join(map(str, sorted(c for c in ids if len(convs[c]) == len(p))))
+        out.append((min(ids), len(p), min(members[p[:-1]]) if p else None, len(ids), len(children), len(leaves), saved, sha256(last.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def shared_starts(rng, n=90):
+    rows = []
+    for c in range(n):
+        size = rng.choice([1, 2, 3, 5, 12]) if c != 11 else 300
+        for t in range(size):
+            text = rng.choice(["a", "bb", "é", ""]) if t < 3 or rng.random() < 0.3 else f"t{rng.randint(0, 3)}"
+            rows.append((c * 3 if c % 7 else c, t if t else None, rng.choice(["user", None]) if t % 2 else "system", text if rng.random() < 0.9 else None))
+    rows += [(1000 + 5 * i + j, t, "user", "same") for i in range(5) for j in range(5) for t in range(4)]
+    return list({(r[0], r[1]): r for r in rows}.values())
+
+
+def plain_rebuilt(rows):
+    own = defaultdict(list)
+    for c, t, r, x in rows:
+        own[c].append((t, r or "", x or ""))
+    own = {c: [(r, x) for _, r, x in sorted(v, key=lambda y: first_null(y[0]))] for c, v in own.items()}
+    h = {c: crc32(str(c).encode()) % 9 for c in own}
+    return {c: own.get(c - c % 5, [])[: h[c]] + own[c][h[c] :] for c in own}
+
+
+@pytest.mark.parametrize("shard", [trie.SHARD, 40, 3])
+def test_trie_against_all_prefixes(spark, tmp_path, monkeypatch, shard):
+    monkeypatch.setattr(trie, "SHARD", shard)
+    monkeypatch.setattr(trie, "BLOCK", 4 if shard < 100 else 1024)
+    rows = shared_starts(random.Random(4))
+    df = spark.createDataFrame(rows + [(None, 0, "user", "x")], SCHEMA).repartition(6).withColumn("k1", F.lit("x")).withColumn("depth", F.lit(1))
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    names = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    got = sorted((tuple(r[c] for c in names) for r in trie.op12_prefix_trie(spark, str(tmp_path)).collect()), key=str)
+    assert got == plain_trie(plain_rebuilt(rows))
+
+
+def test_trie_of_ties_and_nothing(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    assert trie.trie(*trie.rebuilt(none)).count() == 0
+    tied = spark.createDataFrame([(5, 0, "user", "x" * 10**6), (5, 0, "user", "b"), (5, 0, "assistant", "c"), (5, 0, "user", "b")], SCHEMA)
+    runs = [sorted(map(str, trie.trie(*trie.rebuilt(tied.repartition(n))).collect())) for n in (1, 4)]
+    assert runs[0] == runs[1] and len(runs[0]) == 5
+
+
+def test_slots_are_minimal_and_verified():
+    rng = random.Random(5)
+    keys = [(rng.getrandbits(63), rng.getrandbits(63) - 2**62) for _ in range(5000)]
+    k1, k2 = (np.array(x, np.int64) for x in zip(*keys))
+    slots = trie.Slots(k1, k2)
+    assert sorted(slots.at(k1, k2)) == list(range(5000))
+    assert (slots.at(k2, k1) == -1).all() and len(trie.Slots(k1[:0], k2[:0]).at(k1, k2)) == 5000
+
+
+def plain_paragraphs(text):
+    words = [re.findall("[^ ]{1,64} *", line) for line in (text or "").split("\n")]
+    return Counter("".join(w[i : i + sketches.WORDS]) for w in words for i in range(0, len(w), sketches.WORDS))
+
+
+def alike(a, b):
+    a, b = plain_paragraphs(a), plain_paragraphs(b)
+    every = sum((a | b).values())
+    return sum((a & b).values()) / every if every else 1.0
+
+
+def test_fingerprints_against_sets(spark, tmp_path):
+    rng = random.Random(6)
+    say = lambda n: " ".join(f"w{rng.randint(0, 400)}" for _ in range(n))
+    texts = ["\n".join(say(rng.randint(1, 60)) for _ in range(rng.choice([1, 3, 9, 40]))) for _ in range(50)]
+    texts += ["", None, texts[3], texts[3], "x", "é😀" * 300, "same line\n" * 500, "\n".join(say(5) for _ in range(6000)), "z" * 100_000, texts[4] + "\nmore."]
+    rows = [(i * 3 if i != 8 else None, t) for i, t in enumerate(texts)] + [(9, texts[3]), (9, texts[3]), (9, "another text")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7).withColumn("k1", F.lit("x")).withColumn("n", F.lit(1))
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sketches.op13_document_fingerprints(spark, str(tmp_path)).collect()
+    k1, k2 = row_keys(F.col("doc_id"), F.col("text"))
+    order = {(r.doc_id, r.text): (r.k1, r.k2) for r in df.select("doc_id", "text", k1, k2).collect()}
+    rows.sort(key=lambda r: (first_null(r[0]), order[r]))
+    want = []
+    for (i, t), (_, u) in zip(rows, rows[1:] + rows[:1]):
+        t, u = t or "", u or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + u[:half]
+        want.append((i, len(t), sha256(edited.encode()).hexdigest(), alike(t, edited), alike(t, u)))
+    key = lambda r: (first_null(r[0]), r[1:3], r[4])
+    have = sorted(((r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in got), key=key)
+    for a, b in zip(have, sorted(want, key=key), strict=True):
+        assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:])
+    assert len({r.fingerprint for r in got if r.doc_id in (156, 159)}) == 1
+
+
+def test_fingerprints_tell_small_changes(spark):
+    rng = random.Random(7)
+    lines = [f"line {i} " + " ".join(str(rng.random()) for _ in range(9)) for i in range(300)]
+    other = [*lines[:100], "new", *lines[101:250]]
+    df = sketches.fingerprints(spark.createDataFrame([(1, "\n".join(lines[:252])), (2, "\n".join(other))], "id int, text string"))
+    both = df.filter("id = 1").select(F.col("fingerprint").alias("a")).crossJoin(df.filter("id = 2").select(F.col("fingerprint").alias("b")))
+    assert both.select(F.size(sketches.changed_paragraphs(F.col("a"), F.col("b")))).first()[0] == 4
+    empty = spark.createDataFrame([], "doc_id bigint, text string")
+    assert sketches.fingerprints(empty).count() == 0

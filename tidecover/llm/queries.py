@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks, decontam, jaccard, lines, packing, pii, quality, repeats, sharding, toxicity
+from . import chunks, decontam, jaccard, lines, packing, pii, quality, repair, repeats, sharding, sketches, toxicity, trie
 from .sql import ORACLE  # noqa: F401
 
 QUERIES = {
@@ -16,4 +16,7 @@ QUERIES = {
     "op8_decontamination": decontam.op8_decontamination,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_sharding": sharding.op10_sharding,
+    "op11_structure_repair": repair.op11_structure_repair,
+    "op12_prefix_trie": trie.op12_prefix_trie,
+    "op13_document_fingerprints": sketches.op13_document_fingerprints,
 }

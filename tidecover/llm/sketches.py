@@ -1,9 +1,10 @@
 """Document fingerprints: invertible Bloom lookup sketches of a text's paragraphs.
 
-A sketch has TABLES tables of cells; each paragraph digest goes into one cell of each, which sums counts and xors digests
-and checks.  Sketches of two versions subtract cell by cell; cells that then hold one digest give it away, it is taken out
-of its other cells, and so on (peeling), until all differing digests are known or none is left to take.  Native expressions
-on one row, so nothing is shuffled but what the rows are joined by.
+A sketch has three tables of cells; each paragraph digest goes into one cell of each, by its own bits, and a cell holds the
+xor of its digests.  A digest's last CHECK bits are a hash of the others, so a cell that holds one digest alone shows it.
+Sketches of two versions subtract cell by cell (by xor); what then stands alone is taken out of its other cells, and so on
+(peeling), until all differing digests are known or none is left to take.  Native expressions on one row, so nothing is
+shuffled but what the rows are joined by.
 """
 
 from __future__ import annotations
@@ -13,88 +14,85 @@ from pyspark.sql import functions as F
 
 from .common import let, or_empty, row_keys, stored, table
 
-WORDS = 16  # a line is cut into paragraphs of so many words
-TABLES = 3
+WORDS = 32  # a line is cut into paragraphs of so many words
 BASE = 8  # cells of each table of a fingerprint
-PART = 8  # differing digests to expect in a part of a larger sketch
-SIZES = (5, 16, 64)  # cells of each table of a part, first and after failures
+PART = 4  # differing digests to expect in a part of a larger sketch
+SIZES = (4, 8, 32)  # cells of each table of a part, first and after failures
+CHECK, TABLE, SPLIT = 20, 8, 44  # a digest's bits: check, three times a place in a table, the part of a larger sketch
 
 PIECE = r"(?:[^ \n]{1,64}+ *+){1,%d}+" % WORDS
-CELLS = "array<struct<n: int, d: bigint, k: bigint>>"
 
 
-def paragraph_digests(text: Column) -> Column:
-    """64-bit digests of a text's paragraphs: its lines, longer ones cut every WORDS words (and words every 64 characters).
+def shifted(d: Column, by: Column) -> Column:
+    return F.call_function("shiftrightunsigned", d, by)
 
-    A paragraph's further occurrences have digests of their own, so a text's digests are a set; null and empty texts have none.
-    """
-    sorted_ = F.array_sort(F.transform(F.regexp_extract_all(or_empty(text), F.lit(PIECE), F.lit(0)), lambda p: F.xxhash64(p)))
-    # The first of equal digests stays as it is, the i-th after it is hashed with the one before it: by then sorted, equal
-    # ones stand side by side.
-    def numbered(a: Column) -> Column:
-        first = F.transform(a, lambda d, i: F.when((i > 0) & (F.get(a, i - 1) == d), F.lit(None)).otherwise(i))
-        start = lambda i: F.when(F.get(first, i).isNotNull(), i).otherwise(F.array_position(a, F.get(a, i)) - 1)
-        return F.transform(a, lambda d, i: let(i - start(i), lambda k: F.when(k == 0, d).otherwise(F.xxhash64(d, k))))
 
-    return let(sorted_, lambda a: F.when(F.size(F.array_distinct(a)) == F.size(a), a).otherwise(numbered(a)))
+def power(bits: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), bits)
 
 
 def check(d: Column) -> Column:
-    return F.xxhash64(d, F.lit(17)).bitwiseAND(0xFFFFFFFF)
+    return F.xxhash64(shifted(d, F.lit(CHECK))).bitwiseAND(2**CHECK - 1)
 
 
-def shifted(d: Column, by: Column) -> Column:
-    return F.call_function("shiftrightunsigned", d, by)
+def paragraph_digests(text: Column) -> Column:
+    """Digests of a text's paragraphs: its lines, longer ones cut every WORDS words (and words every 64 characters).
 
+    A paragraph's further occurrences have digests of their own, so a text's digests are a set; null and empty texts have none.
+    """
+    pieces = F.regexp_extract_all(or_empty(text), F.lit(PIECE), F.lit(0))
+    hashed = F.array_sort(F.transform(pieces, lambda p: F.xxhash64(p)))
+
+    def numbered(a: Column) -> Column:
+        """Sorted hashes, each of several equal ones hashed with its number among them."""
+        start = F.transform(a, lambda d, i: F.when((i == 0) | (F.get(a, i - 1) != d), i))
+        last = F.aggregate(start, F.array().cast("array<int>"), lambda s, i: F.concat(s, F.array(F.coalesce(i, F.element_at(s, -1)))))
+        return F.zip_with(F.transform(a, lambda d, i: F.struct(d.alias("d"), i.alias("i"))), last, lambda x, f: F.when(x["i"] == f, x["d"]).otherwise(F.xxhash64(x["d"], x["i"] - f)))
+
+    apart = let(hashed, lambda a: F.when(F.size(F.array_distinct(a)) == F.size(a), a).otherwise(numbered(a)))
+    return F.transform(apart, lambda d: d.bitwiseAND(-(2**CHECK)).bitwiseOR(check(d)))
 
-def cell_of(d: Column, i: Column, size: Column) -> Column:
-    """Is cell i of 3 * size the one that a digest is in, in its table?  By the digest's bits from 40 on, 8 a table."""
-    table_ = F.call_function("div", i, size)
-    return shifted(d, (40 + 8 * table_).cast("int")).bitwiseAND(255) % size == i % size
 
+def places(size: int) -> Column:
+    """The cells of a sketch: a digest is in a cell if its bits from s on are w; z masks as many bits as count."""
+    return F.array(*[F.struct(F.lit(CHECK + TABLE * j).alias("s"), F.lit(i).cast("bigint").alias("w"), F.lit(size - 1).cast("bigint").alias("z")) for j in range(3) for i in range(size)])
 
-def cell_numbers(size: Column) -> Column:
-    return F.sequence(F.lit(0), TABLES * size - 1)
 
+def held(start: Column, digests: Column, place: Column) -> Column:
+    """start with those of digests that are in a cell."""
+    return F.aggregate(digests, start, lambda c, d: F.when(shifted(d, place["s"]).bitwiseAND(place["z"]) == place["w"], c.bitwiseXOR(d)).otherwise(c))
 
-def sketch(digests: Column, size: Column) -> Column:
-    """The cells of digests, table after table."""
-    xor = lambda a, f: F.aggregate(a, F.lit(0).cast("bigint"), lambda x, d: x.bitwiseXOR(f(d)))
-    held = lambda own: F.struct(F.size(own).alias("n"), xor(own, lambda d: d).alias("d"), xor(own, check).alias("k"))
-    return F.transform(cell_numbers(size), lambda i: let(F.filter(digests, lambda d: cell_of(d, i, size)), held))
 
+def sketch(digests: Column, cells: Column) -> Column:
+    return F.transform(cells, lambda p: held(F.lit(0).cast("bigint"), digests, p))
 
-def less(c: Column, x: Column) -> Column:
-    """Cell c without what cell x holds."""
-    return F.struct((c["n"] - x["n"]).alias("n"), c["d"].bitwiseXOR(x["d"]).alias("d"), c["k"].bitwiseXOR(x["k"]).alias("k"))
 
+def subtracted(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
 
-def peeled(cells: Column, size: Column) -> Column:
-    """The digests that a difference of two sketches holds (n: 1 of the first, -1 of the second; d, k); null on failure."""
 
-    def without(state: Column, p: Column) -> Column:
-        left = F.transform(state["cells"], lambda c, i: F.aggregate(F.filter(p, lambda x: cell_of(x["d"], i, size)), c, less))
-        return F.struct(left.alias("cells"), F.concat(state["found"], p).alias("found"), (F.size(p) > 0).alias("on"))
+def peeled(difference: Column, cells: Column) -> Column:
+    """The digests that a difference of two sketches holds; null on failure."""
 
     def once(state: Column, _: Column) -> Column:
-        pure = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["k"] == check(c["d"])))
-        return F.when(state["on"], let(F.array_distinct(pure), lambda p: without(state, p))).otherwise(state)
+        alone = F.array_distinct(F.filter(state["left"], lambda c: (c != 0) & (c.bitwiseAND(2**CHECK - 1) == check(c))))
+        without = lambda p: F.struct(F.zip_with(state["left"], cells, lambda c, u: held(c, p, u)).alias("left"), F.concat(state["found"], p).alias("found"), (F.size(p) > 0).alias("on"))
+        return F.when(state["on"], let(alone, without)).otherwise(state)
 
-    start = F.struct(cells.alias("cells"), F.array().cast(CELLS).alias("found"), F.lit(True).alias("on"))
-    end = F.aggregate(cell_numbers(size), start, once)
-    return let(end, lambda s: F.when(~F.exists(s["cells"], lambda c: (c["n"] != 0) | (c["d"] != 0)), s["found"]))
+    start = F.struct(difference.alias("left"), F.array().cast("array<bigint>").alias("found"), F.lit(True).alias("on"))
+    end = F.aggregate(cells, start, once)  # no more rounds than cells
+    return let(end, lambda s: F.when(~F.exists(s["left"], lambda c: c != 0), s["found"]))
 
 
 def differing(a: Column, b: Column) -> Column:
-    """How many digests sets a and b don't share: the first sketch failed, so they are split by their last bits into parts
+    """How many digests sets a and b don't share: the first sketch failed, so they are split by their first bits into parts
     of some PART digests, and each part has a sketch of its own, with more cells after a failure (in the end, with a
     chance of next to none, the sets themselves are compared)."""
-    power = lambda bits: F.call_function("shiftleft", F.lit(1).cast("bigint"), bits)
+    sizes = F.array(*[places(m) for m in SIZES])
 
     def part(x: Column, y: Column) -> Column:
-        tried = lambda m: F.size(peeled(F.zip_with(sketch(x, m), sketch(y, m), less), m))
-        sizes = F.array(*[F.lit(m) for m in SIZES])
-        found = F.aggregate(sizes, F.lit(None).cast("int"), lambda n, m: F.when(n.isNull(), tried(m)).otherwise(n))
+        tried = lambda cells: F.size(peeled(subtracted(sketch(x, cells), sketch(y, cells)), cells))
+        found = F.aggregate(sizes, F.lit(None).cast("int"), lambda n, cells: F.when(n.isNull(), tried(cells)).otherwise(n))
         return F.coalesce(found, F.size(F.array_except(x, y)) + F.size(F.array_except(y, x)))
 
     def split(x: Column, y: Column, shift: int, parts: Column, body) -> Column:
@@ -103,45 +101,34 @@ def differing(a: Column, b: Column) -> Column:
         return F.aggregate(each, F.lit(0), lambda s, v: s + v)
 
     n = F.greatest(F.size(a) + F.size(b), F.lit(1)) / PART
-    bits = F.greatest(F.ceil(F.log2(n)), F.lit(0)).cast("int")
+    bits = F.least(F.greatest(F.ceil(F.log2(n)), F.lit(0)), F.lit(64 - SPLIT)).cast("int")
     # Two steps, so that a long text isn't read once for each of its parts.
-    return let(bits, lambda z: split(a, b, 6, power(F.greatest(z - 6, F.lit(0))), lambda x, y: split(x, y, 0, power(F.least(z, F.lit(6))), part)))
+    return let(bits, lambda z: split(a, b, SPLIT + 6, power(F.greatest(z - 6, F.lit(0))), lambda x, y: split(x, y, SPLIT, power(F.least(z, F.lit(6))), part)))
 
 
 def likeness(a: Column, b: Column, fa: Column, fb: Column) -> Column:
     """Jaccard likeness of sets a and b with sketches fa and fb: of shared digests to all; 1 where both are empty."""
-    d = F.coalesce(F.size(peeled(F.zip_with(fa, fb, less), F.lit(BASE))), differing(a, b))
+    d = F.coalesce(F.size(peeled(subtracted(fa, fb), places(BASE))), differing(a, b))
     n = F.size(a) + F.size(b)
     return F.when(n == 0, 1.0).otherwise(let(d, lambda x: (n - x) / (n + x)))
 
 
 def written(cells: Column) -> Column:
-    """A sketch as text: cells between bars, each n.d.k with d and k in hex, empty ones as nothing."""
-    return F.array_join(F.transform(cells, lambda c: F.when(c["n"] == 0, "").otherwise(F.concat_ws(".", c["n"].cast("string"), F.lower(F.hex(c["d"])), F.lower(F.hex(c["k"]))))), "|")
-
-
-def read_back(fingerprint: Column) -> Column:
-    """The cells of a written sketch."""
-
-    def cell(c: Column) -> Column:
-        part = lambda i: F.coalesce(F.get(F.split(c, r"\."), i), F.lit("0"))
-        whole = lambda i: F.conv(part(i), 16, -10).cast("bigint")
-        return F.struct(F.when(c == "", 0).otherwise(part(0).try_cast("int")).alias("n"), whole(1).alias("d"), whole(2).alias("k"))
-
-    return F.transform(F.split(fingerprint, r"\|", -1), cell)
+    """A sketch as text: its cells in hex between bars, empty ones as nothing."""
+    return F.array_join(F.transform(cells, lambda c: F.when(c == 0, "").otherwise(F.lower(F.hex(c)))), "|")
 
 
 def changed_paragraphs(fingerprint: Column, other: Column) -> Column:
-    """The digests in which the texts of two fingerprints differ (n: 1 of the first, -1 of the second); null where these
-    are more than fingerprints can tell."""
-    return peeled(F.zip_with(read_back(fingerprint), read_back(other), less), F.lit(BASE))
+    """The digests in which the texts of two fingerprints differ; null where these are more than fingerprints can tell."""
+    read = lambda f: F.transform(F.split(f, r"\|", -1), lambda c: F.when(c == "", F.lit(0).cast("bigint")).otherwise(F.conv(c, 16, -10).cast("bigint")))
+    return peeled(subtracted(read(fingerprint), read(other)), places(BASE))
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with fingerprint: equal for equal texts; null and empty texts have one without any paragraph."""
     held = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "fingerprint"]).alias("_row")
     digests = docs.select(held, paragraph_digests(F.col(text)).alias("_d"))
-    return digests.select("_row.*", written(sketch(F.col("_d"), F.lit(BASE))).alias("fingerprint"))
+    return digests.select("_row.*", written(sketch(F.col("_d"), places(BASE))).alias("fingerprint"))
 
 
 def successors(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -182,7 +169,7 @@ def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = last.unionByName(same).select("doc_id", "n", "digests", "following", "times", F.concat("head", "tail").alias("edited"))
     both = both.withColumn("changed", paragraph_digests(F.col("edited")))
     for name, of in (("f", "digests"), ("g", "changed"), ("h", "following")):
-        both = both.withColumn(name, sketch(F.col(of), F.lit(BASE)))
+        both = both.withColumn(name, sketch(F.col(of), places(BASE)))
     others = F.array(F.struct(F.col("changed").alias("d"), F.col("g").alias("s")), F.struct(F.col("following").alias("d"), F.col("h").alias("s")))
     both = both.withColumn("near", F.transform(others, lambda x: likeness(F.col("digests"), x["d"], F.col("f"), x["s"])))
     found = both.select("doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), written(F.col("f")).alias("fingerprint"), written(F.col("g")).alias("edited_fingerprint"), F.col("near")[0].alias("near_edited"), F.col("near")[1].alias("near_next"), "times")
