@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import let, or_empty, row_keys, stored, table
 
-WORDS = 32  # a line is cut into paragraphs of so many words
+WORDS = 16  # a line is cut into paragraphs of so many words
 BASE = 8  # cells of each table of a fingerprint
 PART = 4  # differing digests to expect in a part of a larger sketch
 SIZES = (4, 8, 32)  # cells of each table of a part, first and after failures
@@ -132,7 +132,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def successors(docs: DataFrame, text: str = "text") -> DataFrame:
-    """k1, k2 (the row's keys), c (how often the row is there), p1, p2, n: keys and number of characters of the row before
+    """doc_id, k1, k2 (the row's keys), c (how often the row is there), p1, p2, n: keys and number of characters of the row before
     it, by doc_id (null first), then keys; before the first comes the last.
 
     Rows are dealt out by ranges, each of which is sorted on its own; the ends of ranges meet in a table of one row a range.
@@ -145,15 +145,16 @@ def successors(docs: DataFrame, text: str = "text") -> DataFrame:
     before = F.lag("last").over(Window.orderBy("_p"))
     whole = F.max("last").over(Window.partitionBy())
     start = ends.select("_p", F.coalesce(before, whole).alias("start"))
-    per = dealt.select("_p", "k1", "k2", "c", F.lag(row).over(Window.partitionBy("_p").orderBy(F.asc_nulls_first("doc_id"), "k1", "k2")).alias("before"))
-    both = per.join(start, "_p").select("k1", "k2", "c", F.coalesce("before", "start").alias("b"))
-    return both.select("k1", "k2", "c", F.col("b.k1").alias("p1"), F.col("b.k2").alias("p2"), F.col("b.n").alias("n"))
+    per = dealt.select("_p", "doc_id", "k1", "k2", "c", F.lag(row).over(Window.partitionBy("_p").orderBy(F.asc_nulls_first("doc_id"), "k1", "k2")).alias("before"))
+    both = per.join(start, "_p").select("doc_id", "k1", "k2", "c", F.coalesce("before", "start").alias("b"))
+    return both.select("doc_id", "k1", "k2", "c", F.col("b.k1").alias("p1"), F.col("b.k2").alias("p2"), F.col("b.n").alias("n"))
 
 
 def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     k1, k2 = row_keys(F.col("doc_id"), F.col("text"))
-    keyed = docs.select("doc_id", or_empty(F.col("text")).alias("text"), k1, k2)
+    # Each branch below reads the same columns of this side, so that its texts are shuffled once for all.
+    keyed = docs.select(or_empty(F.col("text")).alias("text"), k1, k2)
     keys = ["k1", "k2"]
     rows = keyed.join(successors(docs).withColumnRenamed("n", "before"), keys)
     # Rows that are there several times stay once until the end.
