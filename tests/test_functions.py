@@ -1,14 +1,18 @@
 import datetime as dt
 import math
+import random
+from datetime import date, datetime, time, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidecover.functions import payouts as P
 from tidecover.functions import seasons as S
 from tidecover.functions import text as X
+from tidecover.functions import stats, text
 from tidecover.functions.stats import percentiles, t_p_value, t_quantile_975
-from tidecover.operators import corridor, match, regress, scenario
+from tidecover.operators import corridor, effort, match, regress, scenario
 from tidecover.sources.documents import climate_index
 
 
@@ -64,12 +68,126 @@ def test_region_bounds(spark):
 def test_nearest_takes_the_first_of_ties(spark):
     points = spark.createDataFrame([(1, 1.5), (1, 2.9), (1, 9.0)], "k int, x double")
     axis = spark.createDataFrame([(1, 3.0), (1, 2.0), (1, 1.0)], "k int, x double")
-    falling = {r.x: r.v for r in match.nearest_on_axis(points, axis, ["k"], "x", "v", falling=True).collect()}
+    falling = {r.x: r.v for r in match.with_nearest(points, axis, ["k"], "x", "v", falling=True).collect()}
     assert falling == {1.5: 2.0, 2.9: 3.0, 9.0: 3.0}
-    rising = {r.x: r.v for r in match.nearest_on_axis(points, axis, ["k"], "x", "v").collect()}
+    rising = {r.x: r.v for r in match.with_nearest(points, axis, ["k"], "x", "v").collect()}
     assert rising == {1.5: 1.0, 2.9: 3.0, 9.0: 3.0}
 
 
+def test_nearest_on_long_uneven_axes(spark):
+    rng = random.Random(3)
+    axis = [(k, v) for k in (1, 2) for v in {round(rng.choice([0, 50, 1000]) + rng.random() * 9, 2) for _ in range(400)}] + [(3, 7.0)]
+    points = [(rng.randint(1, 4), rng.choice([rng.uniform(-99, 1200), rng.choice(axis)[1] + 0.005, None])) for _ in range(3000)]
+    p, a = spark.createDataFrame(points, "k int, x double"), spark.createDataFrame(axis, "k int, x double")
+    for falling in (False, True):
+        got = match.with_nearest(p, a, ["k"], "x", "v", falling).collect()
+        assert len(got) == len(points)
+        for r in got:
+            own = sorted((v for k, v in axis if k == r.k), reverse=falling)
+            assert r.v == (min(own, key=lambda v: abs(v - r.x)) if own and r.x is not None else None)
+    plan = match.with_nearest(p, a, ["k"], "x", "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_min" not in plan
+
+
+def test_nearest_places_without_a_grid(spark):
+    rng = random.Random(4)
+    bent = [(i + 0.3 * math.sin(j), j * 0.7 + 0.1 * i) for i in range(12) for j in range(12) if (i - 5) ** 2 + (j - 5) ** 2 > 9]
+    places = [(rng.uniform(-6, 20), rng.uniform(-6, 16)) for _ in range(400)] + [(5.0, 5.0), (5.0, 5.0), (None, 1.0)]
+    cells = spark.createDataFrame([*bent, (None, 0.0), bent[0]], "lat double, lon double")
+    got = {(r.lat, r.lon): (r.c_lat, r.c_lon) for r in match.nearest_places(spark.createDataFrame(places, "lat double, lon double"), cells, 1.0).collect()}
+    assert set(got) == {p for p in places if p[0] is not None}
+    for p, c in got.items():
+        assert c == min(bent, key=lambda b: ((b[0] - p[0]) * (b[0] - p[0]) + (b[1] - p[1]) * (b[1] - p[1]), b))
+    assert match.nearest_places(cells, cells.limit(0), 1.0).count() == 0
+
+
+def test_ranks_and_percentiles_by_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # or so few rows would be one range
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([rng.random(), float(rng.randint(0, 9)), None])) for _ in range(5000)] + [("one", 2.5)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(8)
+    own = {}
+    for g, x in rows:
+        if x is not None:
+            own.setdefault(g, []).append(x)
+    counts = stats.dealt_counts(df, ["g"], "x")
+    assert counts.filter("g = 'a'").select("_p").distinct().count() > 1
+    for r in stats.cumulative_counts(df, ["g"], "x").collect():
+        assert r.n == len(own[r.g]) and r.below == sum(v < r.x for v in own[r.g]) and r.c == own[r.g].count(r.x)
+    got = {r.g: r for r in stats.exact_percentiles(df, ["g"], "x", {"p0": 0, "p5": 0.05, "p50": 0.5, "p99": 0.99, "p100": 1}).collect()}
+    assert set(got) == set(own)
+    for g, v in own.items():
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        assert got[g].n == len(v) and [got[g][f"p{p}"] for p in (0, 5, 50, 99, 100)] == pytest.approx(list(np.percentile(v, [0, 5, 50, 99, 100])))
+
+
+def test_effort_by_company_and_period(spark):
+    rng = random.Random(6)
+    day0 = date(1999, 3, 1)
+    events = []
+    for v in range(12):
+        for _ in range(40):
+            day = day0 + timedelta(rng.randint(0, 300))
+            events.append((day, effort_season(day), rng.choice("AB") if v == 3 else ("A" if day < date(1999, 6, 1) else "B") if v == 4 else "ABC"[v % 3], f"TASA {v}" if v % 2 else f"Boat {v}", rng.random() * 10))
+    pings = []
+    for _ in range(4000):
+        v, day = rng.randint(0, 13), day0 + timedelta(rng.randint(0, 300))
+        season, year = rng.choice([("1ra", 1999), ("2da", 1999), ("1ra", 1998)])
+        pings.append((f"t{v}" if v % 2 else f"boat\u00a0{v} ", datetime.combine(day, time(rng.randint(0, 23))), year, season))
+    pings += [("t1", datetime(1998, 5, 1 + i), 1998, "1ra") for i in range(5)] + [(None, datetime(1999, 5, 1), 1999, "1ra"), ("t1", None, 1999, "1ra")]
+    ev = spark.createDataFrame(events, "event_date date, season string, company string, vessel string, catch_tm double")
+    daily = effort.clean_pings(spark.createDataFrame(pings, "code string, ts timestamp, file_year int, file_season string"))
+    hours = {(r.level, r.company, r.period): (round(r.hours, 9), r.days) for r in effort.effort_periods(effort.with_company(daily, effort.owners(ev))).collect()}
+    own: dict = {}
+    for day, _, c, v, _ in events:
+        own.setdefault(v.upper(), {}).setdefault(c, []).append(day)
+    kept, want = [], {}
+    for code, ts, year, season in pings:
+        if code and ts and ts.year == year and effort_season(ts.date()) == f"{season} {year}":
+            kept.append((f"TASA {code[1:]}" if code[0] == "t" else code.replace("\u00a0", " ").strip().upper(), ts.date(), f"{season} {year}"))
+    covered = {s: {d for _, d, t in kept if t == s} for _, _, s in kept}
+    for v, day, season in kept:
+        if len(covered[season]) >= 30 and v in own:
+            away = lambda days: max((min(days) - day).days, (day - max(days)).days, 0)
+            c = min(own[v], key=lambda c: (away(own[v][c]), -len(own[v][c]), c))
+            iso = day.isocalendar()
+            for level, period in (("day", str(day)), ("week", f"{iso[0]}-W{iso[1]:02}"), ("month", f"{day:%Y-%m}"), ("season", season)):
+                n, days = want.get((level, c, period), (0, set()))
+                want[level, c, period] = (n + 1, days | {day})
+    assert hours == {k: (round(n * 0.15, 9), len(days)) for k, (n, days) in want.items()}
+    assert not any(p.startswith("1998") for _, _, p in hours) and {p for level, _, p in hours if level == "season"} == {"1ra 1999", "2da 1999"}
+    r = effort.match_rate(ev, daily).first()
+    assert (r.vessels, r.unmatched) == (12, effort.unmatched_vessels(ev, daily).count()) and r.rate == 1 - r.unmatched / 12
+
+
+def effort_season(day):
+    doy = day.timetuple().tm_yday
+    return f"1ra {day.year}" if 91 <= doy <= 212 else f"2da {day.year}" if 305 <= doy <= 365 else None
+
+
+def test_several_terms_as_mllib(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    rng = random.Random(7)
+    rows = [("g", a := rng.gauss(5, 2), b := rng.gauss(0, 1) + 0.5 * a, c := rng.random(), 3 * a - b + rng.gauss(0, 2)) for _ in range(200)]
+    rows += [("flat", 1.0, float(i), 0.5, float(i)) for i in range(20)] + [("few", 1.0, 2.0, 3.0, 4.0)] + [("g", None, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, a double, b double, c double, y double")
+    got = {(r.g, r.term): r for r in regress.ols_many(df, ["g"], "y", ["a", "b", "c"]).collect()}
+    assert {g for g, _ in got} == {"g"}
+    one = VectorAssembler(inputCols=["a", "b", "c"], outputCol="f").transform(df.filter("g = 'g' and a is not null"))
+    m = LinearRegression(featuresCol="f", labelCol="y", solver="normal").fit(one)
+    for i, t in enumerate("abc"):
+        r = got["g", t]
+        assert (r.coef, r.se, r.p, r.r2) == pytest.approx((m.coefficients[i], m.summary.coefficientStandardErrors[i], m.summary.pValues[i], m.summary.r2), abs=1e-9)
+
+
+def test_slugs(spark):
+    names = {"X S A C": "x_sac", "X S.A.A.": "x_saa", "_A B": "a_b", " Pesca  Uno ": "pesca__uno"}
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert {r.n: r.s for r in df.select("n", text.slug(F.col("n")).alias("s")).collect()} == names
+
+
 def test_every_fine_cell_goes_to_its_nearest_coarse_cell(spark):
     coarse = spark.createDataFrame([(1, 0.0, 0.0, 10.0), (1, 0.0, 1.0, 20.0), (2, 0.0, 0.0, None), (3, 0.0, 0.0, 5.0)], "time int, lat double, lon double, value double")
     fine = spark.createDataFrame([(1, 0.1, 0.1, 9.0), (1, 0.2, 0.4, 8.0), (1, 0.1, 0.9, 25.0), (1, 0.0, 0.2, None), (2, 0.1, 0.1, 1.0), (4, 0.1, 0.1, 1.0)], "time int, lat double, lon double, value double")

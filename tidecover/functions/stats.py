@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import written
+
 NORMAL_FROM = 20_000  # degrees of freedom from which on the normal distribution stands for Student's
 Z975 = 1.959963984540054
 
@@ -58,23 +61,52 @@ def percentiles(x: str, at: list[float]) -> Column:
     return F.percentile(F.col(x), [float(p) for p in at])
 
 
-def cumulative_counts(df: DataFrame, keys: list[str], x: str) -> DataFrame:
-    """keys, x, c, below, n: of each distinct value its count, that of smaller values, and the group's; nulls left out.
+def dealt_counts(df: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """keys, x, c, _p: the count of each distinct value (nulls left out), dealt out by ranges of (keys, x), numbered _p.
 
-    Counts are combined before the shuffle, and a group's distinct values are sorted (and spilled), never held in memory.
+    Counts are combined before the shuffle.  A group's values lie in as many ranges as its share of them asks for, so no
+    task sorts a whole group.  The table is written, so that every reader sees the same ranges.
     """
     per = df.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("c"))
-    totals = per.groupBy(*keys).agg(F.sum("c").alias("n"))
-    to = Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-    return per.withColumn("below", F.coalesce(F.sum("c").over(to), F.lit(0))).join(totals, keys)
+    return written(per.repartitionByRange(*keys, x).withColumn("_p", F.spark_partition_id()), "counts")
+
+
+def range_offsets(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, _p, _start, _rows, n: of each group's ranges the values before it and in it, and the group's; one row a range."""
+    own = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    before = own.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    per = counts.groupBy(*keys, "_p").agg(F.sum("c").alias("_rows"))
+    return per.select(*keys, "_p", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"), "_rows", F.sum("_rows").over(own).alias("n"))
+
+
+def within_ranges(counts: DataFrame, offsets: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """keys, x, c, below, n and the other columns of offsets: running sums of each range alone, from its offset on."""
+    on = [F.col(f"_k{i}").eqNullSafe(F.col(k)) for i, k in enumerate(keys)]
+    named = offsets.select(F.col("_p").alias("_q"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in offsets.columns if c not in (*keys, "_p")])
+    joined = counts.join(named, reduce(Column.__and__, on, F.col("_p") == F.col("_q")))
+    to = Window.partitionBy(*keys, "_p").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    return joined.withColumn("below", F.col("_start") + F.coalesce(F.sum("c").over(to), F.lit(0))).drop("_q", *[f"_k{i}" for i in range(len(keys))])
+
+
+def cumulative_counts(df: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """keys, x, c, below, n: of each distinct value its count, that of smaller values, and the group's; nulls left out."""
+    counts = dealt_counts(df, keys, x)
+    return within_ranges(counts, range_offsets(counts, keys), keys, x).select(*keys, x, "c", "below", "n")
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], x: str, shares: dict[str, float]) -> DataFrame:
-    """keys, n and a column per share: exact percentiles, linear between neighbours, without a group's values in memory."""
-    counts = cumulative_counts(df, keys, x)
+    """keys, n and a column per share: exact percentiles, linear between neighbours.
+
+    Each share's two positions are looked for in the one range that holds them; the other ranges aren't sorted.
+    """
+    counts = dealt_counts(df, keys, x)
+    offsets = range_offsets(counts, keys)
     at = lambda p: F.lit(float(p)) * (F.col("n") - 1)
+    held = lambda i: (F.col("_start") <= i) & (i < F.col("_start") + F.col("_rows"))
+    wanted = reduce(Column.__or__, [held(f(at(p))) for p in shares.values() for f in (F.floor, F.ceil)])
+    found = within_ranges(counts, offsets.filter(wanted), keys, x)
     value = lambda i: F.max(F.when((F.col("below") <= i) & (i < F.col("below") + F.col("c")), F.col(x)))
-    picked = [f(name, p) for name, p in shares.items() for f in (lambda n, p: value(F.floor(at(p))).alias(f"_lo_{n}"), lambda n, p: value(F.ceil(at(p))).alias(f"_hi_{n}"))]
-    out = counts.groupBy(*keys).agg(F.max("n").alias("n"), *picked)
+    picked = [value(f(at(p))).alias(f"_{side}_{name}") for name, p in shares.items() for side, f in (("lo", F.floor), ("hi", F.ceil))]
+    out = found.groupBy(*keys).agg(F.max("n").alias("n"), *picked)
     mixed = lambda n, p: (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * (at(p) - F.floor(at(p)))).alias(n)
     return out.select(*keys, "n", *[mixed(n, p) for n, p in shares.items()])

@@ -29,8 +29,9 @@ def vessel_code(code: Column) -> Column:
 
 
 def slug(name: Column) -> Column:
-    """Lower case, no dots, underscores for spaces; s_a_a as saa."""
-    return F.replace(F.regexp_replace(F.replace(F.lower(F.trim(name)), F.lit("."), F.lit("")), r"\s+", "_"), F.lit("s_a_a"), F.lit("saa"))
+    """Lower case, no dots, an underscore for each space; s_a_a and s_a_c as saa and sac; no underscores at the ends."""
+    plain = F.replace(F.replace(F.lower(name), F.lit("."), F.lit("")), F.lit(" "), F.lit("_"))
+    return F.trim(F.replace(F.replace(plain, F.lit("s_a_a"), F.lit("saa")), F.lit("s_a_c"), F.lit("sac")), F.lit("_"))
 
 
 def stars(p: Column) -> Column:

@@ -103,8 +103,3 @@ def without_outliers(df: DataFrame, keys: list[str], x: str, reach: float = 1.5)
     q = exact_percentiles(df, keys, x, {"_lo": 0.25, "_hi": 0.75}).drop("n")
     lo, hi = F.col("_lo"), F.col("_hi")
     return df.join(q, keys).filter(F.col(x).between(lo - reach * (hi - lo), hi + reach * (hi - lo))).drop("_lo", "_hi")
-
-
-def effort(pings: DataFrame, keys: list[str], minutes: float = 9.0) -> DataFrame:
-    """Hours at sea by the number of pings, and the days they cover."""
-    return pings.groupBy(*keys).agg((F.count(F.lit(1)) * F.lit(minutes / 60)).alias("hours"), F.count_distinct(F.to_date("ts")).alias("days"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import exact_percentiles
+from ..sources.files import written
 
 WEST, EAST, PAD = -82.0, -74.0, 0.1
 
@@ -38,28 +39,30 @@ def edges(bands: DataFrame, extents: DataFrame) -> DataFrame:
 
     Its caps lie at the southernmost and northernmost event and repeat the nearest band's longitudes.
     """
-    mid = bands.select("region", (F.col("band") + 0.5).alias("lat"), "west", "east")
-    ends = mid.groupBy("region").agg(F.min_by(F.struct("west", "east"), "lat").alias("s"), F.max_by(F.struct("west", "east"), "lat").alias("n")).join(extents, "region")
-    first = ends.select("region", F.lit(-1).alias("o"), F.col("south").alias("lat"), "s.west", "s.east")
-    last = ends.select("region", F.lit(1).alias("o"), F.col("north").alias("lat"), "n.west", "n.east")
-    rows = first.unionByName(mid.withColumn("o", F.lit(0))).unionByName(last)
-    up = rows.select("region", F.lit(0).alias("side"), F.col("o").alias("a"), F.col("lat").alias("b"), F.col("west").alias("x"), F.col("lat").alias("y"))
-    down = rows.select("region", F.lit(1).alias("side"), (-F.col("o")).alias("a"), (-F.col("lat")).alias("b"), F.col("east").alias("x"), F.col("lat").alias("y"))
-    ring = Window.partitionBy("region").orderBy("side", "a", "b")
-    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    nxt = lambda c: F.coalesce(F.lead(c).over(ring), F.first(c).over(whole))
-    return up.unionByName(down).select("region", F.col("x").alias("x1"), F.col("y").alias("y1"), nxt("x").alias("x2"), nxt("y").alias("y2"))
+    mid = F.array_sort(F.collect_list(F.struct((F.col("band") + 0.5).alias("lat"), "west", "east"))).alias("mid")
+    per = bands.groupBy("region").agg(mid).join(F.broadcast(extents), "region")  # a row per region, an array of its bands
+    cap = lambda lat, at: F.array(F.struct(F.col(lat).alias("lat"), F.element_at("mid", at)["west"].alias("west"), F.element_at("mid", at)["east"].alias("east")))
+    side = lambda c: F.transform("all", lambda p: F.struct(p[c].alias("x"), p["lat"].alias("y")))
+    ring = per.select("region", F.concat(cap("south", 1), "mid", cap("north", -1)).alias("all")).select("region", F.concat(side("west"), F.reverse(side("east"))).alias("ring"))
+    to = F.transform("ring", lambda p, i: F.struct(p.alias("p"), F.get("ring", (i + 1) % F.size("ring")).alias("q")))
+    return ring.select("region", F.explode(to).alias("e")).select("region", F.col("e.p.x").alias("x1"), F.col("e.p.y").alias("y1"), F.col("e.q.x").alias("x2"), F.col("e.q.y").alias("y2"))
 
 
 def members(cells: DataFrame, edges: DataFrame, extents: DataFrame) -> DataFrame:
     """region, lat, lon of the cells inside each polygon: an edge to the east is crossed an odd number of times.
 
-    cells are distinct places, edges a few dozen rows, so the join without keys stays small.  Points on an edge may go
-    either way.  A polygon that folds over itself is read by the same even-odd rule.
+    By scanlines: edges meet each distinct latitude by its whole degree, which gives the places where a region's outline
+    crosses it; a cell counts those east of it.  Points on an edge may go either way.  A polygon that folds over itself is
+    read by the same even-odd rule.
     """
-    crosses = ((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))) & (F.col("lon") < (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) + F.col("x1"))
-    box = F.col("lon").between(WEST, EAST)
-    hit = cells.select("lat", "lon").distinct().filter(box).join(F.broadcast(edges), crosses).groupBy("region", "lat", "lon").agg(F.count(F.lit(1)).alias("n")).filter("n % 2 = 1")
+    degrees = F.sequence(F.floor(F.least("y1", "y2")), F.floor(F.greatest("y1", "y2")))
+    cut = edges.select("*", F.explode(degrees).alias("_d"))
+    places = cells.select("lat", "lon").distinct().filter(F.col("lon").between(WEST, EAST))
+    lines = places.select("lat").distinct().withColumn("_d", F.floor("lat"))
+    met = lines.join(cut, "_d").filter((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat")))
+    x = (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) + F.col("x1")
+    crossed = met.groupBy("region", "lat").agg(F.collect_list(x).alias("xs"))  # as many as a polygon's edges at most
+    hit = places.join(crossed, "lat").filter(F.size(F.filter("xs", lambda v: F.col("lon") < v)) % 2 == 1)
     pad = (F.col("lat") > F.col("south") - PAD) & (F.col("lat") <= F.col("north") + PAD)
     return hit.join(F.broadcast(extents), "region").filter(pad).select("region", "lat", "lon")
 
@@ -69,7 +72,7 @@ def corridor_daily(events: DataFrame, anomaly: DataFrame, regions: DataFrame, le
 
     places: a table with the anomaly's places that is cheaper to read, such as the grid that it was made from.
     """
-    ext = extents(events, regions)
+    ext = written(extents(events, regions), "extents")
     cells = members(anomaly if places is None else places, edges(bands(events, regions, least), ext), ext)
     return anomaly.join(F.broadcast(cells), ["lat", "lon"]).groupBy("region", "time").agg(F.avg("anom").alias("idx")).filter("idx is not null")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import Z975, cumulative_counts, normal_density, t_p_value, t_quantile_975
+from ..sources.files import written
 
 
 def ols(df: DataFrame, keys: list[str], y: str, x: str, least: int = 10) -> DataFrame:
@@ -50,9 +51,9 @@ def levels(df: DataFrame, x: str) -> DataFrame:
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """keys, n, rho, p: Pearson's r of average ranks, p by t with n - 2 degrees of freedom.
 
-    Ranks come from counts per distinct value, so no group's rows are sorted in one task.
+    Ranks come from counts per distinct value, dealt out by ranges, so no group's values are sorted in one task.
     """
-    pairs = df.dropna(subset=[x, y]).select(*keys, x, y)
+    pairs = written(df.dropna(subset=[x, y]).select(*keys, x, y), "pairs")
 
     def ranks(c: str, name: str) -> DataFrame:
         return cumulative_counts(pairs, keys, c).select(*keys, c, (F.col("below") + (F.col("c") + 1) / 2).alias(name))
@@ -100,6 +101,34 @@ def quadratic(df: DataFrame, keys: list[str], y: str, x: str, least: int = 10) -
     return own.select(*keys, "n", (F.col("_a") - F.col("_b") * m + F.col("c2") * m * m).alias("c0"), (F.col("_b") - 2 * F.col("c2") * m).alias("c1"), "c2", (fitted / F.nullif(F.col("_v") * n, F.lit(0.0))).alias("r2"))
 
 
+def ols_many(df: DataFrame, keys: list[str], y: str, xs: list[str], least: int = 10) -> DataFrame:
+    """keys, term (one of xs), n, coef, se, p, r2 of y on all of xs and a constant, by group.
+
+    One aggregation of the co-moments of complete rows, then elimination in columns.  No rows for groups of fewer than
+    least rows, without degrees of freedom, or where a term is constant or follows from the others (to rounding).
+    """
+    named = {c: F.col(c).cast("double") for c in [y, *xs]}
+    rows = df.select(*keys, *[v.alias(f"_v{i}") for i, v in enumerate(named.values())]).dropna(subset=[f"_v{i}" for i in range(len(named))])
+    m = len(xs)
+    moments = [F.covar_pop(f"_v{i}", f"_v{j}").alias(f"_s{i}_{j}") for i in range(m + 1) for j in range(i, m + 1)]
+    s = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *moments).filter((F.col("n") >= least) & (F.col("n") > m + 1))
+    cell = lambda i, j: F.col(f"_s{min(i, j)}_{max(i, j)}")
+    # The matrix of the terms beside the unit matrix and the right-hand side, made into (unit, inverse, coefficients).
+    width = 2 * m + 1
+    start = {(i, j): cell(i + 1, j + 1) if j < m else F.lit(float(j - m == i)) if j < 2 * m else cell(0, i + 1) for i in range(m) for j in range(width)}
+    s = s.select(*keys, "n", F.col("_s0_0").alias("_yy"), *[cell(0, i + 1).alias(f"_y{i}") for i in range(m)], *[cell(i + 1, i + 1).alias(f"_d{i}") for i in range(m)], *[v.alias(f"_m{i}_{j}") for (i, j), v in start.items()])
+    at = lambda i, j: F.col(f"_m{i}_{j}")
+    for k in range(m):
+        s = s.filter(at(k, k) > 1e-10 * F.col(f"_d{k}"))
+        s = s.withColumns({f"_m{k}_{j}": at(k, j) / at(k, k) for j in range(width)})
+        s = s.withColumns({f"_m{i}_{j}": at(i, j) - at(i, k) * at(k, j) for i in range(m) if i != k for j in range(width)})
+    fitted = sum((at(i, 2 * m) * F.col(f"_y{i}") for i in range(m)), F.lit(0.0))
+    s = s.withColumn("_fit", fitted).withColumn("_var", F.greatest(F.lit(0.0), F.col("_yy") - F.col("_fit")) / (F.col("n") - m - 1))
+    terms = F.explode(F.array(*[F.struct(F.lit(x).alias("term"), at(i, 2 * m).alias("coef"), F.sqrt(F.col("_var") * at(i, m + i)).alias("se")) for i, x in enumerate(xs)]))
+    out = s.select(*keys, "n", (F.col("_fit") / F.nullif(F.col("_yy"), F.lit(0.0))).alias("r2"), terms.alias("_t")).select(*keys, "_t.term", "n", "_t.coef", "_t.se", "r2")
+    return out.withColumn("p", t_p_value(F.col("coef") / F.nullif(F.col("se"), F.lit(0.0)), F.col("n") - m - 1)).select(*keys, "term", "n", "coef", "se", "p", "r2")
+
+
 def density_curve(df: DataFrame, keys: list[str], x: str, points: int = 300, factor: float | None = None) -> DataFrame:
     """keys, x, density: a Gaussian kernel estimate on points from the least to the largest value.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.payouts import implied_loss
+from ..functions.payouts import implied_loss, ramp
 from ..functions.seasons import season_by_doy
 from ..functions.stats import exact_percentiles
 from ..functions.text import trigger_tag
@@ -50,3 +50,36 @@ def pricing_table(payouts: DataFrame, keys: list[str], price: float, loss_ratio:
     per = payouts.groupBy(*keys).agg(F.count(F.lit(1)).alias("years"), F.sum((F.col("payout") > 0).cast("long")).alias("years_paid"), F.avg("payout").alias("aal"), F.max("payout").alias("largest"), F.max("cap").alias("cap"))
     money = F.col("aal") * price
     return per.withColumns({"rate_on_line": F.col("aal") / F.nullif(F.col("cap"), F.lit(0.0)), "pure_money": money, "commercial_money": money / loss_ratio})
+
+
+def seasonal_payouts(both: DataFrame, baselines: DataFrame) -> DataFrame:
+    """scenario, region, year, cap_kind, exit_kind, pay1, pay2, payout, c1, c2 of seasons that each pay on their own.
+
+    both: region, year, t1, t2; baselines: region with base_t1, base_t2 (mean catch) and max_t1, max_t2.  A season's entry
+    (p90 or p95) and exit (p99, or its largest value) come from its own years.  The largest exit is not combined with the
+    largest cap.
+    """
+    at = lambda t: F.percentile(t, [0.9, 0.95, 0.99, 1.0])
+    pairs = both.groupBy("region").agg(at("t1").alias("q1"), at("t2").alias("q2"))
+    kinds = [("p90", 0, "p99", 2, "mean"), ("p95", 1, "p99", 2, "mean"), ("p90", 0, "p99", 2, "max"), ("p95", 1, "p99", 2, "max"), ("p90", 0, "max", 3, "mean"), ("p95", 1, "max", 3, "mean")]
+    of = lambda q, i: F.col(q)[i]
+    variant = F.explode(F.array(*[F.struct(F.lit(name).alias("scenario"), F.lit(end).alias("exit_kind"), F.lit(cap).alias("cap_kind"), of("q1", e).alias("e1"), of("q1", x).alias("x1"), of("q2", e).alias("e2"), of("q2", x).alias("x2"), F.col("base_t1" if cap == "mean" else "max_t1").alias("c1"), F.col("base_t2" if cap == "mean" else "max_t2").alias("c2")) for name, e, end, x, cap in kinds]))
+    variants = pairs.join(baselines, "region").select("region", variant.alias("v")).select("region", "v.*")
+    df = both.join(F.broadcast(variants), "region")  # six rows a region
+    pay = lambda t, i: F.least(F.col(f"c{i}") * ramp(F.col(t), F.col(f"e{i}"), F.col(f"x{i}")), F.col(f"c{i}"))
+    return df.select("scenario", "region", "year", "cap_kind", "exit_kind", pay("t1", 1).alias("pay1"), pay("t2", 2).alias("pay2"), (pay("t1", 1) + pay("t2", 2)).alias("payout"), "c1", "c2")
+
+
+def seasonal_rates(payouts: DataFrame, loss_ratio: float) -> DataFrame:
+    """scenario, cap_kind, exit_kind, part (T1, T2, annual), aal, cap, pure_rate, commercial_rate of all regions together.
+
+    A year's payouts are summed over regions and capped at the regions' caps before they are averaged.
+    """
+    keys = ["scenario", "cap_kind", "exit_kind"]
+    years = payouts.groupBy(*keys, "year").agg(*[F.sum(c).alias(c) for c in ("pay1", "pay2", "c1", "c2")])
+    part = lambda name, pay, cap: F.struct(F.lit(name).alias("part"), F.least(pay, cap).alias("pay"), cap.alias("cap"))
+    a, b, c, d = (F.col(x) for x in ("pay1", "pay2", "c1", "c2"))
+    each = years.select(*keys, F.explode(F.array(part("T1", a, c), part("T2", b, d), part("annual", a + b, c + d))).alias("p"))
+    per = each.groupBy(*keys, "p.part").agg(F.avg("p.pay").alias("aal"), F.max("p.cap").alias("cap"))
+    rate = F.col("aal") / F.nullif(F.col("cap"), F.lit(0.0))
+    return per.withColumns({"pure_rate": rate, "commercial_rate": rate / loss_ratio})

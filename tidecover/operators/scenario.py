@@ -46,6 +46,13 @@ def exceedance(df: DataFrame, keys: list[str], value: str, tie: str) -> DataFram
     return df.withColumns({"rank": F.row_number().over(w), "_n": n}).withColumn("ep", (F.col("_n") + 1 - F.col("rank")) / (F.col("_n") + 1)).drop("_n")
 
 
+def event_labels(ranked: DataFrame, keys: list[str], value: str, years: list[int]) -> DataFrame:
+    """keys, year, rank, ep, value: for each event year its first rank on the curve that pays; years that never pay have none."""
+    own = ranked.filter(F.col("year").isin(years) & (F.col(value) > 0))
+    first = own.groupBy(*keys, "year").agg(F.min(F.struct("rank", "ep", F.col(value).alias("_v"))).alias("f"))
+    return first.select(*keys, "year", F.col("f.rank").alias("rank"), F.col("f.ep").alias("ep"), F.col("f._v").alias(value))
+
+
 def interpolated(curve: DataFrame, keys: list[str], value: str, grid: DataFrame) -> DataFrame:
     """keys, grid_id, ep, value: the curve (ep, value) at the grid's probabilities, straight between points, ends held.
 

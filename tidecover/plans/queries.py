@@ -14,6 +14,7 @@ from ..functions import text as X
 from ..functions.stats import exact_percentiles, percentiles
 from ..operators import catch as C
 from ..operators import corridor as K
+from ..operators import effort as H
 from ..operators import grid as G
 from ..operators import match as M
 from ..operators import premium as Q
@@ -296,9 +297,9 @@ def flt8_flt10_complete_years(s, d):
     return df.groupBy("region", F.year("time").alias("year")).agg(F.count(F.lit(1)).alias("days"), F.round(F.avg("idx"), 6).alias("idx"))
 
 
-@query("SELECT company, count(*) AS n, round(sum(catch_tm), 4) AS catch_tm FROM ev JOIN (SELECT company, quantile_cont(catch_tm, 0.25) AS q1, quantile_cont(catch_tm, 0.75) AS q3 FROM ev WHERE lat > -9 GROUP BY 1) USING (company) WHERE catch_tm BETWEEN q1 - 0.5 * (q3 - q1) AND q3 + 0.5 * (q3 - q1) AND lat > -9 GROUP BY 1")
+@query("SELECT company, count(*) AS n, round(sum(catch_tm), 4) AS catch_tm FROM ev JOIN (SELECT company, quantile_cont(catch_tm, 0.25) AS q1, quantile_cont(catch_tm, 0.75) AS q3 FROM ev GROUP BY 1) USING (company) WHERE catch_tm BETWEEN q1 - 0.5 * (q3 - q1) AND q3 + 0.5 * (q3 - q1) GROUP BY 1")
 def flt11_outliers(s, d):
-    df = C.without_outliers(V.catch_events(s, d).filter("lat > -9"), ["company"], "catch_tm", 0.5)
+    df = C.without_outliers(V.catch_events(s, d), ["company"], "catch_tm", 0.5)
     return df.groupBy("company").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("catch_tm"), 4).alias("catch_tm"))
 
 
@@ -316,10 +317,11 @@ def str1_company_names(s, d):
     return X.normal_companies(df, "company", aliases).select("company", "n_nationkey")
 
 
-@query("SELECT p_name, CASE WHEN len(string_split(p_name, ' ')) > 1 THEN string_split(p_name, ' ')[2] ELSE p_name END AS token, contains(lower(p_name), lower(p_brand)) AS named, replace(lower(p_name), ' ', '_') AS slug FROM part")
+@query("SELECT p_name, CASE WHEN len(string_split(p_name, ' ')) > 1 THEN string_split(p_name, ' ')[2] ELSE p_name END AS token, contains(lower(p_name), lower(p_brand)) AS named, trim(replace(replace(replace(replace(lower(p_name || n.v), '.', ''), ' ', '_'), 's_a_a', 'saa'), 's_a_c', 'sac'), '_') AS slug FROM (SELECT *, CASE p_partkey % 4 WHEN 0 THEN ' S.A.A.' WHEN 1 THEN ' S A C' WHEN 2 THEN ' ' ELSE '' END AS v FROM part) n")
 def str2_str4_tokens(s, d):
     p = V.table(s, d, "part")
-    return p.select("p_name", X.company_token(F.col("p_name")).alias("token"), X.mentions(F.col("p_name"), F.col("p_brand")).alias("named"), X.slug(F.col("p_name")).alias("slug"))
+    kind = F.when(F.col("p_partkey") % 4 == 0, " S.A.A.").when(F.col("p_partkey") % 4 == 1, " S A C").when(F.col("p_partkey") % 4 == 2, " ").otherwise("")
+    return p.select("p_name", X.company_token(F.col("p_name")).alias("token"), X.mentions(F.col("p_name"), F.col("p_brand")).alias("named"), X.slug(F.concat("p_name", kind)).alias("slug"))
 
 
 @query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN concat('TASA ', CAST(s_suppkey AS VARCHAR)) ELSE upper(s_name) END AS vessel FROM supplier")
@@ -436,13 +438,37 @@ def agg26_band_range(s, d):
     return bands.groupBy("band").agg(F.percentile(F.abs("v"), 0.97).alias("p97")).agg(F.round(F.max("p97"), 6).alias("largest"))
 
 
-@query("SELECT company, season, round(catch_tm / hours, 6) AS cpue, days FROM (SELECT company, season, sum(catch_tm) AS catch_tm FROM ev WHERE season IS NOT NULL GROUP BY 1, 2) c JOIN (SELECT n_name AS company, round(count(*) * 0.15, 6) AS hours, count(DISTINCT CAST(ts AS DATE)) AS days FROM events JOIN supplier ON user_id % 100 + 1 = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1) USING (company) WHERE days >= 30")
+def t_owned(s: SparkSession, d: str) -> DataFrame:
+    return H.with_company(H.clean_pings(V.pings(s, d)), H.owners(V.fleet_events(s, d)))
+
+
+def t_cpue(s: SparkSession, d: str) -> DataFrame:
+    points = V.fleet_events(s, d).withColumn("year", F.year("event_date"))
+    events = M.nearest_grid(points, t_anomaly(s, d).withColumnRenamed("anom", "value"), "sst_anom")
+    return H.catch_per_effort(H.catch_periods(events, ["sst_anom", "lat"], []), H.effort_periods(t_owned(s, d)))
+
+
+@query("SELECT company, period AS season, round(hours, 6) AS hours, days, round(cpue, 6) AS cpue FROM cpue WHERE level = 'season'")
 def agg32_jon12_effort(s, d):
-    pings = V.table(s, d, "events").withColumn("s_suppkey", F.col("user_id") % 100 + 1)
-    owner = V.table(s, d, "supplier").join(V.table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("company"))
-    hours = C.effort(pings.join(owner, "s_suppkey"), ["company"]).filter("days >= 30")
-    tons = V.catch_events(s, d).filter("season is not null").groupBy("company", "season").agg(F.sum("catch_tm").alias("catch_tm"))
-    return tons.join(hours, "company").select("company", "season", F.round(F.col("catch_tm") / F.col("hours"), 6).alias("cpue"), "days")
+    """Catch per hour at sea of each company and season: pings in the season, vessels by their company of the day."""
+    df = H.catch_per_effort(H.catch_periods(V.fleet_events(s, d), [], []).filter("level = 'season'"), H.effort_periods(t_owned(s, d)))
+    return df.select("company", F.col("period").alias("season"), r6("hours"), "days", r6("cpue"))
+
+
+@query("SELECT company, period AS week, round(hours, 6) AS hours, days, round(cpue, 6) AS cpue FROM cpue WHERE level = 'week'")
+def agg32_jon12_weekly(s, d):
+    df = H.catch_per_effort(H.catch_periods(V.fleet_events(s, d), [], []).filter("level = 'week'"), H.effort_periods(t_owned(s, d)))
+    return df.select("company", F.col("period").alias("week"), r6("hours"), "days", r6("cpue"))
+
+
+@query("SELECT count(*) AS vessels, count(*) FILTER (vessel NOT IN (SELECT vessel FROM pclean)) AS unmatched, round(count(*) FILTER (vessel IN (SELECT vessel FROM pclean)) / count(*), 6) AS rate FROM (SELECT DISTINCT upper(vessel) AS vessel FROM fleet)")
+def jon12_match_rate(s, d):
+    return H.match_rate(V.fleet_events(s, d), H.clean_pings(V.pings(s, d))).select("vessels", "unmatched", r6("rate"))
+
+
+@query("SELECT vessel, day, company, pings FROM pown")
+def jon12_vessel_company(s, d):
+    return t_owned(s, d).select("vessel", "day", "company", "pings")
 
 
 # ---- indices and aggregates ------------------------------------------------------------------------------------------
@@ -764,13 +790,28 @@ def pay6_annual_payouts(s, d):
     return t_history(s, d).select("scenario", "region", "year", F.round("payout", 4).alias("payout"))
 
 
-@query("SELECT scenario, b.region, year, cap_kind, round(least(c1 * greatest(0, least(1, (t1 - entry) / (exit_ - entry))), c1) + least(c2 * greatest(0, least(1, (t2 - entry) / (exit_ - entry))), c2), 4) AS payout FROM bothseas b JOIN scen USING (region) JOIN (SELECT region, 'mean' AS cap_kind, base_t1 AS c1, base_t2 AS c2 FROM base UNION ALL SELECT region, 'max', max_t1, max_t2 FROM base) USING (region)")
+SEASON_PAIRS = "SELECT region, 'p90' AS scenario, 'p99' AS exit_kind, quantile_cont(t1, 0.9) AS e1, quantile_cont(t1, 0.99) AS x1, quantile_cont(t2, 0.9) AS e2, quantile_cont(t2, 0.99) AS x2 FROM bothseas GROUP BY 1 UNION ALL SELECT region, 'p95', 'p99', quantile_cont(t1, 0.95), quantile_cont(t1, 0.99), quantile_cont(t2, 0.95), quantile_cont(t2, 0.99) FROM bothseas GROUP BY 1 UNION ALL SELECT region, 'p90', 'max', quantile_cont(t1, 0.9), max(t1), quantile_cont(t2, 0.9), max(t2) FROM bothseas GROUP BY 1 UNION ALL SELECT region, 'p95', 'max', quantile_cont(t1, 0.95), max(t1), quantile_cont(t2, 0.95), max(t2) FROM bothseas GROUP BY 1"
+SEASONAL = f"SELECT scenario, b.region, year, cap_kind, exit_kind, least(c1 * CASE WHEN abs(x1 - e1) < 1e-9 THEN 0 ELSE greatest(0, least(1, (t1 - e1) / (x1 - e1))) END, c1) AS pay1, least(c2 * CASE WHEN abs(x2 - e2) < 1e-9 THEN 0 ELSE greatest(0, least(1, (t2 - e2) / (x2 - e2))) END, c2) AS pay2, c1, c2 FROM bothseas b JOIN ({SEASON_PAIRS}) USING (region) JOIN (SELECT region, 'mean' AS cap_kind, base_t1 AS c1, base_t2 AS c2 FROM base UNION ALL SELECT region, 'max', max_t1, max_t2 FROM base) USING (region) WHERE NOT (cap_kind = 'max' AND exit_kind = 'max')"
+
+
+def t_seasonal_payouts(s: SparkSession, d: str) -> DataFrame:
+    hold(s, d, "daily", t_daily)
+    both = hold(s, d, "both", lambda s, d: K.both_seasons(t_seasons(s, d), ["region"]))
+    return T.seasonal_payouts(both, t_baselines(s, d))
+
+
+@query(f"SELECT scenario, region, year, cap_kind, exit_kind, round(pay1, 4) AS pay1, round(pay2, 4) AS pay2, round(pay1 + pay2, 4) AS payout FROM ({SEASONAL})")
 def pay7_pay8_seasonal_variants(s, d):
-    kinds = F.explode(F.array(F.struct(F.lit("mean").alias("cap_kind"), F.col("base_t1").alias("c1"), F.col("base_t2").alias("c2")), F.struct(F.lit("max").alias("cap_kind"), F.col("max_t1").alias("c1"), F.col("max_t2").alias("c2"))))
-    caps = t_baselines(s, d).select("region", kinds.alias("k")).select("region", "k.*")
-    df = K.both_seasons(t_seasons(s, d), ["region"]).join(t_scenarios(s, d), "region").join(caps, "region")
-    frac = lambda c: P.ramp(F.col(c), F.col("entry"), F.col("exit"))
-    return df.select("scenario", "region", "year", "cap_kind", F.round(P.seasonal(frac("t1"), frac("t2"), F.col("c1"), F.col("c2")), 4).alias("payout"))
+    """Each season on its own triggers (entry p90 or p95, exit p99 or the largest) and its own mean or largest catch."""
+    out = t_seasonal_payouts(s, d)
+    return out.select("scenario", "region", "year", "cap_kind", "exit_kind", *[F.round(c, 4).alias(c) for c in ("pay1", "pay2", "payout")])
+
+
+@query(f"SELECT scenario, cap_kind, exit_kind, part, round(aal, 4) AS aal, round(cap, 4) AS cap, round(aal / cap, 6) AS pure_rate, round(aal / cap / 0.65, 6) AS commercial_rate FROM (SELECT scenario, cap_kind, exit_kind, part, avg(least(pay, cap)) AS aal, max(cap) AS cap FROM (SELECT scenario, cap_kind, exit_kind, year, sum(pay1) AS p1, sum(pay2) AS p2, sum(c1) AS c1, sum(c2) AS c2 FROM ({SEASONAL}) GROUP BY ALL), LATERAL (VALUES ('T1', p1, c1), ('T2', p2, c2), ('annual', p1 + p2, c1 + c2)) t(part, pay, cap) GROUP BY 1, 2, 3, 4)")
+def snk4_seasonal_rates(s, d):
+    """Rates of the program over all regions, by season and for the year, of every variant."""
+    out = T.seasonal_rates(t_seasonal_payouts(s, d), 0.65)
+    return out.select("scenario", "cap_kind", "exit_kind", "part", *[F.round(c, 4).alias(c) for c in ("aal", "cap")], r6("pure_rate"), r6("commercial_rate"))
 
 
 @query("SELECT s.region, s.year, s.tipo, round((1 - exp(-0.816 * idx)) * CASE WHEN s.tipo = 'T1' THEN base_t1 ELSE base_t2 END, 4) AS loss_tm, round((1 - exp(-0.816 * idx)) * CASE WHEN s.tipo = 'T1' THEN base_t1 ELSE base_t2 END * 1500, 2) AS loss_money FROM seas s JOIN base USING (region) WHERE idx > 0")
@@ -827,6 +868,17 @@ def aep1_aep4_exceedance(s, d):
     return N.exceedance(h, ["scenario", "region"], "payout", "year").select("scenario", "region", "year", F.col("rank").cast("long").alias("rank"), r6("ep"))
 
 
+EVENT_YEARS = [1996, 1997, 1998, 1999]
+
+
+@query(f"SELECT scenario, year, rank, round((n + 1 - rank) / (n + 1), 6) AS ep, payout FROM (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY payout, year) AS rank, count(*) OVER (PARTITION BY scenario) AS n FROM (SELECT scenario, year, round(least(sum(pay1 + pay2), sum(c1 + c2)), 4) AS payout FROM ({SEASONAL}) WHERE cap_kind = 'mean' AND exit_kind = 'p99' GROUP BY 1, 2)) WHERE payout > 0 AND year IN (1996, 1997, 1998, 1999)")
+def aep4_event_labels(s, d):
+    """Where the event years stand on the program's historical curve, once they pay."""
+    years = t_seasonal_payouts(s, d).filter("cap_kind = 'mean' and exit_kind = 'p99'").groupBy("scenario", "year").agg(F.round(F.least(F.sum(F.col("pay1") + F.col("pay2")), F.sum(F.col("c1") + F.col("c2"))), 4).alias("payout"))
+    out = N.event_labels(N.exceedance(years, ["scenario"], "payout", "year"), ["scenario"], "payout", EVENT_YEARS)
+    return out.select("scenario", "year", F.col("rank").cast("long").alias("rank"), r6("ep"), "payout")
+
+
 CURVE = "SELECT scenario, payout AS v, (n + 1 - rank) / (n + 1) AS ep FROM (SELECT scenario, payout, row_number() OVER (PARTITION BY scenario ORDER BY payout, sim_id) AS rank, count(*) OVER (PARTITION BY scenario) AS n FROM port)"
 
 
@@ -892,14 +944,22 @@ def idx3_event_index(s, d):
     return df.groupBy("season").agg(F.round(F.avg("sst_anom"), 6).alias("idx"), F.count("sst_anom").alias("n"))
 
 
-@query(f"SELECT region, {OLECOLUMNS} FROM ({ols_sql('(SELECT region, ln(catch_tm / hours) AS y, x FROM (SELECT region, company, season, sum(catch_tm) AS catch_tm, avg(sst_anom) AS x FROM usr GROUP BY 1, 2, 3) JOIN (SELECT n_name AS company, count(*) * 0.15 AS hours FROM events JOIN supplier ON user_id % 100 + 1 = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1) USING (company))', 'region', 'y', 'x')})")
+@query(f"SELECT level, {OLECOLUMNS} FROM ({ols_sql('(SELECT level, ln(cpue) AS y, sst_anom AS x FROM cpue WHERE cpue > 0)', 'level', 'y', 'x')})")
 def reg11_effort_model(s, d):
-    pings = V.table(s, d, "events").withColumn("s_suppkey", F.col("user_id") % 100 + 1)
-    owner = V.table(s, d, "supplier").join(V.table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("company"))
-    hours = C.effort(pings.join(owner, "s_suppkey"), ["company"])
-    tons = t_usable(s, d).groupBy("region", "company", "season").agg(F.sum("catch_tm").alias("catch_tm"), F.avg("sst_anom").alias("x")).join(hours, "company")
-    df = tons.withColumn("y", F.log(F.col("catch_tm") / F.col("hours")))
-    return R.ols(df, ["region"], "y", "x").filter("beta is not null").select("region", *ols_columns())
+    """The ladder of log(catch per hour) on the anomaly: company by day, week, month and season."""
+    df = t_cpue(s, d).filter("cpue > 0").withColumn("y", F.log("cpue"))
+    return R.ols(df, ["level"], "y", "sst_anom").filter("beta is not null").select("level", *ols_columns())
+
+
+TWO = "SELECT level, count(*) AS n, covar_pop(y, y) AS yy, covar_pop(sst_anom, y) AS ay, covar_pop(lat, y) AS by_, covar_pop(sst_anom, sst_anom) AS aa, covar_pop(lat, lat) AS bb, covar_pop(sst_anom, lat) AS ab FROM (SELECT level, ln(cpue) AS y, sst_anom, lat FROM cpue WHERE cpue > 0 AND sst_anom IS NOT NULL AND lat IS NOT NULL) GROUP BY 1 HAVING count(*) >= 10"
+TWO_TERMS = f"SELECT *, ca * ay + cb * by_ AS fit_, (yy - (ca * ay + cb * by_)) / (n - 3) AS v FROM (SELECT *, aa * bb - ab * ab AS det, (bb * ay - ab * by_) / (aa * bb - ab * ab) AS ca, (aa * by_ - ab * ay) / (aa * bb - ab * ab) AS cb FROM ({TWO}))"
+TWO_LONG = f"SELECT level, 'sst_anom' AS term, n, ca AS coef, sqrt(v * bb / det) AS se, fit_ / yy AS r2 FROM ({TWO_TERMS}) UNION ALL SELECT level, 'lat', n, cb, sqrt(v * aa / det), fit_ / yy FROM ({TWO_TERMS})"
+
+
+@query(f"SELECT level, term, n, round(coef, 6) AS coef, round(se, 6) AS se, round(r2, 6) AS r2, round(p, 6) AS p FROM ({with_p(f'SELECT *, coef / se AS t, n - 3 AS nu FROM ({TWO_LONG})')})")
+def reg11_effort_terms(s, d):
+    """The same on two terms, the anomaly and the mean latitude of the events."""
+    return H.effort_model(t_cpue(s, d), [], ["sst_anom", "lat"]).select("level", "term", "n", *[r6(c) for c in ("coef", "se", "r2", "p")])
 
 
 # ---- sorts and sets --------------------------------------------------------------------------------------------------

@@ -9,6 +9,23 @@ PARTS = {
         n_name AS company, s_name AS vessel, l_quantity AS catch_tm,
         CAST(-160 + (l_suppkey * 37 + l_orderkey * 11) % 110 AS DOUBLE) / 10 AS lat, CAST(-820 + (l_partkey * 13 + l_suppkey * 7) % 80 AS DOUBLE) / 10 AS lon
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey""",
+    # Events of a fleet with renamed and sold vessels, and pings, as the views make them.
+    "fleet": """SELECT event_date, season, CASE WHEN v % 7 = 3 AND year(event_date) > 1997 THEN b.n_name ELSE company END AS company, CASE WHEN v % 2 = 0 THEN concat('TASA ', v) ELSE vessel END AS vessel, catch_tm, lat, lon
+        FROM (SELECT *, CAST(regexp_extract(vessel, '(\\d+)$', 1) AS INTEGER) AS v FROM ev) e JOIN nation a ON a.n_name = e.company JOIN nation b ON b.n_nationkey = (a.n_nationkey + 1) % 25""",
+    "ping": """SELECT CASE WHEN l_suppkey % 9 = 4 THEN concat('X', l_suppkey) WHEN l_suppkey % 2 = 0 THEN concat('TASA ', l_suppkey) ELSE concat('SUPPLIER#', lpad(CAST(l_suppkey AS VARCHAR), 9, '0')) END AS vessel,
+        CAST(l_shipdate AS DATE) + CAST(l_orderkey % 5 AS INTEGER) AS day, year(l_shipdate) AS file_year, CASE WHEN month(l_shipdate) BETWEEN 4 AND 7 THEN '1ra' ELSE '2da' END AS file_season
+        FROM lineitem WHERE month(l_shipdate) BETWEEN 4 AND 7 OR month(l_shipdate) >= 11""",
+    # METH 6.1: only pings in the season window of the file's year; seasons with 30 covered days.
+    "pday": """SELECT vessel, day, file_season || ' ' || file_year AS season, count(*) AS pings FROM ping
+        WHERE year(day) = file_year AND CASE file_season WHEN '1ra' THEN dayofyear(day) BETWEEN 91 AND 212 ELSE dayofyear(day) BETWEEN 305 AND 365 END GROUP BY 1, 2, 3""",
+    "pclean": """SELECT * FROM pday WHERE season IN (SELECT season FROM pday GROUP BY 1 HAVING count(DISTINCT day) >= 30)""",
+    # METH 6.2: companies of vessels from the events, as of the day.
+    "own": """SELECT upper(vessel) AS vessel, company, min(event_date) AS since, max(event_date) AS until, count(*) AS n FROM fleet GROUP BY 1, 2""",
+    "pown": """SELECT * FROM (SELECT p.*, company, row_number() OVER (PARTITION BY vessel, day, season ORDER BY CASE WHEN day < since THEN since - day WHEN day > until THEN day - until ELSE 0 END, n DESC, company) AS r FROM pclean p JOIN own USING (vessel)) WHERE r = 1""",
+    "hours": """SELECT 'day' AS level, company, CAST(day AS VARCHAR) AS period, CAST(sum(pings) AS DOUBLE) * 0.15 AS hours, count(DISTINCT day) AS days FROM pown GROUP BY 2, 3
+        UNION ALL SELECT 'week', company, isoyear(day) || '-W' || lpad(CAST(weekofyear(day) AS VARCHAR), 2, '0'), CAST(sum(pings) AS DOUBLE) * 0.15, count(DISTINCT day) FROM pown GROUP BY 2, 3
+        UNION ALL SELECT 'month', company, strftime(day, '%Y-%m'), CAST(sum(pings) AS DOUBLE) * 0.15, count(DISTINCT day) FROM pown GROUP BY 2, 3
+        UNION ALL SELECT 'season', company, season, CAST(sum(pings) AS DOUBLE) * 0.15, count(DISTINCT day) FROM pown GROUP BY 2, 3""",
     "gr": """SELECT CAST(l_shipdate AS DATE) AS time, CAST(-155 + 10 * (l_suppkey % 11) AS DOUBLE) / 10 AS lat, CAST(-815 + 10 * (l_partkey % 8) AS DOUBLE) / 10 AS lon, avg(14 + 100 * l_discount) AS value FROM lineitem GROUP BY 1, 2, 3""",
     "fi": """SELECT CAST(o_orderdate AS DATE) AS time, CAST(-1575 + 50 * (o_custkey % 21) AS DOUBLE) / 100 AS lat, CAST(-8175 + 50 * (o_orderkey % 15) AS DOUBLE) / 100 AS lon, avg(14 + o_totalprice / 50000) AS value FROM orders GROUP BY 1, 2, 3""",
     "allreg": """SELECT * FROM (VALUES ('Todo el mar', NULL, NULL), ('Norte', -7.1, NULL), ('Centro Norte', -11.0, -7.1), ('Centro Sur', -15.8, -11.0), ('Centro', -15.8, -7.1)) t(region, lat_min, lat_max)""",
@@ -58,6 +75,10 @@ PARTS = {
     "axla": """SELECT year, plat, lat AS la FROM (SELECT p.year, p.lat AS plat, g.lat, row_number() OVER (PARTITION BY p.year, p.lat ORDER BY abs(g.lat - p.lat), g.lat) AS r FROM (SELECT DISTINCT year(event_date) AS year, lat FROM ev) p JOIN (SELECT DISTINCT year(time) AS year, lat FROM anom) g USING (year)) WHERE r = 1""",
     "axlo": """SELECT year, plon, lon AS lo FROM (SELECT p.year, p.lon AS plon, g.lon, row_number() OVER (PARTITION BY p.year, p.lon ORDER BY abs(g.lon - p.lon), g.lon) AS r FROM (SELECT DISTINCT year(event_date) AS year, lon FROM ev) p JOIN (SELECT DISTINCT year(time) AS year, lon FROM anom) g USING (year)) WHERE r = 1""",
     "en": """SELECT ev.*, anom.anom AS sst_anom FROM ev LEFT JOIN axt ON axt.event_date = ev.event_date LEFT JOIN axla ON axla.year = year(ev.event_date) AND plat = ev.lat LEFT JOIN axlo ON axlo.year = year(ev.event_date) AND plon = ev.lon LEFT JOIN anom ON anom.time = t AND anom.lat = la AND anom.lon = lo""",
+    "fen": """SELECT e.*, CAST(anom.anom AS DOUBLE) AS sst_anom FROM fleet e LEFT JOIN axt ON axt.event_date = e.event_date LEFT JOIN axla ON axla.year = year(e.event_date) AND plat = e.lat LEFT JOIN axlo ON axlo.year = year(e.event_date) AND plon = e.lon LEFT JOIN anom ON anom.time = t AND anom.lat = la AND anom.lon = lo""",
+    "fcat": """SELECT level, company, period, sum(catch_tm) AS catch_tm, avg(sst_anom) AS sst_anom, avg(lat) AS lat FROM (
+            SELECT *, unnest(['day', 'week', 'month', 'season']) AS level, unnest([CAST(event_date AS VARCHAR), isoyear(event_date) || '-W' || lpad(CAST(weekofyear(event_date) AS VARCHAR), 2, '0'), strftime(event_date, '%Y-%m'), season]) AS period FROM fen WHERE season IS NOT NULL) GROUP BY 1, 2, 3""",
+    "cpue": """SELECT c.*, hours, days, catch_tm / hours AS cpue FROM fcat c JOIN hours USING (level, company, period)""",
     "us": """SELECT *, ln(catch_tm) AS log_catch FROM en WHERE catch_tm > 0 AND sst_anom IS NOT NULL AND season IS NOT NULL""",
     "usr": """SELECT us.*, region FROM us JOIN allreg ON (lat_min IS NULL OR lat > lat_min) AND (lat_max IS NULL OR lat <= lat_max)""",
     "cs": """SELECT region, company, season, ln(sum(catch_tm)) AS y, avg(sst_anom) AS x FROM usr GROUP BY 1, 2, 3""",

@@ -27,10 +27,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to a scratch folder and read back, for plans that use it more than once."""
-    path = scratch_path(df.sparkSession, name)
+    """df written to a scratch folder and read back, for plans that use it more than once; the folder goes with the session."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def path_columns(df: DataFrame, path: Column) -> DataFrame:

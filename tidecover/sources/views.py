@@ -28,6 +28,30 @@ def catch_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(su, li.l_suppkey == su.s_suppkey).join(na, su.s_nationkey == na.n_nationkey).select(d.alias("event_date"), season.alias("season"), F.col("n_name").alias("company"), F.col("s_name").alias("vessel"), F.col("l_quantity").alias("catch_tm"), lat.alias("lat"), lon.alias("lon"))
 
 
+def fleet_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """catch_events with vessels of a fleet by number, and every seventh one sold to the next company at the end of 1997."""
+    ev, na = catch_events(spark, sf_dir), table(spark, sf_dir, "nation").orderBy("n_nationkey")
+    number = F.regexp_extract("vessel", r"(\d+)$", 1).cast("int")
+    next_ = F.broadcast(na.select(F.col("n_name").alias("company"), "n_nationkey").join(na.select(F.col("n_name").alias("_next"), ((F.col("n_nationkey") + 24) % 25).alias("n_nationkey")), "n_nationkey").drop("n_nationkey"))
+    df = ev.withColumn("_v", number).join(next_, "company")
+    sold = (F.col("_v") % 7 == 3) & (F.year("event_date") > 1997)
+    name = F.when(F.col("_v") % 2 == 0, F.concat(F.lit("TASA "), F.col("_v").cast("string"))).otherwise(F.col("vessel"))
+    return df.select("event_date", "season", F.when(sold, F.col("_next")).otherwise(F.col("company")).alias("company"), name.alias("vessel"), "catch_tm", "lat", "lon")
+
+
+def pings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """code, ts, file_year, file_season: a ping a lineitem, up to four days off its date, in a file of the date's season.
+
+    Codes are written as a tracking system does; those of every ninth vessel are of no known one.
+    """
+    li = table(spark, sf_dir, "lineitem")
+    d = F.to_date("l_shipdate")
+    tipo = F.when(F.month(d).between(4, 7), "1ra").when(F.month(d) >= 11, "2da")
+    code = F.when(F.col("l_suppkey") % 9 == 4, F.concat(F.lit("X"), F.col("l_suppkey").cast("string"))).when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit("t"), F.col("l_suppkey").cast("string"))).otherwise(F.concat(F.lit("supplier#"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0"), F.lit("\u00a0")))
+    ts = F.timestamp_add("minute", F.col("l_linenumber") * 9, F.date_add(d, (F.col("l_orderkey") % 5).cast("int")).cast("timestamp"))
+    return li.select(code.alias("code"), ts.alias("ts"), F.year(d).alias("file_year"), tipo.alias("file_season")).filter("file_season is not null")
+
+
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     keys = [F.to_date("l_shipdate").alias("time"), ((-155 + 10 * (F.col("l_suppkey") % 11)).cast("double") / 10).alias("lat"), ((-815 + 10 * (F.col("l_partkey") % 8)).cast("double") / 10).alias("lon")]
