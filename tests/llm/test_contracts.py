@@ -104,6 +104,85 @@ def store_of(spark, n=6):
     return store, df
 
 
+def names(store, folder):
+    return {s.getPath().getName() for s in store.fs.listStatus(store.path(folder) if folder else store.path())}
+
+
+def test_what_lost_writers_leave_goes(spark, monkeypatch):
+    store, df = store_of(spark)
+    store.append(df, "b")
+    monkeypatch.setattr(store, "commit", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt))  # lost between write and commit
+    for lost in (store.compact, lambda: store.append(df, "b")):
+        with pytest.raises(KeyboardInterrupt):
+            lost()
+    monkeypatch.undo()
+    df.write.parquet(f"{store.root}/arriving-lost")
+    df.write.parquet(f"{store.root}/manifest/_lost")
+    rows = sorted(r.id for r in spark.read.parquet(*[f"{store.root}/runs/{r}" for r in store.runs()]).collect())
+    store.sweep()
+    assert len(names(store, "runs")) > len(store.runs()) and "arriving-lost" in names(store, "")  # too young to be lost
+    store.orphan_s = 0
+    store.compact()
+    assert {r for v in (store.version() - 1, store.version()) for r in store.runs(v)} == names(store, "runs")
+    assert names(store, "") == {"runs", "manifest"} and not any(n.startswith("_lost") for n in names(store, "manifest"))
+    assert sorted(r.id for r in spark.read.parquet(*[f"{store.root}/runs/{r}" for r in store.runs()]).collect()) == rows
+
+
+def test_of_two_publishers_one_fails(spark, monkeypatch):
+    store, df = store_of(spark)
+    store.append(df, "b")
+    other = store.manifest()
+    late = store.claims  # the other publishes between this one's check and its rename
+
+    def slow(v):
+        found = late(v)
+        if not store.fs.exists(store.path("manifest", f"v{v:08d}")):
+            other.coalesce(1).write.parquet(f"{store.root}/manifest/v{v:08d}")
+        return found
+
+    base = store.version()
+    attempt = store.claim(base + 1)
+    monkeypatch.setattr(store, "claim", lambda v: attempt)
+    monkeypatch.setattr(store, "claims", slow)
+    with pytest.raises(RuntimeError):
+        store.commit(other, base)
+    assert not any(n.startswith("_") and not n.startswith("_SUCCESS") for n in names(store, f"manifest/v{base + 1:08d}"))
+
+
+def test_repeats_of_rows_with_one_id(spark):
+    rng = random.Random(31)
+    passage = prose(rng, 100)
+    for same in (7, None, "x"):
+        kind = "string" if same == "x" else "bigint"
+        df = spark.createDataFrame([(same, f"{prose(rng, 30)} {passage} {prose(rng, 30)}") for _ in range(3)] + [(None, "other"), (None, "other")], f"doc_id {kind}, text string")
+        gone = [sum(s.end - s.start for s in r.removed) for r in chunks.repeated_spans(df).collect()]
+        assert sorted(g > 0.6 * len(passage) for g in gone) == [False, False, False, True, True]
+
+
+def test_benchmark_windows_of_many_lengths(spark):
+    rng = random.Random(32)
+    items = [(i, " ".join(f"w{rng.randint(0, 30)}" for _ in range(n))) for i, n in enumerate([1, 2, 3, 5, 7, 9, 10, 11, 12])]
+    texts = [" ".join(f"w{rng.randint(0, 30)}" for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    texts += [f"a {t} b {t}" for _, t in items] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    known = [(i, w[j : j + 10]) for i, t in items for w in [t.split()] for j in range(max(1, len(w) - 9))]
+    for limit in (1_000_000, 0):
+        out = decontam.contamination(docs, bench, broadcast_windows=limit)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("generate") + plan.count("Generate") <= 3
+        for r in out.collect():
+            w = (r.text or "").split()
+            hits = [(j, i, len(k)) for j in range(len(w)) for i, k in known if w[j : j + len(k)] == k]
+            assert r.hit_at == sorted({x for j, _, n in hits for x in range(j, j + n)}) and r.hit_items == sorted({i for _, i, _ in hits})
+    assert decontam.contamination(docs, bench, broadcast_bytes=0).filter("contaminated").count() == decontam.contamination(docs, bench).filter("contaminated").count()
+
+
+def test_quality_without_languages(spark):
+    df = spark.createDataFrame([(1, prose(random.Random(33), 80))], "doc_id bigint, text string")
+    assert quality.quality_verdict(df).columns[:1] == ["doc_id"] and quality.quality_verdict(df).first().n_words == 80
+
+
 def test_a_lost_writer_is_replaced(spark):
     store, df = store_of(spark)
     store.append(df, "b")

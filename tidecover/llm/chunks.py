@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import discard, or_empty, put_back, row_keys, set_aside, stored, table
 
 MIN_CHUNK, MASK_BITS, MAX_CHUNK = 24, 5, 256
-MIN_RUN = 96  # bytes of neighbouring repeated chunks from which on they are removed
+MIN_RUN = 64  # bytes of neighbouring repeated chunks from which on they are removed
 GEAR = np.random.RandomState(20240229).randint(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 
 
@@ -73,18 +73,22 @@ def chunk_table(docs: DataFrame, text: str = "text") -> DataFrame:
 def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_bytes, n_chunks, n_dup_chunks and removed: array<struct<start, end>> in bytes of the UTF-8 text.
 
-    Of equal chunks the one in the document with the smallest doc_id stays, there the first; the others are repeats.
+    Of equal chunks the one in the row with the smallest doc_id stays, there the first; the others are repeats.
     Runs of neighbouring repeats of MIN_RUN bytes or more are removed, shorter ones stay.  Null and empty texts have no
-    chunks.  Rows with the same doc_id count as one document (each keeps its first chunk); a null doc_id counts last.
+    chunks.  Rows with the same doc_id are told apart by content; rows that are repeated whole are one and each keeps its
+    first chunk; a null doc_id counts last.
     Other columns stay; those named as the added ones are replaced.
     """
     columns, made = docs.columns, ["n_bytes", "n_chunks", "n_dup_chunks", "removed"]
     docs = set_aside(docs, list(dict.fromkeys(["doc_id", text])), made)
     chunks = stored(chunk_table(docs, text), "chunks")
     if dict(docs.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint"):
-        rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
+        # One number, so that the least is kept in a hash table: the doc_id, then 60 bits of the row's key.
+        number = lambda c: c.cast("decimal(19,0)")
+        last = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
+        rank = (number(last) * number(F.lit(2**60)) + number(F.shiftrightunsigned("k1", 4))).cast("decimal(38,0)")
     else:
-        rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"))
+        rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("k1"), F.col("k2"))
     # Counts are combined before the shuffle.
     often = chunks.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first")).filter("n > 1").select("d1", "d2", "first")
     # Written right after the join, as Spark can split a frequent digest only where nothing above needs its rows together.

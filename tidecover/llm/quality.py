@@ -30,7 +30,7 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; _chars by CHAR_CLASSES and the rest; _common by the
     language's common words and the rest (null for other languages).  A null text counts as empty.
     """
-    df = docs.withColumns({"_t": or_empty(F.col(text)), "_key": language(F.col(lang))})
+    df = docs.withColumns({"_t": or_empty(F.col(text)), "_key": language(F.col(lang) if lang in docs.columns else F.lit(None).cast("string"))})
     # The classes hold no a-z, so they are counted in what is left without these: a quarter of the text or so.
     df = df.withColumns({"_w": words(F.col("_t")), "_few": F.regexp_replace("_t", "[a-z]+", ""), "_lines": F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
     n = F.size("_w")
@@ -106,7 +106,7 @@ def quality_verdict(docs: DataFrame, text: str = "text", lang: str = "lang", *,
     documents are judged by the base rules alone.  Null text: no words, so not kept.  Unknown or
     null language: characters are held against all languages together and common words aren't judged.  An empty table
     gives an empty table; all other columns of docs stay, and the texts too if with_text; columns named as the added ones
-    are replaced.  Repeated rows are judged alike.
+    are replaced.  Repeated rows are judged alike.  Without a column lang every language is null.
     """
     columns = docs.columns
     docs = set_aside(docs, [c for c in dict.fromkeys(["doc_id", text, lang]) if c in columns], MADE)

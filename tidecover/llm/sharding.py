@@ -16,6 +16,7 @@ TARGET_BYTES = 128 << 20
 UNIT_BYTES = 1 << 20  # runs of up to FAN_IN times this are of tier 0
 KEEP_VERSIONS = 2  # the live version and those before it whose runs stay for their readers
 LEASE_S = 600  # a claim that is older is taken over
+ORPHAN_S = 86_400  # what no version names goes once nothing in it has changed for so long
 
 
 def packed_reads(spark: SparkSession, target: int):
@@ -30,11 +31,12 @@ class Store:
     same version, one can create the next one's claim file, and that one renames its folder into place, which is atomic.
     So readers see whole versions only.  A writer lost between claim and rename leaves a claim that others take over, by
     the file of the next attempt, once it is LEASE_S old; a writer whose claim was taken over doesn't publish.  Readers of
-    the last KEEP_VERSIONS versions find all their runs.
+    the last KEEP_VERSIONS versions find all their runs.  Texts of any length are rows like others: they are never read in
+    one piece but by Spark's own reader and writer.  What a lost writer leaves goes with a later compaction (sweep).
     """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self.lease_s = spark, root, LEASE_S
+        self.spark, self.root, self.lease_s, self.orphan_s = spark, root, LEASE_S, ORPHAN_S
         path = spark._jvm.org.apache.hadoop.fs.Path(root)
         self.fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -78,8 +80,15 @@ class Store:
         attempt = self.claim(v)
         if self.claims(v)[-1][0] != attempt:
             raise RuntimeError(f"version {v} was taken over by another writer")
-        if not self.fs.rename(self.path("manifest", aside), self.path("manifest", f"v{v:08d}")):
-            raise RuntimeError(f"version {v} can't be published")
+        at = f"v{v:08d}"
+        done = not self.fs.exists(self.path("manifest", at)) and self.fs.rename(self.path("manifest", aside), self.path("manifest", at))
+        # A file system may move a folder into one that came into being meanwhile and call that a success.
+        inside = self.path("manifest", at, aside)
+        if self.fs.exists(inside):
+            self.fs.delete(inside, True)
+            done = False
+        if not done:
+            raise RuntimeError(f"version {v} was published by another writer")
         return v
 
     def claims(self, v: int) -> list[tuple[int, float]]:
@@ -100,8 +109,31 @@ class Store:
         """The power of FAN_IN of a run's size over UNIT_BYTES, whatever other runs there are."""
         return max(0, floor(log(max(self.size(run), 1) / UNIT_BYTES, FAN_IN)))
 
+    def age(self, status) -> float:
+        """Seconds since the last change of a file or of anything in a folder."""
+        last, files = status.getModificationTime(), self.fs.listFiles(status.getPath(), True) if status.isDirectory() else None
+        while files is not None and files.hasNext():
+            last = max(last, files.next().getModificationTime())
+        return time.time() - last / 1000
+
+    def sweep(self) -> None:
+        """Removes what lost writers have left: runs that no kept version names, arrivals, manifests set aside and claims of
+        published versions, each once it is orphan_s old."""
+        last = self.version()
+        kept = {r for v in range(max(1, last - KEEP_VERSIONS + 1), last + 1) for r in self.runs(v)}
+
+        def lost(folder: str, is_lost) -> None:
+            where = self.path(folder) if folder else self.path()
+            for s in self.fs.listStatus(where) if self.fs.exists(where) else []:
+                if is_lost(s.getPath().getName()) and self.age(s) >= self.orphan_s:
+                    self.fs.delete(s.getPath(), True)
+
+        lost("runs", lambda n: n not in kept)
+        lost("", lambda n: n.startswith("arriving-"))
+        lost("manifest", lambda n: n.startswith("_") and not (n.startswith("_claim") and int(n[6:14]) > last))
+
     def expire(self) -> None:
-        """Removes the manifests before the last KEEP_VERSIONS and the runs that only they have."""
+        """Removes the manifests before the last KEEP_VERSIONS and the runs that only they have, then what writers lost."""
         last = self.version()
         old = [v for v in range(1, last - KEEP_VERSIONS + 1) if self.fs.exists(self.path("manifest", f"v{v:08d}"))]
         kept = {r for v in range(max(1, last - KEEP_VERSIONS + 1), last + 1) for r in self.runs(v)}
@@ -110,6 +142,7 @@ class Store:
                 if r not in kept:
                     self.fs.delete(self.path("runs", r), True)
             self.fs.delete(self.path("manifest", f"v{v:08d}"), True)
+        self.sweep()
 
     def append(self, arrivals: DataFrame, batch: str) -> int:
         """Adds arrivals as one run per value of the column batch, of small shards: a job without a shuffle.
