@@ -118,13 +118,15 @@ def folded(text: Column) -> Column:
 
 
 def words(text: Column, separators: str = SPACES) -> Column:
-    """The words between separators (a pattern of one or more of them); an empty text has none."""
+    """The words between separators (a pattern of one or more of them); an empty text has none.
+
+    text should be a column, not a costly expression, as it is read several times.
+    """
     if separators != SPACES:
         return F.array_remove(F.split(text, separators, -1), "")
-    # A split at one plain character needs no pattern, so all white space is made that first.
-    lines = F.replace(text, F.lit("\n"), F.lit(" "))
-    other = r"[\x09\x0B-\x0D]"
-    plain = F.when(lines.rlike(other), F.regexp_replace(lines, other, " ")).otherwise(lines)
+    # A split at one plain character needs no pattern, so all white space is made that first, where there is other.
+    has = lambda chars: reduce(Column.__or__, [F.contains(text, F.lit(c)) for c in chars])
+    plain = F.when(has("\t\x0b\x0c\r"), F.regexp_replace(text, SPACES, " ")).when(has("\n"), F.replace(text, F.lit("\n"), F.lit(" "))).otherwise(text)
     return F.array_remove(F.split(plain, " ", -1), "")
 
 

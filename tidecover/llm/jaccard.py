@@ -49,8 +49,11 @@ class Rule:
         return (inter > 0) & (100 * inter >= self.percent * (n + m - inter))
 
 
-def normal_words(text: Column) -> Column:
-    return words(folded(or_empty(text)))
+def with_words(df: DataFrame, text: str, *kept: str | Column) -> DataFrame:
+    """kept, _w: the words of text in lower case; folded in a projection of its own, so that it is done once."""
+    names = [F.col(c) if isinstance(c, str) else c for c in kept]
+    made = df.select(*names, folded(or_empty(F.col(text))).alias("_folded"))
+    return made.select(*[c for c in made.columns if c != "_folded"], words(F.col("_folded")).alias("_w"))
 
 
 def own_tokens(postings: DataFrame) -> DataFrame:
@@ -66,7 +69,7 @@ def live_rows(rows: DataFrame, rule: Rule) -> DataFrame:
     A token is sampled by its first and third word, which is the same in every text.  Equal rows have no token to
     themselves, so they stay.
     """
-    named = rows.select(F.xxhash64("s").alias("node"), normal_words(F.col("s")).alias("_w"))
+    named = with_words(rows, "s", F.xxhash64("s").alias("node"))
     last = F.size("_w") - rule.k
     spread = named.select("node", "_w", F.explode_outer(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("i"))
     word = lambda j: F.get("_w", F.col("i") + j)
@@ -84,7 +87,7 @@ def live_rows(rows: DataFrame, rule: Rule) -> DataFrame:
 def token_sets(live: DataFrame, rule: Rule) -> DataFrame:
     """node, first (the smallest id), n, toks of each node of live."""
     per = live.groupBy("node").agg(F.min("id").alias("first"), F.first("s").alias("s"))
-    df = per.select("node", "first", normal_words(F.col("s")).alias("_w")).select("node", "first", shingles(F.col("_w"), rule.k).alias("toks"))
+    df = with_words(per, "s", "node", "first").select("node", "first", shingles(F.col("_w"), rule.k).alias("toks"))
     return stored(df.select("node", "first", F.size("toks").alias("n"), "toks"), "sets")
 
 
@@ -177,7 +180,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", rule: Rule = Rule()) ->
     found = near_rows(docs, text, rule)
     moved = found.filter("id <> least").select(F.col("id.k1").alias("_k1"), F.col("id.k2").alias("_k2"), F.col("least.doc_id").alias("_least")).distinct()
     k1, k2 = row_keys(F.col("doc_id"), F.col(text))
-    split = docs.select("doc_id", k1.alias("_k1"), k2.alias("_k2"), normal_words(F.col(text)).alias("_w"))
+    split = with_words(docs, text, "doc_id", k1.alias("_k1"), k2.alias("_k2"))
     rows = split.select("doc_id", "_k1", "_k2", F.size(shingles(F.col("_w"), rule.k)).cast("long").alias("n_shingles"))
     return rows.join(moved, ["_k1", "_k2"], "left").select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
 
