@@ -78,7 +78,7 @@ def live_rows(rows: DataFrame, rule: Rule) -> DataFrame:
     # Repeated shingles make a row look longer than its set, which only lets it have more tokens to itself.
     tokens = spread.select("node", F.xxhash64(*[word(j) for j in range(rule.k)]).alias("tok"), (F.size("_w") - rule.k + 1).alias("m"))
     gone = stored(own_tokens(tokens).filter(F.col("own") > rule.own(F.col("m"))).select("node"), "gone")
-    some = rows.select("id", F.xxhash64("s").alias("node"), "s").filter(F.col("s").rlike(r"[^\x20\x09-\x0D]"))
+    some = rows.select("id", F.xxhash64("s").alias("node"), "s").filter(F.ltrim("s", F.lit(" \t\n\x0b\x0c\r")) != "")
     out = stored(some.join(gone, "node", "left_anti").select("id", "node", "s"), "live")
     discard(gone)
     return out
