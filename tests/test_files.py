@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from tidecover.sources.files import append_missing, read_events
+from tidecover.operators.grid import crop
+from tidecover.sources.files import append_missing, read_events, scan_grid, write_grids
 
 
 def test_event_files_of_two_encodings(spark, tmp_path):
@@ -24,3 +25,26 @@ def test_only_missing_partitions_are_written(spark, tmp_path):
     append_missing(first, path, ["year"])
     append_missing(first.union(spark.range(5).select("id", F.lit(7).alias("year"))), path, ["year"])
     assert {(r.year, r["count"]) for r in spark.read.parquet(path).groupBy("year").count().collect()} == {(0, 5), (1, 5), (7, 5)}
+
+
+def rows_scanned(df):
+    def scans(plan):
+        kids = plan.children()
+        found = [scans(kids.apply(i)) for i in range(kids.size())]
+        own = [plan.metrics().get("numOutputRows").get().value()] if plan.nodeName().startswith("Scan") else []
+        return own + [n for f in found for n in f]
+
+    return sum(scans(df._jdf.queryExecution().executedPlan()))
+
+
+def test_a_crop_passes_over_other_tiles(spark, tmp_path):
+    i = F.col("id")
+    cells = spark.range(320_000).select(F.date_add(F.lit("2020-01-01").cast("date"), (i % 80).cast("int")).alias("time"), (F.floor(i / 80) % 64 / 4).alias("lat"), (F.floor(i / 5120) / 4).alias("lon"), (i % 97).cast("double").alias("value"))
+    write_grids({"sst": cells.repartition(7)}, f"file://{tmp_path}/grid")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = crop(scan_grid(spark, f"file://{tmp_path}/grid", "sst", (2020, 2020)), 4.0, 5.75, 4.0, 5.75)
+        assert len(df.collect()) == crop(cells, 4.0, 5.75, 4.0, 5.75).count() == 64 * 80
+        assert rows_scanned(df) < 320_000 / 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

@@ -12,7 +12,7 @@ from tidecover.functions import seasons as S
 from tidecover.functions import text as X
 from tidecover.functions import stats, text
 from tidecover.functions.stats import percentiles, t_p_value, t_quantile_975
-from tidecover.operators import corridor, effort, match, regress, scenario
+from tidecover.operators import climate, corridor, effort, grid, match, regress, report, scenario
 from tidecover.sources.documents import climate_index
 
 
@@ -221,3 +221,105 @@ def test_exceedance(spark):
 def test_climate_lines(spark):
     lines = spark.createDataFrame([("  SEAS YR TOTAL ANOM",), (" DJF 1950 24.72 -1.53",), ("short 1",), ("",)], "value string")
     assert [tuple(r) for r in climate_index(lines).collect()] == [("DJF", 1950, -1.53)]
+
+
+def test_refreshed_climatology(spark, tmp_path):
+    rng, path = random.Random(5), f"file://{tmp_path}/clim"
+
+    def year(y, seed):
+        r = random.Random(seed)
+        return [(date(y, 1, 1) + timedelta(days=i), float(i % 2), 0.5, None if r.random() < 0.2 else r.random()) for i in range(0, 360, 9) for _ in range(2)]
+
+    def of(rows):
+        rng.shuffle(rows)
+        return spark.createDataFrame(rows, "time date, lat double, lon double, value double").repartition(3)
+
+    def means(rows):
+        sums = {}
+        for t, lat, lon, v in rows:
+            sums.setdefault((t.timetuple().tm_yday, lat, lon), []).extend([] if v is None else [v])
+        return {k: np.mean(v) if v else None for k, v in sums.items()}
+
+    def stored():
+        return {(r.doy, r.lat, r.lon): r.clim for r in climate.climatology(spark, path).collect()}
+
+    a, b, c = year(2001, 1), year(2002, 2), year(2003, 3)
+    assert climate.refresh(of(a + b), path) == [2001, 2002]
+    assert climate.refresh(of(a + b), path) == []  # the order of rows doesn't matter
+    changed = year(2002, 4)
+    assert climate.refresh(of(a + changed + c), path) == [2002, 2003]
+    assert stored() == pytest.approx(means(a + changed + c))
+    assert climate.refresh(of(c), path) == [] and stored() == pytest.approx(means(a + changed + c))
+    assert climate.refresh(of(c), path, rebuild=True) == [2003] and stored() == pytest.approx(means(c))
+    empty = f"file://{tmp_path}/none"
+    assert climate.refresh(of([]), empty) == [] and climate.climatology(spark, empty).count() == 0
+    assert climate.refresh(of(a), empty) == [2001]
+
+
+def test_correlations_of_bands(spark):
+    r = random.Random(3)
+    rows = [(f"m{m:02}", b, None if m == 4 and b == -8 else r.random()) for m in range(14) for b in (-9, -8, -7, -6) if not (m == 9 and b == -6)]
+    got = {(x.band_a, x.band_b): x.r for x in grid.band_correlations(spark.createDataFrame(rows, "month string, band int, v double")).collect()}
+    whole = [m for m in range(14) if m not in (4, 9)]
+    v = {b: [next(x for mm, bb, x in rows if mm == f"m{m:02}" and bb == b) for m in whole] for b in (-9, -8, -7, -6)}
+    assert got == pytest.approx({(a, b): np.corrcoef(v[a], v[b])[0, 1] for a in v for b in v if a < b})
+    never = [("a", 1, 1.0), ("a", 2, 2.0), ("b", 1, 3.0), ("b", 3, 4.0)]  # no month has all three
+    assert grid.band_correlations(spark.createDataFrame(never, "month string, band int, v double")).count() == 0
+
+
+def test_interpolation_by_merging(spark):
+    r = random.Random(8)
+    curves = {k: sorted((round(r.uniform(0.05, 0.9), 3), r.random()) for _ in range(n)) for k, n in (("a", 40), ("b", 3), ("c", 1))}
+    curves["a"] = sorted(dict(curves["a"]).items())
+    curves["b"].append((0.5, 7.0))  # at a point of the grid
+    curves["b"].sort()
+    df = spark.createDataFrame([(k, e, v) for k, c in curves.items() for e, v in c], "k string, ep double, v double")
+    out = scenario.interpolated(df, ["k"], "v", 0.0, 1.0, 101)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and plan.count("Exchange hash") == 1
+    got = {(x.k, x.grid_id): x.v for x in out.collect()}
+    assert got == pytest.approx({(k, i): np.interp(i / 100, [e for e, _ in c], [v for _, v in c]) for k, c in curves.items() for i in range(101)})
+
+
+def test_ladder_of_levels_reads_once(spark):
+    rows = [("r", "c", date(2020, 12, 30) + timedelta(days=i % 9), None if i % 5 == 0 else "s", float(i), i / 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "region string, company string, event_date date, season string, catch_tm double, x double")
+    out = regress.levels(df, "x")
+    got = {}
+    for g in out.collect():
+        got.setdefault(g.level, []).append((g.period, g.catch_tm, g.x))
+    want = {"event": lambda r, i: i, "day": lambda r, i: str(r[2]), "week": lambda r, i: "{}-W{:02}".format(*r[2].isocalendar()[:2]), "month": lambda r, i: str(r[2])[:7], "season": lambda r, i: r[3]}
+    for level, key in want.items():
+        groups = {}
+        for i, row in enumerate(rows):
+            if key(row, i) is not None:
+                groups.setdefault(key(row, i), []).append(row)
+        expect = [(None if level == "event" else k, sum(g[4] for g in v), np.mean([g[5] for g in v])) for k, v in groups.items()]
+        assert sorted(got[level], key=str) == sorted([(p, pytest.approx(t), pytest.approx(x)) for p, t, x in expect], key=lambda e: str((e[0], e[1].expected, float(e[2].expected))))
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Scan ExistingRDD") == 1
+
+
+def test_enrichment_with_absent_variables(spark):
+    points = spark.createDataFrame([(date(2019, 1, 2), 1.0, 1.0), (date(2020, 1, 2), 1.0, 1.0), (date(2021, 1, 2), 1.0, 1.0)], "event_date date, lat double, lon double")
+    source = spark.createDataFrame([(date(2019, 1, 1), 1.0, 1.0, 5.0, 1.0), (date(2020, 1, 1), 1.0, 1.0, 6.0, None), (date(2021, 1, 1), 1.0, 1.0, None, 3.0)], "time date, lat double, lon double, temp double, chl double")
+    out = match.enrich(points, {("temp", "chl", "never"): source, ("gone",): source.select("time", "lat", "lon")}, ["temp"], ("temp", 1.0, "ref"))
+    assert sorted((r.year, r.temp, r.chl, r.never, r.gone, r.ref) for r in out.collect()) == [(2019, 5.0, 1.0, None, None, 4.0), (2020, 6.0, None, None, None, 5.0)]
+    assert match.enrich(points, {("temp",): source, ("gone",): source}, ["gone"]).count() == 0
+
+
+def test_caps_of_corridors(spark):
+    bands = spark.createDataFrame([("n", -9, -80.0, -79.0), ("n", -8, -81.0, -79.5)], "region string, band int, west double, east double")
+    ext = spark.createDataFrame([("n", -8.9, -7.2)], "region string, south double, north double")
+    regions = spark.createDataFrame([("n", -11.0, None)], "region string, lat_min double, lat_max double")
+    ends = lambda caps: {y for r in corridor.edges(bands, caps).collect() for y in (r.y1, r.y2)} - {-8.5, -7.5}
+    assert ends(ext) == {-8.9, -7.2}
+    assert ends(corridor.caps_at_bounds(regions, ext)) == {-11.0, -7.2}
+    assert ends(corridor.caps_at_bands(bands)) == {-9.0, -7.0}
+
+
+def test_company_report(spark):
+    both = spark.createDataFrame([("n", 2019, 0.0, 0.5), ("n", 2020, 2.0, 2.0), ("s", 2020, 0.0, 0.0)], "region string, year int, t1 double, t2 double")
+    levels = spark.createDataFrame([("n", "p90", 0.0, 1.0), ("s", "p90", 0.0, 1.0)], "region string, scenario string, entry double, exit double")
+    catches = spark.createDataFrame([("A", "n", 10.0), ("A", "s", 30.0), ("B", "n", 4.0)], "company string, region string, mean_tm double")
+    got = {(r.company, r.region): (r.years, r.years_paid, r.insured, r.aal, r.rate) for r in report.company_report(both, levels, catches, 2.0).collect()}
+    assert got == {("A", "n"): (2, 2, 20.0, 15.0, 0.75), ("A", "s"): (1, 0, 60.0, 0.0, 0.0), ("A", "Total"): (None, None, 80.0, 15.0, 0.1875), ("B", "n"): (2, 2, 8.0, 6.0, 0.75), ("B", "Total"): (None, None, 8.0, 6.0, 0.75)}

@@ -34,10 +34,22 @@ def extents(events: DataFrame, regions: DataFrame) -> DataFrame:
     return df.groupBy("region").agg(F.min("lat").alias("south"), F.max("lat").alias("north"))
 
 
+def caps_at_bounds(regions: DataFrame, extents: DataFrame) -> DataFrame:
+    """extents with a region's own bounds for its southernmost and northernmost event; an open bound keeps the event."""
+    both = extents.join(F.broadcast(regions), "region")
+    return both.select("region", F.coalesce("lat_min", "south").alias("south"), F.coalesce("lat_max", "north").alias("north"))
+
+
+def caps_at_bands(bands: DataFrame) -> DataFrame:
+    """region, south, north: the outer edges of its first and last band."""
+    return bands.groupBy("region").agg(F.min("band").cast("double").alias("south"), (F.max("band") + 1).cast("double").alias("north"))
+
+
 def edges(bands: DataFrame, extents: DataFrame) -> DataFrame:
     """region, x1, y1, x2, y2: the closed polygon through the bands' centres, up in the west and down in the east.
 
-    Its caps lie at the southernmost and northernmost event and repeat the nearest band's longitudes.
+    Its caps lie at extents (region, south, north), such as the southernmost and northernmost event, the region's bounds or
+    the outer bands' edges, and repeat the nearest band's longitudes.
     """
     mid = F.array_sort(F.collect_list(F.struct((F.col("band") + 0.5).alias("lat"), "west", "east"))).alias("mid")
     per = bands.groupBy("region").agg(mid).join(F.broadcast(extents), "region")  # a row per region, an array of its bands

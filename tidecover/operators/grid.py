@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CELL = ["lat", "lon"]
@@ -63,9 +63,14 @@ def band_series(grid: DataFrame) -> DataFrame:
 
 
 def band_correlations(bands: DataFrame) -> DataFrame:
-    """Pearson r of each pair of bands over the months in which every band has a value."""
-    n = bands.select(F.count_distinct("band").alias("n"))
-    full = bands.groupBy("month").agg(F.count("v").alias("k")).join(n, F.col("k") == F.col("n"), "left_semi")
-    rows = bands.join(full, "month", "left_semi")
-    a, b = (rows.select("month", F.col("band").alias(f"band_{x}"), F.col("v").alias(f"v{x}")) for x in "ab")
-    return a.join(b, "month").filter("band_a < band_b").groupBy("band_a", "band_b").agg(F.corr("va", "vb").alias("r"))
+    """band_a, band_b, r: Pearson's r of each pair of bands over the months in which every band has a value.
+
+    A month's bands are one array (a band is a degree of latitude, so 180 at most), and the co-moments of its pairs are
+    merged by how many bands of the month have a value; of these sums only the one that has all bands is kept.
+    """
+    month = bands.groupBy("month").agg(F.collect_list(F.struct("band", "v")).alias("m"), F.count("v").alias("k"))
+    pairs = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: b["band"] >= a["band"]), lambda b: F.struct(a["band"].alias("band_a"), b["band"].alias("band_b"), a["v"].alias("va"), b["v"].alias("vb")))))
+    each = month.select("k", F.explode(pairs).alias("p")).select("k", "p.*")
+    fullest = each.groupBy("k", "band_a", "band_b").agg(F.corr("va", "vb").alias("r")).groupBy("band_a", "band_b").agg(F.max(F.struct("k", "r")).alias("f"))
+    every = F.sum((F.col("band_a") == F.col("band_b")).cast("int")).over(Window.partitionBy(F.lit(0)))  # a row per pair
+    return fullest.withColumn("n", every).filter((F.col("f.k") == F.col("n")) & (F.col("band_a") < F.col("band_b"))).select("band_a", "band_b", F.col("f.r").alias("r"))

@@ -65,8 +65,9 @@ def with_nearest(points: DataFrame, axis: DataFrame, keys: list[str], x: str, ou
     return nearer_end(own, ends, keys, x, F.col("_scale"), out, falling).drop("_scale")
 
 
-def nearest_grid(points: DataFrame, grid: DataFrame, name: str, falling: tuple[str, ...] = ()) -> DataFrame:
-    """Adds name: the grid's value at the nearest day, latitude and longitude, each by itself, within the point's year.
+def nearest_cells(points: DataFrame, grid: DataFrame, names: list[str], falling: tuple[str, ...] = ()) -> DataFrame:
+    """Adds names, columns of the grid (time, lat, lon, names) at the nearest day, latitude and longitude, each by itself,
+    within the point's year.
 
     points has event_date, lat, lon and year.  Years without a grid, and cells without a value, give null.  falling: those
     of time, lat and lon whose axis is stored from its largest value down, which decides ties.  The axes' stretches are
@@ -81,17 +82,32 @@ def nearest_grid(points: DataFrame, grid: DataFrame, name: str, falling: tuple[s
     df = points.join(ends.groupBy("year").agg(*[scale(c) for c in ("time", "lat", "lon")]), "year", "left")
     for x, src, out in (("event_date", "time", "_t"), ("lat", "lat", "_la"), ("lon", "lon", "_lo")):
         df = nearer_end(df, ends.filter(F.col("axis") == src), ["year"], x, F.col(f"_s_{src}"), out, src in falling)
-    cells = g.select(F.col("year"), F.col("time").alias("_t"), F.col("lat").alias("_la"), F.col("lon").alias("_lo"), F.col("value").alias(name))
-    return df.join(cells, ["year", "_t", "_la", "_lo"], "left").select(*points.columns, name)
+    cells = g.select(F.col("year"), F.col("time").alias("_t"), F.col("lat").alias("_la"), F.col("lon").alias("_lo"), *names)
+    return df.join(cells, ["year", "_t", "_la", "_lo"], "left").select(*points.columns, *names)
+
+
+def nearest_grid(points: DataFrame, grid: DataFrame, name: str, falling: tuple[str, ...] = ()) -> DataFrame:
+    """nearest_cells for a grid of one variable (value), named name."""
+    return nearest_cells(points, grid.withColumnRenamed("value", name), [name], falling)
+
 
+def enrich(points: DataFrame, grids: dict[tuple[str, ...], DataFrame], required: list[str], constant: tuple[str, float, str] | None = None) -> DataFrame:
+    """Adds a column per variable of grids, whose keys name the variables of a source and whose grids have (time, lat, lon)
+    and a column for each.
 
-def enrich(points: DataFrame, grids: dict[str, DataFrame], required: list[str], constant: tuple[str, float, str] | None = None) -> DataFrame:
-    """Adds a column per grid; rows of years that lack a required grid go.  constant: (column, reference, new column)."""
+    Variables of one source share its axes, so the points meet its cells once.  A variable that its grid has no column for
+    is null, as is one in a year or cell without a value.  Rows of years in which a required variable has no value at all
+    go.  constant: (column, reference, new column).
+    """
     df = points.withColumn("year", F.year("event_date"))
-    for name in required:
-        df = df.join(grids[name].select(F.year("time").alias("year")).distinct(), "year", "left_semi")
-    for name, grid in grids.items():
-        df = nearest_grid(df, grid, name)
+    for names, grid in grids.items():
+        for n in (n for n in names if n in required):
+            has = grid.filter(F.col(n).isNotNull() if n in grid.columns else F.lit(False))
+            df = df.join(F.broadcast(has.select(F.year("time").alias("year")).distinct()), "year", "left_semi")  # a row per year
+    for names, grid in grids.items():
+        here = [n for n in names if n in grid.columns]
+        df = nearest_cells(df, grid, here) if here else df
+        df = df.withColumns({n: F.lit(None).cast("double") for n in names if n not in here})
     if constant:
         df = df.withColumn(constant[2], F.col(constant[0]) - constant[1])
     return df

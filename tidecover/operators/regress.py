@@ -36,16 +36,20 @@ def conservative(beta: Column, se: Column, inverted: bool = False) -> Column:
 
 
 def levels(df: DataFrame, x: str) -> DataFrame:
-    """level, company, period, catch_tm, x at the levels event, day, week, month and season, for the regression ladder."""
+    """level, region, company, period, catch_tm, x at the levels event, day, week, month and season, for the ladder.
+
+    The keys of all levels are one array, so df is read and shuffled once; catches are summed and x averaged.  An event is a
+    level of its own row, which has no period.
+    """
     from ..functions.seasons import iso_week
 
     day = F.col("event_date")
-    keys = {"day": day.cast("string"), "week": iso_week(day), "month": F.date_format(day, "yyyy-MM"), "season": F.col("season")}
-    out = df.select(F.lit("event").alias("level"), "region", "company", F.lit(None).cast("string").alias("period"), "catch_tm", x)
-    for level, key in keys.items():
-        per = df.filter(key.isNotNull()).groupBy("region", "company", key.alias("period")).agg(F.sum("catch_tm").alias("catch_tm"), F.avg(x).alias(x))
-        out = out.unionByName(per.select(F.lit(level).alias("level"), "region", "company", "period", "catch_tm", x))
-    return out
+    keys = {"event": F.col("_id"), "day": day.cast("string"), "week": iso_week(day), "month": F.date_format(day, "yyyy-MM"), "season": F.col("season")}
+    each = F.explode(F.array(*[F.struct(F.lit(level).alias("level"), key.alias("period")) for level, key in keys.items()])).alias("k")
+    own = df.withColumn("_id", F.monotonically_increasing_id().cast("string"))
+    rows = own.select("region", "company", "catch_tm", x, each).select("region", "company", "catch_tm", x, "k.*").filter("period is not null")
+    per = rows.groupBy("level", "region", "company", "period").agg(F.sum("catch_tm").alias("catch_tm"), F.avg(x).alias(x))
+    return per.select("level", "region", "company", F.when(F.col("level") != "event", F.col("period")).alias("period"), "catch_tm", x)
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:

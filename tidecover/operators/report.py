@@ -83,3 +83,21 @@ def seasonal_rates(payouts: DataFrame, loss_ratio: float) -> DataFrame:
     per = each.groupBy(*keys, "p.part").agg(F.avg("p.pay").alias("aal"), F.max("p.cap").alias("cap"))
     rate = F.col("aal") / F.nullif(F.col("cap"), F.lit(0.0))
     return per.withColumns({"pure_rate": rate, "commercial_rate": rate / loss_ratio})
+
+
+def company_report(both: DataFrame, levels: DataFrame, catches: DataFrame, price: float) -> DataFrame:
+    """company, region, scenario, years, years_paid, insured, aal, rate of every company at once; region Total sums them.
+
+    both: region, year, t1, t2.  levels: region, scenario, entry, exit; each scenario has an entry of its own.  catches:
+    company, region, mean_tm, its mean catch a year.  Insured is that catch in money; each season pays its share of it
+    between entry and exit, a year no more than all.  A year's share is the same for all companies of a region, so companies
+    meet the mean share, not the years.  The total counts no years.
+    """
+    each = both.join(F.broadcast(levels), "region")
+    share = F.least(ramp(F.col("t1"), F.col("entry"), F.col("exit")) + ramp(F.col("t2"), F.col("entry"), F.col("exit")), F.lit(1.0))
+    per = each.withColumn("s", share).groupBy("region", "scenario").agg(F.count(F.lit(1)).alias("years"), F.sum((F.col("s") > 0).cast("long")).alias("years_paid"), F.avg("s").alias("share"))
+    rows = catches.join(F.broadcast(per), "region").withColumn("insured", F.col("mean_tm") * price)
+    own = rows.select("company", "region", "scenario", "years", "years_paid", "insured", (F.col("insured") * F.col("share")).alias("aal"))
+    none = F.lit(None).cast("bigint")
+    total = own.groupBy("company", "scenario").agg(F.sum("insured").alias("insured"), F.sum("aal").alias("aal")).select("company", F.lit("Total").alias("region"), "scenario", none.alias("years"), none.alias("years_paid"), "insured", "aal")
+    return own.unionByName(total).withColumn("rate", F.col("aal") / F.nullif(F.col("insured"), F.lit(0.0)))

@@ -53,31 +53,31 @@ def event_labels(ranked: DataFrame, keys: list[str], value: str, years: list[int
     return first.select(*keys, "year", F.col("f.rank").alias("rank"), F.col("f.ep").alias("ep"), F.col("f._v").alias(value))
 
 
-def interpolated(curve: DataFrame, keys: list[str], value: str, grid: DataFrame) -> DataFrame:
-    """keys, grid_id, ep, value: the curve (ep, value) at the grid's probabilities, straight between points, ends held.
+def interpolated(curve: DataFrame, keys: list[str], value: str, lo: float, hi: float, points: int = 300) -> DataFrame:
+    """keys, grid_id, ep, value: the curve (ep, value) at points probabilities from lo to hi, straight between its own
+    points, ends held.
 
-    grid has grid_id and at; it is a few hundred points, so each piece of the curve meets few of them.
+    The first point of each curve brings the grid along; curve and grid are then one order, in which a grid point finds its
+    neighbours by looking back and ahead, so nothing is joined and the partitioning by keys is kept.
     """
-    w = Window.partitionBy(*keys).orderBy("ep")
-    lo, hi = F.min("ep").over(Window.partitionBy(*keys)), F.max("ep").over(Window.partitionBy(*keys))
-    seg = curve.select(*keys, "ep", F.col(value).alias("v"), F.lead("ep").over(w).alias("ep2"), F.lead(value).over(w).alias("v2"), F.row_number().over(w).alias("nth"), lo.alias("lo"), hi.alias("hi"))
-    at = F.least(F.greatest(F.col("at"), F.col("lo")), F.col("hi"))
-    inside = (at >= F.col("ep")) & (at < F.col("ep2")) | F.col("ep2").isNull() & (at >= F.col("ep"))
-    met = seg.join(F.broadcast(grid), inside)
-    y = F.when(F.col("ep2").isNull(), F.col("v")).otherwise(F.col("v") + (F.col("v2") - F.col("v")) * (at - F.col("ep")) / (F.col("ep2") - F.col("ep")))
+    own = F.struct(F.lit(None).cast("int").alias("grid_id"), F.col("ep").alias("at"), F.col(value).alias("v"))
+    grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.struct(i.alias("grid_id"), (lo + (hi - lo) * i / (points - 1)).alias("at"), F.lit(None).cast("double").alias("v")))
+    numbered = curve.select(*keys, "ep", value, F.row_number().over(Window.partitionBy(*keys).orderBy("ep")).alias("_nth"))
+    rows = numbered.select(*keys, F.explode(F.when(F.col("_nth") == 1, F.concat(F.array(own), grid)).otherwise(F.array(own))).alias("r")).select(*keys, "r.*")
+    point = F.when(F.col("grid_id").isNull(), F.struct("at", "v"))
+    up = Window.partitionBy(*keys).orderBy("at", F.col("grid_id").isNotNull())  # a point of the curve before a grid point there
+    down = Window.partitionBy(*keys).orderBy(F.desc("at"), F.col("grid_id").isNull())
+    met = rows.select("*", F.last(point, True).over(up).alias("a"), F.last(point, True).over(down).alias("b")).filter("grid_id is not null")
+    between = F.col("a.v") + (F.col("b.v") - F.col("a.v")) * (F.col("at") - F.col("a.at")) / (F.col("b.at") - F.col("a.at"))
+    y = F.when(F.col("a").isNull(), F.col("b.v")).when(F.col("b").isNull(), F.col("a.v")).otherwise(between)
     return met.select(*keys, "grid_id", F.col("at").alias("ep"), y.alias(value))
 
 
-def probability_grid(spark: SparkSession, lo: float, hi: float, points: int = 300) -> DataFrame:
-    return spark.range(points).select(F.col("id").alias("grid_id"), (lo + (hi - lo) * F.col("id") / (points - 1)).alias("at"))
-
-
 def sampling_band(values: DataFrame, keys: list[str], value: str, n: int, chunks: int = 20, points: int = 300) -> DataFrame:
     """keys, grid_id, lower, upper: 5th and 95th percentiles of the curves of contiguous chunks, at each probability."""
     size = n // chunks
     part = values.withColumn("chunk", F.floor(F.col("sim_id") / size).cast("int")).filter(F.col("chunk") < chunks)
     curve = exceedance(part, [*keys, "chunk"], value, "sim_id")
-    grid = probability_grid(values.sparkSession, 1 / (n + 1), n / (n + 1), points)
-    at = interpolated(curve, [*keys, "chunk"], value, grid)
+    at = interpolated(curve, [*keys, "chunk"], value, 1 / (n + 1), n / (n + 1), points)
     band = at.groupBy(*keys, "grid_id").agg(F.percentile(value, [0.05, 0.95]).alias("p"))
     return band.select(*keys, "grid_id", F.get("p", F.lit(0)).alias("lower"), F.get("p", F.lit(1)).alias("upper"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,7 @@ from ..functions import seasons as S
 from ..functions import text as X
 from ..functions.stats import exact_percentiles, percentiles
 from ..operators import catch as C
+from ..operators import climate as Y
 from ..operators import corridor as K
 from ..operators import effort as H
 from ..operators import grid as G
@@ -33,22 +35,26 @@ CORRIDORS = ["Norte", "Centro Norte", "Centro Sur"]
 BASE_YEARS = (1995, 2000)
 
 
-_held: dict[str, DataFrame] = {}  # tables that a query has written, as it uses them more than once
+_held: ContextVar[dict[str, DataFrame]] = ContextVar("held")  # tables that the query being built has written, as it uses them more than once
 
 
 def hold(s: SparkSession, d: str, name: str, build: Query) -> DataFrame:
     """build(s, d), written once for the query that is being built."""
-    if name not in _held:
-        _held[name] = E.written(build(s, d), name)
-    return _held[name]
+    held = _held.get({})
+    if name not in held:
+        held[name] = E.written(build(s, d), name)
+    return held[name]
 
 
 def query(oracle: str | None):
     def add(f: Query) -> Query:
         @wraps(f)
         def run(s: SparkSession, d: str) -> DataFrame:
-            _held.clear()
-            return f(s, d)
+            token = _held.set({})
+            try:
+                return f(s, d)
+            finally:
+                _held.reset(token)
 
         QUERIES[f.__name__] = run
         if oracle:
@@ -71,8 +77,9 @@ def t_regions(s: SparkSession) -> DataFrame:
 
 
 def t_daily(s: SparkSession, d: str) -> DataFrame:
-    if "daily" in _held:
-        return _held["daily"]
+    held = _held.get({})
+    if "daily" in held:
+        return held["daily"]
     return K.corridor_daily(V.catch_events(s, d), t_anomaly(s, d), t_regions(s), places=V.grid_places(s, d))
 
 
@@ -138,10 +145,10 @@ def entry_historical_aal(s, d):
     return out.select("scenario", "region", F.round("aal", 4).alias("aal"), F.round("largest", 4).alias("largest"), "years_paid", "years_unpaid")
 
 
-@query("SELECT CAST(l_shipdate AS DATE) AS event_date, n_name AS company, NULL::DOUBLE AS juvenile, l_quantity AS catch_tm FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE year(l_shipdate) = 1996 UNION ALL SELECT CAST(l_shipdate AS DATE), NULL, 100 * l_discount, l_quantity FROM lineitem WHERE year(l_shipdate) = 1997")
+@query("SELECT CAST(l_shipdate AS DATE) AS event_date, n_name AS company, NULL::DOUBLE AS juvenile, l_quantity AS catch_tm FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT CAST(l_shipdate AS DATE), NULL, 100 * l_discount, l_quantity FROM lineitem")
 def src4_union_of_columns(s, d):
-    a = V.catch_events(s, d).filter(F.year("event_date") == 1996).select("event_date", "company", "catch_tm")
-    b = V.table(s, d, "lineitem").filter(F.year("l_shipdate") == 1997).select(F.to_date("l_shipdate").alias("event_date"), (100 * F.col("l_discount")).alias("juvenile"), F.col("l_quantity").alias("catch_tm"))
+    a = V.catch_events(s, d).select("event_date", "company", "catch_tm")
+    b = V.table(s, d, "lineitem").select(F.to_date("l_shipdate").alias("event_date"), (100 * F.col("l_discount")).alias("juvenile"), F.col("l_quantity").alias("catch_tm"))
     return a.unionByName(b, allowMissingColumns=True)
 
 
@@ -243,17 +250,41 @@ def t_actuals(s: SparkSession, d: str) -> DataFrame:
     return df.groupBy("company", F.year("event_date").alias("year"), F.when(F.month("event_date") <= 6, "T1").otherwise("T2").alias("tipo")).agg(F.sum("catch_tm").alias("actual"))
 
 
+def t_company_documents(s: SparkSession, d: str) -> DataFrame:
+    own = t_actuals(s, d).groupBy("company").agg(F.avg(F.when(F.col("tipo") == "T1", F.col("actual"))).alias("baseline_t1"), F.avg(F.when(F.col("tipo") == "T2", F.col("actual"))).alias("baseline_t2"), F.collect_list(F.struct("year", "tipo", F.col("actual").alias("actual_ton"))).alias("actuals"))
+    return own.select(F.to_json(F.struct(F.create_map("company", F.struct("baseline_t1", "baseline_t2", "actuals")).alias("companies"))).alias("value"))
+
+
+def t_index_document(s: SparkSession, d: str) -> DataFrame:
+    """The quoting page's region has one index, a row per season."""
+    index = t_seasons(s, d).filter("region = 'Centro Norte'")
+    return index.agg(F.collect_list(F.struct("year", "tipo", F.col("idx").alias("sst"))).alias("sst")).select(F.to_json(F.struct("sst")).alias("value"))
+
+
 @query(f"SELECT company, year, tipo, actual, round(avg(actual) OVER (PARTITION BY company, tipo), 6) AS baseline FROM ({QUOTE_SQL})")
 def src14_prm5_quote_document(s, d):
-    """A document like the quoting page's, made from the tables and read back into tables."""
-    a = t_actuals(s, d)
-    own = a.groupBy("company").agg(F.avg(F.when(F.col("tipo") == "T1", F.col("actual"))).alias("baseline_t1"), F.avg(F.when(F.col("tipo") == "T2", F.col("actual"))).alias("baseline_t2"), F.collect_list(F.struct("year", "tipo", F.col("actual").alias("actual_ton"))).alias("actuals"))
-    docs = own.select(F.to_json(F.struct(F.create_map("company", F.struct("baseline_t1", "baseline_t2", "actuals")).alias("companies"), F.array().cast("array<struct<year:int,tipo:string,sst:double>>").alias("sst"))).alias("value"))
-    companies, actuals, _ = quote_tables(docs)
+    """Documents like the quoting page's, made from the tables and read back into tables."""
+    companies, actuals, _ = quote_tables(t_company_documents(s, d))
     both = actuals.join(companies, "company")
     return both.select("company", "year", "tipo", "actual", F.round(F.when(F.col("tipo") == "T1", F.col("baseline_t1")).otherwise(F.col("baseline_t2")), 6).alias("baseline"))
 
 
+@query("SELECT year, tipo, round(idx, 6) AS sst FROM seas WHERE region = 'Centro Norte'")
+def src14_quote_index(s, d):
+    """The document's seasonal index, read back."""
+    return quote_tables(t_index_document(s, d))[2].select("year", "tipo", r6("sst"))
+
+
+@query("SELECT dayofyear(time) AS doy, lat, lon, round(avg(value) + 1e-8, 6) AS clim FROM gr WHERE year(time) BETWEEN 1995 AND 2000 GROUP BY 1, 2, 3")
+def snk3_refreshed_climatology(s, d):
+    """The baseline of a store that began without the last years and with other values in one, brought up to the whole grid."""
+    g, path = hold(s, d, "grid", V.grid), E.scratch_path(s, "climatology")
+    year = F.year("time")
+    Y.refresh(g.filter(year < 1998).withColumn("value", F.when(year == 1996, F.col("value") + 1).otherwise(F.col("value"))), path)
+    Y.refresh(g, path)
+    return Y.climatology(s, path, BASE_YEARS).select("doy", "lat", "lon", F.round(F.col("clim") + 1e-8, 6).alias("clim"))
+
+
 @query("SELECT DISTINCT year(time) AS year FROM gr WHERE year(time) NOT IN (SELECT DISTINCT year(time) FROM fi WHERE year(time) <= 1998)")
 def snk3_missing_years(s, d):
     from ..sources.files import missing
@@ -382,11 +413,28 @@ JON2 = """SELECT e.company, year(e.event_date) AS year, count(*) AS n, count(tem
 
 @query(JON2)
 def jon2_prj4_enrichment(s, d):
-    grids = {"temp": V.grid(s, d), "chl": V.fine_grid(s, d)}
+    grids = {("temp",): V.grid(s, d).withColumnRenamed("value", "temp"), ("chl",): V.fine_grid(s, d).withColumnRenamed("value", "chl")}
     df = M.enrich(V.catch_events(s, d), grids, ["temp", "chl"], ("temp", 35.1, "temp_ref"))
     return df.groupBy("company", "year").agg(F.count(F.lit(1)).alias("n"), F.count("temp").alias("with_temp"), F.count("chl").alias("with_chl"), F.round(F.sum("temp"), 4).alias("temp"), F.round(F.sum("temp_ref"), 4).alias("temp_ref"))
 
 
+SEVEN = ("temp", "sal", "temp_anom", "chl", "chl_anom", "modis", "modis_anom")
+JON2_SEVEN = JON2.replace("g.value AS temp, f.value AS chl FROM", "g.value AS temp, 33 + g.value / 10 AS sal, CASE WHEN year(ev.event_date) >= 1995 THEN g.value - 20 END AS temp_anom, f.value AS chl, CASE WHEN year(ev.event_date) <= 1997 THEN f.value * 2 END AS chl_anom, f.value + 1 AS modis, NULL::DOUBLE AS modis_anom FROM")
+JON2_SEVEN = "SELECT company, year(event_date) AS year, count(*) AS n, " + ", ".join(f"count({c}) AS n_{c}, round(sum({c}), 4) AS {c}" for c in SEVEN) + ", round(sum(sal - 35.1), 4) AS sal_ref FROM (" + JON2_SEVEN.split(" FROM (", 1)[1].replace("year(e.event_date) IN (SELECT DISTINCT year(time) FROM fi) AND ", "")
+
+
+@query(JON2_SEVEN)
+def jon2_seven_variables(s, d):
+    """Two variables that a year must have, and five that it may lack: in some years, or altogether (the last one)."""
+    g, f, year = V.grid(s, d), V.fine_grid(s, d), F.year("time")
+    v = F.col("value")
+    coarse = g.select("time", "lat", "lon", v.alias("temp"), (33 + v / 10).alias("sal"), F.when(year >= 1995, v - 20).alias("temp_anom"))
+    fine = f.select("time", "lat", "lon", v.alias("chl"), F.when(year <= 1997, v * 2).alias("chl_anom"), (v + 1).alias("modis"))
+    df = M.enrich(V.catch_events(s, d), {SEVEN[:3]: coarse, SEVEN[3:]: fine}, ["temp", "sal"], ("sal", 35.1, "sal_ref"))
+    sums = [x for c in SEVEN for x in (F.count(c).alias(f"n_{c}"), F.round(F.sum(c), 4).alias(c))]
+    return df.groupBy("company", "year").agg(F.count(F.lit(1)).alias("n"), *sums, F.round(F.sum("sal_ref"), 4).alias("sal_ref"))
+
+
 @query("SELECT region, lat, lon FROM cells")
 def jon5_idx1_members(s, d):
     ev = V.catch_events(s, d)
@@ -400,6 +448,16 @@ def idx1_win2_edges(s, d):
     return K.edges(K.bands(ev, t_regions(s)), K.extents(ev, t_regions(s))).select("region", *[r6(c) for c in ("x1", "y1", "x2", "y2")])
 
 
+@query("SELECT kind, region, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2 FROM (SELECT 'bounds' AS kind, * FROM edgesr UNION ALL SELECT 'bands', * FROM edgesb)")
+def idx1_fixed_caps(s, d):
+    """Corridors that end at the region's bounds, or at the edges of its outer bands."""
+    ev, regions = V.catch_events(s, d), t_regions(s)
+    bands = hold(s, d, "bands", lambda s, d: K.bands(ev, regions))
+    kinds = {"bounds": K.caps_at_bounds(regions, K.extents(ev, regions)), "bands": K.caps_at_bands(bands)}
+    parts = [K.edges(bands, caps).select(F.lit(kind).alias("kind"), "region", *[r6(c) for c in ("x1", "y1", "x2", "y2")]) for kind, caps in kinds.items()]
+    return parts[0].unionByName(parts[1])
+
+
 @query("SELECT region, band, round(west, 6) AS west, round(east, 6) AS east FROM bands")
 def agg18_bands(s, d):
     return K.bands(V.catch_events(s, d), t_regions(s)).select("region", "band", r6("west"), r6("east"))
@@ -717,7 +775,7 @@ LADDER = """SELECT 'event' AS level, region, log_catch AS y, sst_anom AS x FROM
 
 @query(f"SELECT level, region, {OLECOLUMNS} FROM ({ols_sql(f'({LADDER})', 'level, region', 'y', 'x')})")
 def reg5_ladder(s, d):
-    df = R.levels(hold(s, d, "usable", t_usable), "sst_anom").withColumn("y", F.log("catch_tm"))
+    df = R.levels(t_usable(s, d), "sst_anom").withColumn("y", F.log("catch_tm"))
     return R.ols(df, ["level", "region"], "y", "sst_anom").filter("beta is not null").select("level", "region", *ols_columns())
 
 
@@ -842,6 +900,26 @@ def snk4_pricing_table(s, d):
     return t.select("scenario", "region", "years", "years_paid", *[F.round(c, 4).alias(c) for c in ("aal", "largest", "cap")], r6("rate_on_line"), F.round("commercial_money", 2).alias("commercial_money"))
 
 
+COMPANY_REPORT = """SELECT company, region, scenario, years, years_paid, mean_tm * 1500 AS insured, mean_tm * 1500 * share AS aal
+    FROM (SELECT company, region, sum(tm) AS mean_tm FROM (SELECT company, region, tipo, avg(catch_tm) AS tm FROM csr GROUP BY 1, 2, 3) GROUP BY 1, 2)
+    JOIN (SELECT region, scenario, count(*) AS years, count(*) FILTER (s > 0) AS years_paid, avg(s) AS share FROM (
+        SELECT region, scenario, least(greatest(0, least(1, (t1 - entry) / (p99 - entry))) + greatest(0, least(1, (t2 - entry) / (p99 - entry))), 1) AS s
+        FROM bothseas JOIN (SELECT region, 'p80' AS scenario, quantile_cont(idx, 0.8) AS entry, quantile_cont(idx, 0.99) AS p99 FROM seas GROUP BY 1
+            UNION ALL SELECT region, 'p90', quantile_cont(idx, 0.9), quantile_cont(idx, 0.99) FROM seas GROUP BY 1) USING (region)) GROUP BY 1, 2) USING (region)"""
+
+
+@query(f"SELECT company, region, scenario, years, years_paid, round(insured, 2) AS insured, round(aal, 2) AS aal, round(aal / insured, 6) AS rate FROM (WITH r AS ({COMPANY_REPORT}) SELECT * FROM r UNION ALL SELECT company, 'Total', scenario, NULL, NULL, sum(insured), sum(aal) FROM r GROUP BY 1, 3)")
+def snk4_company_report(s, d):
+    """Every company's loss by region with entry at its seasons' p90 or p80, and over all regions."""
+    hold(s, d, "daily", t_daily)
+    seasons = hold(s, d, "seasons", t_seasons)
+    p = exact_percentiles(seasons, ["region"], "idx", {"p80": 0.8, "p90": 0.9, "p99": 0.99})
+    levels = p.select("region", F.explode(F.array(*[F.struct(F.lit(c).alias("scenario"), F.col(c).alias("entry")) for c in ("p80", "p90")])).alias("l"), F.col("p99").alias("exit")).select("region", "l.*", "exit")
+    means = C.company_seasons(V.catch_events(s, d), t_regions(s)).groupBy("company", "region", "tipo").agg(F.avg("catch_tm").alias("tm")).groupBy("company", "region").agg(F.sum("tm").alias("mean_tm"))
+    out = T.company_report(K.both_seasons(seasons, ["region"]), levels, means, 1500.0)
+    return out.select("company", "region", "scenario", "years", "years_paid", F.round("insured", 2).alias("insured"), F.round("aal", 2).alias("aal"), r6("rate"))
+
+
 @query("SELECT b.region, round(base_t1, 4) AS base_t1, round(base_t2, 4) AS base_t2, round(p90, 6) AS p90, round(p99, 6) AS p99, seasons, hits FROM base b JOIN pct USING (region) JOIN (SELECT region, count(*) AS seasons, count(*) FILTER (idx >= p90) AS hits FROM seas JOIN pct USING (region) GROUP BY 1) USING (region)")
 def snk4_baseline_table(s, d):
     """A row per region: baselines, triggers and how often they were reached."""
@@ -886,7 +964,7 @@ CURVE = "SELECT scenario, payout AS v, (n + 1 - rank) / (n + 1) AS ep FROM (SELE
 def aep2_interpolation(s, d):
     p = N.portfolio(t_synthetic(s, d), ["scenario", "sim_id"], F.col("cap"))
     curve = N.exceedance(p, ["scenario"], "payout", "sim_id").select("scenario", "ep", "payout")
-    at = N.interpolated(curve, ["scenario"], "payout", N.probability_grid(s, 1 / 4001, 4000 / 4001).filter("grid_id between 1 and 298"))
+    at = N.interpolated(curve, ["scenario"], "payout", 1 / 4001, 4000 / 4001).filter("grid_id between 1 and 298")
     return at.select("scenario", "grid_id", F.round("payout", 4).alias("payout"))
 
 
@@ -913,9 +991,11 @@ def prm3_total(s, d):
 
 
 def t_quotes(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    actuals = t_actuals(s, d)
-    base = actuals.groupBy("company", "tipo").agg(F.avg("actual").alias("baseline"))
-    index = t_seasons(s, d).filter("region = 'Centro Norte'").select("year", "tipo", "idx")
+    documents = hold(s, d, "documents", lambda s, d: t_company_documents(s, d).unionByName(t_index_document(s, d)))
+    companies, actuals, index = quote_tables(documents)
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("tipo"), F.col(f"baseline_{t.lower()}").alias("baseline")) for t in ("T1", "T2")])).alias("b")
+    base = companies.select("company", each).select("company", "b.*").filter("baseline is not null")
+    index = index.withColumnRenamed("sst", "idx")
     kinds = F.explode(F.array(*map(F.lit, ("T1", "T2", "both")))).alias("season")
     request = V.table(s, d, "nation").select(F.col("n_name").alias("company"), kinds, F.lit(0.05).alias("entry"), F.lit(0.6).alias("exit"), F.lit(1e6).alias("limit"), F.lit(1500.0).alias("price"), F.lit(0.65).alias("loss_ratio"))
     return Q.quotes(request, base, index, actuals)

@@ -94,6 +94,13 @@ PARTS = {
     "csr": """SELECT company, region, season, sum(catch_tm) AS catch_tm, CASE WHEN season LIKE '1ra%' THEN 'T1' ELSE 'T2' END AS tipo FROM er WHERE season IS NOT NULL GROUP BY 1, 2, 3""",
 }
 
+# Corridors whose caps lie at the region's bounds (r) or at the edges of its outer bands (b).
+PARTS["extr"] = """SELECT region, coalesce(lat_min, south) AS south, coalesce(lat_max, north) AS north FROM ext JOIN reg USING (region)"""
+PARTS["extb"] = """SELECT region, CAST(min(band) AS DOUBLE) AS south, CAST(max(band) + 1 AS DOUBLE) AS north FROM bands GROUP BY 1"""
+for _kind in "rb":
+    PARTS[f"ring{_kind}"] = PARTS["ring"].replace("FROM ext e", f"FROM ext{_kind} e")
+    PARTS[f"edges{_kind}"] = PARTS["edges"].replace("FROM ring", f"FROM ring{_kind}")
+
 
 def sql(body: str) -> str:
     """body with the parts that it needs, directly or through others."""

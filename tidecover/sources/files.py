@@ -116,10 +116,16 @@ def append_missing(df: DataFrame, path: str, keys: list[str]) -> None:
     df.write.mode("append").partitionBy(*keys).parquet(path)
 
 
-def write_grids(grids: dict[str, DataFrame], path: str) -> None:
-    """Long grids (time, lat, lon, value), each variable under its name, in folders by variable and year."""
-    both = reduce(DataFrame.unionByName, [g.withColumn("var", F.lit(v)) for v, g in grids.items()])
-    both.withColumn("year", F.year("time")).repartition("var", "year").write.mode("append").partitionBy("var", "year").parquet(path)
+def write_grids(grids: dict[str, DataFrame], path: str, tile: float = 2.0) -> None:
+    """Long grids (time, lat, lon, value), each variable under its name, in folders by variable and year.
+
+    Rows are dealt out by ranges and lie by tiles of so many degrees, so a large year has several files, and a crop passes
+    over the row groups and pages of the other tiles.
+    """
+    both = reduce(DataFrame.unionByName, [g.withColumn("var", F.lit(v)) for v, g in grids.items()]).withColumn("year", F.year("time"))
+    order = ["var", "year", F.floor(F.col("lat") / tile), F.floor(F.col("lon") / tile)]
+    placed = both.repartitionByRange(*order).sortWithinPartitions(*order, "lat", "lon", "time")
+    placed.write.mode("append").partitionBy("var", "year").parquet(path)
 
 
 def scan_grid(spark: SparkSession, path: str, var: str, years: tuple[int, int]) -> DataFrame:
