@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,18 +25,23 @@ from .common import discard, or_empty, row_keys, stored, table
 
 K = 64  # bytes of an anchor
 MARK = 280  # repeats from so many bytes on, about 45 words, are reported
-CHUNK = 1 << 18  # window starts handled at once, so memory doesn't grow with a text
+CHUNK = 1 << 16  # window starts handled at once, so memory doesn't grow with a text
+PART_BYTES = 1 << 20  # short texts are handled together up to so many bytes
 BUCKET_BYTES = 2 << 20
 GROUP_BYTES = 16 << 20  # an anchor with more text around it than this is counted window by window instead
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """64-bit hashes of all K-grams, by doubling."""
-    h = data.astype(np.uint64) + np.uint64(1)
+    h = data.astype(np.uint64)
+    h += np.uint64(1)
     step = 1
     while step < K:
-        h = (h[:-step] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[step:] + np.uint64(0xC2B2AE3D27D4EB4F))
-        h ^= h >> np.uint64(29)
+        ahead = h[step:] + np.uint64(0xC2B2AE3D27D4EB4F)
+        h = h[:-step] * np.uint64(0x9E3779B97F4A7C15)
+        h ^= ahead
+        np.right_shift(h, np.uint64(29), out=ahead)
+        h ^= ahead
         h *= np.uint64(0xBF58476D1CE4E5B9)
         step *= 2
     return h ^ (h >> np.uint64(32))
@@ -61,15 +67,18 @@ def mixed(h: np.ndarray, at: np.ndarray, begin: int, end: int) -> np.ndarray:
     return out
 
 
-def anchors(data: np.ndarray, length: int, mark: int) -> tuple[np.ndarray, ...]:
-    """pos, h, large, left, right, far_left, far_right of the anchors of all windows of mark bytes of data.
+def anchors(data: np.ndarray, ends: np.ndarray, length: int, mark: int) -> tuple[np.ndarray, ...]:
+    """pos, h, large, left, right, far_left, far_right of the anchors of all windows of mark bytes of the texts that data
+    holds one after the other, each up to its place in ends; windows never cross ends.
 
     large: whether one leads a window of length bytes too.  The leftmost of equals leads a window, so an anchor of a window
-    also leads the shorter ones within that hold it.  The stretches of half of mark, and of half of length, that end or
-    begin with the anchor have hashes where the text is long enough, else 0 and a false in the masks that follow.
+    also leads the shorter ones within that hold it, and a later window never has an earlier anchor.  The stretches of half
+    of mark, and of half of length, that end or begin with the anchor have hashes where the text is long enough, else 0 and
+    a false in the masks that follow.
     """
     half, far, n = (mark - K) // 2, (length - K) // 2, len(data)
     sides = ((-half, K), (0, mark - half), (-far, K), (0, length - far))
+    begins = np.concatenate([[0], ends[:-1]])
     found: list[list[np.ndarray]] = [[] for _ in range(3 + 2 * len(sides))]
     for a in range(0, n - mark + 1, CHUNK):
         # Windows that begin in the chunk; their anchors' stretches go on by far before it, and by length after.
@@ -77,12 +86,25 @@ def anchors(data: np.ndarray, length: int, mark: int) -> tuple[np.ndarray, ...]:
         h = gram_hashes(data[a - before : a + CHUNK + 2 * length])
         own = h[before : before + CHUNK + length - K]
         order = (own >> np.uint64(20) << np.uint64(20)) | np.arange(len(own), dtype=np.uint64)
-        led = lambda w: np.unique(sliding_min(order, w - K + 1) & np.uint64((1 << 20) - 1)).astype(np.int64)  # noqa: B023, E731
+        cut = ends[np.searchsorted(ends, a, side="right") : np.searchsorted(ends, a + len(own) + K)] - a
+
+        def led(w: int) -> np.ndarray:
+            by = (sliding_min(order, w - K + 1) & np.uint64((1 << 20) - 1)).astype(np.int64)  # noqa: B023
+            whole = np.ones(len(by), bool)
+            for e in cut.tolist():  # noqa: B023
+                whole[max(0, e - w + 1) : e] = False
+            by = by[whole]
+            return by[np.concatenate([by[:1] == by[:1], by[1:] != by[:-1]])]
+
         at = led(mark)
-        large = np.isin(at, led(length)) if len(own) >= length - K + 1 else np.zeros(len(at), bool)
+        large = np.zeros(len(own), bool)
+        if len(own) >= length - K + 1:
+            large[led(length)] = True
+        large = large[at]
         cells = [at + a, own[at], large]
+        of = np.searchsorted(ends, at + a, side="right")
         for begin, end in sides:
-            inside = (at + a + begin >= 0) & (at + a + end <= n)
+            inside = (at + a + begin >= begins[of]) & (at + a + end <= ends[of])
             if end > K and begin == 0 and end > mark - half or begin < -half:
                 inside &= large
             value = np.zeros(len(at), np.uint64)
@@ -94,7 +116,7 @@ def anchors(data: np.ndarray, length: int, mark: int) -> tuple[np.ndarray, ...]:
         return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, bool, *[np.uint64, bool] * len(sides)))
     joined = [np.concatenate(x) for x in found]
     order = np.lexsort((~joined[2], joined[0]))  # an anchor of two chunks: large if one says so
-    keep = order[np.concatenate([[True], joined[0][order][1:] != joined[0][order][:-1]])]
+    keep = order[np.concatenate([joined[0][:1] == joined[0][:1], joined[0][order][1:] != joined[0][order][:-1]])]
     return tuple(x[keep] for x in joined)
 
 
@@ -108,24 +130,22 @@ def anchor_table(docs: DataFrame, text: str, length: int, mark: int) -> DataFram
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
-                rows, ctx, cells = [], [], [[] for _ in range(13)]
-                for i, t in enumerate(part.column(3)):
-                    raw = t.as_py().encode()
-                    if len(raw) < mark:
-                        continue
-                    made = anchors(np.frombuffer(raw, dtype=np.uint8), length, mark)
-                    at, large, view = made[0], made[2], memoryview(raw)
-                    lo, hi = np.maximum(at - reach, 0), np.minimum(at + length, len(raw))
-                    ctx.extend(digest(view[x:y], seed=p - x) for x, y, p in zip(lo[large].tolist(), hi[large].tolist(), at[large].tolist()))
-                    rows.append(np.full(len(at), i))
-                    for out, x in zip(cells, (*made, lo, hi)):
-                        out.append(x)
-                if not rows:
+            sizes = np.cumsum(pc.binary_length(batch.column(3)).to_numpy(zero_copy_only=False)) // PART_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), batch.num_rows]
+            for begin, end in zip(cuts, cuts[1:]):
+                part = batch.slice(begin, end - begin)
+                raws = [t.as_py().encode() for t in part.column(3)]
+                ends = np.cumsum([len(r) for r in raws])
+                joined = b"".join(raws)
+                at, h, large, *sides = anchors(np.frombuffer(joined, dtype=np.uint8), ends, length, mark)
+                if not len(at):
                     continue
-                of = pa.array(np.concatenate(rows))
-                at, h, large, *sides, lo, hi = (np.concatenate(x) for x in cells)
+                of = np.searchsorted(ends, at, side="right")
+                first = (ends - [len(r) for r in raws])[of]
+                lo, hi = np.maximum(at - reach, first), np.minimum(at + length, ends[of])
+                view = memoryview(joined)
+                ctx = [digest(view[x:y], seed=p - x) for x, y, p in zip(lo[large].tolist(), hi[large].tolist(), at[large].tolist())]
+                at, lo, hi, of = at - first, lo - first, hi - first, pa.array(of)
                 long = lambda x, there: pa.array(x.view(np.int64), mask=~there)
                 whole = np.zeros(len(at), np.uint64)
                 whole[large] = np.array(ctx, dtype=np.uint64)
