@@ -1,6 +1,7 @@
 """Inputs on which an operator once did less than its whole job, or more."""
 
 import random
+import re
 from hashlib import sha256
 
 import numpy as np
@@ -81,3 +82,71 @@ def test_terms_next_to_typographic_marks(spark):
     got = {r.doc_id: r for r in toxicity.features(df, [("stupid ", 1.0), ("d\u00e9bil\u00e9s ", 1.0)]).collect()}
     kinds = [next(k for k in ("plain", "quoted", "fuzzy", "fuzzy_quoted", "none") if k == "none" or got[i][k] > 0) for i in range(len(texts))]
     assert kinds == ["plain"] * 5 + ["quoted"] * 5 + ["fuzzy"] * 3
+
+
+def one_edit(a: str, b: str) -> bool:
+    """Whether a becomes b by one letter more, less or other at most."""
+    rows = [list(range(len(b) + 1))]
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(rows[-1][j] + 1, row[-1] + 1, rows[-1][j - 1] + (x != y)))
+        rows.append(row)
+    return rows[-1][-1] <= 1
+
+
+def plain_kind(word: str, terms: list[str]) -> int:
+    """2 exact, 1 with one edit after the first letter (terms of FUZZY_FROM letters), 0 none; starts match any word's start."""
+    best = 0
+    for t in terms:
+        if t.endswith(" "):
+            heads = [word]
+        else:
+            heads = [word[:n] for n in range(1, len(word) + 1)]
+        bare = t.strip()
+        if bare in heads:
+            return 2
+        if len(bare) >= toxicity.FUZZY_FROM and any(h[0] == bare[0] and one_edit(h[1:], bare[1:]) for h in heads):
+            best = 1
+    return best
+
+
+def plain_features(text: str | None, terms: list[str]) -> list[float]:
+    t = re.sub(r'[^a-z0-9@$*"]', " ", (text or "").lower())
+    found = [(m.group(), m.start()) for m in re.finditer(r'[^ "]+', t)]
+    x = [0.0] * 5
+    for i, (word, at) in enumerate(found):
+        kind = plain_kind(word, terms)
+        if kind:
+            near = {w for j, (w, _) in enumerate(found) if j != i and abs(j - i) <= toxicity.CONTEXT}
+            quoted = bool(near & toxicity.REPORTING) or (t[:at].count('"') % 2 == 1 and '"' in t[at:])
+            x[(0 if kind == 2 else 2) + quoted] += 1
+            x[4] += bool(near & toxicity.ADDRESS) and not quoted
+    return [*np.log1p(x), (x[0] + 0.5 * x[2]) / max(1, len(found)) * 20]
+
+
+def test_toxicity_features_against_a_plain_version(spark):
+    """Every word against every term by edit distance, quotation by counting marks; long, empty, null and repeated texts too."""
+    rng = random.Random(15)
+    terms = ["stupid ", "idiot ", "vermin", "scumbag", "loud"]
+    around = ["you", "he", "said", "quoted", "the", "dog", "ran", "word", "your", "verse", "stop", "lo", "v"]
+
+    def damaged(w: str) -> str:
+        i, c = rng.randrange(len(w)), rng.choice("aeidst")
+        return rng.choice([w, w, w[:i] + w[i + 1 :], w[:i] + c + w[i:], w[:i] + c + w[i + 1 :], w + "s", w + c + "ly"])
+
+    def made(n: int) -> str:
+        talk = rng.random() < 0.5  # half of the texts quote nobody
+        ws = [damaged(rng.choice(terms).strip()) if rng.random() < 0.2 else rng.choice(around) for _ in range(n)]
+        ws = [w for w in ws if talk or w not in toxicity.REPORTING]
+        return "".join(w + rng.choice([" ", " ", " ", ", ", "\n", "-", *([' "', '" '] if talk else [])]) for w in ws)
+
+    texts = [made(rng.randint(1, 40)) for _ in range(150)] + [made(6000), "", None, '"', "stupid"]
+    texts += texts[:3]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    rows = toxicity.features(df, [(t, 1.0) for t in terms]).collect()
+    got = {r.doc_id: [r[f] for f in toxicity.FEATURES] for r in rows}
+    assert len(rows) == len(texts)
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(plain_features(t, terms)), t
+    assert sum(g[0] > 0 for g in got.values()) > 50 and sum(g[2] > 0 for g in got.values()) > 50 and sum(g[3] > 0 for g in got.values()) > 10
