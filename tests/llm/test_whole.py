@@ -150,3 +150,31 @@ def test_toxicity_features_against_a_plain_version(spark):
     for i, t in enumerate(texts):
         assert got[i] == pytest.approx(plain_features(t, terms)), t
     assert sum(g[0] > 0 for g in got.values()) > 50 and sum(g[2] > 0 for g in got.values()) > 50 and sum(g[3] > 0 for g in got.values()) > 10
+
+
+def test_copies_of_a_text_that_nothing_is_like_need_no_tokens(spark):
+    """They only equal each other, so their tokens aren't made; a near copy keeps both texts."""
+    rng = random.Random(21)
+    one, two, near = ([f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(3))
+    texts = [" ".join(one)] * 3 + [" ".join(two), " ".join(near), " ".join([*near[:59], "other"]), "a b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, s string")
+    live = {r.id: r.s for r in jaccard.live_rows(df, jaccard.Rule()).collect()}
+    assert live == {0: None, 1: None, 2: None, 4: texts[4], 5: texts[5], 6: "a b"}
+
+
+@pytest.mark.parametrize(("k", "size", "share"), [(5, 4, 1.0), (5, 4, 0.4), (5, 5, 1.0), (4, 3, 0.5), (1, 1, 1.0)])
+def test_texts_have_at_least_the_tokens_counted_as_their_own(spark, k, size, share):
+    from tidecover.llm.grams import sampled_grams
+
+    rng = random.Random(22)
+    texts = ["".join(rng.choice(["a", "B", "b ", "\u00e9", " ", "\t\x0b", "c", " d "]) for _ in range(rng.randint(0, 90))) for _ in range(60)]
+    texts += texts[:9] + ["", " ", "x " * 40, "long" * 300_000 + " a b c d e f"]
+    words = [tuple(t.encode().lower().split()) for t in texts]
+    sets = {t: {w[i : i + k] for i in range(len(w) - k + 1)} for t, w in zip(texts, words)}
+    own = {hash_: sum(all(x not in o for u, o in sets.items() if u != t) for x in sets[t]) for hash_, t in enumerate(sets)}
+    ids = {t: i for i, t in enumerate(sets)}
+    df = spark.createDataFrame([(ids[t], t) for t in texts], "node bigint, s string")
+    got = {r.node: r for r in jaccard.own_spans(sampled_grams(df, k, size, share)).collect()}
+    assert got and all(r.own <= own[i] for i, r in got.items())
+    assert all(r.copies == texts.count(list(sets)[i]) for i, r in got.items() if r.own)
+    assert share < 1 or sum(r.own for r in got.values()) > 0.5 * sum(own.values())

@@ -1,0 +1,102 @@
+"""Grams: hashes of a few words in a row, sampled by their content, for many texts at once with numpy."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from zlib import crc32
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+BLOCK = 1 << 19  # bytes of text hashed at a time
+
+_rng = np.random.Generator(np.random.PCG64(7))
+_VALUE = _rng.integers(0, 2**64, 256, np.uint64)
+_VALUE[[9, 10, 11, 12, 13, 32]] = 0
+_VALUE[65:91] = _VALUE[97:123]  # A-Z count as a-z
+_SPACE = _VALUE == 0
+_ODD = _rng.integers(0, 2**64, 64, np.uint64) | np.uint64(1)
+
+
+def _powers(base: int) -> np.ndarray:
+    steps = np.full(BLOCK, base, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
+_BASE = 0x9E3779B97F4A7C15
+_POWER, _INVERSE = _powers(_BASE), _powers(pow(_BASE, -1, 2**64))
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (A-Z as a-z) of the texts that end at offsets[1:], and the number of words of each text."""
+    blank = _SPACE[data]
+    start, last = ~blank, ~blank
+    start[1:] &= blank[:-1]
+    last[:-1] &= blank[1:]
+    full = offsets[:-1] < offsets[1:]
+    start[offsets[:-1][full]] = ~blank[offsets[:-1][full]]
+    last[offsets[1:][full] - 1] = ~blank[offsets[1:][full] - 1]
+    at, ends = np.flatnonzero(start), np.flatnonzero(last) + 1
+    out = np.zeros(len(at), np.uint64)
+    a = 0
+    while a < len(at):
+        lo = at[a]
+        b = max(int(np.searchsorted(ends, lo + BLOCK, "right")), a + 1)
+        hi = ends[b - 1]
+        if hi - lo > BLOCK:  # one word longer than a block
+            out[a] = crc32(data[lo:hi].tobytes().lower())
+        else:
+            out[a:b] = np.add.reduceat(_VALUE[data[lo:hi]] * _POWER[: hi - lo], at[a:b] - lo) * _INVERSE[at[a:b] - lo]
+        a = b
+    return mixed(out), np.diff(np.searchsorted(at, offsets))
+
+
+def sampled(h: np.ndarray, n_words: np.ndarray, k: int, size: int, share: float) -> tuple[np.ndarray, ...]:
+    """text, tok, m, i, w of the sampled grams of size words, in texts of at least k words.
+
+    i is the gram's place, m the number of the text's k-word shingles, w how many of these hold the gram, but not the sampled
+    gram just before (for size k - 1 or k).
+    """
+    text = np.repeat(np.arange(len(n_words)), n_words)
+    i = np.arange(len(h)) - np.repeat(np.cumsum(n_words) - n_words, n_words)
+    m = np.repeat(n_words - k + 1, n_words)
+    padded = np.append(h, np.zeros(size, np.uint64))
+    part = lambda q, j: padded[q + j] * _ODD[j % 64] + np.uint64(j)
+    every = np.arange(len(h))
+    key = mixed(part(every, 0) + part(every, min(2, size - 1)))
+    taken = (key <= np.uint64(min(int(share * 2**64), 2**64 - 1))) & (m > 0) & (i <= m - 1 + k - size)
+    before = np.append(False, taken[:-1]) & (i > 0)
+    w = (i < m).astype(np.int32) + ((i > 0) & ~before) * (k - size)
+    q = np.flatnonzero(taken)
+    tok = np.zeros(len(q), np.uint64)
+    for j in range(size):
+        tok = mixed(tok + part(q, j))
+    return text[q], tok.view(np.int64), m[q].astype(np.int32), i[q].astype(np.int32), w[q].astype(np.int32)
+
+
+def sampled_grams(texts: DataFrame, k: int, size: int, share: float) -> DataFrame:
+    """tok, node, m, i, w of the sampled grams of texts (node, s); see sampled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, s = batch.column(0).to_numpy(), batch.column(1).cast(pa.large_binary())
+            offsets = np.frombuffer(s.buffers()[1], np.int64)[s.offset : s.offset + len(s) + 1]
+            a = 0
+            while a < len(s):
+                b = max(int(np.searchsorted(offsets, offsets[a] + BLOCK, "right")) - 1, a + 1)
+                lo, hi = int(offsets[a]), int(offsets[b])
+                if lo < hi:
+                    h, n_words = word_hashes(np.frombuffer(s.buffers()[2], np.uint8)[lo:hi], offsets[a : b + 1] - lo)
+                    text, *rest = sampled(h, n_words, k, size, share)
+                    tok, m, i, w = rest
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (tok, node[a:b][text], m, i, w)], ["tok", "node", "m", "i", "w"])
+                a = b
+
+    return texts.select("node", "s").mapInArrow(run, "tok bigint, node bigint, m int, i int, w int")

@@ -1,7 +1,7 @@
 """N-gram Jaccard join with a token-group matrix.
 
 Tokens are hashes of word shingles.  First the texts go that have more tokens to themselves than a similar text allows,
-by a sample of their tokens, then by all.  What is left is ordered by rarity and cut down to the tokens of which similar
+by a sample of shorter shingles, then by all tokens.  What is left is ordered by rarity and cut down to the tokens of which similar
 texts must share one.  Texts found to be alike form a group; the matrix holds each group's union of such tokens with the
 range of its sizes and the most that its texts have left from there on.  A text is held against the groups' unions, and
 only the groups that can hold a similar text are opened.
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, filter_once, folded, or_empty, row_keys, shingles, stored, table, words
 from .components import components
+from .grams import sampled_grams
 
 
 @dataclass(frozen=True)
@@ -56,45 +57,62 @@ def with_words(df: DataFrame, text: str, *kept: str | Column) -> DataFrame:
     return made.select(*[c for c in made.columns if c != "_folded"], words(F.col("_folded")).alias("_w"))
 
 
-def own_tokens(postings: DataFrame) -> DataFrame:
-    """node, m, own: the number of tokens that are in one posting (tok, node, m) alone."""
-    per = postings.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node"), F.min("m").alias("m")).filter("c = 1")
-    return per.groupBy("node", "m").agg(F.count(F.lit(1)).alias("own"))
+def own_spans(grams: DataFrame) -> DataFrame:
+    """node, m, own, copies: the tokens that a text has to itself for sure, by its grams (tok, node, m, i, w).
+
+    A gram at one place i of one text makes the w tokens own that it alone accounts for; texts with copies are one text.
+    """
+    place = F.shiftleft(F.col("m").cast("long"), 33) + F.shiftleft(F.col("i").cast("long"), 2) + F.col("w")
+    # One number names text and place, so two of them tell whether a gram stands anywhere else.
+    at = F.col("node").bitwiseXOR(F.xxhash64("i")).alias("at")
+    per = grams.select("tok", at, place.alias("place")).groupBy("tok").agg(F.min("at").alias("at"), F.max("at").alias("to"), F.min("place").alias("place"), F.count(F.lit(1)).alias("c")).filter("at = to")
+    i = F.shiftright("place", 2).bitwiseAND(2**31 - 1).cast("int")
+    one = per.select(F.col("at").bitwiseXOR(F.xxhash64(i)).alias("node"), F.shiftright("place", 33).cast("int").alias("m"), F.col("place").bitwiseAND(3).alias("w"), "c")
+    return one.groupBy("node").agg(F.max("m").alias("m"), F.sum("w").alias("own"), F.max("c").alias("copies"))
+
+
+def apart(texts: DataFrame, rule: Rule, size: int, share: float) -> DataFrame:
+    """node, copied (do several rows have it) of the texts (node, s) that have more tokens to themselves than a similar text allows.
+
+    That is as far as a share of their grams of size words shows.  A gram may be one word shorter than a token: if it stands
+    nowhere else, neither do the two tokens around it, so a sample covers nearly twice its share of the tokens.  A gram is
+    sampled by its first and third word, which is the same in every text; texts of fewer words than a token have tokens of
+    their own kind, so their grams don't matter.
+    """
+    # Repeated shingles make a row look longer than its set, which only lets it have more tokens to itself.
+    own = own_spans(sampled_grams(texts, rule.k, size, share)).filter(F.col("own") > rule.own(F.col("m")))
+    return stored(own.select("node", (F.col("copies") > 1).alias("copied")), "apart")
 
 
 def live_rows(rows: DataFrame, rule: Rule) -> DataFrame:
-    """id, node (hash of the text), s of the rows (id, s) that may link or equal others.
+    """id, node (hash of the text), s of the rows (id, s) that may link or equal others; s is null if they only equal some.
 
-    Rows without words go, and those with more tokens to themselves, in a sample of the tokens, than a similar text allows.
-    A token is sampled by its first and third word, which is the same in every text.  Equal rows have no token to
-    themselves, so they stay.
+    Rows without words go, and those apart from all others; where such a text has copies, its rows stay without s.
     """
-    named = with_words(rows, "s", F.xxhash64("s").alias("node"))
-    last = F.size("_w") - rule.k
-    spread = named.select("node", "_w", F.explode_outer(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("i"))
-    word = lambda j: F.get("_w", F.col("i") + j)
-    share = min(1.0, (100 - rule.percent) / 100 * rule.wide)
-    spread = spread.select("node", "_w", "i", F.xxhash64(word(0), word(min(2, rule.k - 1))).alias("_h")).filter(F.col("i").isNotNull() & (F.col("_h") < int(-(2**63) + share * (2**64 - 1))))
-    # Repeated shingles make a row look longer than its set, which only lets it have more tokens to itself.
-    tokens = spread.select("node", F.xxhash64(*[word(j) for j in range(rule.k)]).alias("tok"), (F.size("_w") - rule.k + 1).alias("m"))
-    gone = stored(own_tokens(tokens).filter(F.col("own") > rule.own(F.col("m"))).select("node"), "gone")
-    some = rows.select("id", F.xxhash64("s").alias("node"), "s").filter(F.ltrim("s", F.lit(" \t\n\x0b\x0c\r")) != "")
-    out = stored(some.join(gone, "node", "left_anti").select("id", "node", "s"), "live")
+    named = rows.select("id", F.xxhash64("s").alias("node"), "s")
+    size = max(rule.k - 1, 1)
+    share = min(1.0, (100 - rule.percent) / 100 * rule.wide / (rule.k - size + 1) ** 0.5)
+    gone = apart(named, rule, size, share)
+    some = named.filter(F.ltrim("s", F.lit(" \t\n\x0b\x0c\r")) != "").join(gone, "node", "left")
+    left = some.filter(F.col("copied").isNull() | F.col("copied"))
+    out = stored(left.select("id", "node", F.when(F.col("copied").isNull(), F.col("s")).alias("s")), "live")
     discard(gone)
     return out
 
 
-def token_sets(live: DataFrame, rule: Rule) -> DataFrame:
-    """node, first (the smallest id), n, toks of each node of live."""
-    per = live.groupBy("node").agg(F.min("id").alias("first"), F.first("s").alias("s"))
-    df = with_words(per, "s", "node", "first").select("node", "first", shingles(F.col("_w"), rule.k).alias("toks"))
-    return stored(df.select("node", "first", F.size("toks").alias("n"), "toks"), "sets")
+def single_texts(live: DataFrame) -> DataFrame:
+    """node, first (the smallest id), s of each node of live."""
+    return stored(live.groupBy("node").agg(F.min("id").alias("first"), F.first("s").alias("s")), "texts")
 
 
-def linkable(sets: DataFrame, rule: Rule) -> DataFrame:
-    """The rows of sets that have no more tokens to themselves than a similar text allows, now by all tokens."""
-    own = own_tokens(sets.select("node", F.col("n").alias("m"), F.explode_outer("toks").alias("tok")))
-    return stored(sets.join(own.filter(F.col("own") > rule.own(F.col("m"))), "node", "left_anti"), "linkable")
+def linkable(texts: DataFrame, rule: Rule) -> DataFrame:
+    """node, first, n, toks of the texts with s that are not apart from all others, now by all tokens and without copies."""
+    some = texts.filter(F.col("s").isNotNull())
+    gone = apart(some, rule, rule.k, 1.0)
+    df = with_words(some.join(gone, "node", "left_anti"), "s", "node", "first").select("node", "first", shingles(F.col("_w"), rule.k).alias("toks"))
+    out = stored(df.select("node", "first", F.size("toks").alias("n"), "toks"), "linkable")
+    discard(gone)
+    return out
 
 
 def prefixes(sets: DataFrame, rule: Rule) -> DataFrame:
@@ -158,15 +176,15 @@ def near_rows(docs: DataFrame, text: str = "text", rule: Rule = Rule()) -> DataF
     k1, k2 = row_keys(F.col("doc_id"), F.col(text))
     id_ = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), k1, k2)
     live = live_rows(docs.select(id_.alias("id"), or_empty(F.col(text)).alias("s")), rule)
-    sets = token_sets(live, rule)
-    able = linkable(sets, rule)
+    texts = single_texts(live)
+    able = linkable(texts, rule)
     label = links(able, rule)
-    named = stored(sets.select("node", "first").join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "first"), "named")
+    named = stored(texts.select("node", "first").join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "first"), "named")
     # Written before it is joined, so that Spark can split a large component's rows.
     least = stored(named.groupBy("label").agg(F.min("first").alias("least")), "least")
     by_node = stored(named.join(least, "label").select("node", "least"), "by-node")
     out = stored(live.select("id", "node").join(by_node, "node").select("id", "least"), "rows")
-    discard(live, sets, able, named, least, by_node)
+    discard(live, texts, able, named, least, by_node)
     return out
 
 

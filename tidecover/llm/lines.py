@@ -2,7 +2,7 @@
 
 A line's tokens are its five-word shingles, ordered by rarity; lines that can be similar share one of their rarest ones
 (prefix filter), at places that leave enough tokens (positional filter), and have similar lengths (length filter); what is
-left is verified by the whole sets.  Native expressions only.
+left is verified by the whole sets.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, or_empty, row_keys, stored, table
-from .jaccard import Rule, linkable, live_rows, prefixes, token_sets, verified
+from .jaccard import Rule, linkable, live_rows, prefixes, single_texts, verified
 
 
 def resembling_earlier(sets: DataFrame, rule: Rule) -> DataFrame:
@@ -49,17 +49,20 @@ def repeated_lines(docs: DataFrame, text: str = "text", rule: Rule = Rule()) ->
     docs = docs.drop("n_lines", "removed")
     t = or_empty(F.col(text))
     k1, k2 = row_keys(F.col("doc_id"), F.col(text))
-    each = docs.select("doc_id", k1, k2, F.posexplode_outer(F.split(t, "\n", -1)).alias("line", "s"))
+    # The keys come first, in a projection of their own: beside the generator Spark would compute them again for every line.
+    keyed = docs.select("doc_id", k1, k2, t.alias("_t"))
+    each = keyed.select("doc_id", "k1", "k2", F.posexplode_outer(F.split("_t", "\n", -1)).alias("line", "s"))
     live = live_rows(each.select(F.struct("doc_id", "line", "k1", "k2").alias("id"), "s"), rule)
-    sets = token_sets(live, rule)
-    able = linkable(sets, rule)
+    texts = single_texts(live)
+    able = linkable(texts, rule)
     again = resembling_earlier(able, rule).withColumn("again", F.lit(True))
-    flags = sets.select("node", "first").join(again, "node", "left")
+    flags = texts.select("node", "first").join(again, "node", "left")
     out = live.select("id", "node").join(flags, "node").filter((F.col("id") != F.col("first")) | F.col("again"))
     per = stored(out.groupBy(F.col("id")["k1"].alias("_k1"), F.col("id")["k2"].alias("_k2")).agg(F.sort_array(F.collect_set(F.col("id")["line"])).alias("removed")), "removed")
-    discard(live, sets, able)
+    discard(live, texts, able)
     held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    joined = docs.select(held, k1.alias("_k1"), k2.alias("_k2"), F.size(F.split(t, "\n", -1)).cast("long").alias("_n")).join(per, ["_k1", "_k2"], "left")
+    n_lines = (F.octet_length(t) - F.octet_length(F.replace(t, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    joined = docs.select(held, k1.alias("_k1"), k2.alias("_k2"), n_lines.alias("_n")).join(per, ["_k1", "_k2"], "left")
     return joined.select("_row.*", F.col("_n").alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
