@@ -164,8 +164,6 @@ def test_copies_of_a_text_that_nothing_is_like_need_no_tokens(spark):
 
 @pytest.mark.parametrize(("k", "size", "share"), [(5, 4, 1.0), (5, 4, 0.4), (5, 5, 1.0), (4, 3, 0.5), (1, 1, 1.0)])
 def test_texts_have_at_least_the_tokens_counted_as_their_own(spark, k, size, share):
-    from tidecover.llm.grams import sampled_grams
-
     rng = random.Random(22)
     texts = ["".join(rng.choice(["a", "B", "b ", "\u00e9", " ", "\t\x0b", "c", " d "]) for _ in range(rng.randint(0, 90))) for _ in range(60)]
     texts += texts[:9] + ["", " ", "x " * 40, "long" * 300_000 + " a b c d e f"]
@@ -174,7 +172,7 @@ def test_texts_have_at_least_the_tokens_counted_as_their_own(spark, k, size, sha
     own = {hash_: sum(all(x not in o for u, o in sets.items() if u != t) for x in sets[t]) for hash_, t in enumerate(sets)}
     ids = {t: i for i, t in enumerate(sets)}
     df = spark.createDataFrame([(ids[t], t) for t in texts], "node bigint, s string")
-    got = {r.node: r for r in jaccard.own_spans(sampled_grams(df, k, size, share)).collect()}
+    got = {r.node: r for r in jaccard.own_spans(jaccard.sampled_grams(df, k, size, share)).collect()}
     assert got and all(r.own <= own[i] for i, r in got.items())
     assert all(r.copies == texts.count(list(sets)[i]) for i, r in got.items() if r.own)
     assert share < 1 or sum(r.own for r in got.values()) > 0.5 * sum(own.values())

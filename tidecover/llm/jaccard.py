@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from .common import discard, filter_once, folded, or_empty, row_keys, shingles, stored, table, words
 from .components import components
-from .grams import sampled_grams
 
 
 @dataclass(frozen=True)
@@ -57,6 +56,23 @@ def with_words(df: DataFrame, text: str, *kept: str | Column) -> DataFrame:
     return made.select(*[c for c in made.columns if c != "_folded"], words(F.col("_folded")).alias("_w"))
 
 
+def sampled_grams(texts: DataFrame, k: int, size: int, share: float) -> DataFrame:
+    """tok, node, m, i, w of a share of the grams of size words (k or one less) of texts (node, s) of at least k words.
+
+    i is the gram's place, m the number of k-word shingles, w how many of them hold it but not the sampled gram before it.
+    """
+    named = with_words(texts, "s", "node")
+    starts = F.when(F.size("_w") >= k, F.sequence(F.lit(0), F.size("_w") - size))
+    spread = named.select("node", "_w", F.explode_outer(starts).alias("i"))
+    word = lambda j: F.get("_w", F.col("i") + j)
+    limit = int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1
+    taken = lambda j: F.xxhash64(word(j), word(j + min(2, size - 1))) <= limit
+    m = F.size("_w") - k + 1
+    w = (F.col("i") < m).cast("int") + ((F.col("i") > 0) & ~taken(-1)).cast("int") * (k - size)
+    some = spread.filter(F.col("i").isNotNull() & taken(0))
+    return some.select(F.xxhash64(*[word(j) for j in range(size)]).alias("tok"), "node", m.alias("m"), "i", w.alias("w"))
+
+
 def own_spans(grams: DataFrame) -> DataFrame:
     """node, m, own, copies: the tokens that a text has to itself for sure, by its grams (tok, node, m, i, w).
 
